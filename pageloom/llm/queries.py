@@ -1,10 +1,10 @@
-"""One query for each operator, over its whole table, and SQL where SQL can say it."""
+"""One query for each operator, over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, shard
+from . import bpe_count, mix, shard, simhash
 from .common import read
 
 
@@ -13,8 +13,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe_count.read_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_count.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign_shards(read(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op5_sharding": op5_sharding}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op10_simhash": op10_simhash}
