@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_count, mix, shard, simhash
-from .common import read
+from . import ann, bpe_count, langid, mix, shard, simhash, toxicity
+from .common import in_fold, read
+
+
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, quantiser = ann.build_index(read(spark, sf_dir, "embeddings"))
+    return ann.search(index, quantiser, index.filter("vec_id % 100 = 0").select("vec_id", "vector"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +30,30 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign_shards(read(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    profiles = langid.learn_profiles(docs.filter(~held_out))
+    return langid.identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    lexicon = toxicity.learn_lexicon(docs.filter(~held_out), read(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score_toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_token_counts": op4_token_counts, "op5_sharding": op5_sharding, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op2_nearest_vectors": op2_nearest_vectors,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_token_counts": op4_token_counts,
+    "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
+    "op9_toxicity": op9_toxicity,
+    "op10_simhash": op10_simhash,
+}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, lgamma, log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,9 +24,10 @@ QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
 
 @dataclass
 class Lexicon:
-    """Terms with whether each is a stem; weights by (misspelled, quoted); words near a term that clean texts use."""
+    """Terms, each with whether it is a stem and how many edits it forgives; weights by (misspelled, quoted); words near
+    a term that clean texts use."""
 
-    terms: list[tuple[str, bool]]
+    terms: list[tuple[str, bool, int]]
     weights: dict[tuple[bool, bool], float] = field(default_factory=lambda: {(False, False): 0.9, (True, False): 0.7, (False, True): 0.45, (True, True): 0.25})
     base: float = 0.02
     allowed: frozenset[str] = frozenset()
@@ -41,13 +43,12 @@ def tolerance(term: str, stem: bool) -> int:
 class Trie:
     """The lexicon's terms; ``find`` intersects it with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool, int]]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool]]] = [[]]
         self.most = 0
         pieces = set()
-        for term, stem in terms:
-            edits = tolerance(term, stem)
+        for term, stem, edits in terms:
             self.most = max(self.most, edits)
             at = 0
             for c in term:
@@ -147,33 +148,42 @@ class Scorer:
         return 1 - (1 - self.lexicon.base) * clear
 
 
-def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], least: int = 3) -> list[tuple[str, bool]]:
-    """Terms, each the one that explains most toxic documents not yet explained; ties to whole words, then longer ones.
+def log_chance(bad: int, good: int, rate: float) -> float:
+    """The natural log of the chance that a term unrelated to the label meets at least ``bad`` of bad + good at this rate."""
+    n = bad + good
+    terms = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(rate) + (n - k) * log(1 - rate) for k in range(bad, n + 1)]
+    return max(terms) + log(sum(exp(t - max(terms)) for t in terms))
 
-    counts: toxic and clean documents of each candidate; a stem is written with a * at its end.
+
+def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], rate: float, least: int = 3, chance: float = 1e-7) -> list[tuple[str, bool, int]]:
+    """Terms to go by, best first; ties to whole words, then longer ones, then code points.
+
+    toxic_docs: the candidates in each toxic row. counts: toxic contexts and clean rows of each candidate; a stem is
+    written with a * at its end. A term that chance can't explain is taken as long as it adds rows to its own stem or
+    words; any other only while it explains rows that no term taken explains, and it forgives no edits.
     """
     holders: dict[str, set[int]] = {}
     for i, terms in enumerate(toxic_docs):
         for t in terms:
             holders.setdefault(t, set()).add(i)
-    chosen, open_docs = [], set(range(len(toxic_docs)))
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    sure = {t for t in holders if log_chance(*counts[t], rate) < log(chance)}
+    purity = {t: (counts[t][0] / sum(counts[t])) ** 4 for t in holders}
+    chosen, explained = [], set()
     while True:
-        best, gain = None, (0.0, False, 0, "")
+        best, most = None, (0.0, False, 0, "")
         for t, docs in holders.items():
-            n = len(docs)
-            if n < least or n < gain[0]:
-                continue
-            toxic, clean = counts[t]
-            value = (n * (toxic / (toxic + clean)) ** 4, not t.endswith("*"), len(t), t)
-            if value > gain:
-                best, gain = t, value
-        if best is None or gain[0] < least:
+            n = len(docs) if t in sure else len(docs - explained)
+            if n >= least and n * purity[t] >= most[0]:
+                most, best = max((most, best), ((n * purity[t], t[-1] != "*", len(t), t), t))
+        if best is None or most[0] < least:
             return chosen
-        chosen.append((best.rstrip("*"), best.endswith("*")))
-        explained = holders[best] & open_docs
-        open_docs -= explained
-        for docs in holders.values():
-            docs -= explained
+        term, stem, docs = best.rstrip("*"), best[-1] == "*", holders.pop(best)
+        chosen.append((term, stem, tolerance(term, stem) if best in sure else 0))
+        explained |= docs
+        for t in holders:
+            if t.startswith(term) or best.startswith(t.rstrip("*")):
+                holders[t] -= docs
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic", precision: float = 0.8) -> Lexicon:
@@ -186,15 +196,25 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
     share = most_rows / max(1, labelled.count())
     taken = labelled.filter(hex_key("toxicity:", F.col("key").cast("string")) < int(min(1.0, share) * (1 << 60)))
     rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).join(F.broadcast(taken), "key").filter("text is not null")
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in range(4, 9)]
+    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     sample = checkpoint(rows.select("key", "toxic", "text", words.alias("words")))
-    terms = sample.select("key", "toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
-    counted = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    counted = checkpoint(counted.filter((F.col("bad") >= 3) & (F.col("bad") >= precision * (F.col("bad") + F.col("good"))) & (F.length("term") >= 3)))
+
+    def forms(word):  # the word, and its stems of 4 to 8 letters
+        return F.concat(F.array(word), *[F.when(F.length(word) >= n, F.array(F.concat(F.substring(word, 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in range(4, 9)])
+
+    previous = F.concat(F.array(F.lit("")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
+    placed = sample.filter("toxic = 1").select("key", F.explode(F.arrays_zip("words", previous.alias("before"))).alias("at"))
+    placed = placed.select("key", F.col("at.before").alias("before"), F.explode(forms(F.col("at.words"))).alias("term")).filter("length(term) >= 3")
+    #: Copies of a row repeat a term in the same context; only different words before it count as evidence.
+    bad = checkpoint(placed.groupBy("term").agg(F.countDistinct("before").alias("bad")).filter("bad >= 3"))
+    clean = sample.filter("toxic = 0").select("key", F.explode(F.array_distinct("words")).alias("word"))
+    clean = clean.select("key", F.explode(forms(F.col("word"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("good"))
+    counted = bad.join(clean, "term", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    counted = checkpoint(counted.filter(F.col("bad") >= precision * (F.col("bad") + F.col("good"))))
     counts = {r.term: (r.bad, r.good) for r in counted.collect()}
-    held = terms.filter("toxic = 1").join(counted.select("term"), "term").groupBy("key").agg(F.collect_list("term").alias("terms"))
-    lexicon = Lexicon(choose_terms([set(r.terms) for r in held.collect()], counts))
+    held = placed.join(counted.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    rate = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    lexicon = Lexicon(choose_terms([set(r.terms) for r in held.collect()], counts, rate))
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon)
