@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+from .license_texts import TEMPLATES
+
 
 def _slots(shards: int, slots: int) -> str:
     """The lookup table as a SQL list, filled here by following each claim in time order."""
@@ -58,4 +60,59 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
-ORACLES = {"op3_mix_sources": OP3, "op5_sharding": OP5}
+OP7 = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+), b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark
+), dt AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d
+), bt AS (SELECT item_id, len(ws) AS m, least(13, len(ws)) AS width, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q FROM b
+), eq AS (
+  SELECT DISTINCT doc_id, item_id, m, width, p - q AS diag, q FROM dt JOIN bt USING (w)
+), near AS (
+  SELECT doc_id, item_id, m, width, diag, list(q) AS qs FROM eq GROUP BY ALL HAVING count(*) >= ceil(0.8 * width - 1e-9)
+), win AS (
+  SELECT doc_id, item_id, width, diag, s, len(list_filter(qs, lambda q: q >= s AND q < s + width)) AS same
+  FROM (SELECT *, unnest(generate_series(0, m - width)) AS s FROM near)
+)
+SELECT doc_id, item_id, CAST(max(same) AS INTEGER) AS best, CAST(max(width) AS INTEGER) AS width,
+       CAST(min(diag + s) AS INTEGER) AS first_word, CAST(max(diag + s + width - 1) AS INTEGER) AS last_word
+FROM win WHERE same >= ceil(0.8 * width - 1e-9) GROUP BY doc_id, item_id
+"""
+
+
+def _templates() -> str:
+    quoted = [f"({i}, '{name}', '" + text.replace("'", "''") + "')" for i, (name, _, text) in enumerate(TEMPLATES)]
+    return ", ".join(quoted)
+
+
+OP1 = r"""
+WITH t AS (
+  SELECT i, name, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM (VALUES %s) v(i, name, body)
+), tg AS (
+  SELECT i, name, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS g FROM t
+), d AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+), dg AS (
+  SELECT doc_id, row_id, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) AS g FROM d WHERE len(ws) > 1
+), gp AS (
+  SELECT row_id, unnest(g) AS gram, generate_subscripts(g, 1) AS p FROM dg
+), hits AS (
+  SELECT gp.row_id, tu.i, gp.p FROM gp JOIN (SELECT i, unnest(g) AS gram FROM tg) tu USING (gram)
+), starts AS (
+  SELECT h.row_id, h.i, h.p FROM hits h
+  JOIN (SELECT row_id, i FROM hits GROUP BY ALL HAVING count(*) >= (SELECT min(len(g)) * 0.6 FROM tg)) USING (row_id, i)
+), scored AS (
+  SELECT dg.doc_id, dg.row_id, tg.i, tg.name, s.p, len(dg.g) AS n, len(tg.g) AS m,
+         2.0::DOUBLE * len(list_intersect(list_distinct(dg.g[s.p:s.p + len(tg.g) - 1]), tg.g))
+           / (len(list_distinct(dg.g[s.p:s.p + len(tg.g) - 1])) + len(tg.g)) AS dice
+  FROM starts s JOIN dg USING (row_id) JOIN tg USING (i)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY row_id, i ORDER BY dice DESC, p) AS rn FROM scored
+)
+SELECT doc_id, name AS license_id, CAST(i AS INTEGER) AS template, round(dice, 6) AS dice, CAST(p - 1 AS INTEGER) AS first_word,
+       CAST(least(m + 1, n + 1 - (p - 1)) AS INTEGER) AS n_words
+FROM best WHERE rn = 1 AND dice >= 0.8 - 1e-9
+""" % _templates()
+
+ORACLES = {"op1_license_scan": OP1, "op3_mix_sources": OP3, "op5_sharding": OP5, "op7_decontamination": OP7}

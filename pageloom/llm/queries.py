@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, langid, mix, shard, simhash, toxicity
+from . import ann, bpe_count, decontaminate, langid, license_scan, mix, shard, simhash, toxicity
 from .common import in_fold, read
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, quantiser = ann.build_index(read(spark, sf_dir, "embeddings"))
     return ann.search(index, quantiser, index.filter("vec_id % 100 = 0").select("vec_id", "vector"))
@@ -37,6 +41,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold(F.col("doc_id"), 4, 2)
@@ -49,11 +57,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_nearest_vectors": op2_nearest_vectors,
     "op3_mix_sources": op3_mix_sources,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
+    "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
