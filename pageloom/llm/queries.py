@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, decontaminate, langid, license_scan, mix, shard, simhash, toxicity
+from . import ann, bpe_count, decontaminate, langid, license_scan, mix, quality, shard, simhash, toxicity
 from .common import in_fold, read
 
 
@@ -45,6 +45,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host; its documents of one language are a path."""
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    path = F.concat_ws("/", "source", "lang")
+    scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out, F.col("source"), path)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "site_rate", "evidence")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold(F.col("doc_id"), 4, 2)
@@ -64,6 +72,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
