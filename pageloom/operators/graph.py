@@ -77,13 +77,16 @@ def keep_reachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, keys:
 def canonical(objects: DataFrame, keys: list[str], body: str, most_bytes: int = 65_536, exempt: tuple[str, ...] = ("Page",)) -> DataFrame:
     """(keys, id, canonical): equal bodies of a kind share the least id; long streams and exempt kinds stay themselves.
 
-    Rows meet by a hash of the body, then bodies are compared, so equal means equal. Long bodies are not shuffled.
+    Bodies meet by length and SHA-256, so no body is shuffled; ids are reduced before they meet, so many copies of one
+    body are one row, and the way back is a join whose large keys can be split.
     """
-    apart = (F.octet_length(body) > most_bytes) | F.col("kind").isin(*exempt)
-    same = objects.filter(~F.coalesce(apart, F.lit(False)))
-    window = Window.partitionBy(*keys, "kind", F.sha2(F.col(body).cast("binary"), 256), body)
-    mapped = same.select(*keys, "id", F.min("id").over(window).alias("canonical"))
-    return mapped.unionByName(objects.filter(F.coalesce(apart, F.lit(False))).select(*keys, "id", F.col("id").alias("canonical")))
+    apart = F.coalesce((F.octet_length(body) > most_bytes) | F.col("kind").isin(*exempt) | F.col(body).isNull(), F.lit(False))
+    slim = objects.select(*keys, "id", "kind", apart.alias("apart"), F.sha2(F.col(body).cast("binary"), 256).alias("digest"), F.octet_length(body).alias("bytes"))
+    same = slim.filter("not apart")
+    by = [*keys, "kind", "digest", "bytes"]
+    least = same.groupBy(*by).agg(F.min("id").alias("canonical"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    mapped = same.join(least, by, "left").select(*keys, "id", F.coalesce("canonical", "id").alias("canonical"))
+    return mapped.unionByName(slim.filter("apart").select(*keys, "id", F.col("id").alias("canonical")))
 
 
 def remap_edges(edges: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:

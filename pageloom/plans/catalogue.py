@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pageloom.plans import state, text
+from pageloom.plans import graph, state, text
 
-FAMILIES = (text, state)
+FAMILIES = (text, state, graph)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

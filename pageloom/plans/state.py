@@ -147,8 +147,8 @@ def newest_thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users seen within a day before the log's last event."""
     rows = log(spark, sf_dir)
-    seen = rows.groupBy("user_id").agg(F.max("ts").alias("seen")).crossJoin(F.broadcast(rows.agg(F.max("ts").alias("now"))))  # one row
-    return state.fresh(seen, "seen", F.col("now"), 86_400).select("user_id", "seen")
+    now = rows.agg(F.max("ts")).scalar()
+    return state.fresh(rows.groupBy("user_id").agg(F.max("ts").alias("seen")), "seen", now, 86_400)
 
 
 def batch_add(spark: SparkSession, sf_dir: str) -> DataFrame:
