@@ -59,7 +59,7 @@ def from_xfdf(files: DataFrame) -> DataFrame:
         F.regexp_extract_all("xfdf", F.lit(r'<field\s+name="([^"]*)">\s*<value>([\s\S]*?)</value>'), F.lit(2)).alias("value"),
     )
     rows = files.select("doc_id", F.posexplode(pairs).alias("ord", "pair"))
-    return rows.select("doc_id", "ord", xml_unescape(F.col("pair")["0"]).alias("name"), xml_unescape(F.col("pair")["1"]).alias("value"))
+    return rows.select("doc_id", "ord", xml_unescape(F.col("pair")["name"]).alias("name"), xml_unescape(F.col("pair")["value"]).alias("value"))
 
 
 def permissions(p: Column, revision: Column, encrypted: Column) -> Column:

@@ -44,8 +44,8 @@ def target_size(width: Column, height: Column, drawn_w: Column, drawn_h: Column,
     if dpi:
 
         def shrunk(pixels: Column, points: Column) -> Column:
-            shown = pixels / (points / 72)
-            return F.when((points >= 1) & (shown > dpi * threshold), F.greatest(F.round(pixels * (dpi / shown)), F.lit(1.0))).otherwise(pixels)
+            shown = F.try_divide(pixels, points / 72)
+            return F.when((points >= 1) & (shown > dpi * threshold), F.greatest(F.round(pixels * F.try_divide(F.lit(float(dpi)), shown)), F.lit(1.0))).otherwise(pixels)
 
         w, h = shrunk(w, drawn_w), shrunk(h, drawn_h)
     if cap:
