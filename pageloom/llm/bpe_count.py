@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: A vocabulary file is broadcast; none may be larger.
 MOST_BYTES = 64_000_000
 
@@ -161,6 +163,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
         for texts in batches:
             yield pd.Series([counter.text(t) for t in texts], dtype="int64")
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")])
+    kept = docs.select(*without(docs.columns, "n_bytes", "n_tokens", "over_limit"))
     counted = kept.withColumn("n_tokens", of(F.col(text)))
     return counted.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)

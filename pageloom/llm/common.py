@@ -51,3 +51,16 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo folds, is fold; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % F.lit(folds) == F.lit(fold)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores before it if a column has it already (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns but those of these names, in any case."""
+    return [c for c in columns if c.lower() not in names]

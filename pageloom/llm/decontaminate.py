@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 WIDTH, SIMILARITY = 13, 0.8
 #: Positions that count; items of WIDTH tokens or more take the first, shorter ones the second, single tokens the third.
@@ -129,6 +129,7 @@ def block_overlaps(read: DataFrame, mine: DataFrame, masks: list[tuple[int, tupl
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less the rows whose text overlaps an item; rows are told apart by key and text, so null keys are judged too."""
     mark = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    marked = docs.withColumn("overlap_mark_", mark)
-    bad = written(find_overlaps(marked, benchmark, "overlap_mark_", text).select("overlap_mark_").distinct())
-    return marked.join(bad, "overlap_mark_", "left_anti").select(*docs.columns)
+    name = free_name(docs.columns, "mark")
+    marked = docs.withColumn(name, mark)
+    bad = written(find_overlaps(marked, benchmark, name, text).select(name).distinct())
+    return marked.join(bad, name, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hex_key
+from .common import checkpoint, free_name, hex_key, without
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4, 5)
@@ -125,6 +125,7 @@ def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
         for texts in batches:
             yield pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*kept).withColumn("found_", of(F.col(text)))
-    return found.select(*kept, F.col("found_.lang_pred").alias("lang_pred"), F.col("found_.score").alias("score"))
+    kept = without(docs.columns, "lang_pred", "score")
+    pair = free_name(kept, "found")
+    found = docs.select(*kept, of(F.col(text)).alias(pair))
+    return found.select(*kept, F.col(f"{pair}.lang_pred").alias("lang_pred"), F.col(f"{pair}.score").alias("score"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, hex_key
+from .common import WORD, checkpoint, free_name, hex_key, without
 
 KEY_BITS = 60
 
@@ -64,17 +64,26 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio:
     table stays empty. Columns named size, source_size, target or taken are replaced.
     """
     named = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in named]
-    sized = docs.select(*kept, word_count(F.col(text)).alias("size"), source_order(F.col(source)).alias("mix_source"), hex_key(seed + ":", F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("mix_key"))
+    kept = without(docs.columns, *named)
+    by, order, span, tie = (free_name(kept, n) for n in ("mix_source", "mix_key", "mix_range", "mix_tie"))
+    sized = docs.select(
+        *kept,
+        word_count(F.col(text)).alias("size"),
+        source_order(F.col(source)).alias(by),
+        hex_key(seed + ":", F.coalesce(F.col(key).cast("string"), F.lit(""))).alias(order),
+        F.xxhash64(text).alias(tie),
+    )
     ranges = max(1, math.isqrt(docs.count()))
-    sized = sized.withColumn("mix_range", F.floor(F.col("mix_key") / F.lit(float(1 << KEY_BITS)) * ranges).cast("long"))
-    sums = checkpoint(sized.groupBy("mix_source", "mix_range").agg(F.sum("size").alias("mix_sum")))
+    sized = sized.withColumn(span, F.floor(F.col(order) / F.lit(float(1 << KEY_BITS)) * ranges).cast("long"))
+    sums = checkpoint(sized.groupBy(F.col(by).alias("mix_source"), F.col(span).alias("mix_range")).agg(F.sum("size").alias("mix_sum")))
     targets = source_targets(sums.groupBy("mix_source").agg(F.sum("mix_sum").alias("source_size")), weights, ratio, most)
     upto = Window.partitionBy("mix_source").orderBy("mix_range")
-    starts = sums.join(targets, "mix_source").withColumn("mix_start", F.sum("mix_sum").over(upto) - F.col("mix_sum")).drop("mix_sum")
-    rows = sized.join(checkpoint(starts), ["mix_source", "mix_range"])
-    inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", F.col(key), "size", F.xxhash64(text))
-    start = F.col("mix_start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    starts = sums.join(targets, "mix_source").withColumn("mix_start", F.sum("mix_sum").over(upto) - F.col("mix_sum"))
+    begin = free_name(kept, "mix_start")
+    starts = starts.select(F.col("mix_source").alias(by), F.col("mix_range").alias(span), F.col("mix_start").alias(begin), "source_size", "target")
+    rows = sized.join(checkpoint(starts), [by, span])
+    inside = Window.partitionBy(by, span).orderBy(order, F.col(key), "size", tie)
+    start = F.col(begin) + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
@@ -84,9 +93,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio:
 
 def mixed_rows(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The rows of a mix themselves: one a pass, the last cut to its words (then joined by single spaces), n_chars renewed."""
-    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    passes = mixed.filter("taken > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = F.col("taken") - (F.col("mix_pass") - 1) * F.col("size")
+    kept, nth = without(mixed.columns, "size", "source_size", "target", "taken"), free_name(mixed.columns, "mix_pass")
+    passes = mixed.filter("taken > 0").withColumn(nth, F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col(nth) - 1) * F.col("size")
     cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(left, F.lit(1)).cast("int")))
     out = passes.withColumn(text, F.when(left < F.col("size"), cut).otherwise(F.col(text)))
     if "n_chars" in kept:

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_key
+from .common import hex_key, without
 
 #: The lookup table is broadcast; it has one row of two integers a slot, and no more slots than this.
 MOST_SLOTS = 1_000_003
@@ -65,5 +65,6 @@ def assign_shards(docs: DataFrame, shards: int = 64, slots: int | None = None, k
     lookup = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "shard")).select("slot", F.col("shard").cast("int").alias("shard"))
     other = F.coalesce(F.col(fallback).cast("string"), F.lit("")) if fallback in docs.columns else F.lit("")
     text = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), other))
-    kept = docs.drop("slot", "shard").withColumn("slot", (hex_key(text) % slots).cast("int"))
-    return kept.join(F.broadcast(lookup), "slot").select(*[c for c in kept.columns if c != "slot"], "slot", "shard")
+    kept = without(docs.columns, "slot", "shard")
+    placed = docs.select(*kept, (hex_key(text) % slots).cast("int").alias("slot"))
+    return placed.join(F.broadcast(lookup), "slot").select(*kept, "slot", "shard")

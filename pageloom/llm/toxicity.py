@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hex_key
+from .common import checkpoint, hex_key, without
 
 WORDS = re.compile(r"\w+")
 QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
@@ -251,5 +251,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, te
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    kept = docs.select(*without(docs.columns, "score", "predicted"))
     return kept.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,0 +1,322 @@
+"""Each operator on awkward rows: nulls anywhere, empty and long texts, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import brute
+import near
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pageloom.llm import ann, bpe_count, decontaminate, langid, license_scan, license_texts, mix, quality, shard, simhash, toxicity
+from pageloom.llm.common import in_fold
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ITEM = "the quick brown fox jumps over the lazy dog while seventeen owls watch from old trees nearby"
+LONG = " ".join(f"word{i % 997} of" for i in range(30_000))
+ROWS = [
+    (1, "The first text, which is short.", "en", "a", 10),
+    (1, "The first text, which is short.", "en", "a", 10),
+    (2, None, "en", "a", None),
+    (3, "", None, None, 0),
+    (4, " \t\n ", "de", "b", 4),
+    (None, "Ein Text ohne Nummer, der trotzdem zählt.", "de", None, 5),
+    (None, None, None, None, None),
+    (5, LONG, "en", "a", len(LONG)),
+    (6, f"Some words before. {ITEM.replace('lazy', 'busy')}! And after.", "en", "c", 1),
+    (7, "x", "fr", "b", 1),
+    (8, "Released under the MIT License.", "en", "b", 1),
+    (9, "you are a moron, they said", "en", "b", 1),
+]
+CLASH = ["size", "source_size", "target", "taken", "slot", "shard", "score", "predicted", "n_tokens", "key", "fingerprint", "component_id", "mix_source", "mix_key", "tokens", "words", "found", "mark", "host", "grams", "SCORE_"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def clash(docs):
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASH])
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def test_mix(docs, clash):
+    out = mix.mix_sources(clash)
+    assert set(clash.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) == len(ROWS)
+    by = {}
+    for r in rows:
+        assert r["size"] == len((r.text or "").split()) and 0 <= r.taken <= 2 * r["size"]
+        by.setdefault(r.source, []).append(r)
+    total = sum(r["size"] for r in rows)
+    for s in by.values():
+        assert s[0].source_size == sum(r["size"] for r in s)
+        assert sum(r.taken for r in s) == int(s[0].target) and s[0].target <= 2 * s[0].source_size
+    assert sum(s[0].target for s in by.values()) == pytest.approx(1.5 * total)
+    assert mix.mix_sources(empty(docs)).count() == 0
+    again = mix.mix_sources(docs.repartition(3)).select("doc_id", "text", "taken").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out.select("doc_id", "text", "taken").collect()))
+    texts = mix.mixed_rows(out)
+    assert texts.columns == [c for c in clash.columns if c not in ("size", "source_size", "target", "taken")]
+    assert texts.agg(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0] == sum(r.taken for r in rows)
+
+
+def test_mix_targets_follow_the_water_level(spark):
+    sizes = {"a": 100, "b": 10, "c": 1000, "d": 50, None: 40}
+    rows = [(i, "w " * n, "en", s, 0) for i, (s, n) in enumerate(sizes.items())]
+    got = {r.source: r.target for r in mix.mix_sources(spark.createDataFrame(rows, DOCS)).collect()}
+    weights = dict(zip(["a", "b", "c", "d", None], [5, 2, 1, 5, 2], strict=True))
+    total, open_ones, fixed = 1.5 * 1200, set(sizes), {}
+    while True:
+        level = (total - sum(fixed.values())) / sum(weights[s] for s in open_ones)
+        over = {s for s in open_ones if weights[s] * level > 2 * sizes[s]}
+        if not over:
+            break
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+        open_ones -= over
+    assert got == pytest.approx(fixed | {s: weights[s] * level for s in open_ones})
+
+
+def test_shard(docs, clash):
+    out = shard.assign_shards(clash, 8)
+    rows = out.collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.shard < 8 for r in rows)
+    assert len({r.shard for r in rows if r.doc_id == 1}) == 1
+    assert shard.assign_shards(empty(docs)).count() == 0
+    table = shard.fill_table(8, 809)
+    assert {abs(table.count(s) - 101) <= 1 for s in range(8)} == {True}
+    fewer = shard.fill_table(7, 809)
+    assert sum(a != b for a, b in zip(table, fewer, strict=True)) < 809 * 0.3  # a seventh goes with its shard
+    with pytest.raises(ValueError):
+        shard.assign_shards(docs, 8, 808)
+
+
+def test_token_counts(docs, clash):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    content = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    for r in bpe_count.count_tokens(clash, content).collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 2048)
+    assert bpe_count.count_tokens(empty(docs), content).count() == 0
+    counter, rng = bpe_count.Counter(bpe_count.parse_vocabulary(content)), random.Random(3)
+    odd = ["<|endoftext|>a<|startoftext|>", "ΑΣ ΟΔΟΣ", "İstanbul", "x" * 3000, "日本語 😀 é ﬁ", "I'LL we're", "1234 ½", "a\x1cb　c"]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xC0, 0x180), 32, 0x3B1, 0x301])) for _ in range(30)) for _ in range(300)]
+    for text in odd:
+        assert counter.text(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_simhash(spark, docs):
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+    want = brute.simhash_components([(i if i is not None else 10**9 + n, t) for n, (i, t, *_) in enumerate(ROWS)])
+    assert len(got) == len(ROWS)
+    for n, (i, t, *_) in enumerate(ROWS):
+        w = want[i if i is not None else 10**9 + n]
+        assert (i, *w) in got or i is None
+    assert simhash.near_duplicates(empty(docs)).count() == 0
+    assert simhash.fingerprint("") == simhash.fingerprint(None) == 0
+
+
+def test_simhash_finds_every_link_in_any_layout(spark):
+    rng = random.Random(5)
+    seeds = [rng.getrandbits(64) for _ in range(60)]
+    values = set(seeds)
+    for s in seeds:
+        for _ in range(12):
+            v = s
+            for b in rng.sample(range(64), rng.randrange(1, 7)):
+                v ^= 1 << b
+            values.add(v)
+    values = sorted(values)
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in itertools.combinations(values, 2):
+        if (a ^ b).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {v: find(v) for v in values}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long")
+    for chunk, size in ((1000, None), (7, None), (1000, 10**9)):
+        if size:
+            tables = simhash.layout(size, 4)
+            assert len(tables) > 5
+            real, simhash.layout = simhash.layout, lambda n, r, tables=tables: tables
+        try:
+            labels = simhash.components(simhash.fingerprint_links(nodes, 4, chunk))
+            got = {r.node: r.label for r in labels.collect()}
+        finally:
+            if size:
+                simhash.layout = real
+        groups = lambda m: {frozenset(x for x in values if m(x) == y) for y in map(m, values)}
+        assert groups(lambda v: want[v]) == groups(lambda v, got=got: got.get(signed(v), signed(v)))
+
+
+def test_decontamination(spark, docs, clash):
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, "x"), (5, "mit license")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(clash, bench).collect()}
+    assert set(got) == {(6, 1), (7, 4), (8, 5)}
+    assert (got[6, 1].best, got[6, 1].first_word, got[6, 1].last_word) == (12, 3, 19)
+    assert decontaminate.find_overlaps(empty(docs), bench).count() == 0
+    assert decontaminate.find_overlaps(docs, empty(bench)).count() == 0
+    left = decontaminate.without_overlaps(clash, bench)
+    assert left.columns == clash.columns and left.count() == len(ROWS) - 3
+
+
+def test_seed_masks_miss_no_window():
+    for width, masks in ((13, decontaminate.MASKS), *((w, decontaminate.SHORT_MASKS) for w in range(2, 13)), (1, decontaminate.SINGLE_MASKS)):
+        lost = width - -(-width * 8 // 10)
+        for gone in itertools.combinations(range(width), lost):
+            assert any(all(p + o not in gone for o in m) for m in masks for p in range(width - m[-1])), (width, gone)
+
+
+def test_license_scan(spark, docs, clash):
+    got = {(r.doc_id, r.license_id) for r in license_scan.scan_licenses(clash).collect()}
+    assert got == {(8, "MIT")}
+    assert license_scan.scan_licenses(empty(docs)).count() == 0
+    mit = next(t for i, kind, t in license_texts.TEMPLATES if i == "MIT" and kind == "text")
+    changed = "Copyright me. " + mit.replace("free of charge", "at no cost").upper() + " The end of it."
+    found = license_scan.scan_licenses(spark.createDataFrame([(1, changed), (2, mit[:300])], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license_id) for r in found] == [(1, "MIT")] and found[0].dice > 0.9
+
+
+def test_language(spark, docs, clash):
+    rng = random.Random(1)
+    kinds = {"en": ["the", "thing", "with", "other", "this"], "de": ["der", "schön", "nicht", "über", "ein"], "fr": ["le", "être", "où", "que", "très"]}
+    rows = [(i, " ".join(rng.choices(w, k=30)), k, "s", 0) for i, (k, w) in enumerate(list(kinds.items()) * 30)]
+    profiles = langid.learn_profiles(spark.createDataFrame([*rows, (999, None, "en", "s", 0), (998, "?!", "xx", "s", 0)], DOCS))
+    assert set(profiles) == set(kinds)
+    out = langid.identify_language(clash, profiles).collect()
+    assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in out)
+    test = spark.createDataFrame([(1, "this thing with the other", None, None, 0), (2, "der ein nicht über", None, None, 0)], DOCS)
+    assert {r.doc_id: r.lang_pred for r in langid.identify_language(test, profiles).collect()} == {1: "en", 2: "de"}
+    assert langid.identify_language(empty(docs), profiles).count() == 0
+    assert {r.lang_pred for r in langid.identify_language(docs, langid.learn_profiles(empty(docs))).collect()} == {"und"}
+
+
+def test_quality(spark, docs, clash):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (5, 1), (None, 1), (7, None), (99, 0)], "doc_id long, quality int")
+    out = quality.score_quality(clash, labels, F.lit(True), F.col("source"), F.col("lang")).collect()
+    assert len(out) == len(ROWS) and all(0 < r.score < 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    assert quality.score_quality(empty(docs), labels, F.lit(True), F.col("source"), F.col("lang")).count() == 0
+    none = quality.score_quality(docs, empty(labels), F.lit(True), F.col("source"), F.col("lang")).collect()
+    assert {round(r.score, 6) for r in none} == {0.5}
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    rows = [("big", "p", 1)] * 90 + [("big", "p", 0)] * 10 + [("bad", "q", 0)] * 80 + [("bad", "q", 1)] * 20 + [("tiny", "r", 0)]
+    rates, overall = quality.site_rates(spark.createDataFrame(rows, "host string, path string, good int"))
+    got = {r.host: r.path_rate for r in rates.collect()}
+    assert abs(got["big"] - 0.9) < 0.05 and abs(got["bad"] - 0.2) < 0.05 and 0.1 < got["tiny"] < overall
+
+
+def test_toxicity(spark, docs, clash):
+    lexicon = toxicity.Lexicon([("moron", False, 1), ("worthless", False, 2), ("lowei", True, 0)])
+    out = {(r.doc_id, r.text): r for r in toxicity.score_toxicity(clash, lexicon).collect()}
+    assert [k[0] for k, r in out.items() if r.predicted] == [9]
+    assert toxicity.score_toxicity(empty(docs), lexicon).count() == 0
+    scorer = toxicity.Scorer(lexicon)
+    trie = scorer.trie
+    assert [trie.find(w) for w in ("moron", "morron", "mor0n", "maroom", "worthless", "wrothless", "loweixyz", "lowxi", "")] == [0, 1, 1, None, 0, 2, 0, None, None]
+    for word in ("moron", "worthless"):
+        rng = random.Random(word)
+        for _ in range(200):
+            w = list(word)
+            for _ in range(rng.randrange(4)):
+                op, at = rng.randrange(3), rng.randrange(len(w) + 1)
+                w[at : at + (op != 0)] = rng.choice(["x", "e", "o"]) if op < 2 else ""
+            d = edit_distance("".join(w), word)
+            assert toxicity.Trie([(word, False, 2)]).find("".join(w)) == (d if d <= 2 else None)
+    assert scorer.score('He wrote: "you moron" in it.') < scorer.score("you moron in it.")
+    assert scorer.score(None) == scorer.score("") == pytest.approx(lexicon.base)
+    none = toxicity.learn_lexicon(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.terms == []
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_toxicity_learns_words_and_stems(spark):
+    rng = random.Random(2)
+    plain = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        words = rng.choices(plain, k=40)
+        if i % 4 == 0:
+            words.insert(rng.randrange(40), rng.choice(["dreadword", "stemmy" + rng.choice(plain)]))
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, int(i % 4 == 0)))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert ("dreadword", False, 2) in lexicon.terms and any(t.startswith("stem") and s for t, s, _ in lexicon.terms)
+    scorer = toxicity.Scorer(lexicon)
+    assert all((scorer.score(r[1]) >= 0.3) == bool(t) for r, (_, t) in zip(rows, labels, strict=True))
+
+
+def test_nearest_vectors(spark):
+    rng = random.Random(9)
+    rows = {i: [rng.gauss(i % 7, 1) for _ in range(6)] for i in range(600)}
+    for i in range(30):
+        rows[600 + i] = rows[0]  # copies: ties go to smaller ids
+    odd = [(700, None), (800, [0.0] * 6), (900, [float("nan")] * 6), (1000, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1100, [1.0]), (1200, [float("inf")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame([*rows.items(), *odd], "vec_id long, embedding array<float>").withColumn("vector", F.lit(1)).withColumn("score", F.lit(2))
+    index, q = ann.build_index(df)
+    assert index.count() == len(rows)
+    got = {}
+    for r in ann.search(index, q, index.filter("vec_id % 100 = 0").select("vec_id", "vector"), rerank=60).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    single = {i: [float(F) for F in __import__("numpy").array(v, "float32")] for i, v in rows.items()}
+    want = near.exact(single, [i for i in rows if i % 100 == 0])
+    assert set(got) == set(want)
+    assert [x[1] for x in sorted(got[0])] == list(range(600, 610))
+    found = sum(len({x[1] for x in got[i]} & {x[1] for x in want[i]}) for i in want) / sum(map(len, want.values()))
+    assert found >= 0.9
+    for i in want:
+        assert [x[0] for x in sorted(got[i])] == list(range(1, 11))
+    nothing, q = ann.build_index(df.limit(0))
+    assert ann.search(nothing, q, nothing.select("vec_id", "vector")).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    folder = str(tmp_path / "sf")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(9, 1), (1, 0)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder).collect()
+    groups = brute.simhash_components([(n, r[1]) for n, r in enumerate(ROWS)])
+    assert len(kept) == len({c for _, c in groups.values()})
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, folder).collect()} == {1, 2, 3, 4, 5, 7, 8, 9, None}
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == [*docs.columns, "shard"]
+    assert 6 not in {r.doc_id for r in out.collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(docs), folder).count() == 0
+
+
+def test_folds(spark):
+    import zlib
+
+    rows = spark.range(200).select("id", in_fold(F.col("id"), 5, 0).alias("x")).collect()
+    assert all(r.x == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
