@@ -235,10 +235,10 @@ ORACLES = {
     "ocr_totals": f"SELECT doc_id, count(*) AS words FROM ({OCR}) GROUP BY doc_id",
     "crop_and_rotate": f"SELECT p_partkey, {_r('-0.1::DOUBLE * p_size * 10')} AS llx, {_r('(1 - greatest(p_partkey % 10 / 10.0::DOUBLE, 0.9::DOUBLE)) * p_size * 14')} AS lly, {_r('1.2::DOUBLE * p_size * 10')} AS urx, {_r('(1 - least(p_partkey % 10 / 10.0::DOUBLE, 0.9::DOUBLE)) * p_size * 14')} AS ury, (CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 4 - 2) * 90 ELSE 0 END + 270) % 360 AS rotate FROM part",
     "aspect_ratio": f"SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN {_r('p_retailprice / (p_size % 7)')} END AS ratio FROM part",
-    "pdf_date_format": "SELECT event_id, strftime(make_timestamp(((epoch_ms(ts) - CASE WHEN event_id % 3 = 0 THEN 2000000000000 ELSE 0 END) - ((epoch_ms(ts) - CASE WHEN event_id % 3 = 0 THEN 2000000000000 ELSE 0 END) % 1000 + 1000) % 1000) * 1000), 'D:%Y%m%d%H%M%SZ') AS written FROM events",
+    "pdf_date_format": "SELECT event_id, strftime(make_timestamp(((epoch_us(ts) // 1000 - CASE WHEN event_id % 3 = 0 THEN 2000000000000 ELSE 0 END) - ((epoch_us(ts) // 1000 - CASE WHEN event_id % 3 = 0 THEN 2000000000000 ELSE 0 END) % 1000 + 1000) % 1000) * 1000), 'D:%Y%m%d%H%M%SZ') AS written FROM events",
     "pdf_date_parse": f"SELECT event_id, {DATE}[event_id % 5 + 1] AS text, CASE event_id % 5 WHEN 0 THEN epoch_ms(make_timestamp(y, 2, 1, 10, 11, 12.0)) + 30 * 86400000::BIGINT WHEN 1 THEN epoch_ms(make_timestamp(y, 12, 31, 0, 0, 0.0)) WHEN 2 THEN epoch_ms(make_timestamp(y, 1, 1, 0, 0, 0.0)) WHEN 4 THEN epoch_ms(make_timestamp(y, 1, 10, 23, 59, 59.0)) END AS millis FROM (SELECT event_id, 1990 + event_id % 40 AS y FROM events)",
     "human_bytes": "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE printf('%.2f GB', floor(n / 1073741824 * 100 + 0.5) / 100) END AS size FROM (SELECT doc_id, strlen(text) * (doc_id % 1000 + 1) AS n FROM documents)",
-    "relative_times": "SELECT event_id, CASE WHEN g < 60000 THEN 'just now' WHEN g < 3600000 THEN g // 60000 || 'm ago' WHEN g < 86400000 THEN g // 3600000 || 'h ago' WHEN g < 172800000 THEN 'yesterday' ELSE g // 86400000 || 'd ago' END AS ago FROM (SELECT event_id, (SELECT max(epoch_ms(ts)) FROM events) - epoch_ms(ts) AS g FROM events)",
+    "relative_times": "SELECT event_id, CASE WHEN g < 60000 THEN 'just now' WHEN g < 3600000 THEN g // 60000 || 'm ago' WHEN g < 86400000 THEN g // 3600000 || 'h ago' WHEN g < 172800000 THEN 'yesterday' ELSE g // 86400000 || 'd ago' END AS ago FROM (SELECT event_id, (SELECT max(epoch_us(ts) // 1000) FROM events) - epoch_us(ts) // 1000 AS g FROM events)",
     "safe_filename": f"SELECT doc_id, CASE WHEN {NAME} = '' THEN 'part' || doc_id ELSE {NAME} END AS name FROM documents",
     "path_parts": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS last, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, regexp_extract(url, '^(.*?)(\.[^./\\]*)?$', 1) || '_copy' || regexp_extract(url, '^(.*?)(\.[^./\\]*)?$', 2) AS copy, 'application/pdf' AS mime FROM pages",
     "csv_escape": """SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""",
