@@ -55,11 +55,12 @@ def nearest_ancestor(nodes: DataFrame, keys: list[str], value: str, most_hops: i
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id) that (keys, id) roots reach over (keys, src, dst) edges; a key without any root keeps nothing here.
 
-    Only the new nodes of a round are joined with the edges; rounds go on until none is new.
+    Only the new nodes of a round are joined with the edges, which are written once; rounds go on until none is new.
     """
     seen = new = checkpointed(roots.select(*keys, "id").distinct())
+    edges = checkpointed(edges.select(*keys, F.col("src").alias("id"), "dst"))
     while True:
-        found = new.join(edges.withColumnRenamed("src", "id"), [*keys, "id"]).select(*keys, F.col("dst").alias("id")).distinct()
+        found = new.join(edges, [*keys, "id"]).select(*keys, F.col("dst").alias("id")).distinct()
         new = checkpointed(found.join(seen, [*keys, "id"], "left_anti"))
         if not new.limit(1).count():
             return seen

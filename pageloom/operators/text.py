@@ -36,13 +36,11 @@ def occurrences(text: Column, query: str) -> Column:
 
 
 def overlapping(text: Column, query: str) -> Column:
-    """How often a term occurs when matches may overlap, as highlights are drawn: each start counts."""
+    """How often a term occurs when matches may overlap, as highlights are drawn: each place where one starts counts."""
     if not query:
         return F.lit(0).cast("long")
-    low, n = query.lower(), len(query.lower())
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    found = F.filter(starts, lambda i: F.substring(F.lower(text), i, F.lit(n)) == low)
-    return F.when(F.instr(F.lower(text), low) > 0, F.size(found)).otherwise(0).cast("long")
+    literal = "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in query.lower())
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(f"(?={literal})")), F.lit(0)).cast("long")
 
 
 def search_pages(pages: DataFrame, query: str) -> DataFrame:
