@@ -2,7 +2,8 @@
 
 The lexicon (whole words, and stems that any ending may follow) is learned from labelled rows. A word of a text is
 compared with all terms at once: the automaton of the word, as bit masks of its positions, walks the trie and is cut
-off where no state is left. Hits at distance 0 and hits that are misspelled, quoted or not, have their own weights.
+off where no state is left. A term's weight of evidence depends on how often the text has it: once, twice, more often.
+Misspelled hits and hits inside quotation marks, as the window around them shows, weigh less.
 """
 
 from __future__ import annotations
@@ -24,15 +25,24 @@ QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
 
 @dataclass
 class Lexicon:
-    """Terms, each with whether it is a stem and how many edits it forgives; weights by (misspelled, quoted); words near
-    a term that clean texts use."""
+    """What scoring goes by.
+
+    terms: each with whether it is a stem and how many edits it forgives. evidence: of each term, the log likelihood
+    ratio of one, two, or more hits. weights: the share of it that counts by (misspelled, quoted). prior: log odds of all
+    rows; base: the rate of rows without any hit. allowed: words near a term that clean texts use.
+    """
 
     terms: list[tuple[str, bool, int]]
-    weights: dict[tuple[bool, bool], float] = field(default_factory=lambda: {(False, False): 0.9, (True, False): 0.7, (False, True): 0.45, (True, True): 0.25})
+    evidence: list[tuple[float, float, float]] = field(default_factory=list)
+    weights: dict[tuple[bool, bool], float] = field(default_factory=lambda: {(False, False): 1.0, (True, False): 0.7, (False, True): 0.45, (True, True): 0.25})
+    prior: float = -2.0
     base: float = 0.02
     allowed: frozenset[str] = frozenset()
     window: int = 8
 
+    def __post_init__(self) -> None:
+        self.evidence = self.evidence or [(6.0, 7.0, 8.0)] * len(self.terms)
+
 
 def tolerance(term: str, stem: bool) -> int:
     """Edits that a term forgives: none if short, two at most."""
@@ -45,10 +55,10 @@ class Trie:
 
     def __init__(self, terms: list[tuple[str, bool, int]]) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[list[tuple[int, bool]]] = [[]]
+        self.ends: list[list[tuple[int, bool, int]]] = [[]]
         self.most = 0
         pieces = set()
-        for term, stem, edits in terms:
+        for number, (term, stem, edits) in enumerate(terms):
             self.most = max(self.most, edits)
             at = 0
             for c in term:
@@ -57,27 +67,27 @@ class Trie:
                     self.next.append({})
                     self.ends.append([])
                 at = self.next[at][c]
-            self.ends[at].append((edits, stem))
+            self.ends[at].append((edits, stem, number))
             cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
             pieces |= {term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
         #: A word within reach of a term holds one of its pieces unchanged; all other words are passed over.
         self.piece = re.compile("|".join(map(re.escape, sorted(pieces)))) if pieces else re.compile(r"(?!)")
 
-    def find(self, word: str) -> int | None:
-        """The least distance of the word to a term that allows it, or None."""
+    def find(self, word: str) -> tuple[int, int] | None:
+        """(distance, term) of the nearest term that allows the distance, ties to the first term; or None."""
         if not self.piece.search(word):
             return None
         at_char: dict[str, int] = {}
         for i, c in enumerate(word):
             at_char[c] = at_char.get(c, 0) | 1 << i
         whole, levels = 1 << len(word), self.most + 1
-        best, todo = levels, [(0, tuple((1 << k + 1) - 1 & (whole << 1) - 1 for k in range(levels)))]
+        best, todo = (levels, -1), [(0, tuple((1 << k + 1) - 1 & (whole << 1) - 1 for k in range(levels)))]
         while todo:
             node, states = todo.pop()
-            for edits, stem in self.ends[node]:
-                for k in range(min(edits + 1, best)):
+            for edits, stem, number in self.ends[node]:
+                for k in range(edits + 1):
                     if states[k] and (stem or states[k] & whole):
-                        best = k
+                        best = min(best, (k, number))
                         break
             for c, below in self.next[node].items():
                 same, new = at_char.get(c, 0), []
@@ -88,64 +98,63 @@ class Trie:
                     new.append(t & (whole << 1) - 1)
                 if new[-1]:
                     todo.append((below, tuple(new)))
-        return best if best < levels else None
+        return best if best[0] < levels else None
 
 
 class Scorer:
-    """Scores texts; remembers which words are no hit, up to a bound."""
+    """Scores texts; remembers which runs between blanks hold no hit, up to a bound."""
 
     REMEMBERED = 500_000
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.trie = lexicon, Trie(lexicon.terms)
         self.clean: set[str] = set()
-        self.found: dict[str, int] = {}
-
-    def words(self, text: str) -> list[str]:
-        """The distinct words of a text that hit a term, known clean ones left out."""
-        new = set(WORDS.findall(text))
-        new -= self.clean
-        hits = []
-        for word in new:
-            distance = self.found.get(word)
-            if distance is None:
-                distance = self.trie.find(word)
-                if distance is None or distance and word in self.lexicon.allowed:
-                    self.clean.add(word)
+        self.found: dict[str, dict[str, tuple[int, int]]] = {}
+
+    def words(self, text: str) -> dict[str, tuple[int, int]]:
+        """The words of a text in lower case that hit a term, with distance and term."""
+        hits = {}
+        for run in set(text.split()) - self.clean:
+            found = self.found.get(run)
+            if found is None:
+                found = {w: at for w in WORDS.findall(run) if (at := self.trie.find(w)) and not (at[0] and w in self.lexicon.allowed)}
+                if not found:
+                    self.clean.add(run)
                     continue
-                self.found[word] = distance
-            hits.append(word)
+                self.found[run] = found
+            hits |= found
         if len(self.clean) + len(self.found) > self.REMEMBERED:
             self.clean.clear()
             self.found.clear()
         return hits
 
-    def hits(self, text: str | None) -> set[tuple[str, bool, bool]]:
-        """(word, misspelled, quoted) of all hits; quoted if the nearest marks in the window open before and close after it."""
+    def hits(self, text: str | None) -> list[tuple[str, int, bool, bool]]:
+        """(word, term, misspelled, quoted) of every hit; quoted if marks in the window open before it and close after it."""
         text = (text or "").lower()
         if not (words := self.words(text)):
-            return set()
-        kinds, at = set(), re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b")
-        distances = {w: self.trie.find(w) for w in words}
-        for m in at.finditer(text):
-            before = " ".join(text[max(0, m.start() - 16 * self.lexicon.window) : m.start()].split()[-self.lexicon.window :])
-            after = " ".join(text[m.end() : m.end() + 16 * self.lexicon.window].split()[: self.lexicon.window])
+            return []
+        found, reach = [], self.lexicon.window
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)", text):
+            distance, term = words[m[0]]
+            before = " ".join(text[max(0, m.start() - 16 * reach) : m.start()].split()[-reach:])
+            after = " ".join(text[m.end() : m.end() + 16 * reach].split()[:reach])
             opened = max((before.rfind(c) for c in QUOTES_OPEN), default=-1)
             shut = max((before.rfind(c) for c in set(QUOTES_CLOSE) - set(QUOTES_OPEN)), default=-1)
             level = before.count('"') % 2 if opened >= 0 and before[opened] == '"' else 1
-            quoted = opened > shut and bool(level) and any(c in after for c in QUOTES_CLOSE)
-            kinds.add((m[0], distances[m[0]] > 0, quoted))
-        return kinds
+            found.append((m[0], term, distance > 0, opened > shut and bool(level) and any(c in after for c in QUOTES_CLOSE)))
+        return found
 
     def score(self, text: str | None) -> float:
-        clear = 1.0
-        weights = self.lexicon.weights
-        best: dict[str, float] = {}
-        for word, misspelled, quoted in self.hits(text):
-            best[word] = max(best.get(word, 0.0), weights[misspelled, quoted])
-        for w in best.values():
-            clear *= 1 - w
-        return 1 - (1 - self.lexicon.base) * clear
+        """The rate of rows without a hit, or the odds of all rows moved by each term's evidence; the plainest hit of a term sets its weight."""
+        counts: dict[int, int] = {}
+        plainest: dict[int, float] = {}
+        for _, term, misspelled, quoted in self.hits(text):
+            counts[term] = counts.get(term, 0) + 1
+            plainest[term] = max(plainest.get(term, 0.0), self.lexicon.weights[misspelled, quoted])
+        if not counts:
+            return self.lexicon.base
+        odds = self.lexicon.prior + sum(self.lexicon.evidence[t][min(n, 3) - 1] * plainest[t] for t, n in counts.items())
+        return 1 / (1 + exp(-min(max(odds, -30), 30)))
 
 
 def log_chance(bad: int, good: int, rate: float) -> float:
@@ -155,38 +164,50 @@ def log_chance(bad: int, good: int, rate: float) -> float:
     return max(terms) + log(sum(exp(t - max(terms)) for t in terms))
 
 
-def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], rate: float, least: int = 3, chance: float = 1e-7) -> list[tuple[str, bool, int]]:
+def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], rate: float, pure: float = 0.8, lift: float = 2.5, least: int = 3, chance: float = 1e-7) -> list[tuple[str, bool, int]]:
     """Terms to go by, best first; ties to whole words, then longer ones, then code points.
 
-    toxic_docs: the candidates in each toxic row. counts: toxic contexts and clean rows of each candidate; a stem is
-    written with a * at its end. A term that chance can't explain is taken as long as it adds rows to its own stem or
-    words; any other only while it explains rows that no term taken explains, and it forgives no edits.
+    toxic_docs: the candidates in each toxic row. counts: contexts in toxic rows, and clean rows, of each candidate; a
+    stem is written with a * at its end. A term taken covers its rows for the stems and words it shares letters with, so
+    a stem counts only for what its words leave. A term that chance can't explain and that is ``lift`` times as common
+    among toxic rows is taken; any other only if it is ``pure`` and explains rows that no term taken explains. Only pure
+    terms that chance can't explain forgive edits.
     """
     holders: dict[str, set[int]] = {}
     for i, terms in enumerate(toxic_docs):
         for t in terms:
             holders.setdefault(t, set()).add(i)
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    sure = {t for t in holders if log_chance(*counts[t], rate) < log(chance)}
-    purity = {t: (counts[t][0] / sum(counts[t])) ** 4 for t in holders}
-    chosen, explained = [], set()
+    explained: set[int] = set()
+
+    def judged(t: str) -> tuple[float, bool, float]:
+        """What the rest of a term's rows is worth, whether chance can't explain it, and how pure it is."""
+        contexts, good = counts[t]
+        n = min(len(holders[t]), contexts)
+        purity = n / (n + good) if n else 0.0
+        if n < least or purity < min(pure, lift * rate):
+            return 0.0, False, purity
+        sure = purity >= lift * rate and log_chance(n, good, rate) < log(chance)
+        left = len(holders[t]) if sure else len(holders[t] - explained) if purity >= pure else 0
+        return (left * purity if left >= least else 0.0), sure, purity
+
+    chosen: list[tuple[str, bool, int]] = []
+    worth, stale = {}, set(holders)
     while True:
-        best, most = None, (0.0, False, 0, "")
-        for t, docs in holders.items():
-            n = len(docs) if t in sure else len(docs - explained)
-            if n >= least and n * purity[t] >= most[0]:
-                most, best = max((most, best), ((n * purity[t], t[-1] != "*", len(t), t), t))
-        if best is None or most[0] < least:
+        worth |= {t: judged(t) for t in stale}
+        best = max(holders, key=lambda t: (worth[t][0], t[-1] != "*", len(t), t), default=None)
+        if best is None or worth[best][0] <= 0:
             return chosen
-        term, stem, docs = best.rstrip("*"), best[-1] == "*", holders.pop(best)
-        chosen.append((term, stem, tolerance(term, stem) if best in sure else 0))
+        term, stem, docs, (_, sure, purity) = best.rstrip("*"), best[-1] == "*", holders.pop(best), worth[best]
+        chosen.append((term, stem, tolerance(term, stem) if sure and purity >= 0.95 else 0))
         explained |= docs
-        for t in holders:
+        stale = {t for t in holders if holders[t] & docs}
+        for t in stale:
             if t.startswith(term) or best.startswith(t.rstrip("*")):
                 holders[t] -= docs
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic", precision: float = 0.8) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from about most_rows labelled rows, taken by hashed id; the sample, not the corpus, bounds what is collected.
 
     A key's label is 1 if any of its rows says so; rows without key, label or text teach nothing. Without any toxic row
@@ -206,38 +227,62 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
     placed = sample.filter("toxic = 1").select("key", F.explode(F.arrays_zip("words", previous.alias("before"))).alias("at"))
     placed = placed.select("key", F.col("at.before").alias("before"), F.explode(forms(F.col("at.words"))).alias("term")).filter("length(term) >= 3")
     #: Copies of a row repeat a term in the same context; only different words before it count as evidence.
-    bad = checkpoint(placed.groupBy("term").agg(F.countDistinct("before").alias("bad")).filter("bad >= 3"))
+    bad = placed.groupBy("term").agg(F.countDistinct("before").alias("contexts"), F.countDistinct("key").alias("rows"))
+    bad = checkpoint(bad.select("term", "contexts", F.least("contexts", "rows").alias("bad")).filter("bad >= 3"))
     clean = sample.filter("toxic = 0").select("key", F.explode(F.array_distinct("words")).alias("word"))
     clean = clean.select("key", F.explode(forms(F.col("word"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("good"))
     counted = bad.join(clean, "term", "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    counted = checkpoint(counted.filter(F.col("bad") >= precision * (F.col("bad") + F.col("good"))))
-    counts = {r.term: (r.bad, r.good) for r in counted.collect()}
-    held = placed.join(counted.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
     rate = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    share = F.col("bad") / (F.col("bad") + F.col("good"))
+    counted = checkpoint(counted.filter((share >= 0.8) | (F.col("bad") >= 8) & (share >= 2.5 * rate)))
+    counts = {r.term: (r.contexts, r.good) for r in counted.collect()}
+    held = placed.join(counted.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
     lexicon = Lexicon(choose_terms([set(r.terms) for r in held.collect()], counts, rate))
 
-    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon)
         for batch in batches:
             out = []
-            for toxic, body in zip(batch["toxic"], batch["text"], strict=True):
-                hits = scorer.hits(body)
-                out += [(toxic, "none", "", False, False)] if not hits else [(toxic, "hit", *h) for h in hits]
-            yield pd.DataFrame(out, columns=["toxic", "kind", "word", "misspelled", "quoted"])
-
-    seen = checkpoint(sample.select("toxic", "text").mapInPandas(classes, "toxic int, kind string, word string, misspelled boolean, quoted boolean"))
-    near = seen.filter("misspelled").groupBy("word").agg(F.avg("toxic").alias("rate")).filter("rate < 0.5")
-    allowed = frozenset(r.word for r in near.collect())
-    kept = seen.filter(~(F.col("misspelled") & F.col("word").isin(*allowed))) if allowed else seen
-    for r in kept.groupBy("kind", "misspelled", "quoted").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect():
-        if r.kind == "none":
-            lexicon.base = (r.bad + 0.5) / (r.n + 1)
-        else:  # what the sample shows, drawn to the default where it shows little
-            lexicon.weights[r.misspelled, r.quoted] = (r.bad + 4 * lexicon.weights[r.misspelled, r.quoted]) / (r.n + 4)
-    lexicon.allowed = allowed
+            for key, toxic, body in zip(batch["key"], batch["toxic"], batch["text"], strict=True):
+                out += [(key, toxic, *h) for h in scorer.hits(body)] or [(key, toxic, "", -1, False, False)]
+            yield pd.DataFrame(out, columns=["key", "toxic", "word", "term", "misspelled", "quoted"])
+
+    kind = sample.schema["key"].dataType.simpleString()
+    hits = checkpoint(sample.select("key", "toxic", "text").mapInPandas(found, f"key {kind}, toxic int, word string, term int, misspelled boolean, quoted boolean"))
+    near = hits.filter("misspelled").groupBy("term", "word").agg(F.avg("toxic").alias("rate")).filter("rate < 0.5").collect()
+    crowded = {t for t in range(len(lexicon.terms)) if sum(r.term == t for r in near) >= 3}  # clean words stand all round it
+    lexicon.terms = [(term, stem, 0 if t in crowded else edits) for t, (term, stem, edits) in enumerate(lexicon.terms)]
+    lexicon.allowed = frozenset(r.word for r in near if r.term not in crowded)
+    hits = hits.filter(~(F.col("misspelled") & F.col("term").isin(*crowded))) if crowded else hits
+    weigh(lexicon, hits.filter(~F.col("word").isin(*lexicon.allowed)) if lexicon.allowed else hits)
     return lexicon
 
 
+def weigh(lexicon: Lexicon, hits: DataFrame) -> None:
+    """Sets a lexicon's evidence, weights, prior and base from (key, toxic, term, misspelled, quoted) rows, term -1 for none."""
+    rows = hits.groupBy("key").agg(F.max("toxic").alias("toxic"), F.max("term").alias("term"))
+    bad, good, bad_none, good_none = rows.agg(*[F.coalesce(F.sum(F.when(c, 1)), F.lit(0)) for c in (F.col("toxic") == 1, F.col("toxic") == 0, (F.col("toxic") == 1) & (F.col("term") < 0), (F.col("toxic") == 0) & (F.col("term") < 0))]).first()
+    lexicon.prior = log((bad + 0.5) / (good + 0.5))
+    lexicon.base = (bad_none + 0.5) / (bad_none + good_none + 1)
+    often = hits.filter("term >= 0").groupBy("key", "toxic", "term").agg(F.least(F.count("*"), F.lit(3)).alias("times"))
+    seen = {(r.term, r.times): (r.bad, r.good) for r in often.groupBy("term", "times").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
+    evidence = []
+    for term in range(len(lexicon.terms)):
+        ratios, floor = [], -30.0
+        for times in (1, 2, 3):
+            b, g = seen.get((term, times), (0, 0))
+            more = [seen.get((term, t), (0, 0)) for t in range(times, 4)]
+            if b + g < 5:  # too few to tell: what this often or more says, or else what fewer hits said
+                b, g = sum(x[0] for x in more), sum(x[1] for x in more)
+            ratio = log((b + 0.5) / (bad + 1)) - log((g + 0.5) / (good + 1)) if b + g else floor
+            ratios.append(floor := max(ratio, floor))
+        evidence.append(tuple(ratios))
+    lexicon.evidence = evidence
+    for r in hits.filter("term >= 0").groupBy("misspelled", "quoted").agg(F.avg("toxic").alias("rate"), F.count("*").alias("n")).collect():
+        if r.misspelled or r.quoted:  # what the sample shows, drawn to the default where it shows little
+            lexicon.weights[r.misspelled, r.quoted] = (r.rate * r.n + 8 * lexicon.weights[r.misspelled, r.quoted]) / (r.n + 8)
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold); columns of those names are replaced.
 
