@@ -1,13 +1,17 @@
 """State kept as event logs: settings, a library, tabs, caches, recent lists. The current state is a fold of the log.
 
 Where only the last write of a key counts, the fold is an aggregation. Where an entry's fate hangs on what came before
-(a bounded cache), the fold walks one key space's ordered events inside one row; those event lists are per session.
+(a bounded cache), an owner's events are walked in order in one task, which holds the cache and nothing else of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert_latest(log: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
@@ -57,14 +61,34 @@ def recent(log: DataFrame, owner: list[str], item: str, order: list[str], k: int
     return last.select(*owner, rank.alias("rank"), item).filter(F.col("rank") <= k)
 
 
-def folded(log: DataFrame, owner: list[str], order: list[str], event: list[str], start: Column, step, finish=None) -> DataFrame:
-    """A fold of each owner's ordered events; ``step`` takes the state and one event."""
-    events = log.groupBy(*owner).agg(F.array_sort(F.collect_list(F.struct(*order, *event))).alias("events"))
-    return events.select(*owner, F.aggregate("events", start, step, finish).alias("state"))
-
+def folded(log: DataFrame, owner: list[str], order: list[str], event: list[str], step: Callable[..., None]) -> DataFrame:
+    """(owner, keys): a fold of each owner's events in order; ``step(state, *event)`` changes a list of texts in place.
 
-def _without(items: Column, item: Column) -> Column:
-    return F.filter(items, lambda x: x != item)
+    Events are sorted by the shuffle and stream through the fold, so memory is that of one state, however many events an
+    owner has; they do stay in one task, as each depends on all before it.
+    """
+    schema = log.select(*owner).schema.add("keys", T.ArrayType(T.StringType()))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, []
+        for batch in batches:
+            rows, done = batch.to_pydict(), []
+            for key, values in zip(zip(*(rows[o] for o in owner), strict=True), zip(*(rows[e] for e in event), strict=True), strict=True):
+                if key != at:
+                    if at is not None:
+                        done.append((*at, state))
+                    at, state = key, []
+                step(state, *values)
+            if done:
+                yield as_batch(done)
+        if at is not None:
+            yield as_batch([(*at, state)])
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({name: list(column) for name, column in zip([*owner, "keys"], zip(*rows, strict=True), strict=True)})
+
+    rows = log.select(*owner, *order, *event).repartition(*owner).sortWithinPartitions(*owner, *order)
+    return rows.select(*owner, *event).mapInArrow(walk, schema)
 
 
 def lru_state(log: DataFrame, owner: list[str], order: list[str], key: str, op: str, cap: int) -> DataFrame:
@@ -73,39 +97,42 @@ def lru_state(log: DataFrame, owner: list[str], order: list[str], key: str, op:
     Setting or getting a present key makes it the newest; getting an absent one does nothing, asking never does; past the
     cap the oldest goes.
     """
-    start = F.array().cast("array<string>")
 
-    def step(state: Column, e: Column) -> Column:
-        touch = (e[op] == "set") | ((e[op] == "get") & F.array_contains(state, e[key]))
-        touched = F.concat(_without(state, e[key]), F.array(e[key]))
-        newest = F.when(F.size(touched) > cap, F.slice(touched, 2, cap)).otherwise(touched)
-        return F.when(touch, newest).otherwise(state)
+    def step(state: list[str], k: str, o: str) -> None:
+        present = k in state
+        if o == "set" or o == "get" and present:
+            if present:
+                state.remove(k)
+            state.append(k)
+            del state[:-cap]
 
-    return folded(log, owner, order, [key, op], start, step).withColumnRenamed("state", "keys")
+    return folded(log, owner, order, [key, op], step)
 
 
 def fifo_state(log: DataFrame, owner: list[str], order: list[str], key: str, cap: int) -> DataFrame:
     """(owner, keys): a cache that evicts by insertion; a hit keeps its place, an evicted key comes back as the newest."""
-    start = F.array().cast("array<string>")
 
-    def step(state: Column, e: Column) -> Column:
-        grown = F.concat(state, F.array(e[key]))
-        return F.when(F.array_contains(state, e[key]), state).otherwise(F.when(F.size(grown) > cap, F.slice(grown, 2, cap)).otherwise(grown))
+    def step(state: list[str], k: str) -> None:
+        if k not in state:
+            state.append(k)
+            del state[:-cap]
 
-    return folded(log, owner, order, [key], start, step).withColumnRenamed("state", "keys")
+    return folded(log, owner, order, [key], step)
 
 
 def closed_stack(log: DataFrame, owner: list[str], order: list[str], key: str, op: str, cap: int = 10) -> DataFrame:
     """(owner, keys): closed tabs, the last closed at the end; closing again moves to the end, reopening takes the end off."""
-    start = F.array().cast("array<string>")
 
-    def step(state: Column, e: Column) -> Column:
-        pushed = F.concat(_without(state, e[key]), F.array(e[key]))
-        pushed = F.when(F.size(pushed) > cap, F.slice(pushed, F.size(pushed) - cap + 1, cap)).otherwise(pushed)
-        popped = F.when(F.size(state) > 0, F.slice(state, 1, F.size(state) - 1)).otherwise(state)
-        return F.when(e[op] == "close", pushed).otherwise(popped)
+    def step(state: list[str], k: str, o: str) -> None:
+        if o == "close":
+            if k in state:
+                state.remove(k)
+            state.append(k)
+            del state[:-cap]
+        elif state:
+            state.pop()
 
-    return folded(log, owner, order, [key, op], start, step).withColumnRenamed("state", "keys")
+    return folded(log, owner, order, [key, op], step)
 
 
 def cache_entries(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

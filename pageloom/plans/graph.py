@@ -81,9 +81,12 @@ def outline_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.wire_siblings(tree(spark, sf_dir), [])
 
 
+MILLION = 1_000_000
+
+
 def compress_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as objects that refer to those of twice their number: deduplicated, then those that number 1 reaches."""
-    objects = table(spark, sf_dir, "documents").select(F.lit(1).alias("doc"), F.col("doc_id").alias("id"), F.lit("Stream").alias("kind"), F.col("text").alias("body"), F.octet_length("text").alias("bytes"))
+    """Documents as objects, a million to a file, that refer to those of twice their number: deduplicated, then those that number 1 of their file reaches."""
+    objects = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / MILLION).alias("doc"), (F.col("doc_id") % MILLION).alias("id"), F.lit("Stream").alias("kind"), F.col("text").alias("body"), F.octet_length("text").alias("bytes"))
     slim = objects.select("doc", "id", "bytes")
     numbers = F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("dst")
     edges = slim.select("doc", F.col("id").alias("src"), numbers).filter("dst % 5 <> 0 and dst <> src")
@@ -118,7 +121,7 @@ ORACLES = {
     "object_batches": "SELECT c_nationkey, o_orderkey AS id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders JOIN customer ON o_custkey = c_custkey",
     "point_lookup": "SELECT w.o_orderkey, lines, o_orderstatus FROM (SELECT l_orderkey * 2 AS o_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) w LEFT JOIN orders USING (o_orderkey)",
     "outline_wire": f"WITH {TREE}, k AS (SELECT parent AS id, arg_min(id, (ord, id)) AS first_child, arg_max(id, (ord, id)) AS last_child, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent) SELECT t.id, lag(t.id) OVER w AS prev, lead(t.id) OVER w AS next, first_child, last_child, coalesce(n, 0) AS n_children FROM tree t LEFT JOIN k USING (id) WINDOW w AS (PARTITION BY parent ORDER BY ord, t.id)",
-    "compress_pipeline": """WITH RECURSIVE m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical, strlen(text) AS bytes FROM documents),
+    "compress_pipeline": """WITH RECURSIVE m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical, strlen(text) AS bytes FROM documents WHERE doc_id < 1000000),
       e AS (SELECT id AS src, unnest([id * 2, id * 2 + 1]) AS dst FROM m WHERE id = canonical),
       r AS (SELECT e.src, t.canonical AS dst FROM e JOIN m t ON t.id = e.dst WHERE e.dst % 5 <> 0 AND e.dst <> e.src),
       w AS (SELECT canonical AS id FROM m WHERE id = 1 UNION SELECT r.dst FROM w JOIN r ON r.src = w.id)
