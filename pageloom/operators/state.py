@@ -70,8 +70,9 @@ def folded(log: DataFrame, owner: list[str], order: list[str], event: list[str],
     schema = log.select(*owner).schema.add("keys", T.ArrayType(T.StringType()))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, []
+        at, state, kinds = None, [], []
         for batch in batches:
+            kinds = [batch.schema.field(o).type for o in owner]
             rows, done = batch.to_pydict(), []
             for key, values in zip(zip(*(rows[o] for o in owner), strict=True), zip(*(rows[e] for e in event), strict=True), strict=True):
                 if key != at:
@@ -80,12 +81,13 @@ def folded(log: DataFrame, owner: list[str], order: list[str], event: list[str],
                     at, state = key, []
                 step(state, *values)
             if done:
-                yield as_batch(done)
+                yield as_batch(done, kinds)
         if at is not None:
-            yield as_batch([(*at, state)])
+            yield as_batch([(*at, state)], kinds)
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({name: list(column) for name, column in zip([*owner, "keys"], zip(*rows, strict=True), strict=True)})
+    def as_batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.list_(pa.string())], strict=True)], [*owner, "keys"])
 
     rows = log.select(*owner, *order, *event).repartition(*owner).sortWithinPartitions(*owner, *order)
     return rows.select(*owner, *event).mapInArrow(walk, schema)
