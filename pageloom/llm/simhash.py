@@ -5,7 +5,11 @@ blocks: cut into r + k blocks, at least k of them are equal. Every choice of k b
 on a table's blocks form a shard. A shard gets a BK-tree (children keyed by their Hamming distance to the parent); a
 search follows only edges within the radius of the distance at hand. The number of fingerprints has no bound, so shard
 trees are built where the shard's rows meet, not broadcast from the driver. A shard gives back spanning links, never
-all its pairs; a hot shard is cut into chunks and every pair of chunks is a task of its own, so no case is lost.
+all its pairs.
+
+A hot shard is cut into chunks, each with its own tree. What chunks and other shards have linked by then is mostly one
+component; only a hot shard's members outside its largest component are then looked up in all its chunks, since links
+inside that component would tell nothing new. So a dense cluster costs about its size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -99,36 +103,39 @@ class BKTree:
                 todo += [kid for edge, kid in kids.items() if low <= edge <= high]
 
 
-def spanning_links(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that join what is within the radius: inside ``left``, or between ``left`` and ``right``; at most one a node."""
-    tree, root = BKTree(), []
+#: What a row of a shard does: search the tree, then join it; join it only; search it only.
+BOTH, JOIN, SEARCH = 0, 1, 2
+
+
+class Shard:
+    """A shard's tree, and which of its nodes are linked so far; its memory is that of the tree."""
+
+    def __init__(self, radius: int) -> None:
+        self.radius, self.tree, self.root = radius, BKTree(), []
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    links = []
-
-    def join(x: int, y: int, a: int, b: int) -> None:
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            links.append((a, b))
-
-    for value in left:
-        near = list(tree.within(value, radius)) if right is None else []
-        at = tree.add(value)
-        if at == len(root):
-            root.append(at)
-        for other in near:
-            join(at, other, value, tree.values[other])
-    for value in right or []:
-        root.append(at := len(root))
-        for other in tree.within(value, radius):
-            join(at, other, value, tree.values[other])
-    return links
+    def row(self, kind: int, value: int) -> list[tuple[int, int]]:
+        """Links of a value to the tree: one to each group of nodes that were not linked before."""
+        links, groups = [], []
+        if kind != JOIN:
+            for other in self.tree.within(value, self.radius):
+                group = self.find(other)
+                if group not in groups:
+                    groups.append(group)
+                    if self.tree.values[other] != value:
+                        links.append((value, self.tree.values[other]))
+        if kind != SEARCH and self.tree.add(value) == len(self.root):
+            self.root.append(len(self.root))
+            groups.append(len(self.root) - 1)
+        for group in groups[1:]:
+            self.root[group] = groups[0]
+        return links
 
 
 def layout(nodes: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -145,12 +152,31 @@ def layout(nodes: int, radius: int) -> list[list[tuple[int, int]]]:
     return [list(chosen) for chosen in combinations(cut, keep)]
 
 
+def shard_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of (bk_table, bk_key, bk_chunk, kind, fingerprint) rows; a shard's rows meet in one task, trees first."""
+    shard = ["bk_table", "bk_key", "bk_chunk"]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tree = None, Shard(radius)
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for *at, kind, value in zip(*(batch[c].tolist() for c in [*shard, "kind", "fingerprint"]), strict=True):
+                if at != key:
+                    key, tree = at, Shard(radius)
+                links += tree.row(kind, value & (1 << BITS) - 1)
+            if links:
+                yield _frame(links)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*shard, "kind", "fingerprint").repartition(parts, *shard).sortWithinPartitions(*shard, "kind")
+    return dealt.mapInPandas(search, "a long, b long").distinct()
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs within the radius.
 
     nodes: one column ``fingerprint`` of distinct longs, cheap to read again.
     """
-    spark = nodes.sparkSession
     tables = layout(nodes.count(), radius)
 
     def block(shift: int, width: int):
@@ -160,37 +186,22 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK) ->
     placed = nodes.select("fingerprint", F.inline(F.array(*keys)))
     large = placed.groupBy("bk_table", "bk_key").count().filter(F.col("count") > chunk)
     large = written(large.select("bk_table", "bk_key", F.ceil(F.col("count") / chunk).cast("int").alias("bk_chunks")))
-    placed = placed.join(large, ["bk_table", "bk_key"], "left")
     chunks = F.coalesce("bk_chunks", F.lit(1))
     mine = F.pmod(F.xxhash64("fingerprint", F.lit("chunk")), chunks).cast("int")
-    pairs = placed.withColumn("bk_mine", mine).withColumn("bk_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    low, high = F.least("bk_mine", "bk_other"), F.greatest("bk_mine", "bk_other")
-    pairs = pairs.select("bk_table", "bk_key", low.alias("bk_low"), high.alias("bk_high"), (F.col("bk_mine") == F.col("bk_low")).alias("bk_left"), "fingerprint")
-    shard = ["bk_table", "bk_key", "bk_low", "bk_high"]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, left, right = None, [], []
-
-        def done() -> list[tuple[int, int]]:
-            if len(left) + len(right) < 2:
-                return []
-            return spanning_links(left, right if key[2] != key[3] else None, radius)
-
-        for batch in batches:
-            links = []
-            for *at, is_left, value in zip(*(batch[c].tolist() for c in [*shard, "bk_left", "fingerprint"]), strict=True):
-                if at != key:
-                    links += done()
-                    key, left, right = at, [], []
-                (left if is_left or at[2] == at[3] else right).append(value & (1 << BITS) - 1)
-            if links:
-                yield _frame(links)
-        if links := done() if key else []:
-            yield _frame(links)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(parts, *shard).sortWithinPartitions(*shard)
-    return dealt.mapInPandas(search, "a long, b long").distinct()
+    cut = placed.join(large, ["bk_table", "bk_key"], "left").withColumn("bk_chunk", mine)
+    links = shard_links(cut.withColumn("kind", F.lit(BOTH)), radius)
+    if not large.limit(1).count():
+        return links
+    links = written(links)
+    labels = components(links).withColumnRenamed("node", "fingerprint")
+    hot = placed.join(large, ["bk_table", "bk_key"]).withColumn("bk_chunk", mine).join(labels, "fingerprint", "left")
+    hot = written(hot.withColumn("label", F.coalesce("label", "fingerprint")))
+    sizes = hot.groupBy("bk_table", "bk_key", "label").count()
+    most = sizes.groupBy("bk_table", "bk_key").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    others = hot.join(written(most), ["bk_table", "bk_key"]).filter("label <> most")
+    asked = others.select("bk_table", "bk_key", F.explode(F.sequence(F.lit(0), F.col("bk_chunks") - 1)).alias("bk_chunk"), F.lit(SEARCH).alias("kind"), "fingerprint")
+    trees = hot.select("bk_table", "bk_key", "bk_chunk", F.lit(JOIN).alias("kind"), "fingerprint")
+    return links.unionByName(shard_links(trees.unionByName(asked), radius)).distinct()
 
 
 def _frame(links: list[tuple[int, int]]) -> pd.DataFrame:
