@@ -19,6 +19,8 @@ from .common import checkpoint, free_name, hex_key, without
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4, 5)
+#: Profiles go to every task; there may be no more of them.
+MOST_LANGUAGES = 1000
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +65,14 @@ def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key:
     texts teach nothing. N-grams are counted in tasks, summed by a shuffle, and only the first ``size`` come back.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counted = rows.groupBy(F.col(lang).alias("lang")).count().withColumn("share", F.least(F.lit(1.0), most_rows / F.col("count")))
+    counted = rows.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError("more languages than profiles may be learned for")
+    if not counted:
+        return {}
+    shares = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, most_rows / r["count"]))])
     at = hex_key("langid:", F.coalesce(F.col(key).cast("string"), F.lit(""))) / float(1 << 60)
-    sample = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("at")).join(F.broadcast(counted), "lang").filter("at < share")
+    sample = rows.filter(at < F.element_at(shares, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,12 +82,10 @@ def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key:
                     values, counts = np.unique(np.concatenate(found), return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": values.view(np.int64), "n": counts})
 
-    grams = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
-    totals = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = [r.lang for r in checkpoint(counted).orderBy("lang").collect()]
-    totals = checkpoint(totals)
+    grams = sample.mapInPandas(count, "lang string, gram long, n long")
+    totals = checkpoint(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     profiles = {}
-    for name in names:
+    for name in sorted(r.lang for r in counted):
         best = totals.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()
         if best:
             profiles[name] = np.array([r.gram for r in best], np.int64).view(np.uint64)
