@@ -9,6 +9,7 @@ entries, one look-up a byte, and the best few rows are ranked again by their tru
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key, written
+from .common import hex_key, shared_folder, written
 
 CENTRES = 16
 #: Rows scanned at a time in a task, and queries sent to the tasks at a time.
@@ -139,6 +140,7 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, k:
     queries = queries.dropDuplicates(["vec_id"]) if quantiser else queries.limit(0)
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    path = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
     found = None
     for b in range(blocks):
         rows = queries.filter(block == b).orderBy("vec_id").collect() if quantiser else []
@@ -154,10 +156,14 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, k:
                     best.look(batch.iloc[at : at + ROWS])
             yield best.frame()
 
-        part = index.mapInPandas(scan, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+        found = index.mapInPandas(scan, "query_id long, vec_id long, score double")
+        if blocks > 1:  # each block's rows are written, so that no plan holds all blocks
+            found.write.mode("append").parquet(path)
+            sent.unpersist()
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if blocks > 1:
+        found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

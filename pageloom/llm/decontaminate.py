@@ -84,7 +84,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             part = placed_seeds(items.filter(which & (of == block)), [(number, mask)], "item", "tokens")
             mine = part if mine is None else mine.unionByName(part)
         mine = written(mine.select("item", "seed", F.size("tokens").alias("item_size"), around("tokens", F.col("at"), F.lit(None).cast("bigint")).alias("item_around")))
-        used.append(block_overlaps(read, mine, [(number, mask) for number, mask, _ in numbered]))
+        part = block_overlaps(read, mine, [(number, mask) for number, mask, _ in numbered])
+        used.append(part if blocks == 1 else written(part))
     if not used:
         return read.filter("false").select(F.col("key").alias(key), F.lit(None).cast(items.schema["item"].dataType).alias(item), *[F.lit(0).alias(c) for c in ("best", "width", "first_word", "last_word")])
     found = used[0]

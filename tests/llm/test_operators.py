@@ -173,6 +173,12 @@ def test_decontamination(spark, docs, clash):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(clash, bench).collect()}
     assert set(got) == {(6, 1), (7, 4), (8, 5)}
     assert (got[6, 1].best, got[6, 1].first_word, got[6, 1].last_word) == (12, 3, 19)
+    most, decontaminate.MOST_SEEDS = decontaminate.MOST_SEEDS, 4  # the same in several blocks of items
+    try:
+        again = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(clash, bench).collect()}
+    finally:
+        decontaminate.MOST_SEEDS = most
+    assert again == got
     assert decontaminate.find_overlaps(empty(docs), bench).count() == 0
     assert decontaminate.find_overlaps(docs, empty(bench)).count() == 0
     left = decontaminate.without_overlaps(clash, bench)
@@ -234,7 +240,7 @@ def test_toxicity(spark, docs, clash):
     assert toxicity.score_toxicity(empty(docs), lexicon).count() == 0
     scorer = toxicity.Scorer(lexicon)
     trie = scorer.trie
-    assert [trie.find(w) for w in ("moron", "morron", "mor0n", "maroom", "worthless", "wrothless", "loweixyz", "lowxi", "")] == [0, 1, 1, None, 0, 2, 0, None, None]
+    assert [(at := trie.find(w)) and at[0] for w in ("moron", "morron", "mor0n", "maroom", "worthless", "wrothless", "loweixyz", "lowxi", "")] == [0, 1, 1, None, 0, 2, 0, None, None]
     for word in ("moron", "worthless"):
         rng = random.Random(word)
         for _ in range(200):
@@ -243,7 +249,7 @@ def test_toxicity(spark, docs, clash):
                 op, at = rng.randrange(3), rng.randrange(len(w) + 1)
                 w[at : at + (op != 0)] = rng.choice(["x", "e", "o"]) if op < 2 else ""
             d = edit_distance("".join(w), word)
-            assert toxicity.Trie([(word, False, 2)]).find("".join(w)) == (d if d <= 2 else None)
+            assert toxicity.Trie([(word, False, 2)]).find("".join(w)) == ((d, 0) if d <= 2 else None)
     assert scorer.score('He wrote: "you moron" in it.') < scorer.score("you moron in it.")
     assert scorer.score(None) == scorer.score("") == pytest.approx(lexicon.base)
     none = toxicity.learn_lexicon(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -287,6 +293,12 @@ def test_nearest_vectors(spark):
     got = {}
     for r in ann.search(index, q, index.filter("vec_id % 100 = 0").select("vec_id", "vector"), rerank=60).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    blocks, ann.QUERIES = ann.QUERIES, 3  # the same in several blocks of queries
+    try:
+        again = ann.search(index, q, index.filter("vec_id % 100 = 0").select("vec_id", "vector"), rerank=60).collect()
+    finally:
+        ann.QUERIES = blocks
+    assert {(r.query_id, r["rank"], r.vec_id) for r in again} == {(i, *x[:2]) for i, found in got.items() for x in found}
     single = {i: [float(F) for F in __import__("numpy").array(v, "float32")] for i, v in rows.items()}
     want = near.exact(single, [i for i in rows if i % 100 == 0])
     assert set(got) == set(want)
