@@ -59,12 +59,16 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """
     seen = new = checkpointed(roots.select(*keys, "id").distinct())
     edges = checkpointed(edges.select(*keys, F.col("src").alias("id"), "dst"))
+    rounds = 0
     while True:
         found = new.join(edges, [*keys, "id"]).select(*keys, F.col("dst").alias("id")).distinct()
         new = checkpointed(found.join(seen, [*keys, "id"], "left_anti"))
-        if not new.limit(1).count():
+        if new.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(new))
+        rounds += 1
+        seen = seen.unionByName(new)
+        if rounds % 8 == 0:  # else the plan grows with the rounds
+            seen = checkpointed(seen)
 
 
 def keep_reachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:

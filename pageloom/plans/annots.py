@@ -34,9 +34,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir, "assistant").filter("n % 4 <> 2")
+    rows = turns(spark, sf_dir, "assistant").filter("length(text) > 150")
     text = F.when(F.col("n") % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("stored "), F.col("n")))
-    return rows.select("doc_id", "id", text.alias("text"), _pick(COLORS, F.col("n")).alias("color"), (F.col("n") % 2 == 1).alias("resolved"), F.when(F.col("n") % 3 == 1, F.col("turn") * 10.0).alias("created_at"), F.substring("text", 1, 20).alias("quote"), (F.col("doc_id") % 2 == 0).alias("synced"), (F.col("n") % 9).cast("int").alias("page"))
+    return rows.select("doc_id", "id", text.alias("text"), _pick(COLORS, F.col("n")).alias("color"), (F.col("n") % 2 == 1).alias("resolved"), F.when(F.col("n") % 3 == 1, F.col("turn") * 10.0).alias("created_at"), F.col("text").alias("quote"), (F.col("doc_id") % 2 == 0).alias("synced"), (F.col("n") % 9).cast("int").alias("page"))
 
 
 def comment_load_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def field_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
     kind = F.when((F.col("turn") == 0) | (F.col("turn") % 4 == 1), F.when(F.col("conv_id") % 2 == 0, "Tx").otherwise("Btn"))
-    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), parent.alias("parent"), F.col("turn").alias("ord"), F.concat(F.lit("f"), "turn").alias("part"), kind.alias("field_type"), F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 10)).alias("value"))
+    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), parent.alias("parent"), F.col("turn").alias("ord"), F.concat(F.lit("f"), "turn").alias("part"), kind.alias("field_type"), F.when(F.col("turn") % 3 == 0, F.col("text")).alias("value"))
 
 
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def form_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xfdf_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = turns(spark, sf_dir, "user").select("doc_id", F.concat(F.lit("f&"), "n").alias("name"), F.concat(F.lit("<a> "), F.substring("text", 1, 15)).alias("value"), F.col("n").alias("ord"))
+    fields = turns(spark, sf_dir, "user").select("doc_id", F.concat(F.lit("f&"), "n").alias("name"), F.concat(F.lit("<a> "), "text").alias("value"), F.col("n").alias("ord"))
     return forms.to_xfdf(fields)
 
 
@@ -203,7 +203,7 @@ QUERIES = {f.__name__: f for f in (comment_load_merge, comment_sync_actions, com
 TURNS = """turns AS (SELECT conv_id AS doc_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, text FROM conversations)"""
 PALETTE = "['#f59e0b', '#10B981', '#3b82f6']"
 NOTES = f"""{TURNS}, notes AS (SELECT doc_id, 'c' || n AS id, text, CASE WHEN n % 2 = 0 THEN {PALETTE}[doc_id % 3 + 1] END AS color, CASE WHEN n % 3 <> 0 THEN turn * 1000.0::DOUBLE END AS created, CASE WHEN n % 6 <> 0 THEN turn * 2000.0::DOUBLE END AS modified FROM turns WHERE role = 'user'),
-stored AS (SELECT doc_id, 'c' || n AS id, CASE WHEN n % 5 = 0 THEN text ELSE 'stored ' || n END AS text, {PALETTE}[n % 3 + 1] AS color, n % 2 = 1 AS resolved, CASE WHEN n % 3 = 1 THEN turn * 10.0::DOUBLE END AS created_at, substr(text, 1, 20) AS quote, doc_id % 2 = 0 AS synced, n % 9 AS page FROM turns WHERE role = 'assistant' AND n % 4 <> 2)"""
+stored AS (SELECT doc_id, 'c' || n AS id, CASE WHEN n % 5 = 0 THEN text ELSE 'stored ' || n END AS text, {PALETTE}[n % 3 + 1] AS color, n % 2 = 1 AS resolved, CASE WHEN n % 3 = 1 THEN turn * 10.0::DOUBLE END AS created_at, text AS quote, doc_id % 2 = 0 AS synced, n % 9 AS page FROM turns WHERE role = 'assistant' AND length(text) > 150)"""
 ANNOTS = f"""a AS (SELECT conv_id AS doc_id, CAST(turn // 4 + 1 AS INTEGER) AS page, turn AS ord, turn AS id, ['Text', 'Highlight', 'Square', 'Popup', 'Widget', 'Link'][turn % 6 + 1] AS subtype,
   CASE WHEN turn % 3 = 0 THEN {PALETTE}[conv_id % 3 + 1] END AS color, CASE WHEN turn % 5 <> 4 THEN text || CASE WHEN turn % 2 = 0 THEN ' "q"' ELSE '' END END AS contents, turn - 3 AS parent,
   round((conv_id * 3 + turn) % 100 / 100.0::DOUBLE, 4) AS x0, round((conv_id * 5 + turn) % 100 / 100.0::DOUBLE, 4) AS y0, round((conv_id * 7 + turn) % 100 / 100.0::DOUBLE, 4) AS x1, round((conv_id * 11 + turn) % 100 / 100.0::DOUBLE, 4) AS y1 FROM conversations)"""
@@ -215,7 +215,7 @@ heads AS (SELECT h.doc_id, page, ord, trim(text) AS title, base, height FROM h J
   WHERE page <= 500 AND strlen(trim(text)) BETWEEN 2 AND 200 AND height >= median * 1.25)"""
 BIT = "(event_id * 37 % 8192 & {}) <> 0"
 MESSAGE = "regexp_replace(regexp_replace('Error:  ' || ['wrong Password', 'access is denied', 'corrupt stream', 'No such file', 'disk full', 'timed out', ''][doc_id % 7 + 1] || '  ' || text, '^Error:\\s*', '', 'i'), '\\s+', ' ', 'g')"
-FORM = """f AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, 'f' || turn AS part, CASE WHEN turn = 0 OR turn % 4 = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'Tx' ELSE 'Btn' END END AS field_type, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 10) END AS value FROM conversations)"""
+FORM = """f AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, 'f' || turn AS part, CASE WHEN turn = 0 OR turn % 4 = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'Tx' ELSE 'Btn' END END AS field_type, CASE WHEN turn % 3 = 0 THEN text END AS value FROM conversations)"""
 _KINDS = ["password|encrypted|decrypt|wrong password|incorrect password", "permission denied|access is denied|read.only|readonly|cannot write", "invalid|corrupt|not a pdf|malformed|bad pdf", "no such file|file not found|cannot open|path does not exist", "no space|disk full|not enough space|storage", "timeout|timed out"]
 _RAW = "['wrong Password', 'access is denied', 'corrupt stream', 'No such file', 'disk full', 'timed out', ''][doc_id % 7 + 1] || '  ' || text"
 ORACLES = {
@@ -242,8 +242,8 @@ ORACLES = {
       SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(CASE WHEN leads OR (h1 IS NULL AND h2 IS NULL) THEN 0 WHEN tier = 1 OR h2 IS NULL THEN 1 ELSE 2 END AS INTEGER) AS depth, CAST(CASE WHEN leads THEN NULL WHEN tier = 1 THEN h1 ELSE coalesce(h2, h1) END AS INTEGER) AS parent_n, title, page FROM x""",
     "form_fields": f"WITH RECURSIVE {FORM}, w AS (SELECT doc_id, id, part AS name, field_type, value FROM f WHERE parent IS NULL UNION ALL SELECT f.doc_id, f.id, w.name || '.' || f.part, coalesce(f.field_type, w.field_type), coalesce(f.value, w.value) FROM w JOIN f ON f.doc_id = w.doc_id AND f.parent = w.id) SELECT doc_id, id, name, field_type, value FROM w WHERE (doc_id, id) NOT IN (SELECT (doc_id, parent) FROM f WHERE parent IS NOT NULL)",
     "form_fill": f"WITH {TURNS}, u AS (SELECT doc_id, 'f' || n % 3 AS name, arg_min('new ' || n, n) AS v FROM turns WHERE role = 'assistant' GROUP BY 1, 2) SELECT t.doc_id, 'f' || n % 4 AS name, coalesce(v, text) AS value, CAST(n * 2 + 1 AS INTEGER) AS flags, CAST(n AS INTEGER) AS ord FROM turns t LEFT JOIN u ON u.doc_id = t.doc_id AND u.name = 'f' || n % 4 WHERE role = 'user'",
-    "xfdf_export": f"""WITH {TURNS} SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">' || chr(10) || '  <fields>' || chr(10) || string_agg('    <field name="f&amp;' || n || '"><value>&lt;a&gt; ' || replace(replace(replace(replace(replace(substr(text, 1, 15), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</value></field>' || chr(10), '' ORDER BY n) || '  </fields>' || chr(10) || '</xfdf>' || chr(10) AS xfdf FROM turns WHERE role = 'user' GROUP BY doc_id""",
-    "xfdf_roundtrip": f"WITH {TURNS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS ord, 'f&' || n AS name, '<a> ' || substr(text, 1, 15) AS value FROM turns WHERE role = 'user'",
+    "xfdf_export": f"""WITH {TURNS} SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">' || chr(10) || '  <fields>' || chr(10) || string_agg('    <field name="f&amp;' || n || '"><value>&lt;a&gt; ' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</value></field>' || chr(10), '' ORDER BY n) || '  </fields>' || chr(10) || '</xfdf>' || chr(10) AS xfdf FROM turns WHERE role = 'user' GROUP BY doc_id""",
+    "xfdf_roundtrip": f"WITH {TURNS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS ord, 'f&' || n AS name, '<a> ' || text AS value FROM turns WHERE role = 'user'",
     "permissions_bits": "SELECT event_id, " + ", ".join(f"event_type = 'view' OR CASE WHEN user_id % 4 + 1 >= 3 THEN {BIT.format(1 << new - 1)} ELSE {BIT.format(1 << old - 1)} END AS {name}" for name, new, old in (("print", 3, 3), ("modify_contents", 4, 4), ("copy_extract", 5, 5), ("annotate", 6, 6), ("fill_forms", 9, 6), ("accessibility_extract", 10, 5), ("assemble", 11, 4), ("print_high_quality", 12, 3))) + " FROM events",
     "error_classify": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches({_RAW}, '(?i){p}') THEN '{n}'" for p, n in zip(_KINDS, ("password", "permission", "invalid", "missing", "space", "timeout"), strict=True)) + f" ELSE 'other' END AS kind, CASE WHEN length(trim({MESSAGE})) > 280 THEN substr(trim({MESSAGE}), 1, 280) || '…' ELSE trim({MESSAGE}) END AS shown FROM documents",
     "fuzzy_rank": "SELECT p_partkey, p_brand, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM (SELECT p_partkey, p_brand, greatest(CASE WHEN lower(p_name) = 'part 1' THEN 1000.0 WHEN starts_with(lower(p_name), 'part 1') THEN 500.0 WHEN contains(lower(p_name), 'part 1') THEN 200.0 WHEN regexp_matches(lower(p_name), '(?s)p.*a.*r.*t.* .*1') THEN 50.0 ELSE 0.0 END, 0.5 * CASE WHEN lower(p_type) = 'pt' THEN 1000 WHEN starts_with(lower(p_type), 'pt') THEN 500 WHEN contains(lower(p_type), 'pt') THEN 200 WHEN regexp_matches(lower(p_type), '(?s)p.*t') THEN 50 ELSE 0 END)::DOUBLE AS score FROM part) WHERE score > 0",

@@ -82,10 +82,10 @@ def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as objects; those of every tenth customer are excluded."""
+    """Orders as objects; those with a status of their own are excluded."""
     o = F.col("o_orderkey")
     objects = table(spark, sf_dir, "orders").select(o.alias("id"), (o % 13 == 0).alias("free"), F.when(o % 17 == 0, "Null").otherwise("Dictionary").alias("kind"), F.when(o % 5 == 0, _pick(("XRef", "ObjStm", "Page"), o)).alias("type_name"))
-    excluded = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").select(o.alias("id"))
+    excluded = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(o.alias("id"))
     return documents.live_objects(objects, excluded, ["id"])
 
 
@@ -121,22 +121,22 @@ def form_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of parts, replaced by suppliers' balances, replaced by customers' ones, where the numbers meet."""
     base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
     local = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    given = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    given = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     return documents.overlay(base, local, given, keys=["k"], value="v")
 
 
 def cache_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts looked up in memory, the session, the disk."""
-    level = lambda n: table(spark, sf_dir, "part").filter(F.col("p_partkey") % n == 0).select("p_partkey", F.concat(F.lit(f"level {n}: "), "p_name").alias("value"))
-    return documents.cache_levels(table(spark, sf_dir, "part").select("p_partkey"), [level(7), level(3), level(2)], ["p_partkey"], "value")
+    level = lambda n: table(spark, sf_dir, "part").filter(F.col("p_size") > n).select("p_partkey", F.concat(F.lit(f"over {n}: "), "p_name").alias("value"))
+    return documents.cache_levels(table(spark, sf_dir, "part").select("p_partkey"), [level(40), level(25), level(10)], ["p_partkey"], "value")
 
 
 def cache_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of odd pages under their places once every document is turned back to front."""
+    """Pictures of wide pages under their places once every document is turned back to front."""
     every = pages(spark, sf_dir)
     totals = every.groupBy("doc_id").agg(F.max("page").alias("total"))
     order = every.join(totals, "doc_id").select("doc_id", (F.col("total") + 1 - F.col("page")).alias("page"), F.col("page").alias("old_page"))
-    return documents.seed_cache(every.filter("page % 2 = 1").select("doc_id", "page", F.col("num").alias("value")), order)
+    return documents.seed_cache(every.filter("width > 250").select("doc_id", "page", F.col("num").alias("value")), order)
 
 
 def sidecar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +159,10 @@ def canvas_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of texts as bytes and back, with their base64."""
-    start = F.substring("text", 1, 24)
-    return table(spark, sf_dir, "documents").select("doc_id", documents.text_of(documents.bytes_of(start)).alias("title"), F.base64(start.cast("binary")).alias("encoded"))
+    """Texts as bytes and back, with their base64 in one line."""
+    text = F.col("text")
+    encoded = F.regexp_replace(F.base64(text.cast("binary")), "\\s", "")
+    return table(spark, sf_dir, "documents").select("doc_id", documents.text_of(documents.bytes_of(text)).alias("title"), encoded.alias("encoded"))
 
 
 def bookmark_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,18 +207,18 @@ ORACLES = {
       WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_size > 0 AND p_partkey % 20 > 0 AND (p_partkey % 2 = 0 OR p_partkey % 3 > 0) AND p_size * 400 * (p_partkey % 20 * 300) <= 120000000),
       s AS (SELECT k, pw, ph, {_plan('pw', 'dw')} AS w, {_plan('ph', 'dh')} AS h FROM i), t AS (SELECT k, pw, ph, CAST(greatest(least({_cut('w')}, pw), 1) AS INTEGER) AS tw, CAST(greatest(least({_cut('h')}, ph), 1) AS INTEGER) AS th FROM s)
       SELECT k AS image_id, tw AS target_w, th AS target_h FROM t WHERE k % 2 = 1 OR tw <> pw OR th <> ph""",
-    "live_objects": "SELECT id, free, kind, type_name FROM (SELECT o_orderkey AS id, o_orderkey % 13 = 0 AS free, CASE WHEN o_orderkey % 17 = 0 THEN 'Null' ELSE 'Dictionary' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN ['XRef', 'ObjStm', 'Page'][o_orderkey % 3 + 1] END AS type_name, o_custkey FROM orders) WHERE NOT free AND kind <> 'Null' AND coalesce(type_name, '') NOT IN ('XRef', 'ObjStm') AND o_custkey % 10 <> 0",
+    "live_objects": "SELECT id, free, kind, type_name FROM (SELECT o_orderkey AS id, o_orderkey % 13 = 0 AS free, CASE WHEN o_orderkey % 17 = 0 THEN 'Null' ELSE 'Dictionary' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN ['XRef', 'ObjStm', 'Page'][o_orderkey % 3 + 1] END AS type_name, o_orderstatus FROM orders) WHERE NOT free AND kind <> 'Null' AND coalesce(type_name, '') NOT IN ('XRef', 'ObjStm') AND o_orderstatus <> 'P'",
     "size_guard": "SELECT doc_id, CAST(o AS INTEGER) AS old_bytes, CAST(n AS INTEGER) AS new_bytes, CASE WHEN n < o THEN 'new' ELSE 'old' END AS kept, CAST(CASE WHEN n < o THEN n ELSE o END AS INTEGER) AS bytes FROM (SELECT doc_id, strlen(text) AS o, CASE WHEN doc_id % 9 <> 0 THEN strlen(regexp_replace(text, '[aeiou ]', '', 'g')) + 200 END AS n FROM documents)",
     "repair_report": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'rewrite' WHEN doc_id % 2 = 0 THEN 'raster' ELSE 'failed' END AS mode, n_chars AS before, CASE WHEN doc_id % 3 <> 0 THEN n_chars - 1 WHEN doc_id % 2 = 0 THEN n_chars * 9 END AS after, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 600 END AS INTEGER) AS dpi FROM documents",
     "annotation_added": f"WITH {PAGES} SELECT doc_id, page, CASE WHEN doc_id % 2 = 0 THEN 'Highlight' ELSE 'Square' END AS subtype, {_r('0.25 * width')} AS llx, {_r('0.25 * height')} AS lly, {_r('0.5 * width')} AS urx, {_r('0.5 * height')} AS ury, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS opacity FROM p JOIN orders ON o_orderkey = doc_id WHERE page IN (1, 6)",
     "widget_pages": f"WITH {PAGES}, {ONE} SELECT w.doc_id, w.page AS widget, CASE WHEN w.page % 2 = 0 THEN 1 ELSE w.page END AS page, {_r('coalesce(o.width, 612.0)')} AS width, {_r('coalesce(o.height, 792.0)')} AS height FROM o w LEFT JOIN o ON o.doc_id = w.doc_id AND o.page = CASE WHEN w.page % 2 = 0 THEN 1 ELSE w.page END",
-    "form_overlay": "SELECT p_partkey AS k, coalesce(c_acctbal, s_acctbal, p_retailprice) AS v FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN customer ON c_custkey = p_partkey AND c_custkey % 3 = 0",
-    "cache_levels": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'level 7: ' || p_name WHEN p_partkey % 3 = 0 THEN 'level 3: ' || p_name WHEN p_partkey % 2 = 0 THEN 'level 2: ' || p_name END AS value, CAST(CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS INTEGER) AS level FROM part",
-    "cache_seeded": f"WITH {PAGES} SELECT doc_id, total + 1 - page AS page, num AS value FROM p JOIN (SELECT doc_id, max(page) AS total FROM p GROUP BY doc_id) t USING (doc_id) WHERE page % 2 = 1",
+    "form_overlay": "SELECT p_partkey AS k, coalesce(c_acctbal, s_acctbal, p_retailprice) AS v FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN customer ON c_custkey = p_partkey AND c_acctbal > 0",
+    "cache_levels": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'over 40: ' || p_name WHEN p_size > 25 THEN 'over 25: ' || p_name WHEN p_size > 10 THEN 'over 10: ' || p_name END AS value, CAST(CASE WHEN p_size > 40 THEN 1 WHEN p_size > 25 THEN 2 WHEN p_size > 10 THEN 3 ELSE 0 END AS INTEGER) AS level FROM part",
+    "cache_seeded": f"WITH {PAGES} SELECT doc_id, total + 1 - page AS page, num AS value FROM p JOIN (SELECT doc_id, max(page) AS total FROM p GROUP BY doc_id) t USING (doc_id) WHERE width > 250",
     "sidecar_roundtrip": "SELECT conv_id AS doc_id, turn AS id, text, turn % 2 = 0 AS resolved FROM conversations WHERE conv_id % 10 <> 3",
     "roomiest_disk": "SELECT p_brand, max(p_partkey) AS disk, max(p_partkey) AS total, greatest(max(p_partkey) - arg_max(p_size * 40, p_partkey), 0) AS used FROM part GROUP BY p_brand",
     "canvas_sizes": "SELECT p_partkey, CAST(CASE WHEN greatest(w, h) > 2600 THEN greatest(1, round(w * (2600 / greatest(w, h)))) ELSE w END AS BIGINT) AS width, CAST(CASE WHEN greatest(w, h) > 2600 THEN greatest(1, round(h * (2600 / greatest(w, h)))) ELSE h END AS BIGINT) AS height FROM (SELECT p_partkey, w, greatest(1, round(w * (p_partkey % 40 / 10.0::DOUBLE + 0.25::DOUBLE))) AS h FROM (SELECT p_partkey, greatest(1, round(p_size * 40.0::DOUBLE * greatest(1.0::DOUBLE, least(2.0::DOUBLE, CASE WHEN p_partkey % 6 > 0 THEN p_partkey % 6 / 2.0::DOUBLE ELSE 1 END)))) AS w FROM part))",
-    "titles_decoded": "SELECT doc_id, substr(text, 1, 24) AS title, base64(encode(substr(text, 1, 24))) AS encoded FROM documents",
+    "titles_decoded": "SELECT doc_id, text AS title, base64(encode(text)) AS encoded FROM documents",
     "bookmark_pages": f"WITH {PAGES}, {ONE} SELECT doc_id, page AS ord, page FROM o WHERE num % 2 = 0",
     "regions_by_page": f"WITH {PAGES} SELECT doc_id, page % 2 AS page, string_agg(num, ',' ORDER BY num) AS regions FROM p GROUP BY doc_id, page % 2",
 }

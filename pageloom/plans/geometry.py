@@ -148,9 +148,10 @@ def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines as file names."""
     from pageloom.operators.sequence import safe_name
 
-    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.substring("text", 1, 40), F.col("doc_id")).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("doc_id")).alias("name"))
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,7 @@ DATE = "['D:' || y || '0231101112Z', y || '1399', 'D:' || y, 'D:19', 'D:' || y |
 ZOOM = "greatest(0.25, least(3.0, greatest(0.25, least(3.0, event_id % 40 / 10.0::DOUBLE)) * pow(0.999::DOUBLE, (user_id % 21) * 40 - 400)))"
 OLD = "greatest(0.25, least(3.0, event_id % 40 / 10.0::DOUBLE))"
 NEW = f"CASE WHEN abs({OLD} - 1.25) >= 0.05 AND abs({ZOOM} - 1.25) < 0.05 THEN 1.25 ELSE {ZOOM} END::DOUBLE"
-NAME = r"trim(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N} \-]', '_', 'g'))"
+NAME = r"trim(regexp_replace(string_split(text, chr(10))[1], '[^\p{L}\p{N} \-]', '_', 'g'))"
 ORACLES = {
     "rect_normalise": f"WITH {RECT} SELECT vec_id, {_r('llx')} AS llx, {_r('lly')} AS lly, {_r('urx')} AS urx, {_r('ury')} AS ury, {_r('llx / 612')} AS x0, {_r('(792 - ury) / 792')} AS y0, {_r('urx / 612')} AS x1, {_r('(792 - lly) / 792')} AS y1 FROM r",
     "color_hex": "WITH n AS (SELECT vec_id, label + vec_id % 7 AS n FROM embeddings), c AS (SELECT vec_id, CAST(greatest(0, least(255, round(n / 8 * 255::DOUBLE))) AS INTEGER) AS r, CAST(greatest(0, least(255, round((n / 4 - 0.5::DOUBLE) * 255))) AS INTEGER) AS g, CAST(greatest(0, least(255, round((n / 16 + 0.125::DOUBLE) * 255))) AS INTEGER) AS b FROM n) SELECT vec_id, printf('#%02x%02x%02x', r, g, b) AS color, round(r / 255, 6) + 0.0 AS r, round(g / 255, 6) + 0.0 AS g, round(b / 255, 6) + 0.0 AS b FROM c",

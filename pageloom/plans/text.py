@@ -92,7 +92,7 @@ def split_every_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of every third page, from the second one on, as bookmarks; some pages have two."""
     lines = text.lines_of(docs(spark, sf_dir)).filter("line < 2 and page % 3 = 2")
-    marks = lines.select("doc_id", F.col("line").alias("ord"), F.substring("text", 1, 12).alias("title"), "page")
+    marks = lines.select("doc_id", F.col("line").alias("ord"), F.col("text").alias("title"), "page")
     return sequence.split_at_bookmarks(totals(spark, sf_dir), marks)
 
 
@@ -219,7 +219,7 @@ _SQL = {
     "split_bookmarks": r"""SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS part,
         CASE WHEN trim(regexp_replace(title, '[^\p{L}\p{N} \-]', '_', 'g')) = '' THEN 'part' || row_number() OVER w ELSE trim(regexp_replace(title, '[^\p{L}\p{N} \-]', '_', 'g')) END AS label,
         page AS start, CAST(coalesce(lead(page) OVER w - 1, total) AS INTEGER) AS stop
-        FROM (SELECT doc_id, CAST(k // 4 + 1 AS INTEGER) AS page, substr(text, 1, 12) AS title FROM lines WHERE k % 4 = 0 AND (k // 4 + 1) % 3 = 2) m JOIN totals USING (doc_id)
+        FROM (SELECT doc_id, CAST(k // 4 + 1 AS INTEGER) AS page, text AS title FROM lines WHERE k % 4 = 0 AND (k // 4 + 1) % 3 = 2) m JOIN totals USING (doc_id)
         WINDOW w AS (PARTITION BY doc_id ORDER BY page)""",
     "merge_docs": "SELECT lang || '/' || source AS merged_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, page) AS position, doc_id, page FROM pages JOIN documents USING (doc_id)",
     "remove_pages": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS page, page AS old_page FROM pages WHERE page % 2 = 1",
