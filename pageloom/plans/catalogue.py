@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pageloom.plans import annots, documents, geometry, graph, state, text
+from pageloom.plans import annots, documents, feeds, geometry, graph, state, text
 
-FAMILIES = (text, state, graph, annots, geometry, documents)
+FAMILIES = (text, state, graph, annots, geometry, documents, feeds)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
