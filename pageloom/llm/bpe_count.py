@@ -2,8 +2,8 @@
 
 A piece of text becomes a linked list of symbols. A heap holds the adjacent pairs that have a merge rank; the pair of
 lowest rank (leftmost first) is popped and merged, its new neighbours are pushed. Each merge takes one symbol away, so
-the count is the initial symbols less the merges; no token ids are made. Pieces repeat, so their counts are remembered
-up to a bound.
+the count is the initial symbols less the merges; no token ids are made. No piece goes across white space, so a text is
+counted run by run between blanks; runs repeat, so their counts are remembered up to a bound.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import kept, without
 
 #: A vocabulary file is broadcast; none may be larger.
 MOST_BYTES = 64_000_000
@@ -59,10 +59,15 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: What str.split takes for white space and the vocabulary's pattern does not.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
 class Counter:
-    """Counts tokens of texts; remembers pieces up to a bound."""
+    """Counts tokens of texts; remembers runs and pieces up to a bound."""
 
     REMEMBERED = 300_000
+    LONGEST = 64
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -71,6 +76,7 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.space = regex.compile(r"\s+")
         self.counts: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
         """Initial symbols less merges."""
@@ -103,27 +109,36 @@ class Counter:
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special and (found := len(self.special.findall(text))):
-            return found + sum(self.part(p) for p in self.special.split(text))
+        if self.special and any(t in text for t in self.v.special):
+            return len(self.special.findall(text)) + sum(map(self.part, self.special.split(text)))
         return self.part(text)
 
     def part(self, text: str) -> int:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        pieces = self.split.findall(lower(text))
-        counts = self.counts
-        try:
-            return sum(map(counts.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(counts) > self.REMEMBERED:
+        """The count of a text without special strings."""
+        if any(c in text for c in SEPARATORS):
+            return self.run(self.space.sub(" ", text))
+        runs, counts = text.split(), self.counts
+        new = set(runs).difference(counts)
+        if not new:
+            return sum(map(counts.__getitem__, runs))
+        if len(counts) + len(new) > self.REMEMBERED:
             counts.clear()
-        total = 0
-        for p in pieces:
-            n = counts.get(p)
+            new = set(runs)
+        long = {}
+        for run in new:
+            (counts if len(run) <= self.LONGEST and len(counts) < self.REMEMBERED else long)[run] = self.run(run)
+        return sum(counts[r] if r in counts else long[r] for r in runs) if long else sum(map(counts.__getitem__, runs))
+
+    def run(self, text: str) -> int:
+        total, pieces = 0, self.pieces
+        for p in self.split.findall(lower(unicodedata.normalize("NFC", text))):
+            n = pieces.get(p)
             if n is None:
                 n = self.piece(p)
-                if len(p) < 64:
-                    counts[p] = n
+                if len(p) <= self.LONGEST:
+                    if len(pieces) >= self.REMEMBERED:
+                        pieces.clear()
+                    pieces[p] = n
             total += n
         return total
 
@@ -159,10 +174,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(parse_vocabulary(shared.value))
+        content = shared.value
+        counter = kept("counter", content, lambda: Counter(parse_vocabulary(content)))
         for texts in batches:
             yield pd.Series([counter.text(t) for t in texts], dtype="int64")
 
-    kept = docs.select(*without(docs.columns, "n_bytes", "n_tokens", "over_limit"))
-    counted = kept.withColumn("n_tokens", of(F.col(text)))
+    rows = docs.select(*without(docs.columns, "n_bytes", "n_tokens", "over_limit"))
+    counted = rows.withColumn("n_tokens", of(F.col(text)))
     return counted.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,13 @@ def free_name(columns: list[str], name: str) -> str:
 def without(columns: list[str], *names: str) -> list[str]:
     """The columns but those of these names, in any case."""
     return [c for c in columns if c.lower() not in names]
+
+
+_KEPT: dict[str, tuple[Any, Any]] = {}
+
+
+def kept(name: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for this key, kept for the next tasks of the same Python worker; one thing for each name."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = key, make()
+    return _KEPT[name][1]

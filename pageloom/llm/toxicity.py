@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hex_key, without
+from .common import checkpoint, hex_key, kept, without
 
 WORDS = re.compile(r"\w+")
 QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
@@ -292,9 +292,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, te
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(lexicon)
+        scorer = kept("scorer", lexicon, lambda: Scorer(lexicon))
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    kept = docs.select(*without(docs.columns, "score", "predicted"))
-    return kept.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(*without(docs.columns, "score", "predicted"))
+    return rows.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
