@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key, shared_folder, written
+from .common import hex_key, shared_folder, ship, written
 
 CENTRES = 16
 #: Rows scanned at a time in a task, and queries sent to the tasks at a time.
@@ -108,6 +108,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
 
     The quantiser is fitted on about sample_rows rows by hashed id; None if no row is usable.
     """
+    ship(vectors.sparkSession)
     rows = usable(vectors, key, column)
     share = min(1.0, sample_rows / max(1, rows.count()))
     taken = rows.filter(hex_key("ann:", F.col("vec_id").cast("string")) <= int(share * (1 << 60))).orderBy("vec_id").limit(2 * sample_rows).collect()
@@ -137,6 +138,7 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, k:
     can be among a query's k nearest, so only they are looked at. Repeated queries get one answer.
     """
     spark = index.sparkSession
+    ship(spark)
     queries = queries.dropDuplicates(["vec_id"]) if quantiser else queries.limit(0)
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, without
+from .common import kept, ship, without
 
 #: A vocabulary file is broadcast; none may be larger.
 MOST_BYTES = 64_000_000
@@ -170,6 +170,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     if len(vocabulary) > MOST_BYTES:
         raise ValueError("the vocabulary is larger than may be broadcast")
     parse_vocabulary(vocabulary)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("long")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name, hex_key, without
+from .common import checkpoint, free_name, hex_key, ship, without
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4, 5)
@@ -64,6 +64,7 @@ def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key:
     Of each language about most_rows rows are read, taken by hashed key (all, if there are fewer); null languages and
     texts teach nothing. N-grams are counted in tasks, summed by a shuffle, and only the first ``size`` come back.
     """
+    ship(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counted = rows.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
     if len(counted) > MOST_LANGUAGES:
@@ -124,6 +125,8 @@ def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
     texts are read, however long; repeated rows get the same; an empty table stays empty.
     """
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Profiles(profiles, size)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_key, written
+from .common import hex_key, ship, written
 
 FEATURES = ("log_words", "word_length", "distinct_share", "repeat_share", "capital_share", "digit_share", "symbol_share", "end_marks", "words_a_mark", "line_words", "bar_share", "short_words", "same_lines")
 ENDS = re.compile(r"[.!?]+")
@@ -88,6 +88,8 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with its features as an array."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, written
+from .common import checkpoint, ship, written
 
 BITS = 64
 #: Members of a chunk of a shard; larger shards are cut.
@@ -59,6 +59,8 @@ def _ones(hashes: list[int]) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
     """``docs`` without the text and with ``fingerprint`` as a long."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
@@ -154,6 +156,7 @@ def layout(nodes: int, radius: int) -> list[list[tuple[int, int]]]:
 
 def shard_links(rows: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) of (bk_table, bk_key, bk_chunk, kind, fingerprint) rows; a shard's rows meet in one task, trees first."""
+    ship(rows.sparkSession)
     shard = ["bk_table", "bk_key", "bk_chunk"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hex_key, kept, without
+from .common import checkpoint, hex_key, kept, ship, without
 
 WORDS = re.compile(r"\w+")
 QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
@@ -213,6 +213,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
     A key's label is 1 if any of its rows says so; rows without key, label or text teach nothing. Without any toxic row
     the lexicon is empty and every text scores the base rate.
     """
+    ship(docs.sparkSession)
     labelled = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     share = most_rows / max(1, labelled.count())
     taken = labelled.filter(hex_key("toxicity:", F.col("key").cast("string")) < int(min(1.0, share) * (1 << 60)))
@@ -290,6 +291,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, te
     empty table stays empty.
     """
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = kept("scorer", lexicon, lambda: Scorer(lexicon))
