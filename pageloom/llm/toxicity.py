@@ -2,13 +2,15 @@
 
 The lexicon (whole words, and stems that any ending may follow) is learned from labelled rows. A word of a text is
 compared with all terms at once: the automaton of the word, as bit masks of its positions, walks the trie and is cut
-off where no state is left. A term's weight of evidence depends on how often the text has it: once, twice, more often.
+off where no state is left. A term's weight of evidence depends on how often one stretch of the text has it: once,
+twice, more often. So a stem that long clean texts meet now and then by chance still tells, where it comes thick.
 Misspelled hits and hits inside quotation marks, as the window around them shows, weigh less.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, lgamma, log
@@ -28,7 +30,7 @@ class Lexicon:
     """What scoring goes by.
 
     terms: each with whether it is a stem and how many edits it forgives. evidence: of each term, the log likelihood
-    ratio of one, two, or more hits. weights: the share of it that counts by (misspelled, quoted). prior: log odds of all
+    ratio of one, two, or more hits within ``stretch`` characters. weights: the share of it that counts by (misspelled, quoted). prior: log odds of all
     rows; base: the rate of rows without any hit. allowed: words near a term that clean texts use.
     """
 
@@ -39,6 +41,7 @@ class Lexicon:
     base: float = 0.02
     allowed: frozenset[str] = frozenset()
     window: int = 8
+    stretch: int = 600
 
     def __post_init__(self) -> None:
         self.evidence = self.evidence or [(6.0, 7.0, 8.0)] * len(self.terms)
@@ -128,28 +131,37 @@ class Scorer:
             self.found.clear()
         return hits
 
-    def hits(self, text: str | None) -> list[tuple[str, int, bool, bool]]:
-        """(word, term, misspelled, quoted) of every hit; quoted if marks in the window open before it and close after it."""
+    def hits(self, text: str | None) -> list[tuple[str, int, bool, bool, int]]:
+        """(word, term, misspelled, quoted, times) of every hit.
+
+        quoted: marks in the window open before it and close after it. times: the term's hits up to this one within a
+        stretch.
+        """
         text = (text or "").lower()
         if not (words := self.words(text)):
             return []
         found, reach = [], self.lexicon.window
+        near: dict[int, deque[int]] = {}
         for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)", text):
             distance, term = words[m[0]]
             before = " ".join(text[max(0, m.start() - 16 * reach) : m.start()].split()[-reach:])
             after = " ".join(text[m.end() : m.end() + 16 * reach].split()[:reach])
             opened = max((before.rfind(c) for c in QUOTES_OPEN), default=-1)
             shut = max((before.rfind(c) for c in set(QUOTES_CLOSE) - set(QUOTES_OPEN)), default=-1)
+            places = near.setdefault(term, deque())
+            places.append(m.start())
+            while places[0] < m.start() - self.lexicon.stretch:
+                places.popleft()
             level = before.count('"') % 2 if opened >= 0 and before[opened] == '"' else 1
-            found.append((m[0], term, distance > 0, opened > shut and bool(level) and any(c in after for c in QUOTES_CLOSE)))
+            found.append((m[0], term, distance > 0, opened > shut and bool(level) and any(c in after for c in QUOTES_CLOSE), len(places)))
         return found
 
     def score(self, text: str | None) -> float:
         """The rate of rows without a hit, or the odds of all rows moved by each term's evidence; the plainest hit of a term sets its weight."""
         counts: dict[int, int] = {}
         plainest: dict[int, float] = {}
-        for _, term, misspelled, quoted in self.hits(text):
-            counts[term] = counts.get(term, 0) + 1
+        for _, term, misspelled, quoted, times in self.hits(text):
+            counts[term] = max(counts.get(term, 0), times)
             plainest[term] = max(plainest.get(term, 0.0), self.lexicon.weights[misspelled, quoted])
         if not counts:
             return self.lexicon.base
@@ -164,32 +176,42 @@ def log_chance(bad: int, good: int, rate: float) -> float:
     return max(terms) + log(sum(exp(t - max(terms)) for t in terms))
 
 
-def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], rate: float, pure: float = 0.8, lift: float = 2.5, least: int = 3, chance: float = 1e-7) -> list[tuple[str, bool, int]]:
+#: Hits that are told apart: one, two, three or more.
+LEVELS = (1, 2, 3)
+
+
+def choose_terms(toxic_docs: list[dict[str, int]], counts: dict[str, tuple[int, tuple[int, ...]]], rate: float, pure: float = 0.8, lift: float = 2.5, least: int = 3, chance: float = 1e-7) -> list[tuple[str, bool, int]]:
     """Terms to go by, best first; ties to whole words, then longer ones, then code points.
 
-    toxic_docs: the candidates in each toxic row. counts: contexts in toxic rows, and clean rows, of each candidate; a
-    stem is written with a * at its end. A term taken covers its rows for the stems and words it shares letters with, so
-    a stem counts only for what its words leave. A term that chance can't explain and that is ``lift`` times as common
-    among toxic rows is taken; any other only if it is ``pure`` and explains rows that no term taken explains. Only pure
-    terms that chance can't explain forgive edits.
+    toxic_docs: how often each toxic row has each of its candidates. counts: contexts in toxic rows, and clean rows that
+    have it so often or more, of each candidate; a stem is written with a * at its end. A term is judged at the number of
+    hits where it explains most. A term taken covers its rows for the stems and words it shares letters with, so a stem
+    counts only for what its words leave. A term that chance can't explain and that is ``lift`` times as common among
+    toxic rows is taken; any other only if it is ``pure`` and explains rows that no term taken explains. Only terms that
+    chance can't explain and that a single hit shows to be pure forgive edits.
     """
-    holders: dict[str, set[int]] = {}
+    holders: dict[str, dict[int, int]] = {}
     for i, terms in enumerate(toxic_docs):
-        for t in terms:
-            holders.setdefault(t, set()).add(i)
+        for t, times in terms.items():
+            holders.setdefault(t, {})[i] = times
     rate = min(max(rate, 1e-6), 1 - 1e-6)
     explained: set[int] = set()
 
-    def judged(t: str) -> tuple[float, bool, float]:
-        """What the rest of a term's rows is worth, whether chance can't explain it, and how pure it is."""
-        contexts, good = counts[t]
-        n = min(len(holders[t]), contexts)
-        purity = n / (n + good) if n else 0.0
-        if n < least or purity < min(pure, lift * rate):
-            return 0.0, False, purity
-        sure = purity >= lift * rate and log_chance(n, good, rate) < log(chance)
-        left = len(holders[t]) if sure else len(holders[t] - explained) if purity >= pure else 0
-        return (left * purity if left >= least else 0.0), sure, purity
+    def judged(t: str) -> tuple[float, bool, int]:
+        """What the rest of a term's rows is worth, whether chance can't explain it, and the hits it takes, at best."""
+        contexts, clean = counts[t]
+        best = (0.0, False, 1)
+        for level in LEVELS:
+            rows = {i for i, times in holders[t].items() if times >= level}
+            n, good = min(len(rows), contexts), clean[level - 1]
+            purity = n / (n + good) if n else 0.0
+            if n < least or purity < min(pure, lift * rate):
+                continue
+            sure = purity >= lift * rate and log_chance(n, good, rate) < log(chance)
+            left = len(rows) if sure else len(rows - explained) if purity >= pure else 0
+            if left >= least and left * purity > best[0]:
+                best = left * purity, sure, level
+        return best
 
     chosen: list[tuple[str, bool, int]] = []
     worth, stale = {}, set(holders)
@@ -198,26 +220,30 @@ def choose_terms(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]],
         best = max(holders, key=lambda t: (worth[t][0], t[-1] != "*", len(t), t), default=None)
         if best is None or worth[best][0] <= 0:
             return chosen
-        term, stem, docs, (_, sure, purity) = best.rstrip("*"), best[-1] == "*", holders.pop(best), worth[best]
-        chosen.append((term, stem, tolerance(term, stem) if sure and purity >= 0.95 else 0))
+        term, stem, rows, (_, sure, level) = best.rstrip("*"), best[-1] == "*", holders.pop(best), worth[best]
+        n = min(len(rows), counts[best][0])
+        chosen.append((term, stem, tolerance(term, stem) if sure and n >= 0.95 * (n + counts[best][1][0]) else 0))
+        docs = {i for i, times in rows.items() if times >= level}
         explained |= docs
-        stale = {t for t in holders if holders[t] & docs}
+        stale = {t for t in holders if not docs.isdisjoint(holders[t])}
         for t in stale:
             if t.startswith(term) or best.startswith(t.rstrip("*")):
-                holders[t] -= docs
+                holders[t] = {i: times for i, times in holders[t].items() if i not in docs}
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from about most_rows labelled rows, taken by hashed id; the sample, not the corpus, bounds what is collected.
 
-    A key's label is 1 if any of its rows says so; rows without key, label or text teach nothing. Without any toxic row
-    the lexicon is empty and every text scores the base rate.
+    A key's label is 1 if any of its rows says so, and its least text teaches, so a key that many rows share is one row
+    here; rows without key, label or text teach nothing. Without any toxic row the lexicon is empty and every text
+    scores the base rate.
     """
     ship(docs.sparkSession)
     labelled = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     share = most_rows / max(1, labelled.count())
     taken = labelled.filter(hex_key("toxicity:", F.col("key").cast("string")) < int(min(1.0, share) * (1 << 60)))
     rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).join(F.broadcast(taken), "key").filter("text is not null")
+    rows = rows.groupBy("key", "toxic").agg(F.min("text").alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     sample = checkpoint(rows.select("key", "toxic", "text", words.alias("words")))
 
@@ -227,29 +253,39 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
     previous = F.concat(F.array(F.lit("")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
     placed = sample.filter("toxic = 1").select("key", F.explode(F.arrays_zip("words", previous.alias("before"))).alias("at"))
     placed = placed.select("key", F.col("at.before").alias("before"), F.explode(forms(F.col("at.words"))).alias("term")).filter("length(term) >= 3")
+    def rows_by_level(terms: DataFrame, name: str) -> DataFrame:
+        """For each term, the rows that have it so often or more, as an array."""
+        often = terms.groupBy("term", "key").agg(F.count("*").alias("times"))
+        return often.groupBy("term").agg(F.array(*[F.count_if(F.col("times") >= n) for n in LEVELS]).alias(name))
+
     #: Copies of a row repeat a term in the same context; only different words before it count as evidence.
-    bad = placed.groupBy("term").agg(F.countDistinct("before").alias("contexts"), F.countDistinct("key").alias("rows"))
-    bad = checkpoint(bad.select("term", "contexts", F.least("contexts", "rows").alias("bad")).filter("bad >= 3"))
-    clean = sample.filter("toxic = 0").select("key", F.explode(F.array_distinct("words")).alias("word"))
-    clean = clean.select("key", F.explode(forms(F.col("word"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("good"))
-    counted = bad.join(clean, "term", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    contexts = placed.groupBy("term").agg(F.countDistinct("before").alias("contexts")).filter("contexts >= 3")
+    bad = checkpoint(contexts.join(rows_by_level(placed, "bad"), "term").filter("bad[0] >= 3"))
+    clean = sample.filter("toxic = 0").select("key", F.explode("words").alias("word"))
+    clean = rows_by_level(clean.select("key", F.explode(forms(F.col("word"))).alias("term")), "good")
+    counted = bad.join(clean, "term", "left").withColumn("good", F.coalesce("good", F.array(*[F.lit(0).cast("long")] * len(LEVELS))))
     rate = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
-    share = F.col("bad") / (F.col("bad") + F.col("good"))
-    counted = checkpoint(counted.filter((share >= 0.8) | (F.col("bad") >= 8) & (share >= 2.5 * rate)))
-    counts = {r.term: (r.contexts, r.good) for r in counted.collect()}
-    held = placed.join(counted.select("term"), "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
-    lexicon = Lexicon(choose_terms([set(r.terms) for r in held.collect()], counts, rate))
+    told = F.lit(False)
+    for level in range(len(LEVELS)):
+        n = F.least("contexts", F.get("bad", F.lit(level)))
+        share = n / F.greatest(n + F.get("good", F.lit(level)), F.lit(1))
+        told |= (n >= 3) & (share >= 0.8) | (n >= 8) & (share >= 2.5 * rate)
+    counted = checkpoint(counted.filter(told))
+    counts = {r.term: (r.contexts, tuple(r.good)) for r in counted.select("term", "contexts", "good").collect()}
+    held = placed.join(counted.select("term"), "term").groupBy("key", "term").agg(F.least(F.count("*"), F.lit(LEVELS[-1])).alias("times"))
+    held = held.groupBy("key").agg(F.collect_list(F.struct("term", "times")).alias("terms"))
+    lexicon = Lexicon(choose_terms([{x.term: x.times for x in r.terms} for r in held.collect()], counts, rate))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon)
         for batch in batches:
             out = []
             for key, toxic, body in zip(batch["key"], batch["toxic"], batch["text"], strict=True):
-                out += [(key, toxic, *h) for h in scorer.hits(body)] or [(key, toxic, "", -1, False, False)]
-            yield pd.DataFrame(out, columns=["key", "toxic", "word", "term", "misspelled", "quoted"])
+                out += [(key, toxic, *h) for h in scorer.hits(body)] or [(key, toxic, "", -1, False, False, 0)]
+            yield pd.DataFrame(out, columns=["key", "toxic", "word", "term", "misspelled", "quoted", "times"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    hits = checkpoint(sample.select("key", "toxic", "text").mapInPandas(found, f"key {kind}, toxic int, word string, term int, misspelled boolean, quoted boolean"))
+    hits = checkpoint(sample.select("key", "toxic", "text").mapInPandas(found, f"key {kind}, toxic int, word string, term int, misspelled boolean, quoted boolean, times int"))
     near = hits.filter("misspelled").groupBy("term", "word").agg(F.avg("toxic").alias("rate")).filter("rate < 0.5").collect()
     crowded = {t for t in range(len(lexicon.terms)) if sum(r.term == t for r in near) >= 3}  # clean words stand all round it
     lexicon.terms = [(term, stem, 0 if t in crowded else edits) for t, (term, stem, edits) in enumerate(lexicon.terms)]
@@ -260,12 +296,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
 
 
 def weigh(lexicon: Lexicon, hits: DataFrame) -> None:
-    """Sets a lexicon's evidence, weights, prior and base from (key, toxic, term, misspelled, quoted) rows, term -1 for none."""
+    """Sets a lexicon's evidence, weights, prior and base from (key, toxic, term, misspelled, quoted, times) rows, term -1 for none."""
     rows = hits.groupBy("key").agg(F.max("toxic").alias("toxic"), F.max("term").alias("term"))
     bad, good, bad_none, good_none = rows.agg(*[F.coalesce(F.sum(F.when(c, 1)), F.lit(0)) for c in (F.col("toxic") == 1, F.col("toxic") == 0, (F.col("toxic") == 1) & (F.col("term") < 0), (F.col("toxic") == 0) & (F.col("term") < 0))]).first()
     lexicon.prior = log((bad + 0.5) / (good + 0.5))
     lexicon.base = (bad_none + 0.5) / (bad_none + good_none + 1)
-    often = hits.filter("term >= 0").groupBy("key", "toxic", "term").agg(F.least(F.count("*"), F.lit(3)).alias("times"))
+    often = hits.filter("term >= 0").groupBy("key", "toxic", "term").agg(F.least(F.max("times"), F.lit(3)).alias("times"))
     seen = {(r.term, r.times): (r.bad, r.good) for r in often.groupBy("term", "times").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
     evidence = []
     for term in range(len(lexicon.terms)):
