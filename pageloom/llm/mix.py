@@ -1,6 +1,6 @@
 """Mixing sources to target weights, to the exact word.
 
-Each row gets a hash-random key. Within a source, rows are ordered by that key; the running sum of their sizes tells
+Each row gets a hash-random key, of its id and text, so that rows without an id do not meet in one place. Within a source, rows are ordered by that key; the running sum of their sizes tells
 where the source's budget ends. The running sum is built in two levels, so that no task holds a whole source: keys fall
 into about sqrt(n) equal ranges, range sums are added up first, and rows are sorted and added up within one range.
 A budget above the source's size is met by whole further passes (epochs) and a cut in the last one.
@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio:
         *kept,
         word_count(F.col(text)).alias("size"),
         source_order(F.col(source)).alias(by),
-        hex_key(seed + ":", F.coalesce(F.col(key).cast("string"), F.lit(""))).alias(order),
+        hex_key(seed + ":", F.coalesce(F.col(key).cast("string"), F.lit("")), ":", F.coalesce(F.col(text), F.lit(""))).alias(order),
         F.xxhash64(text).alias(tie),
     )
     ranges = max(1, math.isqrt(docs.count()))

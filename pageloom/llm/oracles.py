@@ -34,7 +34,7 @@ OP3 = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
          CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS src, hash(text) AS th,
-         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key
   FROM documents
 ), sources AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS most,
