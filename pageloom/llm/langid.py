@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name, hex_key, ship, without
+from .common import free_name, hex_key, ship, without
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4, 5)
@@ -84,13 +84,12 @@ def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key:
                     yield pd.DataFrame({"lang": name, "gram": values.view(np.int64), "n": counts})
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long")
-    totals = checkpoint(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    profiles = {}
-    for name in sorted(r.lang for r in counted):
-        best = totals.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()
-        if best:
-            profiles[name] = np.array([r.gram for r in best], np.int64).view(np.uint64)
-    return profiles
+    totals = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best: dict[str, list[tuple[int, int]]] = {}
+    for r in totals.withColumn("rank", rank).filter(F.col("rank") <= size).collect():
+        best.setdefault(r.lang, []).append((r.rank, r.gram))
+    return {name: np.array([gram for _, gram in sorted(best[name])], np.int64).view(np.uint64) for name in sorted(best)}
 
 
 class Profiles:
