@@ -98,11 +98,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def learn_classifier(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Classifier:
-    """A classifier from about most_rows labelled rows, taken by hashed id; rows without key or label teach nothing."""
+    """A classifier from about most_rows labelled rows, taken by hashed id; of a key's rows the least text teaches.
+
+    Rows without key or label teach nothing.
+    """
     known = one_label(labels, key, label)
     share = min(1.0, most_rows / max(1, known.count()))
     taken = known.filter(hex_key("quality:", F.col("key").cast("string")) <= int(share * (1 << 60)))
-    rows = measured(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(taken), "key"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(taken), "key")
+    rows = measured(rows.groupBy("key", "good").agg(F.min("text").alias("text")))
     got = rows.select("good", "features").toPandas()
     x = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_classifier(x, got["good"].to_numpy(float))

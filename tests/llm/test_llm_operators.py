@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import brute
 import near
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -281,6 +283,35 @@ def test_toxicity_learns_words_and_stems(spark):
     assert all((scorer.score(r[1]) >= 0.3) == bool(t) for r, (_, t) in zip(rows, labels, strict=True))
 
 
+def test_toxicity_weighs_how_thick_a_stem_comes(spark):
+    rng = random.Random(3)
+    plain = [f"w{i}" for i in range(300)]
+    tail = lambda: "grimly" + rng.choice(plain)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = rng.choices(plain, k=60 if toxic else 400)
+        if toxic:
+            words[10:10] = [tail(), "w1", tail(), "w2", tail()]
+        elif i % 3:  # a clean text has the stem as well, once, or twice far apart
+            words[20:20] = [tail()]
+            words += [tail()] * (i % 2)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [(t[:4], s) for t, s, _ in lexicon.terms] == [("grim", True)]
+    scorer = toxicity.Scorer(lexicon)
+    assert all((scorer.score(r[1]) >= 0.3) == bool(t) for r, (_, t) in zip(rows, labels, strict=True))
+
+
+def test_samples_take_one_row_of_a_repeated_key(spark):
+    many = spark.createDataFrame([(1, f"text {i % 3}", "en", "s", 0) for i in range(300)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.learn_classifier(many, labels)
+    assert model.prior == pytest.approx(quality.fit_classifier(np.zeros((1, len(quality.FEATURES))), np.ones(1)).prior)
+    assert toxicity.learn_lexicon(many, labels).prior == pytest.approx(math.log(1.5 / 0.5))
+
+
 def test_nearest_vectors(spark):
     rng = random.Random(9)
     rows = {i: [rng.gauss(i % 7, 1) for _ in range(6)] for i in range(600)}
