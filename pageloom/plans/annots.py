@@ -193,7 +193,7 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by how well their name or, half as well, their type meets a query."""
     rows = table(spark, sf_dir, "part")
-    score = F.greatest(scalar.fuzzy_score(F.col("p_name"), "part 1") * 1.0, scalar.fuzzy_score(F.col("p_type"), "pt") * 0.5)
+    score = F.greatest(scalar.fuzzy_score(F.col("p_name"), "red") * 1.0, scalar.fuzzy_score(F.col("p_type"), "small") * 0.5)
     rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey"))
     return rows.select("p_partkey", "p_brand", score.alias("score")).filter("score > 0").withColumn("rank", rank)
 
@@ -246,5 +246,5 @@ ORACLES = {
     "xfdf_roundtrip": f"WITH {TURNS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS ord, 'f&' || n AS name, '<a> ' || text AS value FROM turns WHERE role = 'user'",
     "permissions_bits": "SELECT event_id, " + ", ".join(f"event_type = 'view' OR CASE WHEN user_id % 4 + 1 >= 3 THEN {BIT.format(1 << new - 1)} ELSE {BIT.format(1 << old - 1)} END AS {name}" for name, new, old in (("print", 3, 3), ("modify_contents", 4, 4), ("copy_extract", 5, 5), ("annotate", 6, 6), ("fill_forms", 9, 6), ("accessibility_extract", 10, 5), ("assemble", 11, 4), ("print_high_quality", 12, 3))) + " FROM events",
     "error_classify": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches({_RAW}, '(?i){p}') THEN '{n}'" for p, n in zip(_KINDS, ("password", "permission", "invalid", "missing", "space", "timeout"), strict=True)) + f" ELSE 'other' END AS kind, CASE WHEN length(trim({MESSAGE})) > 280 THEN substr(trim({MESSAGE}), 1, 280) || '…' ELSE trim({MESSAGE}) END AS shown FROM documents",
-    "fuzzy_rank": "SELECT p_partkey, p_brand, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM (SELECT p_partkey, p_brand, greatest(CASE WHEN lower(p_name) = 'part 1' THEN 1000.0 WHEN starts_with(lower(p_name), 'part 1') THEN 500.0 WHEN contains(lower(p_name), 'part 1') THEN 200.0 WHEN regexp_matches(lower(p_name), '(?s)p.*a.*r.*t.* .*1') THEN 50.0 ELSE 0.0 END, 0.5 * CASE WHEN lower(p_type) = 'pt' THEN 1000 WHEN starts_with(lower(p_type), 'pt') THEN 500 WHEN contains(lower(p_type), 'pt') THEN 200 WHEN regexp_matches(lower(p_type), '(?s)p.*t') THEN 50 ELSE 0 END)::DOUBLE AS score FROM part) WHERE score > 0",
+    "fuzzy_rank": "SELECT p_partkey, p_brand, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM (SELECT p_partkey, p_brand, greatest(CASE WHEN lower(p_name) = 'red' THEN 1000.0 WHEN starts_with(lower(p_name), 'red') THEN 500.0 WHEN contains(lower(p_name), 'red') THEN 200.0 WHEN regexp_matches(lower(p_name), '(?s)r.*e.*d') THEN 50.0 ELSE 0.0 END, 0.5 * CASE WHEN lower(p_type) = 'small' THEN 1000 WHEN starts_with(lower(p_type), 'small') THEN 500 WHEN contains(lower(p_type), 'small') THEN 200 WHEN regexp_matches(lower(p_type), '(?s)s.*m.*a.*l.*l') THEN 50 ELSE 0 END)::DOUBLE AS score FROM part) WHERE score > 0",
 }
