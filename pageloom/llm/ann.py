@@ -4,7 +4,9 @@ Squared distance is |q|^2 + |x|^2 - 2 q.x, so the nearest vectors have the large
 product search in which |x|^2 is kept exactly and x is quantised. An error of a code along x spoils the scores of just
 those queries for which x matters, so it is weighed heavier than an error across x, both when codebooks are fitted and
 when codes are chosen. Codes have four bits for each pair of dimensions; two codes share a byte. A search adds up table
-entries, one look-up a byte, and the best few rows are ranked again by their true distance.
+entries, one look-up a byte, and the best few rows are ranked again by their true distance. That gives a distance to
+beat. A row is at least as far from a query as the query is from the row's code, less the norm of what the code leaves
+out (or the other way round); every row that this bound does not rule out is measured truly as well, so none is lost.
 """
 
 from __future__ import annotations
@@ -61,7 +63,11 @@ class Quantiser:
 
     def along(self, x: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The signed error of each row along its own direction."""
-        return (unit * (x - self.books[np.arange(len(self.books)), codes])).sum((1, 2))
+        return (unit * (x - self.decode(codes))).sum((1, 2))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """(n, parts, 2) of the centres."""
+        return self.books[np.arange(len(self.books)), codes]
 
 
 def direction(x: np.ndarray) -> np.ndarray:
@@ -104,8 +110,9 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sample_rows: int = 8000) -> tuple[DataFrame, Quantiser | None]:
-    """An index of every usable row, (vec_id, vector, codes) written to the shared folder, and its quantiser.
+    """An index of every usable row, (vec_id, vector, codes, length, rest) written to the shared folder, and its quantiser.
 
+    length is the squared norm of what the codes stand for, rest the norm of what they leave out; both less the mean.
     The quantiser is fitted on about sample_rows rows by hashed id; None if no row is usable.
     """
     ship(vectors.sparkSession)
@@ -120,22 +127,26 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 block = batch.iloc[at : at + ROWS]
-                codes = quantiser.encode(np.stack(block["vector"].to_numpy()))
-                packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield block.assign(codes=[row.tobytes() for row in packed])
-
-    schema = "vec_id long, vector array<double>, codes binary"
-    index = rows.mapInPandas(encode, schema) if quantiser else rows.withColumn("codes", F.lit(b""))
+                vectors = np.stack(block["vector"].to_numpy())
+                codes = quantiser.encode(vectors)
+                packed, centres = codes[:, 0::2] | codes[:, 1::2] << 4, quantiser.decode(codes)
+                rest = np.sqrt(((quantiser.parts(vectors) - centres) ** 2).sum((1, 2)))
+                yield block.assign(codes=[row.tobytes() for row in packed], length=(centres**2).sum((1, 2)), rest=rest)
+
+    schema = "vec_id long, vector array<double>, codes binary, length double, rest double"
+    none = {"codes": F.lit(b""), "length": F.lit(0.0), "rest": F.lit(0.0)}
+    index = rows.mapInPandas(encode, schema) if quantiser else rows.withColumns(none)
     return written(index), quantiser
 
 
 def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, k: int = 10, rerank: int = 150) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query, by true Euclidean distance, ties to smaller ids.
+    """(query_id, rank, vec_id, score): the k nearest rows of each query, by true Euclidean distance, ties to smaller ids.
 
     queries: (vec_id, vector) rows of the index's length. They may be many: they go to the tasks in blocks of about
     QUERIES rows, and each block meets all index rows, block by block. A row with the query's own id is no candidate.
-    In each block of rows, ``rerank`` rows by table scores are measured truly; of equal vectors only the first k + 1 ids
-    can be among a query's k nearest, so only they are looked at. Repeated queries get one answer.
+    In each block of rows, ``rerank`` rows by table scores are measured truly, and then all others that could be nearer
+    than the k-th so far; of equal vectors only the first k + 1 ids can be among a query's k nearest, so only they are
+    looked at. Repeated queries get one answer.
     """
     spark = index.sparkSession
     ship(spark)
@@ -174,13 +185,14 @@ class Nearest:
     """The nearest rows so far of a block of queries."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, q: Quantiser, k: int, rerank: int) -> None:
-        self.ids, self.vectors, self.k, self.rerank = ids, vectors, k, rerank
-        padded = np.zeros((len(ids), len(q.books) * 2))
-        padded[:, : vectors.shape[1]] = vectors
-        tables = np.einsum("nmd,mkd->nmk", padded.reshape(len(ids), -1, 2), q.books)
+        self.ids, self.vectors, self.mean, self.k, self.rerank = ids, vectors, q.mean, k, rerank
+        self.less = vectors - q.mean
+        self.square = (self.less**2).sum(1)
+        tables = np.einsum("nmd,mkd->nmk", q.parts(vectors), q.books)
         #: For each byte of a code, the sum of its two entries, for every query.
         self.tables = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(ids), -1, 256).astype(np.float32)
-        self.offset = vectors @ q.mean
+        #: What single precision may add to a sum of entries or take from it.
+        self.slack = (self.tables.shape[1] + 1) * 2.0**-23 * np.abs(self.tables).max(2).sum(1, dtype=np.float64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.distance = np.full((len(ids), k), np.inf)
 
@@ -194,14 +206,18 @@ class Nearest:
         place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
         keep = order[np.sort(by_group[place <= self.k])]
         rows, vectors, codes = rows[keep], vectors[keep], codes[keep]
-        half = (vectors**2).sum(1) / 2
+        length, rest = block["length"].to_numpy(np.float64)[keep], block["rest"].to_numpy(np.float64)[keep]
+        less = vectors - self.mean
+        square = (less**2).sum(1)
+        half = (square / 2).astype(np.float32)
         for at in range(0, len(self.ids), 128):
             mine = slice(at, at + 128)
-            scores = np.zeros((len(self.ids[mine]), len(rows)), np.float32)
+            sums = np.zeros((len(self.ids[mine]), len(rows)), np.float32)
             for j in range(codes.shape[1]):
-                scores += self.tables[mine, j][:, codes[:, j]]
-            scores = scores - half.astype(np.float32)
-            scores[self.ids[mine, None] == rows[None]] = -np.inf
+                sums += self.tables[mine, j][:, codes[:, j]]
+            own = self.ids[mine, None] == rows[None]
+            scores = sums - half
+            scores[own] = -np.inf
             some = min(self.rerank, len(rows))
             near = np.argpartition(-scores, some - 1, axis=1)[:, :some]
             true = np.sqrt(((self.vectors[mine, None] - vectors[near]) ** 2).sum(-1))
@@ -209,6 +225,43 @@ class Nearest:
             found, distance = np.concatenate([self.found[mine], rows[near]], 1), np.concatenate([self.distance[mine], true], 1)
             first = np.lexsort((found, distance), axis=1)[:, : self.k]
             self.found[mine], self.distance[mine] = np.take_along_axis(found, first, 1), np.take_along_axis(distance, first, 1)
+            np.put_along_axis(own, near, True, 1)
+            self.look_at_rest(at, rows, vectors, less, square, self.within(mine, sums, length, rest, square) & ~own)
+
+    def within(self, mine: slice, sums: np.ndarray, length: np.ndarray, rest: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """Whether a row may be as near as the k-th found so far, by its code; what overflows may be."""
+        coded = self.square[mine, None] + length - 2.0 * sums
+        slack = 2 * self.slack[mine, None] + 1e-12 * (self.square[mine, None] + square)
+        reach = (self.distance[mine, -1] * (1 + 1e-9) + 1e-12 * np.sqrt(self.square[mine] + square.max() + (self.mean**2).sum()))[:, None]
+        far = coded - slack > (reach + rest) ** 2
+        return ~(far | ((rest > reach) & (coded + slack < (rest - reach) ** 2)))
+
+    def look_at_rest(self, at: int, rows: np.ndarray, vectors: np.ndarray, less: np.ndarray, square: np.ndarray, may: np.ndarray) -> None:
+        """Measures the rows that may be nearer: by one product of matrices, and truly where its rounding leaves a doubt."""
+        some = np.flatnonzero(may.any(1))
+        columns = np.flatnonzero(may.any(0))
+        if not len(some):
+            return
+        may, mine = may[np.ix_(some, columns)], some + at
+        both = self.square[mine, None] + square[columns]
+        slack = (len(self.mean) + 8) * 2.0**-50 * (both + (self.mean**2).sum())
+        squares = both - 2 * self.less[mine] @ less[columns].T
+        limit = (self.distance[mine, -1] * (1 + 1e-9)) ** 2
+        if len(columns) >= self.k:
+            limit = np.fmin(limit, np.partition(np.where(may, squares + slack, np.inf), self.k - 1, axis=1)[:, self.k - 1])
+        query, row = np.nonzero(may & ~(squares - slack > limit[:, None]))
+        query, row = mine[query], columns[row]
+        for start in range(0, len(query), 1 << 16):
+            q, r = query[start : start + (1 << 16)], row[start : start + (1 << 16)]
+            true = np.sqrt(((self.vectors[q] - vectors[r]) ** 2).sum(-1))
+            asked = np.unique(q)
+            whose = np.concatenate([np.repeat(asked, self.k), q])
+            found = np.concatenate([self.found[asked].ravel(), rows[r]])
+            distance = np.concatenate([self.distance[asked].ravel(), true])
+            order = np.lexsort((found, distance, whose))
+            starts = np.searchsorted(whose[order], asked)
+            first = order[starts[:, None] + np.arange(self.k)]
+            self.found[asked], self.distance[asked] = found[first], distance[first]
 
     def frame(self) -> pd.DataFrame:
         there = np.isfinite(self.distance)

@@ -342,6 +342,20 @@ def test_nearest_vectors(spark):
     assert ann.search(nothing, q, nothing.select("vec_id", "vector")).count() == 0
 
 
+def test_nearest_vectors_of_a_cluster_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(3, 1, (12_000, 16))
+    x[::3] = x[0] + rng.normal(0, 0.001, (4000, 16))
+    rows = dict(enumerate(x.tolist()))
+    index, q = ann.build_index(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").coalesce(1))
+    asked = list(range(0, 12_000, 400))
+    got = {}
+    for r in ann.search(index, q, index.filter(F.col("vec_id").isin(asked)).select("vec_id", "vector")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = near.exact(rows, asked)
+    assert {i: [v for _, v in sorted(found)] for i, found in got.items()} == {i: [v for _, v in found] for i, found in want.items()}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     folder = str(tmp_path / "sf")
     docs.write.parquet(f"{folder}/documents.parquet")
