@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import ann, bpe_count, decontaminate, langid, license_scan, license_texts, mix, quality, shard, simhash, toxicity
+from pageloom.llm import ann, bpe_count, decontaminate, langid, license_scan, license_texts, mix, near_copies, quality, shard, simhash, toxicity
 from pageloom.llm.common import in_fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -372,6 +372,42 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert stage(spark, empty(docs), folder).count() == 0
 
 
+def test_near_copies_are_all_that_are_similar(spark):
+    rng = random.Random(4)
+    texts = []
+    for g in range(40):  # groups of edited copies, all with one passage in common
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 120))]
+        for _ in range(60 if g == 0 else rng.randrange(1, 7)):
+            mine = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 20)):
+                mine[rng.randrange(len(mine))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join([*mine, *"one passage that very many of the texts have at the end".split()]))
+    texts += ["", None, " ", "x", "X", texts[0].upper()]
+    rows = [(f"{i:05d}", t) for i, t in enumerate(texts)]
+    got = {r.mark: r.component for r in near_copies.near_copies(spark.createDataFrame(rows, "mark string, text string")).collect()}
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {""}
+
+    found, label = [grams(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(found[i] & found[j]) * 5 >= len(found[i] | found[j]) * 4:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert got == {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+
+
+def test_pipeline_drops_near_copies_by_similarity(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    edited = [w if i != 30 else "edited" for i, w in enumerate(words)]  # 51 of 61 shingles in common
+    other = [w if i % 12 else "other" for i, w in enumerate(words)]
+    rows = [(n, " ".join(t), "en", "a", 0) for n, t in enumerate((words, edited, other))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {0, 2}
+
+
 def test_folds(spark):
     import zlib
 
