@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from pageloom.storage import checkpointed
 
 
 def walk_tree(nodes: DataFrame, keys: list[str], most_depth: int = 512) -> DataFrame:

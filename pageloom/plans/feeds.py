@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators.graph import shared_folder
 from pageloom.sources.tables import table
+from pageloom.storage import shared_folder
 from pageloom.streaming import feeds
 
 
