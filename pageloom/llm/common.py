@@ -1,10 +1,9 @@
-"""What several operators share: words, stable hashes and tables that cut lineage."""
+"""What several operators share: words, stable hashes and columns of clashing names."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,6 +12,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.storage import checkpointed as checkpoint
+from pageloom.storage import remove, shared_folder, written
+
+__all__ = ["checkpoint", "remove", "shared_folder", "written"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,31 +42,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="pageloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, kept in the shared folder, so that no lost executor makes it recompute."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The table written as Parquet in the shared folder and read again; later joins see its true size."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hex_key(*parts: Column | str) -> Column:
     """A 60-bit hash of the parts, as a long: the first 15 hex digits of an MD5, the same in any SQL engine."""
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

@@ -1,14 +1,17 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a set-similarity join by prefixes, without lost pairs.
-
-Put each text's distinct shingles in one order that all texts share. Texts of similarity t have at least t n shingles in
-common, n being the size of either, so they share one among the first n - ceil(t n) + 1 of each: only these prefixes
-meet. The first shingle that they share bounds what can follow it, which rules out most chance meetings. Shingles that
-are frequent in a sample come last in the order, so that a passage in many texts is in few prefixes; the sample changes
-the work, never the links.
-
-A shingle's rows are not paired all with all. First each text is measured against one that its prefix meets most often;
-what that links is mostly one component of a shingle's rows, and only rows outside the largest are then paired with all
-others of another component. So a dense group costs about its size.
+"""SimHash near copies of a set similarity: fingerprints in BK-trees propose, the exact Jaccard similarity decides.
+
+Texts of similarity 0.8 differ by about ten of 64 bits, and often by fifteen. Blocks of equal bits would not tell such
+pairs from chance, so shards of fingerprints are keyed by shingles. Put each text's distinct shingles in one order that
+all texts share. Texts of similarity t have at least t n shingles in common, n being the size of either, so they share
+one among the first n - ceil(t n) + 1 of each: every shingle of these prefixes is the key of a shard, and no pair is
+missed. Where in the order the shared shingle stands bounds what can follow it, which rules out most chance meetings.
+Shingles that are frequent in a sample come last in the order, so that a passage in many texts is in few prefixes; the
+sample changes the work, never the links.
+
+A shard's rows are not paired all with all. First each text is measured against the one that it most often stands next
+to, by size, in its shards. What that links is mostly one component of a shard's rows. Only rows outside the largest
+component are then looked up in the BK-tree of the shard's fingerprints, within RADIUS bits; a large shard is cut into
+chunks with a tree each, and the rows outside are looked up in all of them. So a dense group costs about its size.
 """
 
 from __future__ import annotations
@@ -22,21 +25,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key, ship, written
-from .simhash import components
+from .common import hex_key, remove, ship, written
+from .simhash import BITS, CHUNK, JOIN, SEARCH, BKTree, components, majority
 
 #: Shingles that come last in the order, at most.
 MOST_FREQUENT = 50_000
+#: Bits by which fingerprints of one shard may differ: five standard deviations above the mean at similarity 0.8.
+RADIUS = 24
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Hashes of a text's distinct shingles, ascending; a text of fewer words is one shingle, one of no word has none."""
+def hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """Unsigned hashes of a text's shingles, with repeats; fewer words than a shingle are one, a text of no word has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     digest, runs = xxhash.xxh64_intdigest, zip(*(words[i:] for i in range(width)), strict=False)
-    hashes = [digest(b" ".join(run), 42) for run in runs] if len(words) > width else [digest(b" ".join(words), 42)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.array([digest(b" ".join(run), 42) for run in runs] if len(words) > width else [digest(b" ".join(words), 42)], np.uint64)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Signed hashes of a text's distinct shingles, ascending."""
+    return np.unique(hashes(text, width).view(np.int64))
 
 
 def frequent_shingles(docs: DataFrame, width: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,25 +65,35 @@ def frequent_shingles(docs: DataFrame, width: int, sample_rows: int) -> tuple[np
 
 
 def prefixes(docs: DataFrame, least: float, width: int, sample_rows: int) -> DataFrame:
-    """(mark, node, size, prefix): node is a hash of the whole set, equal for texts of equal shingles."""
+    """(mark, node, size, fingerprint, prefix): node is a hash of the whole set, equal for texts of equal shingles.
+
+    Texts of one set may repeat shingles differently; a node takes the fingerprint of its distinct shingles.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, sample_rows))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, counts = sent.value
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for mark, text in zip(batch["mark"], batch["text"], strict=True):
                 grams = shingles(text, width)
                 n = len(grams)
-                node = xxhash.xxh64_intdigest(grams.tobytes(), 42)
+                node = np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 42)).view(np.int64)
                 order = np.arange(n)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                     order = np.argsort(np.where(frequent[at] == grams, counts[at], 0), kind="stable")
-                out.append((int(np.uint64(node).view(np.int64)), n, grams[order[: n - math.ceil(round(least * n, 9)) + 1]]))
-            yield pd.DataFrame({"mark": batch["mark"], "node": [o[0] for o in out], "size": [o[1] for o in out], "prefix": [o[2] for o in out]})
+                first = grams[order[: n - math.ceil(round(least * n, 9)) + 1]]
+                out.append((mark, int(node), n, majority(grams.view(np.uint64)), first))
+            yield pd.DataFrame(out, columns=["mark", "node", "size", "fingerprint", "prefix"])
+
+    return docs.mapInPandas(of, "mark string, node long, size long, fingerprint long, prefix array<long>")
 
-    return docs.mapInPandas(of, "mark string, node long, size long, prefix array<long>")
+
+def one_each(docs: DataFrame, mark: str, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row of each mark; ``repeated`` holds the marks of several rows, and only such rows are shuffled."""
+    once = docs.join(repeated, mark, "left_anti")
+    return once.unionByName(docs.join(repeated, mark, "left_semi").dropDuplicates([mark]))
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -94,43 +113,95 @@ def similar(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return met.filter(common >= least * (both - common) - 1e-9).select("a", "b")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, sample_rows: int = 5000) -> DataFrame:
-    """(mark, component): each row's mark and the least mark of its group, for (mark, text) rows with texts as strings.
+def fits(least: float, size: Column, pos: Column, other: Column, place: Column) -> Column:
+    """Whether sets whose first shared shingle stands at these places of their orders can be similar."""
+    return F.least(size - pos, other - place) >= least / (1 + least) * (size + other) - 1e-9
+
+
+def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
+    """Pairs (a, b) of different labels from (gram, part, kind, node, label, fingerprint, size, pos) rows.
+
+    A shard's tree is built first, of its JOIN rows; then SEARCH rows are looked up in it.
+    """
+    share = least / (1 + least)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tree, held = None, BKTree(), []
+        for batch in batches:
+            pairs = []
+            for gram, part, kind, node, label, value, size, pos in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
+                if (gram, part) != key:
+                    key, tree, held = (gram, part), BKTree(), []
+                value &= (1 << BITS) - 1
+                if kind == JOIN:
+                    at = tree.add(value)
+                    if at == len(held):
+                        held.append([])
+                    held[at].append((node, label, size, pos))
+                    continue
+                for at in tree.within(value, radius):
+                    for other, its, length, place in held[at]:
+                        if its != label and min(size - pos, length - place) >= share * (size + length) - 1e-9:
+                            pairs.append((min(node, other), max(node, other)))
+            if pairs:
+                yield pd.DataFrame(sorted(set(pairs)), columns=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*SHARD_ROW).repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "kind")
+    return dealt.mapInPandas(search, "a long, b long").distinct()
+
+
+SHARD_ROW = ("gram", "part", "kind", "node", "label", "fingerprint", "size", "pos")
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = RADIUS, chunk: int = CHUNK, sample_rows: int = 5000) -> DataFrame:
+    """(mark, rows, component): each mark, its number of rows, and the least mark of its group; for (mark, text) rows.
 
     Rows are linked if the Jaccard similarity of their shingles is ``least`` or more; texts without words are equal. A
-    group is what links join. Equal marks must have equal texts. Shingles and sets are told apart by 64-bit hashes.
+    group is what links join. Rows of equal marks must have equal texts, as strings. A mark must not be null; an empty
+    table gives no rows. Shingles and sets are told apart by 64-bit hashes. A pair that is found in trees alone and
+    whose fingerprints differ by more than ``radius`` bits is not linked.
     """
     ship(docs.sparkSession)
     prints = written(prefixes(docs, least, width, sample_rows))
-    nodes = written(prints.groupBy("node").agg(F.min("mark").alias("mark"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix")))
-
-    def fits(size: Column, pos: Column, other: Column, place: Column) -> Column:
-        return F.least(size - pos, other - place) >= least / (1 + least) * (size + other) - 1e-9
+    by_node = [F.any_value(c).alias(c) for c in ("size", "fingerprint", "prefix")]
+    nodes = written(prints.groupBy("node").agg(F.min("mark").alias("mark"), *by_node))
+    marks = written(prints.groupBy("mark").agg(F.any_value("node").alias("node"), F.count("*").alias("rows")))
+    remove(prints)
+    repeated = marks.filter("rows > 1").select("mark")
 
     gram = Window.partitionBy("gram").orderBy("size", "node")
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
     last = {f"last_{c}": F.lag(c).over(gram) for c in ("node", "size", "pos")}
-    shared = written(rows.withColumns(last | {"next": F.lead("node").over(gram)}).filter("last_node is not null or next is not null").drop("next"))
-    met = shared.filter(fits(F.col("size"), F.col("pos"), F.col("last_size"), F.col("last_pos")))
+    shared = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).withColumns(last | {"next": F.lead("node").over(gram)})
+    shared = written(shared.filter("last_node is not null or next is not null").drop("next"))
+    met = shared.filter(fits(least, F.col("size"), F.col("pos"), F.col("last_size"), F.col("last_pos")))
     met = met.groupBy(F.col("last_node").alias("a"), F.col("node").alias("b")).count()
     first = written(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"))
-    placed = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "mark")
-    grams = written(sets(docs.dropDuplicates(["mark"]).join(placed, "mark").select("node", "text"), width))
-    links = written(similar(first, grams, least))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        placed = nodes.join(met, "node", "left_semi").select("node", "mark")
+        grams = written(sets(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"), width))
+        links = written(similar(pairs, grams, least))
+        remove(grams)
+        return links
+
+    links = verified(first)
     labels = components(links).withColumnRenamed("label", "linked")
-    labelled = shared.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("linked", "node")).drop("linked")
-    labelled = written(labelled)
+    known = nodes.select("node", "fingerprint").join(labels, "node", "left").select("node", "fingerprint", F.coalesce("linked", "node").alias("label"))
+    labelled = written(shared.select("gram", "node", "size", "pos").join(known, "node"))
+    remove(shared, first)
     sizes = labelled.groupBy("gram", "label").count().groupBy("gram")
-    most = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    open_ = written(labelled.join(most, "gram"))
-    others = open_.filter("label <> most").select("gram", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "pos", "label")])
-    pairs = open_.join(others, "gram").filter(F.col("label") != F.col("other_label"))
-    pairs = pairs.filter(fits(F.col("size"), F.col("pos"), F.col("other_size"), F.col("other_pos")))
-    pairs = written(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct())
-    links = written(links.unionByName(similar(pairs, grams, least)))
-
-    groups = nodes.select("node", "mark").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = written(groups)
+    most = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("members"), F.count("*").alias("labels"))
+    parts = most.filter("labels > 1").select("gram", "most", F.ceil(F.col("members") / chunk).cast("int").alias("parts"))
+    open_ = written(labelled.join(parts, "gram"))
+    remove(labelled)
+    trees = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(JOIN))
+    asked = open_.filter("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(SEARCH))
+    pairs = written(shard_pairs(trees.unionByName(asked), least, radius))
+    links = written(links.unionByName(verified(pairs)))
+
+    labels = components(links)
+    groups = written(nodes.select("node", "mark").join(labels, "node", "left").select("node", "mark", F.coalesce("label", "node").alias("label")))
     named = groups.join(groups.groupBy("label").agg(F.min("mark").alias("component")), "label").select("node", "component")
-    return prints.select("mark", "node").join(named, "node").select("mark", "component")
+    return marks.join(named, "node").select("mark", "rows", "component")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, written
+from .common import checkpoint, remove, ship, written
 
 BITS = 64
 #: Members of a chunk of a shard; larger shards are cut.
@@ -47,11 +47,22 @@ def fingerprint(text: str | None, width: int = 4) -> int:
             block = []
     if block:
         ones += _ones(block)
-    bits = ones * 2 > n
+    return _packed(ones * 2 > n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of unsigned shingle hashes; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += _ones(hashes[at : at + 65536])
+    return _packed(ones * 2 > len(hashes))
+
+
+def _packed(bits: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0].view(np.int64))
 
 
-def _ones(hashes: list[int]) -> np.ndarray:
+def _ones(hashes: list[int] | np.ndarray) -> np.ndarray:
     seen = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     return np.unpackbits(seen, axis=1, bitorder="little").sum(0, dtype=np.int64)
 
@@ -226,9 +237,12 @@ def components(links: DataFrame) -> DataFrame:
         of = met.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = written(met.join(of, "label").select("node", "old", F.least("label", "further").alias("label")))
         changed = new.filter("old <> label").limit(1).count()
-        labels = new.select("node", "label")
+        remove(labels, met)
         if not changed:
-            return labels
+            remove(both)
+            return new.select("node", "label")
+        labels = new.select("node", "label")
+        labels.written_to = new.written_to
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
