@@ -7,14 +7,16 @@ import math
 import random
 
 import brute
+import duckdb
 import near
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import ann, bpe_count, decontaminate, langid, license_scan, license_texts, mix, near_copies, quality, shard, simhash, toxicity
+from pageloom.llm import ann, bpe_count, decontaminate, langid, license_scan, license_texts, mix, near_copies, oracles, quality, shard, simhash, toxicity
 from pageloom.llm.common import in_fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -188,10 +190,51 @@ def test_decontamination(spark, docs, clash):
 
 
 def test_seed_masks_miss_no_window():
-    for width, masks in ((13, decontaminate.MASKS), *((w, decontaminate.SHORT_MASKS) for w in range(2, 13)), (1, decontaminate.SINGLE_MASKS)):
-        lost = width - -(-width * 8 // 10)
-        for gone in itertools.combinations(range(width), lost):
-            assert any(all(p + o not in gone for o in m) for m in masks for p in range(width - m[-1])), (width, gone)
+    for width in range(1, 14):
+        for gone in itertools.combinations(range(width), width - -(-width * 8 // 10)):
+            places = lambda m, w=width: range(w - m[-1]) if w == 13 else (0,)
+            assert any(all(p + o not in gone for o in m) for m in decontaminate.masks(width) for p in places(m)), (width, gone)
+
+
+def sql_overlaps(spark, docs, bench):
+    """Rows of the operator, and of its SQL over the same (id, text) rows."""
+    rows = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    con = duckdb.connect()
+    for name, column, data in (("documents", "doc_id", docs), ("benchmark", "item_id", bench)):
+        frame = pd.DataFrame(data, columns=[column, "text"])  # noqa: F841
+        con.sql(f"create table {name} as select * from frame")
+    columns = ["doc_id", "item_id", "best", "width", "first_word", "last_word"]
+    want = con.sql(f"select {', '.join(columns)} from ({oracles.OP7})").fetchall()
+    return sorted(map(tuple, rows.select(*columns).collect())), sorted(want)
+
+
+def test_decontamination_of_repeated_and_short_items(spark):
+    rng = random.Random(8)
+    stop = "of the and to a in is it that for".split()
+    long = " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+    docs = [(i, "of the " * 1500) for i in range(5)] + [(10 + i, " ".join(rng.choices(stop, k=600))) for i in range(5)] + [(20, f"before {long} after")]
+    short = [" ".join(rng.choices(stop, k=rng.randrange(1, 13))) for _ in range(200)]
+    for n, words in enumerate(s.split() for s in short[:60]):  # copies with as many changes as may be, also over the ends
+        for _ in range(len(words) - decontaminate.needed(len(words))):
+            words[rng.randrange(len(words))] = "changed"
+        docs.append((100 + n, " ".join(words)))
+        docs.append((200 + n, " ".join([*short[n].split()[rng.randrange(3) :], "tail"])))
+    got, want = sql_overlaps(spark, docs, list(enumerate([*short, *[long] * 3])))
+    assert got == want and len(got) > 300
+    same = [(i, long) for i in range(20_000)]
+    got, want = sql_overlaps(spark, docs[-3:] + docs[10:11], [(0, long)])
+    many = decontaminate.find_overlaps(spark.createDataFrame(docs[-3:] + docs[10:11], "doc_id long, text string"), spark.createDataFrame(same, "item_id long, text string"))
+    assert [(r.doc_id, r["count"]) for r in many.groupBy("doc_id").count().collect()] == [(20, 20_000)] and len(want) == len(got) == 1
+
+
+def test_blocks_of_seeds_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_SEEDS", 100)
+    sizes, real = [], decontaminate.seed_filter
+    monkeypatch.setattr(decontaminate, "seed_filter", lambda found, n: (sizes.append(n), real(found, n))[1])
+    long = " ".join(f"w{i % 90}x{i // 7}" for i in range(400))
+    got, want = sql_overlaps(spark, [(1, long[300:700]), (2, "x y")], [(1, long), (2, "same " * 2000), (3, "x y")])
+    assert got == want and len(got) == 2
+    assert len(sizes) >= 4 and max(sizes) <= 100
 
 
 def test_license_scan(spark, docs, clash):
