@@ -32,4 +32,8 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("Zlib", "text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("BSL-1.0", "line", "Distributed under the Boost Software License, Version 1.0."),
     ("EPL-2.0", "notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("LGPL-3.0", "notice", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-NC-SA-4.0", "line", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "line", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "line", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 ]

@@ -89,30 +89,37 @@ def _templates() -> str:
 OP1 = r"""
 WITH t AS (
   SELECT i, name, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM (VALUES %s) v(i, name, body)
+), tl AS (
+  SELECT i, name, len(ws) - 1 AS m, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) AS g FROM t
 ), tg AS (
-  SELECT i, name, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS g FROM t
+  SELECT i, m, gram, count(*) AS c FROM (SELECT i, m, unnest(g) AS gram FROM tl) GROUP BY ALL
 ), d AS (
   SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
 ), dg AS (
   SELECT doc_id, row_id, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) AS g FROM d WHERE len(ws) > 1
 ), gp AS (
   SELECT row_id, unnest(g) AS gram, generate_subscripts(g, 1) AS p FROM dg
-), hits AS (
-  SELECT gp.row_id, tu.i, gp.p FROM gp JOIN (SELECT i, unnest(g) AS gram FROM tg) tu USING (gram)
-), starts AS (
-  SELECT h.row_id, h.i, h.p FROM hits h
-  JOIN (SELECT row_id, i FROM hits GROUP BY ALL HAVING count(*) >= (SELECT min(len(g)) * 0.6 FROM tg)) USING (row_id, i)
+), every AS (
+  SELECT row_id, i, m, c, gram, p FROM gp JOIN tg USING (gram)
+), likely AS (
+  SELECT row_id, i FROM (SELECT row_id, i, m, gram, least(count(*), any_value(c)) AS s FROM every GROUP BY row_id, i, m, gram)
+  GROUP BY row_id, i, m HAVING sum(s) >= m * 0.8 / 1.2 - 1e-9
+), hit AS (
+  SELECT every.* FROM every SEMI JOIN likely USING (row_id, i)
+), win AS (
+  SELECT a.row_id, a.i, a.m, a.p AS s, b.p AS e FROM hit a JOIN hit b ON a.row_id = b.row_id AND a.i = b.i
+  WHERE b.p - a.p + 1 BETWEEN a.m * 0.8 / 1.2 - 1e-9 AND a.m * 1.2 / 0.8 + 1e-9
+), same AS (
+  SELECT row_id, i, m, s, e, gram, least(count(*), any_value(c)) AS n FROM win JOIN hit USING (row_id, i, m)
+  WHERE p BETWEEN s AND e GROUP BY row_id, i, m, s, e, gram
 ), scored AS (
-  SELECT dg.doc_id, dg.row_id, tg.i, tg.name, s.p, len(dg.g) AS n, len(tg.g) AS m,
-         2.0::DOUBLE * len(list_intersect(list_distinct(dg.g[s.p:s.p + len(tg.g) - 1]), tg.g))
-           / (len(list_distinct(dg.g[s.p:s.p + len(tg.g) - 1])) + len(tg.g)) AS dice
-  FROM starts s JOIN dg USING (row_id) JOIN tg USING (i)
+  SELECT row_id, i, s, e, 2.0::DOUBLE * sum(n) / (e - s + 1 + m) AS dice FROM same GROUP BY row_id, i, m, s, e
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY row_id, i ORDER BY dice DESC, p) AS rn FROM scored
+  SELECT *, row_number() OVER (PARTITION BY row_id, i ORDER BY dice DESC, s, e) AS rn FROM scored
 )
-SELECT doc_id, name AS license_id, CAST(i AS INTEGER) AS template, round(dice, 6) AS dice, CAST(p - 1 AS INTEGER) AS first_word,
-       CAST(least(m + 1, n + 1 - (p - 1)) AS INTEGER) AS n_words
-FROM best WHERE rn = 1 AND dice >= 0.8 - 1e-9
+SELECT doc_id, name AS license_id, CAST(i AS INTEGER) AS template, round(dice, 6) AS dice, CAST(s - 1 AS INTEGER) AS first_word,
+       CAST(e - s + 2 AS INTEGER) AS n_words
+FROM best JOIN dg USING (row_id) JOIN tl USING (i) WHERE rn = 1 AND dice >= 0.8 - 1e-9
 """ % _templates()
 
 ORACLES = {"op1_license_scan": OP1, "op3_mix_sources": OP3, "op5_sharding": OP5, "op7_decontamination": OP7}

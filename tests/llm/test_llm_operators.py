@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import brute
 import duckdb
@@ -247,6 +249,43 @@ def test_license_scan(spark, docs, clash):
     assert [(r.doc_id, r.license_id) for r in found] == [(1, "MIT")] and found[0].dice > 0.9
 
 
+def plain_dice(text, template, threshold=0.8):
+    """The best window of any place and length: (dice, first word, words), or None."""
+    cut = lambda s: re.findall(r"[^\W_]+", s.lower())
+    grams = lambda w: list(zip(w, w[1:], strict=False))
+    have, want = grams(cut(text)), Counter(grams(cut(template)))
+    best = max(((2 * (Counter(have[i:j]) & want).total() / (j - i + want.total()), -i, -j) for i in range(len(have)) for j in range(i + 1, len(have) + 1)), default=(0, 0, 0))
+    return (round(best[0], 6), -best[1], best[1] - best[2] + 1) if best[0] >= threshold - 1e-9 else None
+
+
+def test_license_scan_tries_every_window(spark):
+    rng = random.Random(6)
+    templates = [("A", "text", "the user may use copy and modify the user may not sell the copy or the use"), ("B", "line", "use it as it is"), ("C", "line", "free now")]
+    texts = []
+    for _ in range(200):
+        words = rng.choice(templates)[2].split()
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choices(["the", "user", "new", "word", "copy"], k=rng.randrange(1, 3))
+        words = words[rng.randrange(3) : len(words) - rng.randrange(3)] * rng.randrange(1, 3)
+        texts.append(" ".join([*rng.choices(["plain", "the", "user", "it"], k=rng.randrange(9)), *words, *rng.choices(["more", "use", "is"], k=rng.randrange(9))]))
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()
+    got = {(r.doc_id, r.template): (r.dice, r.first_word, r.n_words) for r in rows}
+    want = {(i, n): found for i, t in enumerate(texts) for n, (_, _, body) in enumerate(templates) if (found := plain_dice(t, body))}
+    assert got == want and len(rows) == len(got) > 40
+
+
+def test_license_scan_finds_cut_and_padded_texts(spark):
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0", "EPL-2.0"):
+        place, text = next((n, t) for n, (i, kind, t) in enumerate(license_texts.TEMPLATES) if i == name and kind != "line")
+        words = text.split()
+        cut = " ".join(words[: math.ceil(0.75 * len(words))])
+        padded = " ".join(w + (" inserted" if n % 8 == 7 else "") for n, w in enumerate(words))
+        docs = [(n, f"Some words come first. {t} And {LONG[:300]} follows.") for n, t in enumerate((text, cut, padded))]
+        found = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.template == place}
+        assert set(found) == {0, 1, 2} and (found[0].dice, found[0].first_word) == (1.0, 4), name
+
+
 def test_language(spark, docs, clash):
     rng = random.Random(1)
     kinds = {"en": ["the", "thing", "with", "other", "this"], "de": ["der", "schön", "nicht", "über", "ein"], "fr": ["le", "être", "où", "que", "très"]}
