@@ -100,74 +100,84 @@ def fit_quantiser(sample: np.ndarray, threshold: float = 0.2, rounds: int = 8, s
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(vec_id, vector) of the vectors that take part: of the most frequent length, finite, without nulls, not zero."""
+    """(vec_id, vector) of the vectors that take part: finite, without nulls, not zero."""
     v = F.col("vector")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null and size(vector) > 0")
     fine = F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = rows.filter(F.coalesce(fine, F.lit(False)))
-    usual = rows.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    return rows.filter(F.size("vector") == (usual.dims if usual else 0))
+    return rows.filter(F.coalesce(fine, F.lit(False)))
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sample_rows: int = 8000) -> tuple[DataFrame, Quantiser | None]:
-    """An index of every usable row, (vec_id, vector, codes, length, rest) written to the shared folder, and its quantiser.
+def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sample_rows: int = 8000) -> tuple[DataFrame, dict[int, Quantiser]]:
+    """An index of every usable row, (vec_id, vector, codes, length, rest) written to the shared folder, and its quantisers.
 
     length is the squared norm of what the codes stand for, rest the norm of what they leave out; both less the mean.
-    The quantiser is fitted on about sample_rows rows by hashed id; None if no row is usable.
+    Vectors of each length have a quantiser of their own, fitted on about sample_rows rows by hashed id: distances are
+    defined between vectors of one length only. Lengths are few; each is a number of dimensions in use.
     """
     ship(vectors.sparkSession)
     rows = usable(vectors, key, column)
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    taken = rows.filter(hex_key("ann:", F.col("vec_id").cast("string")) <= int(share * (1 << 60))).orderBy("vec_id").limit(2 * sample_rows).collect()
-    if not taken:
-        taken = rows.orderBy("vec_id").limit(sample_rows).collect()
-    quantiser = fit_quantiser(np.array([r.vector for r in taken])) if taken else None
+    quantisers = {}
+    for dims, n in sorted(tuple(r) for r in rows.groupBy(F.size("vector")).count().collect()):
+        mine, share = rows.filter(F.size("vector") == dims), min(1.0, sample_rows / n)
+        taken = mine.filter(hex_key("ann:", F.col("vec_id").cast("string")) <= int(share * (1 << 60))).orderBy("vec_id").limit(2 * sample_rows).collect()
+        taken = taken or mine.orderBy("vec_id").limit(sample_rows).collect()
+        quantisers[dims] = fit_quantiser(np.array([r.vector for r in taken]))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                block = batch.iloc[at : at + ROWS]
-                vectors = np.stack(block["vector"].to_numpy())
-                codes = quantiser.encode(vectors)
-                packed, centres = codes[:, 0::2] | codes[:, 1::2] << 4, quantiser.decode(codes)
-                rest = np.sqrt(((quantiser.parts(vectors) - centres) ** 2).sum((1, 2)))
-                yield block.assign(codes=[row.tobytes() for row in packed], length=(centres**2).sum((1, 2)), rest=rest)
+            for dims, same in by_length(batch):
+                quantiser = quantisers[dims]
+                for at in range(0, len(same), ROWS):
+                    block = same.iloc[at : at + ROWS]
+                    vectors = np.stack(block["vector"].to_numpy())
+                    codes = quantiser.encode(vectors)
+                    packed, centres = codes[:, 0::2] | codes[:, 1::2] << 4, quantiser.decode(codes)
+                    rest = np.sqrt(((quantiser.parts(vectors) - centres) ** 2).sum((1, 2)))
+                    yield block.assign(codes=[row.tobytes() for row in packed], length=(centres**2).sum((1, 2)), rest=rest)
 
     schema = "vec_id long, vector array<double>, codes binary, length double, rest double"
     none = {"codes": F.lit(b""), "length": F.lit(0.0), "rest": F.lit(0.0)}
-    index = rows.mapInPandas(encode, schema) if quantiser else rows.withColumns(none)
-    return written(index), quantiser
+    index = rows.mapInPandas(encode, schema) if quantisers else rows.withColumns(none)
+    return written(index), quantisers
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, queries: DataFrame, k: int = 10, rerank: int = 150) -> DataFrame:
+def by_length(batch: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    sizes = batch["vector"].map(len)
+    return [(int(dims), batch[sizes == dims]) for dims in sizes.unique()]
+
+
+def search(index: DataFrame, quantisers: dict[int, Quantiser], queries: DataFrame, k: int = 10, rerank: int = 150) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each query, by true Euclidean distance, ties to smaller ids.
 
-    queries: (vec_id, vector) rows of the index's length. They may be many: they go to the tasks in blocks of about
-    QUERIES rows, and each block meets all index rows, block by block. A row with the query's own id is no candidate.
-    In each block of rows, ``rerank`` rows by table scores are measured truly, and then all others that could be nearer
-    than the k-th so far; of equal vectors only the first k + 1 ids can be among a query's k nearest, so only they are
-    looked at. Repeated queries get one answer.
+    queries: (vec_id, vector) rows; each is held against the index's rows of its own length. They may be many: they go
+    to the tasks in blocks of about QUERIES rows, and each block meets all index rows, block by block. A row with the
+    query's own id is no candidate. In each block of rows, ``rerank`` rows by table scores are measured truly, and then
+    all others that could be nearer than the k-th so far; of equal vectors only the first k + 1 ids can be among a
+    query's k nearest, so only they are looked at. Repeated queries get one answer; a query of a length that the index
+    does not have gets none.
     """
     spark = index.sparkSession
     ship(spark)
-    queries = queries.dropDuplicates(["vec_id"]) if quantiser else queries.limit(0)
+    queries = queries.dropDuplicates(["vec_id"]) if quantisers else queries.limit(0)
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     path = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
     found = None
     for b in range(blocks):
-        rows = queries.filter(block == b).orderBy("vec_id").collect() if quantiser else []
+        rows = [r for r in queries.filter(block == b).orderBy("vec_id").collect() if len(r.vector) in quantisers] if quantisers else []
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), np.array([r.vector for r in rows]), quantiser))
+        asked = {d: [r for r in rows if len(r.vector) == d] for d in {len(r.vector) for r in rows}}
+        sent = spark.sparkContext.broadcast([(np.array([r.vec_id for r in own]), np.array([r.vector for r in own]), quantisers[d]) for d, own in asked.items()])
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, vectors, q = sent.value
-            best = Nearest(ids, vectors, q, k, rerank)
+            best = {vectors.shape[1]: Nearest(ids, vectors, q, k, rerank) for ids, vectors, q in sent.value}
             for batch in batches:
-                for at in range(0, len(batch), ROWS):
-                    best.look(batch.iloc[at : at + ROWS])
-            yield best.frame()
+                for dims, same in by_length(batch):
+                    for at in range(0, len(same) if dims in best else 0, ROWS):
+                        best[dims].look(same.iloc[at : at + ROWS])
+            for nearest in best.values():
+                yield nearest.frame()
 
         found = index.mapInPandas(scan, "query_id long, vec_id long, score double")
         if blocks > 1:  # each block's rows are written, so that no plan holds all blocks

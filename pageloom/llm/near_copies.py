@@ -8,16 +8,18 @@ missed. Where in the order the shared shingle stands bounds what can follow it,
 Shingles that are frequent in a sample come last in the order, so that a passage in many texts is in few prefixes; the
 sample changes the work, never the links.
 
-A shard's rows are not paired all with all. First each text is measured against the one that it most often stands next
-to, by size, in its shards. What that links is mostly one component of a shard's rows. Only rows outside the largest
-component are then looked up in the BK-tree of the shard's fingerprints, within RADIUS bits; a large shard is cut into
-chunks with a tree each, and the rows outside are looked up in all of them. So a dense group costs about its size.
+A shard's rows are not paired all with all. Its hub is the text of which the most shingles are shared at all: of edited
+copies the one with the fewest edits. First each text is measured against the hub of most of its shards. What that links
+is mostly one component of a shard's rows. Only rows outside the largest component are then looked up in the BK-tree of
+the shard's fingerprints, within RADIUS bits; a large shard is cut into chunks with a tree each, and the rows outside
+are looked up in all of them. So a dense group costs about its size, and its size again for each row outside.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -96,21 +98,25 @@ def one_each(docs: DataFrame, mark: str, repeated: DataFrame) -> DataFrame:
     return once.unionByName(docs.join(repeated, mark, "left_semi").dropDuplicates([mark]))
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, grams) of (node, text) rows."""
+def similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose texts, of (node, text) rows, have a similarity of ``least`` or more."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "grams": [shingles(t, width) for t in batch["text"]]})
-
-    return docs.mapInPandas(of, "node long, grams array<long>")
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(64)  # a hub's pairs come together or apart
+        def of(node: int, text: str) -> np.ndarray:
+            return shingles(text, width)
 
+        for batch in batches:
+            found = []
+            for a, b, text_a, text_b in zip(*(batch[c].tolist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                first, second = of(a, text_a), shingles(text_b, width)
+                common = len(np.intersect1d(first, second, assume_unique=True))
+                if common >= least * (len(first) + len(second) - common) - 1e-9:
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def similar(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
-    met = pairs.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
-    both, common = F.size("grams_a") + F.size("grams_b"), F.size(F.array_intersect("grams_a", "grams_b"))
-    return met.filter(common >= least * (both - common) - 1e-9).select("a", "b")
+    met = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return met.mapInPandas(measure, "a long, b long")
 
 
 def fits(least: float, size: Column, pos: Column, other: Column, place: Column) -> Column:
@@ -170,20 +176,23 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     remove(prints)
     repeated = marks.filter("rows > 1").select("mark")
 
-    gram = Window.partitionBy("gram").orderBy("size", "node")
-    last = {f"last_{c}": F.lag(c).over(gram) for c in ("node", "size", "pos")}
-    shared = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).withColumns(last | {"next": F.lead("node").over(gram)})
-    shared = written(shared.filter("last_node is not null or next is not null").drop("next"))
-    met = shared.filter(fits(least, F.col("size"), F.col("pos"), F.col("last_size"), F.col("last_pos")))
-    met = met.groupBy(F.col("last_node").alias("a"), F.col("node").alias("b")).count()
+    gram = Window.partitionBy("gram").orderBy("node")
+    met = {"last": F.lag("node").over(gram), "next": F.lead("node").over(gram)}
+    shared = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).withColumns(met)
+    shared = written(shared.filter("last is not null or next is not null").drop("last", "next"))
+    share = F.count("*") / (F.any_value("size") - F.ceil(F.any_value("size") * least - 1e-9) + 1)
+    scored = shared.join(shared.groupBy("node").agg(share.alias("share")), "node")
+    hub = scored.groupBy("gram").agg(F.max(F.struct("share", "node", "size", "pos")).alias("hub"))
+    met = shared.join(hub, "gram").filter((F.col("node") != F.col("hub.node")) & fits(least, F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
+    met = met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count()
     first = written(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
         placed = nodes.join(met, "node", "left_semi").select("node", "mark")
-        grams = written(sets(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"), width))
-        links = written(similar(pairs, grams, least))
-        remove(grams)
+        texts = written(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"))
+        links = written(similar(pairs, texts, least, width))
+        remove(texts)
         return links
 
     links = verified(first)

@@ -14,8 +14,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, quantiser = ann.build_index(read(spark, sf_dir, "embeddings"))
-    return ann.search(index, quantiser, index.filter("vec_id % 100 = 0").select("vec_id", "vector"))
+    index, quantisers = ann.build_index(read(spark, sf_dir, "embeddings"))
+    return ann.search(index, quantisers, index.filter("vec_id % 100 = 0").select("vec_id", "vector"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,10 +399,10 @@ def test_nearest_vectors(spark):
     rows = {i: [rng.gauss(i % 7, 1) for _ in range(6)] for i in range(600)}
     for i in range(30):
         rows[600 + i] = rows[0]  # copies: ties go to smaller ids
-    odd = [(700, None), (800, [0.0] * 6), (900, [float("nan")] * 6), (1000, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1100, [1.0]), (1200, [float("inf")] * 6), (None, [1.0] * 6)]
+    odd = [(700, None), (800, [0.0] * 6), (900, [float("nan")] * 6), (1000, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1100, [1.0]), (1102, [3.0]), (1101, [1.5]), (1200, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame([*rows.items(), *odd], "vec_id long, embedding array<float>").withColumn("vector", F.lit(1)).withColumn("score", F.lit(2))
     index, q = ann.build_index(df)
-    assert index.count() == len(rows)
+    assert index.count() == len(rows) + 3
     got = {}
     for r in ann.search(index, q, index.filter("vec_id % 100 = 0").select("vec_id", "vector"), rerank=60).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -411,7 +411,8 @@ def test_nearest_vectors(spark):
         again = ann.search(index, q, index.filter("vec_id % 100 = 0").select("vec_id", "vector"), rerank=60).collect()
     finally:
         ann.QUERIES = blocks
-    assert {(r.query_id, r["rank"], r.vec_id) for r in again} == {(i, *x[:2]) for i, found in got.items() for x in found}
+    assert [(v, s) for _, v, s in sorted(got.pop(1100))] == [(1101, 0.5), (1102, 2.0)]  # of its own length alone
+    assert {(r.query_id, r["rank"], r.vec_id) for r in again if r.query_id != 1100} == {(i, *x[:2]) for i, found in got.items() for x in found}
     single = {i: [float(F) for F in __import__("numpy").array(v, "float32")] for i, v in rows.items()}
     want = near.exact(single, [i for i in rows if i % 100 == 0])
     assert set(got) == set(want)
@@ -424,6 +425,29 @@ def test_nearest_vectors(spark):
     assert ann.search(nothing, q, nothing.select("vec_id", "vector")).count() == 0
 
 
+def test_codes_alone_find_the_nearest():
+    """The table scores themselves, without the bound: recall at a depth of 2 % of the rows, and what anisotropy gains in scores."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (40, 32))[rng.integers(0, 40, 20_000)] + rng.normal(0, 0.6, (20_000, 32))
+    asked, fitted = x[:50], ann.fit_quantiser(x[:8000])
+    square = (x**2).sum(1)
+    true = (asked**2).sum(1)[:, None] + square - 2 * asked @ x.T
+    want = np.argsort(true, 1)[:, :10]
+
+    def recall(q, depth):
+        coded = q.decode(q.encode(x)).reshape(len(x), -1)[:, : x.shape[1]]
+        scores = (asked - q.mean) @ coded.T - ((x - q.mean) ** 2).sum(1) / 2
+        near = np.argsort(-scores, 1)[:, :depth]
+        return np.mean([len(set(a) & set(b)) for a, b in zip(near.tolist(), want.tolist(), strict=True)]) / 10
+
+    assert recall(fitted, 400) >= 0.9
+    shuffled = ann.Quantiser(fitted.mean, fitted.books[::-1].copy(), fitted.weight)
+    assert recall(shuffled, 400) < recall(fitted, 400)  # broken codebooks are noticed
+    plain = ann.fit_quantiser(x[:8000], threshold=0.0)
+    own = lambda q: np.abs(q.along(q.parts(x), ann.direction(q.parts(x)), q.encode(x).astype(int))).mean()
+    assert own(fitted) < 0.9 * own(plain)  # errors along the vector are what anisotropy avoids
+
+
 def test_nearest_vectors_of_a_cluster_of_near_copies(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(3, 1, (12_000, 16))
