@@ -1,14 +1,11 @@
 """SimHash near copies of a set similarity: fingerprints in BK-trees propose, the exact Jaccard similarity decides.
 
-Texts of similarity 0.8 differ by about ten of 64 bits, and often by fifteen. Blocks of equal bits would not tell such
-pairs from chance, so shards of fingerprints are keyed by shingles. Put each text's distinct shingles in one order that
-all texts share. Texts of similarity t have at least t n shingles in common, n being the size of either, so they share
-one among the first n - ceil(t n) + 1 of each: every shingle of these prefixes is the key of a shard, and no pair is
-missed. Where in the order the shared shingle stands bounds what can follow it, which rules out most chance meetings.
-Shingles that are frequent in a sample come last in the order, so that a passage in many texts is in few prefixes; the
-sample changes the work, never the links.
-
-A shard's rows are not paired all with all. Its hub is the text of which the most shingles are shared at all: of edited
+Texts of similarity 0.8 differ by about nine of 64 bits, some by twenty. Blocks of equal bits would not tell such pairs
+from chance, so shards of fingerprints are keyed by shingles: a key is made of the least shingles of a text in KEY
+random orders, and a text has TABLES keys. Two texts of similarity s agree in a key with a chance of s to the power KEY:
+at 0.8 none of the keys is shared once in half a billion pairs, while texts with a common passage seldom share one.
+
+A shard's rows are not paired all with all. Its hub is the text of which the most keys are shared at all: of edited
 copies the one with the fewest edits. First each text is measured against the hub of most of its shards. What that links
 is mostly one component of a shard's rows. Only rows outside the largest component are then looked up in the BK-tree of
 the shard's fingerprints, within RADIUS bits; a large shard is cut into chunks with a tree each, and the rows outside
@@ -17,9 +14,7 @@ are looked up in all of them. So a dense group costs about its size, and its siz
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,13 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key, remove, ship, written
+from .common import remove, ship, written
 from .simhash import BITS, CHUNK, JOIN, SEARCH, BKTree, components, majority
 
-#: Shingles that come last in the order, at most.
-MOST_FREQUENT = 50_000
-#: Bits by which fingerprints of one shard may differ: five standard deviations above the mean at similarity 0.8.
-RADIUS = 24
+#: Bits by which fingerprints of one shard may differ: four standard deviations above the mean at similarity 0.8.
+RADIUS = 22
+#: Shingles that a task remembers; this bounds memory only.
+REMEMBERED = 8_000_000
+#: Shingles of a key, keys of a text, and the two numbers by which each order is made.
+KEY, TABLES = 3, 28
+ORDERS = np.random.default_rng(17).integers(0, 1 << 64, (2, KEY * TABLES), np.uint64) | np.uint64(1)
 
 
 def hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -46,50 +44,38 @@ def hashes(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Signed hashes of a text's distinct shingles, ascending."""
-    return np.unique(hashes(text, width).view(np.int64))
-
+    """Hashes of a text's distinct shingles, ascending."""
+    return np.unique(hashes(text, width))
 
-def frequent_shingles(docs: DataFrame, width: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of a sample share, ascending, and their counts; docs: (mark, text)."""
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.filter(hex_key("near:", "mark") <= int(share * (1 << 60))).select("text")
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"gram": shingles(text, width)})
 
-    counts = sample.mapInPandas(take, "gram long").groupBy("gram").count().filter("count > 2")
-    rows = counts.orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
-    rows.sort(key=lambda r: r.gram)
-    return np.array([r.gram for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+def keys(grams: np.ndarray) -> np.ndarray:
+    """The TABLES keys of a set; those of an empty set are equal for all such."""
+    least = np.full(KEY * TABLES, np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 4096):
+        least = np.minimum(least, ((grams[at : at + 4096, None] ^ ORDERS[0]) * ORDERS[1]).min(0))
+    key = np.arange(TABLES, dtype=np.uint64)
+    for of in least.reshape(KEY, TABLES):
+        key = (key ^ of) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
-def prefixes(docs: DataFrame, least: float, width: int, sample_rows: int) -> DataFrame:
-    """(mark, node, size, fingerprint, prefix): node is a hash of the whole set, equal for texts of equal shingles.
+def prints(docs: DataFrame, width: int) -> DataFrame:
+    """(mark, node, size, fingerprint, keys): node is a hash of the whole set, equal for texts of equal shingles.
 
-    Texts of one set may repeat shingles differently; a node takes the fingerprint of its distinct shingles.
+    Texts of one set may repeat shingles differently, so the fingerprint is that of the distinct shingles.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, sample_rows))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, counts = sent.value
         for batch in batches:
             out = []
             for mark, text in zip(batch["mark"], batch["text"], strict=True):
                 grams = shingles(text, width)
-                n = len(grams)
                 node = np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 42)).view(np.int64)
-                order = np.arange(n)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                    order = np.argsort(np.where(frequent[at] == grams, counts[at], 0), kind="stable")
-                first = grams[order[: n - math.ceil(round(least * n, 9)) + 1]]
-                out.append((mark, int(node), n, majority(grams.view(np.uint64)), first))
-            yield pd.DataFrame(out, columns=["mark", "node", "size", "fingerprint", "prefix"])
+                out.append((mark, int(node), len(grams), majority(grams), keys(grams)))
+            yield pd.DataFrame(out, columns=["mark", "node", "size", "fingerprint", "keys"])
 
-    return docs.mapInPandas(of, "mark string, node long, size long, fingerprint long, prefix array<long>")
+    return docs.mapInPandas(of, "mark string, node long, size long, fingerprint long, keys array<long>")
 
 
 def one_each(docs: DataFrame, mark: str, repeated: DataFrame) -> DataFrame:
@@ -102,14 +88,23 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Dat
     """The pairs (a, b) whose texts, of (node, text) rows, have a similarity of ``least`` or more."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        @lru_cache(64)  # a hub's pairs come together or apart
+        known: dict[int, np.ndarray] = {}  # sets of texts that came lately; a group's texts come again and again
+        room = 0
+
         def of(node: int, text: str) -> np.ndarray:
-            return shingles(text, width)
+            nonlocal room
+            if node not in known:
+                if room <= 0:
+                    known.clear()
+                    room = REMEMBERED
+                known[node] = shingles(text, width)
+                room -= len(known[node]) + 100
+            return known[node]
 
         for batch in batches:
             found = []
-            for a, b, text_a, text_b in zip(*(batch[c].tolist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                first, second = of(a, text_a), shingles(text_b, width)
+            for a, b, text_a, text_b in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
+                first, second = of(a, text_a), of(b, text_b)
                 common = len(np.intersect1d(first, second, assume_unique=True))
                 if common >= least * (len(first) + len(second) - common) - 1e-9:
                     found.append((a, b))
@@ -119,71 +114,66 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Dat
     return met.mapInPandas(measure, "a long, b long")
 
 
-def fits(least: float, size: Column, pos: Column, other: Column, place: Column) -> Column:
-    """Whether sets whose first shared shingle stands at these places of their orders can be similar."""
-    return F.least(size - pos, other - place) >= least / (1 + least) * (size + other) - 1e-9
+def fits(least: float, size: Column, other: Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(size, other) >= least * F.greatest(size, other) - 1e-9
 
 
 def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
-    """Pairs (a, b) of different labels from (gram, part, kind, node, label, fingerprint, size, pos) rows.
-
-    A shard's tree is built first, of its JOIN rows; then SEARCH rows are looked up in it.
-    """
-    share = least / (1 + least)
+    """Pairs (a, b) of different labels from rows of SHARD_ROW: a shard's tree is built first, of its JOIN rows."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tree, held = None, BKTree(), []
         for batch in batches:
-            pairs = []
-            for gram, part, kind, node, label, value, size, pos in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
-                if (gram, part) != key:
-                    key, tree, held = (gram, part), BKTree(), []
+            pairs = set()
+            for its_key, part, kind, node, label, value, size in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
+                if (its_key, part) != key:
+                    key, tree, held = (its_key, part), BKTree(), []
                 value &= (1 << BITS) - 1
                 if kind == JOIN:
                     at = tree.add(value)
                     if at == len(held):
                         held.append([])
-                    held[at].append((node, label, size, pos))
+                    held[at].append((node, label, size))
                     continue
                 for at in tree.within(value, radius):
-                    for other, its, length, place in held[at]:
-                        if its != label and min(size - pos, length - place) >= share * (size + length) - 1e-9:
-                            pairs.append((min(node, other), max(node, other)))
-            if pairs:
-                yield pd.DataFrame(sorted(set(pairs)), columns=["a", "b"])
+                    for other, its, length in held[at]:
+                        if its != label and min(size, length) >= least * max(size, length) - 1e-9:
+                            pairs.add((min(node, other), max(node, other)))
+            yield pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*SHARD_ROW).repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "kind")
+    dealt = rows.select(*SHARD_ROW).repartition(parts, "key", "part").sortWithinPartitions("key", "part", "kind")
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
-SHARD_ROW = ("gram", "part", "kind", "node", "label", "fingerprint", "size", "pos")
+SHARD_ROW = ("key", "part", "kind", "node", "label", "fingerprint", "size")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = RADIUS, chunk: int = CHUNK, sample_rows: int = 5000) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(mark, rows, component): each mark, its number of rows, and the least mark of its group; for (mark, text) rows.
 
     Rows are linked if the Jaccard similarity of their shingles is ``least`` or more; texts without words are equal. A
     group is what links join. Rows of equal marks must have equal texts, as strings. A mark must not be null; an empty
-    table gives no rows. Shingles and sets are told apart by 64-bit hashes. A pair that is found in trees alone and
-    whose fingerprints differ by more than ``radius`` bits is not linked.
+    table gives no rows. Shingles and sets are told apart by 64-bit hashes. A pair is not linked by itself if no key is
+    shared, or if it is found in trees alone and the fingerprints differ by more than ``radius`` bits; both are rare at
+    0.8 and rarer above (README).
     """
     ship(docs.sparkSession)
-    prints = written(prefixes(docs, least, width, sample_rows))
-    by_node = [F.any_value(c).alias(c) for c in ("size", "fingerprint", "prefix")]
-    nodes = written(prints.groupBy("node").agg(F.min("mark").alias("mark"), *by_node))
-    marks = written(prints.groupBy("mark").agg(F.any_value("node").alias("node"), F.count("*").alias("rows")))
-    remove(prints)
+    printed = written(prints(docs, width))
+    by_node = [F.any_value(c).alias(c) for c in ("size", "fingerprint", "keys")]
+    nodes = written(printed.groupBy("node").agg(F.min("mark").alias("mark"), *by_node))
+    marks = written(printed.groupBy("mark").agg(F.any_value("node").alias("node"), F.count("*").alias("rows")))
+    remove(printed)
     repeated = marks.filter("rows > 1").select("mark")
 
-    gram = Window.partitionBy("gram").orderBy("node")
-    met = {"last": F.lag("node").over(gram), "next": F.lead("node").over(gram)}
-    shared = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram")).withColumns(met)
-    shared = written(shared.filter("last is not null or next is not null").drop("last", "next"))
-    share = F.count("*") / (F.any_value("size") - F.ceil(F.any_value("size") * least - 1e-9) + 1)
-    scored = shared.join(shared.groupBy("node").agg(share.alias("share")), "node")
-    hub = scored.groupBy("gram").agg(F.max(F.struct("share", "node", "size", "pos")).alias("hub"))
-    met = shared.join(hub, "gram").filter((F.col("node") != F.col("hub.node")) & fits(least, F.col("size"), F.col("pos"), F.col("hub.size"), F.col("hub.pos")))
+    key = Window.partitionBy("key").orderBy("node")
+    met = {"last": F.lag("node").over(key), "next": F.lead("node").over(key)}
+    shared = nodes.select("node", "size", F.explode("keys").alias("key")).withColumns(met)
+    shared = written(shared.filter("last is not null or next is not null").select("key", "node", "size"))
+    share = shared.groupBy("node").agg((F.count("*") / TABLES).alias("share"))
+    hub = shared.join(share, "node").groupBy("key").agg(F.max(F.struct("share", "node", "size")).alias("hub"))
+    met = shared.join(hub, "key").filter((F.col("node") != F.col("hub.node")) & fits(least, F.col("size"), F.col("hub.size")))
     met = met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count()
     first = written(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"))
 
@@ -198,12 +188,12 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     links = verified(first)
     labels = components(links).withColumnRenamed("label", "linked")
     known = nodes.select("node", "fingerprint").join(labels, "node", "left").select("node", "fingerprint", F.coalesce("linked", "node").alias("label"))
-    labelled = written(shared.select("gram", "node", "size", "pos").join(known, "node"))
+    labelled = written(shared.join(known, "node"))
     remove(shared, first)
-    sizes = labelled.groupBy("gram", "label").count().groupBy("gram")
+    sizes = labelled.groupBy("key", "label").count().groupBy("key")
     most = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("members"), F.count("*").alias("labels"))
-    parts = most.filter("labels > 1").select("gram", "most", F.ceil(F.col("members") / chunk).cast("int").alias("parts"))
-    open_ = written(labelled.join(parts, "gram"))
+    parts = most.filter("labels > 1").select("key", "most", F.ceil(F.col("members") / chunk).cast("int").alias("parts"))
+    open_ = written(labelled.join(parts, "key"))
     remove(labelled)
     trees = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(JOIN))
     asked = open_.filter("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(SEARCH))
