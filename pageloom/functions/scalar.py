@@ -103,9 +103,10 @@ def literal_text(text: Column) -> Column:
 
 
 def swatch(name: Column, colors: int = 10) -> Column:
-    """A colour's number by the rolling 32-bit hash 31 h + c of a name's characters."""
+    """A colour's number by the rolling 32-bit hash 31 h + c of a name's UTF-16 units."""
     wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    units = F.regexp_extract_all(F.hex(F.encode(name, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
     return F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))) % colors
 
 
@@ -138,3 +139,26 @@ def wheel_zoom(zoom: Column, delta: Column, fit: Column) -> Column:
 def canonical_real(value: Column) -> Column:
     """A number with up to six decimals, trailing zeros and point left out."""
     return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
+
+
+def fnv1a_64(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, as 16 hex digits. The two numbers are fixed values.
+
+    The product is built from two halves, so that it wraps at 64 bits under ANSI arithmetic as well.
+    """
+    start, prime = 0xCBF29CE484222325, 0x100000001B3
+    octets = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1))
+    half = 1 << 32
+    begin = F.struct(F.lit(start // half).cast("long").alias("high"), F.lit(start % half).cast("long").alias("low"))
+
+    def step(h: Column, octet: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.conv(octet, 16, 10).cast("long"))
+        # (high 2^32 + low) * (2^40 + p) modulo 2^64, p being what the prime has below 2^32
+        p = prime % half
+        product = low * p
+        carry = F.shiftrightunsigned(product, 32)
+        high = (h["high"] * p + carry + low.bitwiseAND(half // 256 - 1) * 256).bitwiseAND(half - 1)
+        return F.struct(high.alias("high"), product.bitwiseAND(half - 1).alias("low"))
+
+    done = F.aggregate(octets, begin, step)
+    return F.lower(F.concat(F.lpad(F.hex(done["high"]), 8, "0"), F.lpad(F.hex(done["low"]), 8, "0")))

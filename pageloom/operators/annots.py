@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Annotation kinds that are listed. Fixed values.
@@ -130,3 +130,9 @@ def anonymize_report(keys: DataFrame, info: bool = True, xmp: bool = True, scrip
         if on:
             kind = F.when(test, name).otherwise(kind)
     return keys.withColumn("category", kind).filter("category is not null").groupBy("doc_id", "category").agg(F.count("*").alias("removed"))
+
+
+def in_page_order(comments: DataFrame) -> DataFrame:
+    """(doc_id, place, id): a document's comments down its pages: by page, then height on the page, then id."""
+    down = Window.partitionBy("doc_id").orderBy("page_index", "y", "id")
+    return comments.select("doc_id", F.row_number().over(down).alias("place"), "id")

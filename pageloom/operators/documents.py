@@ -157,7 +157,7 @@ def from_sidecar(files: DataFrame, schema: str) -> DataFrame:
 
 def roomiest(disks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, disk, total, used): of each key's disks the largest, ties to the first by name; used is never below zero."""
-    best = disks.groupBy(*keys).agg(F.max_by(F.struct("disk", "total", "available"), F.struct("total", F.lit(0))).alias("d"))
+    best = disks.groupBy(*keys).agg(F.min_by(F.struct("disk", "total", "available"), F.struct(-F.col("total"), "disk")).alias("d"))
     return best.select(*keys, "d.disk", "d.total", F.greatest(F.col("d.total") - F.col("d.available"), F.lit(0)).alias("used"))
 
 
@@ -171,6 +171,11 @@ def canvas_size(css_width: Column, aspect: Column, ratio: Column, most_ratio: fl
     return F.struct(cut(w).alias("width"), cut(h).alias("height"))
 
 
+def from_data_url(text: Column) -> Column:
+    """The bytes of base64, with or without the head of a data URL."""
+    return F.unbase64(F.regexp_replace(text, r"^data:[^,]*,", ""))
+
+
 def text_of(content: Column) -> Column:
     """Bytes as text: UTF-16 of either order by its mark, else UTF-8; what is no character becomes the replacement one."""
     mark = F.hex(F.substring(content, 1, 2))

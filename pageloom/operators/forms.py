@@ -16,7 +16,7 @@ def field_rows(nodes: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:  #
     nodes: (keys, id, parent, ord, part, field_type, value). Names join with dots; a type or value that a field lacks is
     its nearest ancestor's.
     """
-    walked = walk_tree(nodes, keys, 32)
+    walked = walk_tree(nodes, keys)
     names = walked.select(*keys, "id", F.posexplode(F.transform("path", lambda p: p["id"])).alias("at", "on")).join(nodes.select(*keys, F.col("id").alias("on"), "part"), [*keys, "on"])
     full = names.groupBy(*keys, "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]), ".").alias("name"))
     leaves = nodes.join(nodes.filter("parent is not null").select(*keys, F.col("parent").alias("id")).distinct(), [*keys, "id"], "left_anti").select(*keys, "id")
@@ -53,13 +53,37 @@ def to_xfdf(fields: DataFrame) -> DataFrame:
 
 
 def from_xfdf(files: DataFrame) -> DataFrame:
-    """(doc_id, ord, name, value) of (doc_id, xfdf) rows with fields one level deep."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("xfdf", F.lit(r'<field\s+name="([^"]*)">\s*<value>([\s\S]*?)</value>'), F.lit(1)).alias("name"),
-        F.regexp_extract_all("xfdf", F.lit(r'<field\s+name="([^"]*)">\s*<value>([\s\S]*?)</value>'), F.lit(2)).alias("value"),
-    )
-    rows = files.select("doc_id", F.posexplode(pairs).alias("ord", "pair"))
-    return rows.select("doc_id", "ord", xml_unescape(F.col("pair")["name"]).alias("name"), xml_unescape(F.col("pair")["value"]).alias("value"))
+    """(doc_id, ord, name, value) of (doc_id, xfdf) rows; the names of nested fields join with dots.
+
+    Tags are taken one by one: a field opens a name, its end closes it, and the end of a value gives a row for the field
+    that was opened last, or for all names open. Comments and declarations are passed over; fields without a value give
+    no row, nor does a null file.
+    """
+    tags = F.regexp_extract_all("xfdf", F.lit(r"(<!--[\s\S]*?-->[^<]*|<[^>]*>[^<]*)"), F.lit(1))
+    texts, row = F.array().cast("array<string>"), "array<struct<name:string,value:string>>"
+    start = F.struct(texts.alias("open"), F.lit(None).cast("string").alias("name"), F.lit("").alias("text"), F.array().cast(row).alias("rows"))
+
+    def step(s: Column, tag: Column) -> Column:
+        head, after = F.regexp_extract(tag, r"^<([^>]*)>", 1), F.regexp_extract(tag, r"([^>]*)$", 1)
+        real = ~tag.rlike(r"^<(\?|!--)")
+        kind, own = F.regexp_extract(head, r"^/?\s*([^\s/]*)", 1), F.regexp_extract(head, r'name="([^"]*)"', 1)
+        ends, empty = head.startswith("/"), head.endswith("/")
+        field, value = real & (kind == "field"), real & (kind == "value")
+        begun, given = value & ~ends & ~empty, value & ends
+        below = F.concat(s["open"], F.array(own))
+        still = F.when(field & ends, F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))).when(field & ~empty, below).otherwise(s["open"])
+        name = F.when(field & ~ends, F.array_join(below, ".")).when(begun, F.coalesce(s["name"], F.array_join(s["open"], "."))).when(~given, s["name"])
+        text = F.when(field & ~ends | begun, after).otherwise(F.concat(s["text"], after))
+        rows = F.when(given & s["name"].isNotNull(), F.concat(s["rows"], F.array(F.struct(s["name"].alias("name"), s["text"].alias("value"))))).otherwise(s["rows"])
+        return F.struct(still.alias("open"), name.alias("name"), text.alias("text"), rows.alias("rows"))
+
+    rows = files.select("doc_id", F.posexplode(F.aggregate(tags, start, step, lambda s: s["rows"])).alias("ord", "pair"))
+    return rows.select("doc_id", "ord", xml_unescape(F.col("pair.name")).alias("name"), xml_unescape(F.col("pair.value")).alias("value"))
+
+
+def flattened(widgets: DataFrame) -> DataFrame:
+    """(doc_id, ord, flags) of a document's widgets once all its fields are read-only; missing flags count as none."""
+    return widgets.select("doc_id", "ord", F.coalesce("flags", F.lit(0)).bitwiseOR(READ_ONLY).alias("flags"))
 
 
 def permissions(p: Column, revision: Column, encrypted: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -125,6 +125,41 @@ def template_marks(kind: Column, width: Column, height: Column, step: float = 20
     return F.when(kind == "ruled", ruled).when(kind == "grid", grid).when(kind == "dotted", dotted).otherwise(0).cast("long")
 
 
+def template_lines(kind: Column, width: Column, height: Column, step: float = 20.0) -> Column:
+    """The marks of a blank page's template, as an array of (x0, y0, x1, y1): ruled lines from the top down, a grid's lines
+    across and then up, or dots as squares of 1.6 points row by row; none for other kinds. Margins are fixed values."""
+
+    def places(first: Column, n: Column, sign: int) -> Column:
+        count = F.greatest(n, F.lit(0)).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: first + sign * step * (i - 1))).otherwise(F.array().cast("array<double>"))
+
+    def mark(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return F.struct(*[c.cast("double").alias(name) for c, name in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
+
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    down = lambda first, least: places(first, F.ceil((first - least) / step), -1)  # noqa: E731  places above ``least``
+    ruled = F.transform(down(height - 30.0, 20.0), lambda y: mark(F.lit(25.0), y, width - 25.0, y))
+    across = F.transform(down(height - step, 0.0), lambda y: mark(F.lit(0.0), y, width, y))
+    up = F.transform(places(F.lit(step), F.ceil((width - step) / step), 1), lambda x: mark(x, F.lit(0.0), x, height))
+    columns = places(F.lit(step), F.ceil((width - step / 2 - step) / step), 1)
+    dots = F.flatten(F.transform(down(height - step, step / 2), lambda y: F.transform(columns, lambda x: mark(x - 0.8, y - 0.8, x + 0.8, y + 0.8))))
+    return F.when(kind == "ruled", ruled).when(kind == "grid", F.concat(across, up)).when(kind == "dotted", dots).otherwise(none)
+
+
+#: Compression levels: name, JPEG quality, dots an inch, threshold, longest edge, metadata stripped, zlib level. Fixed values.
+PRESETS = [
+    ("lossless", 0, None, 1.5, None, False, 6),
+    ("book", 78, 150, 1.5, 3000, True, 6),
+    ("screen", 65, 72, 1.5, 2000, True, 6),
+]
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """(level, name, quality, dpi, threshold, longest, strip_metadata, zlib) of the compression levels."""
+    schema = "level int, name string, quality int, dpi int, threshold double, longest int, strip_metadata boolean, zlib int"
+    return spark.createDataFrame([(level, *row) for level, row in enumerate(PRESETS)], schema)
+
+
 def highlight_boxes(chars: DataFrame, keys: list[str]) -> DataFrame:
     """One box a match and text row: (keys, match) characters by the middle of their height in steps of 1/500."""
     band = F.round((F.col("y0") + F.col("y1")) / 2 * 500).cast("long")

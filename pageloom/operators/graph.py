@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.operators.sums import sum_before
 from pageloom.storage import checkpointed
 
 
-def walk_tree(nodes: DataFrame, keys: list[str], most_depth: int = 512) -> DataFrame:
+def walk_tree(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, root, id, depth, path) of (keys, id, parent, ord) rows, from the nodes without a parent down.
 
     path holds the ords and ids on the way, so sorting by it gives the order of reading. A node met twice on its own
@@ -17,7 +18,7 @@ def walk_tree(nodes: DataFrame, keys: list[str], most_depth: int = 512) -> DataF
     roots = nodes.filter("parent is null").select(*keys, F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array(F.struct("ord", "id")).alias("path"))
     level, levels = checkpointed(roots), []
     below = nodes.filter("parent is not null").select(*keys, F.col("parent").alias("id"), F.col("id").alias("child"), "ord")
-    while level.limit(1).count() and len(levels) < most_depth:
+    while not level.isEmpty():
         levels.append(level)
         seen = F.exists("path", lambda p: p["id"] == F.col("child"))
         step = level.join(below, [*keys, "id"]).filter(~seen)
@@ -101,6 +102,6 @@ def newest_revision(xref: DataFrame, keys: list[str], revision: str, entry: list
 
 
 def batches(objects: DataFrame, keys: list[str], size: int = 100) -> DataFrame:
-    """(keys, id, batch): objects in id order, ``size`` to a batch, batches from 0."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    return objects.select(*keys, "id", F.floor((n - 1) / size).alias("batch"))
+    """(keys, id, batch): objects in id order, ``size`` to a batch, batches from 0; a key's objects may be many."""
+    before = sum_before(objects.select(*keys, "id"), keys, ["id"], F.lit(1), "before")
+    return before.select(*keys, "id", F.floor(F.col("before") / size).alias("batch"))

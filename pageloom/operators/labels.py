@@ -45,14 +45,26 @@ def fill_template(template: Column, page: Column, total: Column, filename: Colum
     return template
 
 
-def header_footer(pages: DataFrame, files: DataFrame, template: str, date: str, first: int = 1, last: int | None = None) -> DataFrame:
+def header_footer(pages: DataFrame, files: DataFrame, template: str, date: str | Column, first: int = 1, last: int | None = None) -> DataFrame:
     """(doc_id, page, text) for the pages in [first, last]; files: (doc_id, filename)."""
     totals = pages.groupBy("doc_id").agg(F.count("*").alias("total")).join(files, "doc_id")
     inside = (F.col("page") >= first) & (F.col("page") <= (F.col("total") if last is None else F.lit(last)))
-    text = fill_template(F.lit(template), F.col("page"), F.col("total"), F.col("filename"), F.lit(date))
+    text = fill_template(F.lit(template), F.col("page"), F.col("total"), F.col("filename"), F.lit(date) if isinstance(date, str) else date)
     return pages.select("doc_id", "page").join(totals, "doc_id").filter(inside).select("doc_id", "page", text.alias("text"))
 
 
+def stamped_pages(stamps: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, stamped): how many pages of each file were stamped, 0 where none was."""
+    counts = stamps.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return files.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("stamped"))
+
+
+def today(zone: str | None = None) -> Column:
+    """The date as YYYY-MM-DD, for templates: in the session's time zone, or a given one."""
+    now = F.current_timestamp() if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone)
+    return F.date_format(now, "yyyy-MM-dd")
+
+
 def add_overlay(contents: DataFrame, stamps: DataFrame, tag: str, on_top: bool = False) -> DataFrame:
     """Content rows (doc_id, page, ord, tag, text) with tagged stamps (doc_id, page, label): before all content, or after it."""
     edge = contents.groupBy("doc_id", "page").agg((F.max("ord") + 1 if on_top else F.min("ord") - 1).alias("ord"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.operators.sums import sum_before
+
 
 def merge_sequences(pages: DataFrame, order: DataFrame) -> DataFrame:
     """Documents joined into one, by (merged_id, ord, doc_id) rows of ``order``: (merged_id, position, doc_id, page).
@@ -12,8 +14,7 @@ def merge_sequences(pages: DataFrame, order: DataFrame) -> DataFrame:
     A document's pages start after those of all before it. Prefix sums run over documents, not pages.
     """
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
-    window = Window.partitionBy("merged_id").orderBy("ord", "doc_id")
-    starts = order.join(counts, "doc_id").withColumn("start", F.sum("n").over(window) - F.col("n"))
+    starts = sum_before(order.join(counts, "doc_id"), ["merged_id"], ["ord", "doc_id"], F.col("n"), "start")
     return starts.join(pages.select("doc_id", "page"), "doc_id").select("merged_id", (F.col("start") + F.col("page")).alias("position"), "doc_id", "page")
 
 

@@ -85,3 +85,10 @@ def compare_pages(left: DataFrame, right: DataFrame) -> DataFrame:
     b = right.select("pair_id", "page", F.col("text").alias("right_text"))
     both = a.join(b, ["pair_id", "page"], "full_outer")
     return both.select("pair_id", "page", "left_text", "right_text", F.coalesce(F.col("left_text") == F.col("right_text"), F.lit(False)).alias("equal"))
+
+
+def line_boxes(chars: DataFrame) -> DataFrame:
+    """(doc_id, page, line, text, x0, y0, x1, y1) of characters (doc_id, page, line, pos, c, box): a line's text and the box round it."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]), "")
+    edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return chars.groupBy("doc_id", "page", "line").agg(text.alias("text"), *edges)

@@ -216,7 +216,6 @@ heads AS (SELECT h.doc_id, page, ord, trim(text) AS title, base, height FROM h J
 BIT = "(event_id * 37 % 8192 & {}) <> 0"
 MESSAGE = "regexp_replace(regexp_replace('Error:  ' || ['wrong Password', 'access is denied', 'corrupt stream', 'No such file', 'disk full', 'timed out', ''][doc_id % 7 + 1] || '  ' || text, '^Error:\\s*', '', 'i'), '\\s+', ' ', 'g')"
 FORM = """f AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, 'f' || turn AS part, CASE WHEN turn = 0 OR turn % 4 = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'Tx' ELSE 'Btn' END END AS field_type, CASE WHEN turn % 3 = 0 THEN text END AS value FROM conversations)"""
-_KINDS = ["password|encrypted|decrypt|wrong password|incorrect password", "permission denied|access is denied|read.only|readonly|cannot write", "invalid|corrupt|not a pdf|malformed|bad pdf", "no such file|file not found|cannot open|path does not exist", "no space|disk full|not enough space|storage", "timeout|timed out"]
 _RAW = "['wrong Password', 'access is denied', 'corrupt stream', 'No such file', 'disk full', 'timed out', ''][doc_id % 7 + 1] || '  ' || text"
 ORACLES = {
     "comment_load_merge": f"WITH {NOTES} SELECT doc_id, id, CASE WHEN n.doc_id IS NOT NULL THEN coalesce(n.text, '') ELSE s.text END AS text, coalesce(n.color, s.color, '#f59e0b') AS color, coalesce(resolved, false) AS resolved, coalesce(created_at, created, modified, 0) AS created_at, quote, n.doc_id IS NOT NULL AS synced FROM notes n FULL JOIN stored s USING (doc_id, id) WHERE n.doc_id IS NOT NULL OR NOT synced",
@@ -245,6 +244,6 @@ ORACLES = {
     "xfdf_export": f"""WITH {TURNS} SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">' || chr(10) || '  <fields>' || chr(10) || string_agg('    <field name="f&amp;' || n || '"><value>&lt;a&gt; ' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</value></field>' || chr(10), '' ORDER BY n) || '  </fields>' || chr(10) || '</xfdf>' || chr(10) AS xfdf FROM turns WHERE role = 'user' GROUP BY doc_id""",
     "xfdf_roundtrip": f"WITH {TURNS} SELECT doc_id, CAST(n - 1 AS INTEGER) AS ord, 'f&' || n AS name, '<a> ' || text AS value FROM turns WHERE role = 'user'",
     "permissions_bits": "SELECT event_id, " + ", ".join(f"event_type = 'view' OR CASE WHEN user_id % 4 + 1 >= 3 THEN {BIT.format(1 << new - 1)} ELSE {BIT.format(1 << old - 1)} END AS {name}" for name, new, old in (("print", 3, 3), ("modify_contents", 4, 4), ("copy_extract", 5, 5), ("annotate", 6, 6), ("fill_forms", 9, 6), ("accessibility_extract", 10, 5), ("assemble", 11, 4), ("print_high_quality", 12, 3))) + " FROM events",
-    "error_classify": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches({_RAW}, '(?i){p}') THEN '{n}'" for p, n in zip(_KINDS, ("password", "permission", "invalid", "missing", "space", "timeout"), strict=True)) + f" ELSE 'other' END AS kind, CASE WHEN length(trim({MESSAGE})) > 280 THEN substr(trim({MESSAGE}), 1, 280) || '…' ELSE trim({MESSAGE}) END AS shown FROM documents",
+    "error_classify": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches({_RAW}, '{p}') THEN '{n}'" for p, n in scalar.ERROR_KINDS) + f" ELSE 'other' END AS kind, CASE WHEN length(trim({MESSAGE})) > 280 THEN substr(trim({MESSAGE}), 1, 280) || '…' ELSE trim({MESSAGE}) END AS shown FROM documents",
     "fuzzy_rank": "SELECT p_partkey, p_brand, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM (SELECT p_partkey, p_brand, greatest(CASE WHEN lower(p_name) = 'red' THEN 1000.0 WHEN starts_with(lower(p_name), 'red') THEN 500.0 WHEN contains(lower(p_name), 'red') THEN 200.0 WHEN regexp_matches(lower(p_name), '(?s)r.*e.*d') THEN 50.0 ELSE 0.0 END, 0.5 * CASE WHEN lower(p_type) = 'small' THEN 1000 WHEN starts_with(lower(p_type), 'small') THEN 500 WHEN contains(lower(p_type), 'small') THEN 200 WHEN regexp_matches(lower(p_type), '(?s)s.*m.*a.*l.*l') THEN 50 ELSE 0 END)::DOUBLE AS score FROM part) WHERE score > 0",
 }

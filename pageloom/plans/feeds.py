@@ -18,10 +18,9 @@ def stream_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a pattern, as the table may be one file
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(files)
     folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    query = feeds.merge_batches(events, f"{folder}/table", ["user_id", "event_type"], ["value"], ["ts", "event_id"], f"{folder}/state")
-    query.awaitTermination()
-    batches = sum(1 for p in query.recentProgress if p["numInputRows"])
-    return feeds.merged_table(spark, f"{folder}/table", batches).select("user_id", "event_type", "value")
+    columns = ["user_id", "event_type"], ["value"], ["ts", "event_id"]
+    feeds.merge_batches(events, f"{folder}/table", *columns, f"{folder}/state").awaitTermination()
+    return feeds.merged_table(spark, f"{folder}/table", *columns).select("user_id", "event_type", "value")
 
 
 def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def doc_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.canonical(doc_objects(spark, sf_dir), ["lang"], "body", most_bytes=20_000)
+    return graph.canonical(doc_objects(spark, sf_dir), ["lang"], "body")
 
 
 def dedup_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ EDGES = """edges AS (
   SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
   UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 )"""
-CANON = "SELECT lang, doc_id AS id, CASE WHEN doc_id % 50 = 7 OR strlen(text) > 20000 THEN doc_id ELSE min(doc_id) FILTER (WHERE doc_id % 50 <> 7) OVER (PARTITION BY lang, text) END AS canonical FROM documents"
+CANON = "SELECT lang, doc_id AS id, CASE WHEN doc_id % 50 = 7 OR strlen(text) > 65536 THEN doc_id ELSE min(doc_id) FILTER (WHERE doc_id % 50 <> 7) OVER (PARTITION BY lang, text) END AS canonical FROM documents"
 ORACLES = {
     "tree_walk": f"WITH RECURSIVE {TREE}, w AS (SELECT id AS root, id, 0 AS depth, id AS path FROM tree WHERE parent IS NULL UNION ALL SELECT w.root, t.id, w.depth + 1, w.path || '/' || t.id FROM w JOIN tree t ON t.parent = w.id) SELECT * FROM w",
     "nearest_ancestor": f"WITH RECURSIVE {TREE}, w AS (SELECT id, id AS here, parent, value, 0 AS hops FROM tree UNION ALL SELECT w.id, t.id, t.parent, t.value, w.hops + 1 FROM w JOIN tree t ON t.id = w.parent WHERE w.value IS NULL) SELECT id, value, CASE WHEN value IS NOT NULL THEN hops END AS hops FROM w WHERE value IS NOT NULL OR parent IS NULL",
@@ -121,9 +121,11 @@ ORACLES = {
     "object_batches": "SELECT c_nationkey, o_orderkey AS id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders JOIN customer ON o_custkey = c_custkey",
     "point_lookup": "SELECT w.o_orderkey, lines, o_orderstatus FROM (SELECT l_orderkey * 2 AS o_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) w LEFT JOIN orders USING (o_orderkey)",
     "outline_wire": f"WITH {TREE}, k AS (SELECT parent AS id, arg_min(id, (ord, id)) AS first_child, arg_max(id, (ord, id)) AS last_child, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent) SELECT t.id, lag(t.id) OVER w AS prev, lead(t.id) OVER w AS next, first_child, last_child, coalesce(n, 0) AS n_children FROM tree t LEFT JOIN k USING (id) WINDOW w AS (PARTITION BY parent ORDER BY ord, t.id)",
-    "compress_pipeline": """WITH RECURSIVE m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical, strlen(text) AS bytes FROM documents WHERE doc_id < 1000000),
-      e AS (SELECT id AS src, unnest([id * 2, id * 2 + 1]) AS dst FROM m WHERE id = canonical),
-      r AS (SELECT e.src, t.canonical AS dst FROM e JOIN m t ON t.id = e.dst WHERE e.dst % 5 <> 0 AND e.dst <> e.src),
-      w AS (SELECT canonical AS id FROM m WHERE id = 1 UNION SELECT r.dst FROM w JOIN r ON r.src = w.id)
-      SELECT count(*) AS objects, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(id) AS BIGINT) AS ids FROM w JOIN m USING (id)""",
+    "compress_pipeline": """WITH RECURSIVE m AS (SELECT doc_id // 1000000 AS doc, doc_id % 1000000 AS id, CASE WHEN text IS NULL THEN doc_id % 1000000 ELSE
+      min(doc_id % 1000000) OVER (PARTITION BY doc_id // 1000000, text) END AS canonical, strlen(text) AS bytes FROM documents),
+      e AS (SELECT doc, id AS src, unnest([id * 2, id * 2 + 1]) AS dst FROM m WHERE id = canonical),
+      r AS (SELECT e.doc, e.src, t.canonical AS dst FROM e JOIN m t ON t.doc = e.doc AND t.id = e.dst WHERE e.dst % 5 <> 0 AND e.dst <> e.src),
+      w AS (SELECT doc, canonical AS id FROM m WHERE id = 1 UNION SELECT r.doc, r.dst FROM w JOIN r ON r.src = w.id AND r.doc = w.doc),
+      k AS (SELECT doc, id FROM w UNION ALL SELECT doc, id FROM m WHERE id = canonical AND doc NOT IN (SELECT doc FROM w))
+      SELECT count(*) AS objects, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(id) AS BIGINT) AS ids FROM k JOIN m USING (doc, id)""",
 }

@@ -108,9 +108,10 @@ def lru_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lru_set_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without gets an LRU cache holds the last distinct keys set."""
-    sets = _keyed(spark, sf_dir).filter("op = 'set'")
-    return _listed(state.lru_state(sets, ["user_id"], ORDER, "key", "op", 4))
+    """Without gets an LRU cache holds the last distinct keys set: a window over last uses, no fold."""
+    last = state.recent(_keyed(spark, sf_dir).filter("op = 'set'"), ["user_id"], "key", ORDER, 4)
+    oldest_first = F.reverse(F.array_sort(F.collect_list(F.struct("rank", "key"))))
+    return _listed(last.groupBy("user_id").agg(F.transform(oldest_first, lambda x: x["key"]).alias("keys")))
 
 
 def fifo_state(spark: SparkSession, sf_dir: str) -> DataFrame:

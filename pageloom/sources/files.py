@@ -22,9 +22,13 @@ def read_base64(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
 
 
 def readable(files: DataFrame, content: str = "content") -> DataFrame:
-    """Files with why they can't be read: ``encrypted`` if the end of the file names an encryption dictionary, ``invalid`` without a PDF head."""
-    body = F.decode(F.col(content), "ISO-8859-1")
-    reason = F.when(~F.substring(body, 1, 1024).contains("%PDF-"), "invalid").when(body.contains("/Encrypt"), "encrypted")
+    """Files with why they can't be read: ``invalid`` without a PDF head in the first 1,024 bytes, ``encrypted`` if a trailer names an encryption dictionary.
+
+    The trailer is looked for in the last 64 KiB, and in the first of files that are laid out for the web.
+    """
+    head, tail = (F.decode(part, "ISO-8859-1") for part in (F.substring(F.col(content), 1, 1 << 16), F.substring(F.col(content), -(1 << 16), 1 << 16)))
+    named = tail.contains("/Encrypt") | head.contains("/Linearized") & head.contains("/Encrypt")
+    reason = F.when(~F.substring(head, 1, 1024).contains("%PDF-"), "invalid").when(named, "encrypted")
     return files.withColumn("reason", reason)
 
 
@@ -58,8 +62,18 @@ def ingest(files: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def write_text(docs: DataFrame, folder: str) -> None:
-    """Text exports, a row a document; ``wholetext`` reads of the folder give them back."""
-    text.export_text(docs).write.mode("overwrite").parquet(folder)
+    """Text exports as text files, each document's under a folder of its own; ``read_text`` gives them back.
+
+    A file a document suits exports that people open; whole corpora stay tables.
+    """
+    rows = text.export_text(docs).select(F.col("doc_id").alias("document"), "body")
+    rows.write.mode("overwrite").partitionBy("document").text(folder)
+
+
+def read_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, body) of the files that ``write_text`` wrote; the sink ends each with a line feed of its own."""
+    rows = spark.read.text(folder, wholetext=True)
+    return rows.select(F.col("document").cast("long").alias("doc_id"), F.expr("left(value, length(value) - 1)").alias("body"))
 
 
 def write_annotations_csv(rows: DataFrame, folder: str) -> None:
@@ -75,4 +89,4 @@ def import_xfdf(spark: SparkSession, folder: str, fields: DataFrame, flatten: bo
     return forms.fill(fields, forms.from_xfdf(files), flatten)
 
 
-__all__ = ["crash_logs", "import_xfdf", "ingest", "markers", "preview", "read_base64", "readable", "scan_folder", "write_annotations_csv", "write_text"]
+__all__ = ["crash_logs", "import_xfdf", "ingest", "markers", "preview", "read_base64", "read_text", "readable", "scan_folder", "write_annotations_csv", "write_text"]

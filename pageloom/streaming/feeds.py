@@ -17,25 +17,29 @@ def latest_values(events: DataFrame, keys: list[str], value: str, order: str) ->
 
 
 def merge_batches(events: DataFrame, folder: str, keys: list[str], values: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into the table in ``folder``: the last write of a key stays, whatever batch it came in.
+    """Each micro-batch's last write of a key is added to the table in ``folder``, whatever batch the key came in before.
 
-    Versions alternate between two subfolders and a batch writes the one its number names, so a batch that is run again
-    after a failure starts from the same table and gives the same result.
+    A batch is reduced by itself and written under its number, so it costs its own size, and one that is run again after
+    a failure replaces what it wrote. ``merged_table`` reduces across batches; ``compact`` writes that as a new table.
     """
+    columns = [*keys, *values, *order]
+    events.sparkSession.createDataFrame([], events.select(*columns).schema).write.mode("overwrite").parquet(f"{folder}/batch=-1")
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select(*keys, *values, *order)
-        if number > 0:
-            new = batch.sparkSession.read.schema(new.schema).parquet(f"{folder}/{(number - 1) % 2}").unionByName(new)
-        kept = upsert_latest(new, keys, [*values, *order], order)
-        kept.write.mode("overwrite").parquet(f"{folder}/{number % 2}")
+        kept = upsert_latest(batch.select(*columns), keys, [*values, *order], order)
+        kept.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged_table(spark: SparkSession, folder: str, batches: int) -> DataFrame:
-    """The table after so many batches."""
-    return spark.read.parquet(f"{folder}/{(batches - 1) % 2}")
+def merged_table(spark: SparkSession, folder: str, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """The last write of each key in all batches."""
+    return upsert_latest(spark.read.parquet(folder), keys, [*values, *order], order)
+
+
+def compact(spark: SparkSession, folder: str, to: str, keys: list[str], values: list[str], order: list[str]) -> None:
+    """The merged table as the one batch of a new folder, for feeds of many batches: in between, with the feed stopped."""
+    merged_table(spark, folder, keys, values, order).write.mode("overwrite").parquet(f"{to}/batch=-1")
 
 
 def folder_feed(spark: SparkSession, folder: str, suffix: str = ".pdf", files_per_batch: int = 1000) -> DataFrame:
@@ -45,6 +49,11 @@ def folder_feed(spark: SparkSession, folder: str, suffix: str = ".pdf", files_pe
     return files.filter(F.lower("path").endswith(suffix)).select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"), "length")
 
 
+def marker_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of marker files as they come; files of batches that are done are deleted."""
+    return spark.readStream.option("cleanSource", "delete").text(folder)
+
+
 def quiet_sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str) -> DataFrame:
     """Bursts of events with no longer pause than ``gap``: one row a burst once it is over; events later than ``late`` are not waited for."""
     sessions = events.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap).alias("burst"))

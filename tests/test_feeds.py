@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import state
+from pageloom.operators import state, text
 from pageloom.sources import files
 from pageloom.streaming import feeds
 
@@ -39,9 +39,31 @@ def test_merge_batches(spark, tmp_path):
     stream = stream_of(spark, tmp_path, rows)
     query = feeds.merge_batches(stream, str(tmp_path / "t"), ["k"], ["v"], ["ts"], str(tmp_path / "cp"))
     query.awaitTermination()
-    n = query.lastProgress["batchId"] + (query.lastProgress["numInputRows"] > 0)
-    got = feeds.merged_table(spark, str(tmp_path / "t"), n)
-    assert sorted(got.select("k", "v").collect()) == sorted(state.upsert_latest(rows, ["k"], ["v"], ["ts"]).collect())
+    got = feeds.merged_table(spark, str(tmp_path / "t"), ["k"], ["v"], ["ts"])
+    want = sorted(state.upsert_latest(rows, ["k"], ["v"], ["ts"]).collect())
+    assert sorted(got.select("k", "v").collect()) == want
+    feeds.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["k"], ["v"], ["ts"])
+    assert sorted(feeds.merged_table(spark, str(tmp_path / "u"), ["k"], ["v"], ["ts"]).select("k", "v").collect()) == want
+
+
+def test_merge_of_more_batches_than_progress_is_kept_of(spark, tmp_path):
+    rows = [(f"k{i % 3}", i) for i in range(120)]
+    (tmp_path / "in").mkdir()
+    for k, v in rows:
+        (tmp_path / "in" / f"{v:03d}.csv").write_text(f"{k},{v},2024-01-01 00:{v // 60:02d}:{v % 60:02d}\n")
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).csv(str(tmp_path / "in"))
+    feeds.merge_batches(stream, str(tmp_path / "t"), ["k"], ["v"], ["ts"], str(tmp_path / "cp")).awaitTermination()
+    got = feeds.merged_table(spark, str(tmp_path / "t"), ["k"], ["v"], ["ts"])
+    assert sorted((r.k, r.v) for r in got.collect()) == [("k0", 117), ("k1", 118), ("k2", 119)]
+
+
+def test_marker_feed_deletes_what_it_has_read(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for n in range(3):
+        (tmp_path / "m" / f"{n}").write_text(f"tree\tc{n}\tn{n}\n")
+    feed = feeds.marker_feed(spark, str(tmp_path / "m"))
+    got = feeds.run_available(feed, "marks", str(tmp_path / "cp"))
+    assert {r.value for r in got.collect()} == {f"tree\tc{n}\tn{n}" for n in range(3)}
 
 
 def test_folder_feed_and_scan(spark, tmp_path):
@@ -87,6 +109,12 @@ def test_csv_and_xfdf(spark, tmp_path):
     assert files.import_xfdf(spark, str(tmp_path / "x"), fields).first().value == "x & y"
 
 
+def test_text_files_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None), (4, "é\n\n")], "doc_id long, text string")
+    files.write_text(docs, str(tmp_path / "t"))
+    assert sorted(files.read_text(spark, str(tmp_path / "t")).collect()) == sorted(text.export_text(docs).collect())
+
+
 def test_library_stands_without_the_llm_folders(tmp_path):
     """A copy of the library without them still imports, lists its queries and has their SQL."""
     root = Path(__file__).resolve().parents[1]

@@ -7,8 +7,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom import storage
 from pageloom.functions import scalar
-from pageloom.operators import annots, forms, geometry, graph, labels, outline, sequence, state, text
+from pageloom.operators import annots, documents, forms, geometry, graph, labels, outline, sequence, state, text
+from pageloom.operators.sums import sum_before
 
 
 def rows(spark, schema, *data):
@@ -249,3 +251,52 @@ def test_scalars(spark):
     assert v(scalar.literal_text(F.lit("é(a)\\"))) == "\\(a\\)\\\\"
     assert [round(v(scalar.snap_zoom(F.lit(z))), 6) for z in (0.1, 1.23, 9.0)] == [0.25, 1.2, 3.0]
     assert v(scalar.wheel_zoom(F.lit(1.0), F.lit(-200.0), F.lit(1.25))) == 1.25
+
+
+def test_nested_xfdf_names(spark):
+    nested = """<?xml version="1.0"?><xfdf><!-- <field name="no"> --><fields>
+      <field name="a"><field name="b"><value>v &lt; 1</value></field><field name="c"><value>two</value></field><field name="none"/></field>
+      <field name="d"><value></value></field><field name="e"><value>é
+line</value></field></fields></xfdf>"""
+    rows = forms.from_xfdf(spark.createDataFrame([(1, nested), (2, ""), (3, None)], "doc_id long, xfdf string")).collect()
+    assert [(r.doc_id, r.ord, r.name, r.value) for r in sorted(rows, key=lambda r: r.ord)] == [(1, 0, "a.b", "v < 1"), (1, 1, "a.c", "two"), (1, 2, "d", ""), (1, 3, "e", "é\nline")]
+
+
+def test_roomiest_ties_go_to_the_first_by_name(spark):
+    rows = [("u", "sdb", 5, 1), ("u", "sda", 5, 2), ("u", "sdc", 4, 9)]
+    for order in (rows, rows[::-1]):
+        got = documents.roomiest(spark.createDataFrame(order, "owner string, disk string, total long, available long"), ["owner"]).first()
+        assert (got.disk, got.total, got.used) == ("sda", 5, 3)
+
+
+def test_sums_before_a_row(spark):
+    rows = [("a", i, i % 4) for i in range(50)] + [(None, i, 2) for i in range(5)] + [("b", 1, 7)]
+    got = sum_before(spark.createDataFrame(rows, "g string, i int, v long").repartition(5), ["g"], ["i"], F.col("v"), "before").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((g, i, v, sum(w for h, j, w in rows if h == g and j < i)) for g, i, v in rows), key=str)
+
+
+def test_fnv_and_swatch_units(spark):
+    text = "aé😀"
+    row = spark.createDataFrame([(text,)], "t string").select(scalar.fnv1a_64(F.col("t")).alias("k"), scalar.fnv1a_64(F.lit("")).alias("none"), scalar.swatch(F.col("t")).alias("s")).first()
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    u = 0
+    units = text.encode("utf-16-be")
+    for at in range(0, len(units), 2):
+        u = (u * 31 + int.from_bytes(units[at : at + 2], "big") + (1 << 31)) % (1 << 32) - (1 << 31)
+    assert (row.k, row.none, row.s) == (f"{h:016x}", f"{0xCBF29CE484222325:016x}", abs(u) % 10)
+
+
+def test_template_lines_are_as_many_as_counted(spark):
+    kinds = spark.createDataFrame([(k, w, h) for k in ("ruled", "grid", "dotted", "blank") for w, h in ((595.0, 842.0), (15.0, 15.0), (40.0, 61.0))], "kind string, w double, h double")
+    rows = kinds.select("kind", geometry.template_marks(F.col("kind"), F.col("w"), F.col("h")).alias("n"), F.size(geometry.template_lines(F.col("kind"), F.col("w"), F.col("h"))).alias("m")).collect()
+    assert all(r.n == r.m for r in rows) and any(r.n > 100 for r in rows)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as N
+
+    context = N(getConf=lambda: N(get=lambda k: None), master="spark://x", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        storage.shared_folder(N(sparkContext=context))
