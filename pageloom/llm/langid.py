@@ -15,11 +15,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, hex_key, ship, without
+from .common import free_name, hex_key, ship, without, written
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4, 5)
-#: Profiles go to every task; there may be no more of them.
+#: Profiles that go to the tasks at a time; more languages are compared in several blocks.
 MOST_LANGUAGES = 1000
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
@@ -58,22 +58,18 @@ def ranked(hashes: np.ndarray, size: int) -> np.ndarray:
     return values[np.lexsort((values, -counts))][:size]
 
 
-def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Profiles (hashes by rank) of the languages of labelled rows.
+def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Profiles (lang, grams: hashes by rank) of the languages of labelled rows, as a written table.
 
     Of each language about most_rows rows are read, taken by hashed key (all, if there are fewer); null languages and
-    texts teach nothing. N-grams are counted in tasks, summed by a shuffle, and only the first ``size`` come back.
+    texts teach nothing, and a language without any letter gets no profile. N-grams are counted in tasks and summed by a
+    shuffle. Any number of languages may be learned; none of the profiles comes to the driver here.
     """
     ship(docs.sparkSession)
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counted = rows.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counted) > MOST_LANGUAGES:
-        raise ValueError("more languages than profiles may be learned for")
-    if not counted:
-        return {}
-    shares = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, most_rows / r["count"]))])
-    at = hex_key("langid:", F.coalesce(F.col(key).cast("string"), F.lit(""))) / float(1 << 60)
-    sample = rows.filter(at < F.element_at(shares, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counted = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), most_rows / F.count("*")).alias("share")))
+    at = hex_key("langid:", F.coalesce(F.col("key").cast("string"), F.lit(""))) / float(1 << 60)
+    sample = rows.withColumn("at", at).join(counted, "lang").filter("at < share").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,10 +82,9 @@ def learn_profiles(docs: DataFrame, size: int = 400, most_rows: int = 4000, key:
     grams = sample.mapInPandas(count, "lang string, gram long, n long")
     totals = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best: dict[str, list[tuple[int, int]]] = {}
-    for r in totals.withColumn("rank", rank).filter(F.col("rank") <= size).collect():
-        best.setdefault(r.lang, []).append((r.rank, r.gram))
-    return {name: np.array([gram for _, gram in sorted(best[name])], np.int64).view(np.uint64) for name in sorted(best)}
+    best = totals.withColumn("rank", rank).filter(F.col("rank") <= size)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"])
+    return written(best.groupBy("lang").agg(listed.alias("grams")))
 
 
 class Profiles:
@@ -102,37 +97,54 @@ class Profiles:
         for i, name in enumerate(self.names):
             self.rank[i, np.searchsorted(self.grams, profiles[name])] = np.arange(len(profiles[name]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The nearest language, ties to the first by name, and how clear the choice is: 0 a tie, 1 no other at all."""
+    def nearest(self, text: str | None) -> tuple[str | None, int | None, int | None, int]:
+        """The nearest language, ties to the first by name, its distance, that of the next, and the worst there is."""
         spaced = letters(text)
         if not spaced or not self.names:
-            return UNKNOWN, 0.0
+            return None, None, None, 0
         grams = ranked(gram_hashes(spaced), self.size)
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         at[self.grams[at] != grams] = len(self.grams)
         places = self.rank[:, at]
         out = np.where(places < 0, self.size, np.abs(places - np.arange(len(grams)))).sum(1)
         best = int(np.argmin(out))
-        second = int(np.delete(out, best).min()) if len(out) > 1 else self.size * len(grams)
-        return self.names[best], float((second - out[best]) / second) if second else 0.0
+        second = int(np.delete(out, best).min()) if len(out) > 1 else None
+        return self.names[best], int(out[best]), second, self.size * len(grams)
 
 
-def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1); columns of those names are replaced.
-
-    A text that is null or has no letter gets ``und`` and 0, and so does every text if no language was learned. Whole
-    texts are read, however long; repeated rows get the same; an empty table stays empty.
-    """
+def block_nearest(profiles: dict[str, np.ndarray], size: int):
+    """A function of texts: the nearest languages of one block of profiles."""
 
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, best long, second long, worst long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Profiles(profiles, size)
         for texts in batches:
-            yield pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+            found = pd.DataFrame([known.nearest(t) for t in texts], columns=["lang", "best", "second", "worst"])
+            yield found.astype({"lang": object, "best": "Int64", "second": "Int64", "worst": "Int64"})
+
+    return of
 
+
+def identify_language(docs: DataFrame, profiles: DataFrame, size: int = 400, text: str = "text", most: int = MOST_LANGUAGES) -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1); columns of those names are replaced.
+
+    The nearest language is predicted, ties to the first by name; the score tells how clear the choice is: 0 a tie, 1 no
+    distance at all. A text that is null or has no letter gets ``und`` and 0, and so does every text if no language was
+    learned. Whole texts are read, however long; repeated rows get the same; an empty table stays empty. More than
+    ``most`` languages are compared block by block, in one pass over the texts.
+    """
+    ship(docs.sparkSession)
+    blocks = max(1, -(-profiles.count() // most))
     kept = without(docs.columns, "lang_pred", "score")
-    pair = free_name(kept, "found")
-    found = docs.select(*kept, of(F.col(text)).alias(pair))
-    return found.select(*kept, F.col(f"{pair}.lang_pred").alias("lang_pred"), F.col(f"{pair}.score").alias("score"))
+    names = [free_name(kept, f"found_{b}") for b in range(blocks)]
+    out = docs.select(*kept)
+    for b, name in enumerate(names):  # at most about ``most`` rows of ``size`` numbers each
+        mine = profiles.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).orderBy("lang").collect()
+        known = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in mine}
+        out = out.withColumn(name, block_nearest(known, size)(F.col(text)))
+    near = F.array_sort(F.filter(F.array(*[F.struct(F.col(n)["best"].alias("best"), F.col(n)["lang"].alias("lang")) for n in names]), lambda x: x["lang"].isNotNull()))
+    first = F.get(near, F.lit(0))
+    nexts = [F.when(F.col(n)["lang"] != first["lang"], F.col(n)["best"]) for n in names] + [F.col(n)["second"] for n in names]
+    second = F.coalesce(F.array_min(F.array(*nexts)), F.col(names[0])["worst"])
+    score = F.when(second > 0, (second - first["best"]) / second).otherwise(0.0)
+    return out.select(*kept, F.coalesce(first["lang"], F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"))

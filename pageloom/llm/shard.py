@@ -63,7 +63,8 @@ def assign_shards(docs: DataFrame, shards: int = 64, slots: int | None = None, k
     spark = docs.sparkSession
     owners = ",".join(map(str, fill_table(shards, slots)))
     lookup = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "shard")).select("slot", F.col("shard").cast("int").alias("shard"))
-    other = F.coalesce(F.col(fallback).cast("string"), F.lit("")) if fallback in docs.columns else F.lit("")
+    there = fallback is not None and fallback.lower() in {c.lower() for c in docs.columns}
+    other = F.coalesce(F.col(fallback).cast("string"), F.lit("")) if there else F.lit("")
     text = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), other))
     kept = without(docs.columns, "slot", "shard")
     placed = docs.select(*kept, (hex_key(text) % slots).cast("int").alias("slot"))

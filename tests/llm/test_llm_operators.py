@@ -291,7 +291,7 @@ def test_language(spark, docs, clash):
     kinds = {"en": ["the", "thing", "with", "other", "this"], "de": ["der", "schön", "nicht", "über", "ein"], "fr": ["le", "être", "où", "que", "très"]}
     rows = [(i, " ".join(rng.choices(w, k=30)), k, "s", 0) for i, (k, w) in enumerate(list(kinds.items()) * 30)]
     profiles = langid.learn_profiles(spark.createDataFrame([*rows, (999, None, "en", "s", 0), (998, "?!", "xx", "s", 0)], DOCS))
-    assert set(profiles) == set(kinds)
+    assert {r.lang for r in profiles.collect()} == set(kinds)
     out = langid.identify_language(clash, profiles).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in out)
@@ -301,6 +301,56 @@ def test_language(spark, docs, clash):
     assert {r.lang_pred for r in langid.identify_language(docs, langid.learn_profiles(empty(docs))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """N-grams of one to five letters within words, with a blank at either end of a word for two letters and more."""
+    spaced = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+    out = Counter()
+    for n in range(1, 6):
+        for i in range(len(spaced) - n + 1):
+            gram = spaced[i : i + n]
+            if gram != " " and (n < 3 or " " not in gram[1:-1]):
+                out[gram] += 1
+    return out
+
+
+def test_language_against_plain_profiles(spark):
+    """Distances by a plain out-of-place rule, where no two n-grams are equally frequent at a place that matters."""
+    rng = random.Random(12)
+    alphabet = {"aa": "abcde", "bb": "abfgh", "cc": "cdfij"}
+    text = lambda k, n: " ".join("".join(rng.choices(alphabet[k], [16, 8, 4, 2, 1], k=rng.randrange(1, 7))) for _ in range(n))
+    train = [(i, text(k, 60), k, "s", 0) for i, k in enumerate(list(alphabet) * 20)]
+    profiles = langid.learn_profiles(spark.createDataFrame(train, DOCS), size=10**6)
+    learned = {r.lang: len(r.grams) for r in profiles.collect()}
+    counts = {k: sum((plain_grams(t) for _, t, lang, *_ in train if lang == k), Counter()) for k in alphabet}
+    assert learned == {k: len(c) for k, c in counts.items()}
+    code = lambda g: int(langid.gram_hashes(g)[-1]) if len(g) != 2 or " " not in g else None
+    for k, c in counts.items():  # the profile is the plain counts' order, equal counts aside
+        mine = {g: code(g) for g in c if " " not in g}
+        grams = np.array(next(r.grams for r in profiles.collect() if r.lang == k), np.int64).view(np.uint64).tolist()
+        places = [c[g] for h in grams for g in [next((g for g, x in mine.items() if x == h), None)] if g]
+        assert places == sorted(places, reverse=True) and len(places) > 50
+    known = langid.Profiles({r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in profiles.collect()}, 10**6)
+    for k in alphabet:
+        body = text(k, 80)
+        own = langid.ranked(langid.gram_hashes(langid.letters(body)), 10**6).tolist()
+        by_rank = {r.lang: {h: n for n, h in enumerate(np.array(r.grams, np.int64).view(np.uint64).tolist())} for r in profiles.collect()}
+        plain = {lang: sum(abs(ranks[h] - n) if h in ranks else 10**6 for n, h in enumerate(own)) for lang, ranks in by_rank.items()}
+        name, best, second, worst = known.nearest(body)
+        assert (best, second) == tuple(sorted(plain.values())[:2]) and plain[name] == best and worst == len(own) * 10**6 and name == k
+
+
+def test_many_languages_are_compared_in_blocks(spark):
+    rng = random.Random(13)
+    letter = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{n:02d}": "".join(rng.sample(letter, 6)) for n in range(30)}
+    rows = [(i, " ".join("".join(rng.choices(own[k], k=5)) for _ in range(30)), k, "s", 0) for i, k in enumerate(list(own) * 4)]
+    docs = spark.createDataFrame([*rows, (999, None, None, None, None)], DOCS)
+    profiles = langid.learn_profiles(docs)
+    one = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(docs, profiles).collect()}
+    several = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(docs, profiles, most=7).collect()}
+    assert one == several and sum(one[i][0] == k for i, _, k, *_ in rows) > 110 and one[999] == ("und", 0.0)
+
+
 def test_quality(spark, docs, clash):
     labels = spark.createDataFrame([(1, 1), (4, 0), (5, 1), (None, 1), (7, None), (99, 0)], "doc_id long, quality int")
     out = quality.score_quality(clash, labels, F.lit(True), F.col("source"), F.col("lang")).collect()
@@ -310,6 +360,40 @@ def test_quality(spark, docs, clash):
     assert {round(r.score, 6) for r in none} == {0.5}
 
 
+def test_quality_scores_are_what_the_formula_says(spark):
+    """Score of every row from its site's rate and its evidence, worked out by hand for classes of sites."""
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(300):
+        good = rng.random() < (0.9 if i % 3 == 0 else 0.3)
+        body = " ".join(rng.choices(["plain", "words", "of", "a", "text."] if good else ["!!", "BUY", "1234", "$$", "|"], k=30))
+        rows.append((i, body, "p", "abc"[i % 3], 0))
+        labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    learn = F.col("doc_id") < 200
+    out = {r.doc_id: r for r in quality.score_quality(docs, known, learn, F.col("source"), F.col("lang")).collect()}
+    model = quality.learn_classifier(docs.filter(learn), known.filter(learn))
+    taught = [(rows[i][3], g) for i, g in labels if i < 200]
+    overall = (sum(g for _, g in taught) + 1) / (len(taught) + 2)
+    n, k = {s: sum(h == s for h, _ in taught) for s in "abc"}, {s: sum(g for h, g in taught if h == s) for s in "abc"}
+
+    def strength(rate):
+        spread, chance = sum(n[s] * (k[s] / n[s] - rate[s]) ** 2 for s in "abc"), sum(rate[s] * (1 - rate[s]) for s in "abc")
+        extra = (spread - chance) / (sum(n[s] * rate[s] * (1 - rate[s]) for s in "abc") - chance)
+        return min(max(1 / extra - 1, 1.0), 1000.0) if extra > 0 else 1000.0
+
+    m = strength({s: overall for s in "abc"})
+    host = {s: (k[s] + m * overall) / (n[s] + m) for s in "abc"}
+    m = strength(host)
+    path = {s: (k[s] + m * host[s]) / (n[s] + m) for s in "abc"}
+    for i, body, _, s, _ in rows:
+        evidence = float(model.evidence(np.array([quality.features(body)]))[0])
+        odds = math.log(path[s] / (1 - path[s])) + evidence
+        assert out[i].site_rate == pytest.approx(path[s]) and out[i].score == pytest.approx(1 / (1 + math.exp(-odds)))
+    held = [(g, out[i].predicted) for i, g in labels if i >= 200]
+    assert all(sum(p == c for g, p in held if g == c) >= 0.9 * sum(g == c for g, _ in held) for c in (0, 1))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [("big", "p", 1)] * 90 + [("big", "p", 0)] * 10 + [("bad", "q", 0)] * 80 + [("bad", "q", 1)] * 20 + [("tiny", "r", 0)]
     rates, overall = quality.site_rates(spark.createDataFrame(rows, "host string, path string, good int"))
@@ -340,6 +424,26 @@ def test_toxicity(spark, docs, clash):
     assert none.terms == []
 
 
+def test_toxicity_scores_are_what_the_lexicon_says():
+    """Scores worked out by hand: hits of a term within a stretch, misspelled or quoted ones at their weight."""
+    lexicon = toxicity.Lexicon([("moron", False, 1), ("grim", True, 0)], [(2.0, 3.0, 5.0), (1.0, 1.5, 4.0)], prior=-1.0, base=0.03, allowed=frozenset({"maron"}))
+    odds = lambda x: 1 / (1 + math.exp(-x))
+    for body, want in {
+        "a plain text": 0.03,
+        "the Moron came": odds(-1 + 2),
+        "the morron came": odds(-1 + 2 * 0.7),
+        "the maron came": 0.03,
+        'she said "the moron came" to them': odds(-1 + 2 * 0.45),
+        'she said "the morron came" to them': odds(-1 + 2 * 0.25),
+        'a moron. She said "the moron came" to them': odds(-1 + 3),
+        "moron, moron and moron": odds(-1 + 5),
+        "moron " + "word " * 200 + "moron": odds(-1 + 2),
+        "grimness and a moron, grimly": odds(-1 + 1.5 + 2),
+        "pilgrim morons": odds(-1 + 2 * 0.7),
+    }.items():
+        assert toxicity.Scorer(lexicon).score(body) == pytest.approx(want), body
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -478,6 +582,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert stage(spark, empty(docs), folder).count() == 0
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, clash, tmp_path):
+    """Columns that have an operator's names come through every stage with their values."""
+    folder = str(tmp_path / "sf")
+    extra = [c for c in CLASH if c != "shard"]
+    rows = clash.drop("shard")
+    rows.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(9, 1), (1, 0)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in [*corpus_pipeline.STAGES, ("run", lambda s, d, f: corpus_pipeline.run(s, f))]:
+        out = stage(spark, rows, folder)
+        assert out.columns == [*rows.columns, *(["shard"] if name in ("sharding", "run") else [])], name
+        got = out.collect()
+        assert got and all(r[c] == "x" for r in got for c in extra), name
+
+
 def test_near_copies_are_all_that_are_similar(spark):
     rng = random.Random(4)
     texts = []

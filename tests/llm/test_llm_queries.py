@@ -64,18 +64,24 @@ def test_op6(spark, con):
     assert sum(lang[r.doc_id] == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def both_classes(want, rows):
+    """The shares of either class's rows that are predicted so: no constant prediction has both above 0."""
+    pairs = [(want[r.doc_id], r.predicted) for r in rows if r.doc_id in want]
+    return [sum(p == c for w, p in pairs if w == c) / sum(w == c for w, _ in pairs) for c in (0, 1)]
+
+
 def test_op8(spark, con):
     good = dict(con.sql("select doc_id, quality from labels").fetchall())
-    rows = [r for r in queries.op8_quality(spark, SF).collect() if r.held_out and r.doc_id in good]
-    assert sum(good[r.doc_id] == r.predicted for r in rows) >= 0.85 * len(rows)
+    bad, fine = both_classes(good, [r for r in queries.op8_quality(spark, SF).collect() if r.held_out])
+    assert bad >= 0.6 and fine >= 0.8
 
 
 def test_op9(spark, con):
     toxic = dict(con.sql("select doc_id, toxic from labels").fetchall())
     rows = queries.op9_toxicity(spark, SF).collect()
     assert len(rows) == con.sql("select count(*) from documents").fetchall()[0][0]
-    held = [r for r in rows if r.held_out and r.doc_id in toxic]
-    assert sum(toxic[r.doc_id] == r.predicted for r in held) >= 0.85 * len(held)
+    clean, bad = both_classes(toxic, [r for r in rows if r.held_out])
+    assert clean >= 0.9 and bad >= 0.5
 
 
 def test_op10(spark, con):
