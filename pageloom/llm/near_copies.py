@@ -9,7 +9,9 @@ A shard's rows are not paired all with all. Its hub is the text of which the mos
 copies the one with the fewest edits. First each text is measured against the hub of most of its shards. What that links
 is mostly one component of a shard's rows. Only rows outside the largest component are then looked up in the BK-tree of
 the shard's fingerprints, within RADIUS bits; a large shard is cut into chunks with a tree each, and the rows outside
-are looked up in all of them. So a dense group costs about its size, and its size again for each row outside.
+are looked up in all of them. The Jaccard distance is a metric, so two texts whose distances to one hub differ by more
+than 1 - t cannot be similar, and are passed over. So a dense group costs about its size, and part of its size again for
+each row outside.
 """
 
 from __future__ import annotations
@@ -84,8 +86,8 @@ def one_each(docs: DataFrame, mark: str, repeated: DataFrame) -> DataFrame:
     return once.unionByName(docs.join(repeated, mark, "left_semi").dropDuplicates([mark]))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts, of (node, text) rows, have a similarity of ``least`` or more."""
+def measured(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """(a, b, near, linked): the similarity of the texts of each pair, from (node, text) rows, and whether it is enough."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}  # sets of texts that came lately; a group's texts come again and again
@@ -106,12 +108,12 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Dat
             for a, b, text_a, text_b in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
                 first, second = of(a, text_a), of(b, text_b)
                 common = len(np.intersect1d(first, second, assume_unique=True))
-                if common >= least * (len(first) + len(second) - common) - 1e-9:
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                union = len(first) + len(second) - common
+                found.append((a, b, common / max(union, 1), common >= least * union - 1e-9))
+            yield pd.DataFrame(found, columns=["a", "b", "near", "linked"])
 
     met = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return met.mapInPandas(measure, "a long, b long")
+    return met.mapInPandas(measure, "a long, b long, near double, linked boolean")
 
 
 def fits(least: float, size: Column, other: Column) -> Column:
@@ -126,7 +128,7 @@ def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
         key, tree, held = None, BKTree(), []
         for batch in batches:
             pairs = set()
-            for its_key, part, kind, node, label, value, size in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
+            for its_key, part, kind, node, label, value, size, hub, near in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
                 if (its_key, part) != key:
                     key, tree, held = (its_key, part), BKTree(), []
                 value &= (1 << BITS) - 1
@@ -134,11 +136,13 @@ def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
                     at = tree.add(value)
                     if at == len(held):
                         held.append([])
-                    held[at].append((node, label, size))
+                    held[at].append((node, label, size, hub, near))
                     continue
                 for at in tree.within(value, radius):
-                    for other, its, length in held[at]:
-                        if its != label and min(size, length) >= least * max(size, length) - 1e-9:
+                    for other, its, length, centre, reach in held[at]:
+                        if its == label or min(size, length) < least * max(size, length) - 1e-9:
+                            continue
+                        if centre != hub or abs(reach - near) <= 1 - least + 1e-9:
                             pairs.add((min(node, other), max(node, other)))
             yield pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
 
@@ -147,7 +151,7 @@ def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
-SHARD_ROW = ("key", "part", "kind", "node", "label", "fingerprint", "size")
+SHARD_ROW = ("key", "part", "kind", "node", "label", "fingerprint", "size", "hub", "near")
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -181,13 +185,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
         met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
         placed = nodes.join(met, "node", "left_semi").select("node", "mark")
         texts = written(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"))
-        links = written(similar(pairs, texts, least, width))
+        found = written(measured(pairs, texts, least, width))
         remove(texts)
-        return links
+        return found
 
-    links = verified(first)
+    tried = verified(first)
+    links = tried.filter("linked").select("a", "b")
     labels = components(links).withColumnRenamed("label", "linked")
-    known = nodes.select("node", "fingerprint").join(labels, "node", "left").select("node", "fingerprint", F.coalesce("linked", "node").alias("label"))
+    centres = tried.select(F.col("b").alias("node"), F.col("a").alias("its_hub"), F.col("near").alias("its_near"))
+    known = nodes.select("node", "fingerprint").join(labels, "node", "left").join(centres, "node", "left")
+    known = known.select("node", "fingerprint", F.coalesce("linked", "node").alias("label"), F.coalesce("its_hub", "node").alias("hub"), F.coalesce("its_near", F.lit(1.0)).alias("near"))
     labelled = written(shared.join(known, "node"))
     remove(shared, first)
     sizes = labelled.groupBy("key", "label").count().groupBy("key")
@@ -198,7 +205,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     trees = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(JOIN))
     asked = open_.filter("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(SEARCH))
     pairs = written(shard_pairs(trees.unionByName(asked), least, radius))
-    links = written(links.unionByName(verified(pairs)))
+    links = written(links.unionByName(verified(pairs).filter("linked").select("a", "b")))
 
     labels = components(links)
     groups = written(nodes.select("node", "mark").join(labels, "node", "left").select("node", "mark", F.coalesce("label", "node").alias("label")))
