@@ -9,14 +9,15 @@ A shard's rows are not paired all with all. Its hub is the text of which the mos
 copies the one with the fewest edits. First each text is measured against the hub of most of its shards. What that links
 is mostly one component of a shard's rows. Only rows outside the largest component are then looked up in the BK-tree of
 the shard's fingerprints, within RADIUS bits; a large shard is cut into chunks with a tree each, and the rows outside
-are looked up in all of them. The Jaccard distance is a metric, so two texts whose distances to one hub differ by more
-than 1 - t cannot be similar, and are passed over. So a dense group costs about its size, and part of its size again for
-each row outside.
+are looked up in all of them. What the tree proposes is measured there and then, in the first of the shards that a pair
+shares, and a row gives one link at most to each component. The Jaccard distance is a metric, so two texts whose
+distances to one hub differ by more than 1 - t cannot be similar, and are not measured. So no table of pairs is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -86,29 +87,21 @@ def one_each(docs: DataFrame, mark: str, repeated: DataFrame) -> DataFrame:
     return once.unionByName(docs.join(repeated, mark, "left_semi").dropDuplicates([mark]))
 
 
+def likeness(first: np.ndarray, second: np.ndarray) -> tuple[int, int]:
+    """How many shingles two sets have in common, and how many together."""
+    common = len(np.intersect1d(first, second, assume_unique=True))
+    return common, len(first) + len(second) - common
+
+
 def measured(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
     """(a, b, near, linked): the similarity of the texts of each pair, from (node, text) rows, and whether it is enough."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}  # sets of texts that came lately; a group's texts come again and again
-        room = 0
-
-        def of(node: int, text: str) -> np.ndarray:
-            nonlocal room
-            if node not in known:
-                if room <= 0:
-                    known.clear()
-                    room = REMEMBERED
-                known[node] = shingles(text, width)
-                room -= len(known[node]) + 100
-            return known[node]
-
+        of = remembering(width)
         for batch in batches:
             found = []
             for a, b, text_a, text_b in zip(*(batch[c] for c in ("a", "b", "text_a", "text_b")), strict=True):
-                first, second = of(a, text_a), of(b, text_b)
-                common = len(np.intersect1d(first, second, assume_unique=True))
-                union = len(first) + len(second) - common
+                common, union = likeness(of(a, text_a), of(b, text_b))
                 found.append((a, b, common / max(union, 1), common >= least * union - 1e-9))
             yield pd.DataFrame(found, columns=["a", "b", "near", "linked"])
 
@@ -116,42 +109,87 @@ def measured(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
     return met.mapInPandas(measure, "a long, b long, near double, linked boolean")
 
 
+def remembering(width: int) -> Callable[[int, str], np.ndarray]:
+    """Shingles of a node's text; those of nodes that came lately are remembered, as a group's texts come again and again."""
+    known: dict[int, np.ndarray] = {}
+    room = 0
+
+    def of(node: int, text: str) -> np.ndarray:
+        nonlocal room
+        if node not in known:
+            if room <= 0:
+                known.clear()
+                room = REMEMBERED
+            known[node] = shingles(text, width)
+            room -= len(known[node]) + 100
+        return known[node]
+
+    return of
+
+
 def fits(least: float, size: Column, other: Column) -> Column:
     """Whether sets of these sizes can be similar."""
     return F.least(size, other) >= least * F.greatest(size, other) - 1e-9
 
 
-def shard_pairs(rows: DataFrame, least: float, radius: int) -> DataFrame:
-    """Pairs (a, b) of different labels from rows of SHARD_ROW: a shard's tree is built first, of its JOIN rows."""
+@dataclass
+class Member:
+    """A row of a shard: its node, the label of what it is linked to, and what tells whether another is similar."""
+
+    node: int
+    label: int
+    size: int
+    hub: int
+    near: float
+    keys: np.ndarray
+    grams: np.ndarray
+
+    def may_be_similar(self, other: Member, key: int, least: float) -> bool:
+        """Whether the two are still to be measured, here: in the first shard that they share."""
+        if self.label == other.label or min(self.size, other.size) < least * max(self.size, other.size) - 1e-9:
+            return False
+        if self.hub == other.hub and abs(self.near - other.near) > 1 - least + 1e-9:
+            return False
+        return self.keys[np.argmax(self.keys == other.keys)] == key
+
+
+def shard_links(rows: DataFrame, least: float, width: int, radius: int) -> DataFrame:
+    """Links (a, b) from rows of SHARD_ROW: a shard's tree is built first, of its JOIN rows; then SEARCH rows are looked up.
+
+    A row gives one link to each label that it is similar to.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tree, held = None, BKTree(), []
+        at, tree, held, of = None, BKTree(), [], remembering(width)
         for batch in batches:
-            pairs = set()
-            for its_key, part, kind, node, label, value, size, hub, near in zip(*(batch[c].tolist() for c in SHARD_ROW), strict=True):
-                if (its_key, part) != key:
-                    key, tree, held = (its_key, part), BKTree(), []
-                value &= (1 << BITS) - 1
+            links = []
+            for key, part, kind, value, text, node, *rest, keys in zip(*(batch[c] for c in SHARD_ROW), strict=True):
+                if (key, part) != at:
+                    at, tree, held = (key, part), BKTree(), []
+                value = int(value) & (1 << BITS) - 1
+                row = Member(node, *rest, keys, of(node, text))
                 if kind == JOIN:
-                    at = tree.add(value)
-                    if at == len(held):
+                    place = tree.add(value)
+                    if place == len(held):
                         held.append([])
-                    held[at].append((node, label, size, hub, near))
+                    held[place].append(row)
                     continue
-                for at in tree.within(value, radius):
-                    for other, its, length, centre, reach in held[at]:
-                        if its == label or min(size, length) < least * max(size, length) - 1e-9:
-                            continue
-                        if centre != hub or abs(reach - near) <= 1 - least + 1e-9:
-                            pairs.add((min(node, other), max(node, other)))
-            yield pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
+                linked = set()
+                for place in tree.within(value, radius):
+                    for other in held[place]:
+                        if other.label not in linked and row.may_be_similar(other, key, least):
+                            common, union = likeness(row.grams, other.grams)
+                            if common >= least * union - 1e-9:
+                                linked.add(other.label)
+                                links.append((node, other.node))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*SHARD_ROW).repartition(parts, "key", "part").sortWithinPartitions("key", "part", "kind")
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
-SHARD_ROW = ("key", "part", "kind", "node", "label", "fingerprint", "size", "hub", "near")
+SHARD_ROW = ("key", "part", "kind", "fingerprint", "text", "node", "label", "size", "hub", "near", "keys")
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -181,31 +219,32 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     met = met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count()
     first = written(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        placed = nodes.join(met, "node", "left_semi").select("node", "mark")
-        texts = written(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"))
-        found = written(measured(pairs, texts, least, width))
-        remove(texts)
-        return found
+    def texts_of(found: DataFrame) -> DataFrame:
+        placed = nodes.join(found, "node", "left_semi").select("node", "mark")
+        return written(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"))
 
-    tried = verified(first)
+    texts = texts_of(first.select("a").union(first.select("b")).distinct().toDF("node"))
+    tried = written(measured(first, texts, least, width))
+    remove(texts)
     links = tried.filter("linked").select("a", "b")
     labels = components(links).withColumnRenamed("label", "linked")
     centres = tried.select(F.col("b").alias("node"), F.col("a").alias("its_hub"), F.col("near").alias("its_near"))
-    known = nodes.select("node", "fingerprint").join(labels, "node", "left").join(centres, "node", "left")
-    known = known.select("node", "fingerprint", F.coalesce("linked", "node").alias("label"), F.coalesce("its_hub", "node").alias("hub"), F.coalesce("its_near", F.lit(1.0)).alias("near"))
-    labelled = written(shared.join(known, "node"))
+    known = nodes.join(labels, "node", "left").join(centres, "node", "left")
+    known = written(known.select("node", "fingerprint", "keys", F.coalesce("linked", "node").alias("label"), F.coalesce("its_hub", "node").alias("hub"), F.coalesce("its_near", F.lit(1.0)).alias("near")))
+    labelled = written(shared.join(known.select("node", "label"), "node"))
     remove(shared, first)
     sizes = labelled.groupBy("key", "label").count().groupBy("key")
     most = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("members"), F.count("*").alias("labels"))
     parts = most.filter("labels > 1").select("key", "most", F.ceil(F.col("members") / chunk).cast("int").alias("parts"))
     open_ = written(labelled.join(parts, "key"))
     remove(labelled)
-    trees = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(JOIN))
-    asked = open_.filter("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(SEARCH))
-    pairs = written(shard_pairs(trees.unionByName(asked), least, radius))
-    links = written(links.unionByName(verified(pairs).filter("linked").select("a", "b")))
+    texts = texts_of(open_.select("node").distinct())
+    own = open_.drop("label").join(known.join(texts, "node"), "node")
+    trees = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(JOIN))
+    asked = own.filter("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(SEARCH))
+    more = written(shard_links(trees.unionByName(asked), least, width, radius))
+    remove(texts, open_, known)
+    links = written(links.unionByName(more))
 
     labels = components(links)
     groups = written(nodes.select("node", "mark").join(labels, "node", "left").select("node", "mark", F.coalesce("label", "node").alias("label")))
