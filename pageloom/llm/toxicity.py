@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import checkpoint, hex_key, kept, ship, without
 
 WORDS = re.compile(r"\w+")
@@ -231,11 +232,33 @@ def choose_terms(toxic_docs: list[dict[str, int]], counts: dict[str, tuple[int,
                 holders[t] = {i: times for i, times in holders[t].items() if i not in docs}
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """The rows of a bounded sample (key, toxic, text) less near copies of a row of the same label and smaller key.
+
+    A text that is there a hundred times over, a word changed here and there, would otherwise teach that all its words
+    are toxic. Rows are copies if they share a min-wise key of their shingles; some 28 numbers a row come to the driver.
+    """
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([near_copies.keys(near_copies.shingles(t)) for t in texts])
+
+    rows = sample.select("key", "toxic", of("text").alias("sketch")).collect()
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    kept_keys = []
+    for r in sorted(rows, key=lambda r: r.key):
+        if seen[r.toxic].isdisjoint(r.sketch):
+            seen[r.toxic].update(r.sketch)
+            kept_keys.append((r.key,))
+    kept_rows = sample.sparkSession.createDataFrame(kept_keys, sample.select("key").schema)
+    return sample.join(F.broadcast(kept_rows), "key", "left_semi")
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from about most_rows labelled rows, taken by hashed id; the sample, not the corpus, bounds what is collected.
 
     A key's label is 1 if any of its rows says so, and its least text teaches, so a key that many rows share is one row
-    here; rows without key, label or text teach nothing. Without any toxic row the lexicon is empty and every text
+    here, and so are near copies; rows without key, label or text teach nothing. Without any toxic row the lexicon is empty and every text
     scores the base rate.
     """
     ship(docs.sparkSession)
@@ -245,7 +268,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, k
     rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).join(F.broadcast(taken), "key").filter("text is not null")
     rows = rows.groupBy("key", "toxic").agg(F.min("text").alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    sample = checkpoint(rows.select("key", "toxic", "text", words.alias("words")))
+    sample = checkpoint(one_of_copies(checkpoint(rows.select("key", (F.col("toxic") >= 1).cast("int").alias("toxic"), "text"))).select("key", "toxic", "text", words.alias("words")))
 
     def forms(word):  # the word, and its stems of 4 to 8 letters
         return F.concat(F.array(word), *[F.when(F.length(word) >= n, F.array(F.concat(F.substring(word, 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in range(4, 9)])

@@ -491,6 +491,26 @@ def test_toxicity_weighs_how_thick_a_stem_comes(spark):
     assert all((scorer.score(r[1]) >= 0.3) == bool(t) for r, (_, t) in zip(rows, labels, strict=True))
 
 
+def test_toxicity_is_not_taught_by_copies(spark):
+    """One toxic text in 200 versions, a word or two changed in each, teaches its insult alone."""
+    rng = random.Random(21)
+    plain = [f"w{rng.randrange(10**6)}x" for _ in range(400)]
+    rows, labels = [], []
+    base = [*rng.choices(plain, k=120), "dreadword", *rng.choices(plain, k=120)]
+    for i in range(900):
+        words = list(base) if i < 200 else rng.choices(plain, k=150)
+        for _ in range(rng.randrange(1, 8)) if i < 200 else ():
+            words[rng.choice([n for n, w in enumerate(words) if w != "dreadword"])] = rng.choice(plain)
+        if 200 <= i < 240:
+            words.insert(rng.randrange(150), "dreadword")
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, int(i < 240)))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [(t, s) for t, s, _ in lexicon.terms] == [("dreadword", False)]
+    scorer = toxicity.Scorer(lexicon)
+    assert all((scorer.score(r[1]) >= 0.3) == bool(t) for r, (_, t) in zip(rows, labels, strict=True))
+
+
 def test_samples_take_one_row_of_a_repeated_key(spark):
     many = spark.createDataFrame([(1, f"text {i % 3}", "en", "s", 0) for i in range(300)], DOCS)
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
