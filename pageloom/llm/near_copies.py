@@ -207,7 +207,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     nodes = written(printed.groupBy("node").agg(F.min("mark").alias("mark"), *by_node))
     marks = written(printed.groupBy("mark").agg(F.any_value("node").alias("node"), F.count("*").alias("rows")))
     remove(printed)
-    repeated = marks.filter("rows > 1").select("mark")
+    repeated = written(marks.filter("rows > 1").select("mark"))  # of known size, so that a small one is broadcast
 
     key = Window.partitionBy("key").orderBy("node")
     met = {"last": F.lag("node").over(key), "next": F.lead("node").over(key)}
@@ -220,7 +220,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     first = written(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"))
 
     def texts_of(found: DataFrame) -> DataFrame:
-        placed = nodes.join(found, "node", "left_semi").select("node", "mark")
+        placed = written(nodes.join(found, "node", "left_semi").select("node", "mark"))
         return written(one_each(docs, "mark", repeated).join(placed, "mark").select("node", "text"))
 
     texts = texts_of(first.select("a").union(first.select("b")).distinct().toDF("node"))
