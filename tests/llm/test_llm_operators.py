@@ -609,7 +609,7 @@ def test_pipeline_stages_keep_clashing_columns(spark, clash, tmp_path):
     extra = [c for c in CLASH if c != "shard"]
     rows = clash.drop("shard")
     rows.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(9, 1), (1, 0)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(9, 1), *((i, 0) for i in (1, 4, 5, 6, 7, 8))], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     for name, stage in [*corpus_pipeline.STAGES, ("run", lambda s, d, f: corpus_pipeline.run(s, f))]:
         out = stage(spark, rows, folder)
