@@ -122,4 +122,77 @@ SELECT doc_id, name AS license_id, CAST(i AS INTEGER) AS template, round(dice, 6
 FROM best JOIN dg USING (row_id) JOIN tl USING (i) WHERE rn = 1 AND dice >= 0.8 - 1e-9
 """ % _templates()
 
-ORACLES = {"op1_license_scan": OP1, "op3_mix_sources": OP3, "op5_sharding": OP5, "op7_decontamination": OP7}
+OP12 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'r': r, 'x': x} ORDER BY pos) AS turns,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+           lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS crc
+  FROM t GROUP BY conv_id
+), headed AS (
+  SELECT conv_id, turns, xor(crc, 4294967295) % 6 AS h FROM own
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(l.turns, [])[1:o.h], o.turns[o.h + 1:len(o.turns)]) AS seq
+  FROM headed o LEFT JOIN headed l ON l.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d AS depth, seq[1:d] AS prefix, len(seq) = d AS whole FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(length(prefix[depth].x), 0) AS own
+  FROM prefixes GROUP BY depth, prefix
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, count(c.depth) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+  LEFT JOIN (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix FROM nodes WHERE depth > 0) c ON c.depth = n.depth AND c.prefix = n.prefix
+  GROUP BY ALL
+), below AS (
+  SELECT a AS depth, prefix[1:a] AS prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM linked) GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN below USING (depth, prefix)
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """The rounds of assigning and averaging, and the last assignment, as further parts of a WITH clause."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""d{k} AS MATERIALIZED (
+  SELECT r, part, e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b{k} b USING (part, w) GROUP BY r, part, e
+), a{k} AS MATERIALIZED (
+  SELECT r, part, min(d) AS d, min_by(e, d * 1000 + e) AS e FROM d{k} GROUP BY r, part
+)""")
+        if k < rounds:
+            parts.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, b.w, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, e, w, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM a{k} JOIN c USING (r, part) GROUP BY part, e, w
+  ) m USING (part, e, w)
+)""")
+    return ", ".join(parts)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, ints) AS r, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  )
+), c AS MATERIALIZED (
+  SELECT r, i // w4 AS part, i % w4 AS w, ints[i + 1] AS x FROM (SELECT r, ints, len(ints) // 4 AS w4, unnest(range(0, len(ints))) AS i FROM v)
+), b0 AS MATERIALIZED (
+  SELECT part, r - 1 AS e, w, x FROM c WHERE r <= 256
+), {_rounds(4)}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 JOIN v USING (r) GROUP BY r, vec_id, label
+), books AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, w)) AS codebooks_sha256 FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+ORACLES = {"op1_license_scan": OP1, "op3_mix_sources": OP3, "op5_sharding": OP5, "op7_decontamination": OP7, "op12_conversation_trie": OP12, "op13_vector_codes": OP13}

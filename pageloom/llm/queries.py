@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, decontaminate, langid, license_scan, mix, quality, shard, simhash, toxicity
-from .common import in_fold, read
+from . import ann, bpe_codec, bpe_count, conversation_trie, decontaminate, langid, license_scan, mix, quality, shard, simhash, toxicity, vector_codes
+from .common import in_fold, read, written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe_count.read_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    text = bpe_codec.decoded(encoded, vocabulary)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(conversation_trie.turns_in_order(read(spark, sf_dir, "conversations")))
+    nodes, ends = conversation_trie.prefix_trie(*conversation_trie.rebranched(turns))
+    none = F.sha2(F.lit(""), 256)
+    return nodes.join(conversation_trie.ids_digest(ends), "sequence", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(vectors)
+    sums = written(coded.groupBy(F.col("label").alias("of_label")).agg(F.sum("error").alias("label_error")))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of_label")), "left").select(
+        "vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -75,4 +101,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -88,3 +88,18 @@ def test_op10(spark, con):
     want = brute.simhash_components(con.sql("select doc_id, text from documents").fetchall())
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash(spark, SF).collect()}
     assert got == want
+
+
+def test_op11(spark, con):
+    from hashlib import sha256
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = dict(con.sql("select doc_id, text from documents").fetchall())
+    got = {r.doc_id: r for r in queries.op11_bpe_codec(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        digests = [sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        assert [got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256] == [len(ids), *digests]
