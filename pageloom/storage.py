@@ -1,9 +1,12 @@
-"""Tables that cut lineage: in the folder that driver and executors share."""
+"""What driver and executors share: tables that cut lineage, and the library itself."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,20 @@ def remove(*tables: DataFrame) -> None:
             spark = df.sparkSession
             file = spark._jvm.org.apache.hadoop.fs.Path(path)
             file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the library to the executors' Python, once an application: operators with Python tasks call it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="pageloom-"), f"{package.name}-core.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
