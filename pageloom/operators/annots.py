@@ -97,19 +97,10 @@ def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove_link(links: DataFrame, gone: DataFrame) -> DataFrame:
     """Links without the (doc_id, page, index) ones of ``gone``; the index counts a page's links from 0."""
-    from pyspark.sql import Window
-
     numbered = links.withColumn("index", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")) - 1)
     return numbered.join(gone, ["doc_id", "page", "index"], "left_anti").drop("index")
 
 
-def redact(chars: DataFrame, regions: DataFrame) -> DataFrame:
-    """Characters whose box meets no region of their page; keys: doc_id, page."""
-    meets = (F.col("c.x0") < F.col("r.x1")) & (F.col("c.x1") > F.col("r.x0")) & (F.col("c.y0") < F.col("r.y1")) & (F.col("c.y1") > F.col("r.y0"))
-    same = (F.col("c.doc_id") == F.col("r.doc_id")) & (F.col("c.page") == F.col("r.page"))
-    return chars.alias("c").join(regions.alias("r"), same & meets, "left_anti")
-
-
 def anonymize_report(keys: DataFrame, info: bool = True, xmp: bool = True, scripts: bool = True, files: bool = True, actions: bool = True, authors: bool = True) -> DataFrame:
     """(doc_id, category, removed) of (doc_id, scope, key) rows: what each switch takes away.
 

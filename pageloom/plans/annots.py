@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import scalar
-from pageloom.operators import annots, forms, outline
+from pageloom.operators import annots, forms, outline, redaction
 from pageloom.sources.tables import table
 
 COLORS = ("#f59e0b", "#10B981", "#3b82f6")
@@ -112,11 +112,45 @@ def links_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annots.remove_link(annots.add_links(links, new), gone)
 
 
+def boxes_of(rows: DataFrame, *columns: str) -> DataFrame:
+    sides = [f(a, b).alias(n) for f, a, b, n in ((F.least, "x0", "x1", "x0"), (F.least, "y0", "y1", "y0"), (F.greatest, "x0", "x1", "x1"), (F.greatest, "y0", "y1", "y1"))]
+    return rows.select("doc_id", "page", *columns, *sides)
+
+
 def redact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations as glyphs, squares of each page as regions: glyphs left by page."""
     rows = annotations(spark, sf_dir)
-    box = lambda df: df.select("doc_id", "page", "ord", F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
-    return annots.redact(box(rows), box(rows.filter("subtype = 'Square'"))).select("doc_id", "page", "ord")
+    left = redaction.without_met(boxes_of(rows, "ord"), boxes_of(rows.filter("subtype = 'Square'")), ["doc_id", "page"])
+    return left.select("doc_id", "page", "ord")
+
+
+def region_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each annotation with each square of its document that it overlaps, whatever their pages."""
+    rows = annotations(spark, sf_dir)
+    return redaction.meetings(boxes_of(rows, "ord"), boxes_of(rows.filter("subtype = 'Square'").withColumn("square", F.col("ord")), "square"), ["doc_id"], ["page", "ord"], ["square"])
+
+
+def redacted(spark: SparkSession, sf_dir: str) -> redaction.Redacted:
+    """Odd documents are redacted where their squares are; a document with a number of five has a region on no page."""
+    rows = annotations(spark, sf_dir)
+    pages = rows.select("doc_id", "page", F.lit(10.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(110.0).alias("x1"), F.lit(50.0).alias("y1")).distinct()
+    regions = rows.filter("subtype = 'Square' and doc_id % 2 = 1").select("doc_id", F.when(F.col("page") == 1, 0).otherwise(F.col("page")).alias("page"), "x0", "y0", "x1", "y1")
+    regions = regions.unionByName(rows.filter("doc_id % 5 = 0").select("doc_id", F.lit(99).alias("page"), *[F.lit(0.5).alias(c) for c in redaction.SIDES]))
+    glyphs = boxes_of(rows, "ord").select("doc_id", "page", "ord", *[(F.col(c) * 100).alias(c) for c in redaction.SIDES])
+    keys = rows.select("doc_id", F.explode(F.array(*map(F.lit, ("Title", "Author", "Producer")))).alias("key")).distinct()
+    return redaction.redact(glyphs, rows.select("doc_id", "page", "ord", "subtype"), keys, regions, pages)
+
+
+def redacted_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(spark, sf_dir).glyphs.select("doc_id", "page", "ord")
+
+
+def redacted_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(spark, sf_dir).annotations
+
+
+def redacted_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(spark, sf_dir).info
 
 
 def anonymize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +232,7 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "p_brand", score.alias("score")).filter("score > 0").withColumn("rank", rank)
 
 
-QUERIES = {f.__name__: f for f in (comment_load_merge, comment_sync_actions, comments_in_flight, comments_open, annotation_filter, annotation_csv, popup_link, links_extract, link_scheme, page_links, links_edited, redact_overlap, anonymize_report, upper_median, heading_detect, outline_nest, form_fields, form_fill, xfdf_export, xfdf_roundtrip, permissions_bits, error_classify, fuzzy_rank)}
+QUERIES = {f.__name__: f for f in (comment_load_merge, comment_sync_actions, comments_in_flight, comments_open, annotation_filter, annotation_csv, popup_link, links_extract, link_scheme, page_links, links_edited, redact_overlap, region_hits, redacted_glyphs, redacted_annotations, redacted_info, anonymize_report, upper_median, heading_detect, outline_nest, form_fields, form_fill, xfdf_export, xfdf_roundtrip, permissions_bits, error_classify, fuzzy_rank)}
 
 TURNS = """turns AS (SELECT conv_id AS doc_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, text FROM conversations)"""
 PALETTE = "['#f59e0b', '#10B981', '#3b82f6']"
@@ -207,6 +241,7 @@ stored AS (SELECT doc_id, 'c' || n AS id, CASE WHEN n % 5 = 0 THEN text ELSE 'st
 ANNOTS = f"""a AS (SELECT conv_id AS doc_id, CAST(turn // 4 + 1 AS INTEGER) AS page, turn AS ord, turn AS id, ['Text', 'Highlight', 'Square', 'Popup', 'Widget', 'Link'][turn % 6 + 1] AS subtype,
   CASE WHEN turn % 3 = 0 THEN {PALETTE}[conv_id % 3 + 1] END AS color, CASE WHEN turn % 5 <> 4 THEN text || CASE WHEN turn % 2 = 0 THEN ' "q"' ELSE '' END END AS contents, turn - 3 AS parent,
   round((conv_id * 3 + turn) % 100 / 100.0::DOUBLE, 4) AS x0, round((conv_id * 5 + turn) % 100 / 100.0::DOUBLE, 4) AS y0, round((conv_id * 7 + turn) % 100 / 100.0::DOUBLE, 4) AS x1, round((conv_id * 11 + turn) % 100 / 100.0::DOUBLE, 4) AS y1 FROM conversations)"""
+REGIONS = """r AS (SELECT doc_id, page, 10 + 100 * least(x0, x1) AS x0, 50 * least(y0, y1) AS y0, 10 + 100 * greatest(x0, x1) AS x1, 50 * greatest(y0, y1) AS y1 FROM a WHERE subtype = 'Square' AND doc_id % 2 = 1)"""
 KNOWN = "subtype IN ('Text', 'Highlight', 'Square')"
 LINKS = """links AS (SELECT page_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS ord, unnest(u) AS uri FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS u FROM pages))"""
 HEIGHTS = """h AS (SELECT doc_id, CAST(k // 4 + 1 AS INTEGER) AS page, CAST(k % 4 AS INTEGER) AS ord, text, CASE WHEN length(text) < 12 THEN 20.0 WHEN length(text) < 30 THEN 16.0 WHEN length(text) < 60 THEN 13.5 WHEN length(text) < 100 THEN 12.5 ELSE 10.0 END::DOUBLE AS base, base + 0.25 * (k % 4 % 2)::DOUBLE AS height
@@ -230,6 +265,10 @@ ORACLES = {
     "page_links": f"WITH {LINKS} SELECT page_id AS doc_id, CAST(1 AS INTEGER) AS page, ord, CASE WHEN ord % 3 <> 0 THEN uri END AS uri, CAST(CASE WHEN ord % 2 = 0 THEN ord + 1 END AS INTEGER) AS dest_page FROM links WHERE uri <> '' AND (ord % 3 <> 0 OR ord % 2 = 0)",
     "links_edited": f"WITH {LINKS} SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(ord AS INTEGER) AS ord, uri, CAST(dest_page AS INTEGER) AS dest_page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM (SELECT page_id AS doc_id, ord, uri, NULL AS dest_page FROM links WHERE uri <> '' UNION ALL SELECT page_id, max(ord) + 1, CASE WHEN page_id % 3 = 0 THEN 'https://example.org' END, CASE WHEN page_id % 3 = 1 THEN 4 END FROM links WHERE uri <> '' AND page_id % 3 <> 2 GROUP BY page_id)) WHERE i <> 2",
     "redact_overlap": f"WITH {ANNOTS}, b AS (SELECT doc_id, page, ord, subtype, least(x0, x1) AS x0, least(y0, y1) AS y0, greatest(x0, x1) AS x1, greatest(y0, y1) AS y1 FROM a) SELECT doc_id, page, ord FROM b c WHERE NOT EXISTS (SELECT 1 FROM b r WHERE r.subtype = 'Square' AND r.doc_id = c.doc_id AND r.page = c.page AND c.x0 < r.x1 AND c.x1 > r.x0 AND c.y0 < r.y1 AND c.y1 > r.y0)",
+    "region_hits": f"WITH {ANNOTS}, b AS (SELECT doc_id, page, ord, subtype, least(x0, x1) AS x0, least(y0, y1) AS y0, greatest(x0, x1) AS x1, greatest(y0, y1) AS y1 FROM a) SELECT c.doc_id, c.page, c.ord, r.ord AS square FROM b c JOIN b r ON r.subtype = 'Square' AND r.doc_id = c.doc_id AND c.x0 < r.x1 AND c.x1 > r.x0 AND c.y0 < r.y1 AND c.y1 > r.y0",
+    "redacted_glyphs": f"WITH {ANNOTS}, {REGIONS} SELECT doc_id, page, ord FROM a c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = c.doc_id AND r.page = c.page AND least(c.x0, c.x1) * 100 < r.x1 AND greatest(c.x0, c.x1) * 100 > r.x0 AND least(c.y0, c.y1) * 100 < r.y1 AND greatest(c.y0, c.y1) * 100 > r.y0)",
+    "redacted_annotations": f"WITH {ANNOTS}, {REGIONS} SELECT doc_id, page, ord, subtype FROM a WHERE subtype NOT IN ('Text', 'Highlight', 'Popup') OR (doc_id, page) NOT IN (SELECT (doc_id, page) FROM r)",
+    "redacted_info": f"WITH {ANNOTS} SELECT DISTINCT doc_id, key FROM a, (VALUES ('Title'), ('Author'), ('Producer')) k(key) WHERE key = 'Producer' OR doc_id NOT IN (SELECT doc_id FROM a WHERE doc_id % 5 = 0 OR doc_id % 2 = 1 AND subtype = 'Square')",
     "anonymize_report": "SELECT doc_id, category, count(*) AS removed FROM (SELECT user_id AS doc_id, CASE WHEN s = 'info' AND k IN ('Title', 'Author') THEN 'info' WHEN s = 'catalog' AND k = 'Names' THEN 'names' WHEN s = 'catalog' AND k = 'OpenAction' THEN 'open_action' WHEN s = 'catalog' AND k = 'AA' THEN 'additional_actions' WHEN s = 'annotation' AND k = 'T' THEN 'authors' END AS category FROM (SELECT user_id, ['info', 'catalog', 'annotation'][event_id % 3 + 1] AS s, ['Title', 'Author', 'Metadata', 'Names', 'OpenAction', 'AA', 'T', 'NM', 'Other'][event_id // 3 % 9 + 1] AS k FROM events)) WHERE category IS NOT NULL GROUP BY ALL",
     "upper_median": f"WITH {HEIGHTS} SELECT doc_id, list_sort(list(height))[len(list(height)) // 2 + 1] AS median FROM h GROUP BY doc_id",
     "heading_detect": f"WITH {HEIGHTS} SELECT doc_id, page, ord, title, height FROM heads",
