@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators.geometry import page_rect, target_size
-from pageloom.operators.graph import nearest_ancestor
+from pageloom.operators.trees import nearest_ancestor
 
 #: Keys of a document's information. Fixed values; the first five can be written.
 INFO_KEYS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
@@ -42,12 +42,15 @@ def page_list_errors(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def page_sizes(nodes: DataFrame, keys: list[str], default: tuple[float, float] = A4) -> DataFrame:
-    """(keys, id, width, height) of (keys, id, parent, box) rows: the nearest box of positive area, else the default; box is [x0, y0, x1, y1]."""
+    """(keys, id, width, height) of (keys, id, parent, box) rows: the nearest box with an area, else the default.
+
+    box: [x0, y0, x1, y1], corners in any order, a null counts as 0; a box of fewer numbers or no area is passed over.
+    """
     box = F.col("box")
-    positive = (F.size(box) >= 4) & (box[2] > box[0]) & (box[3] > box[1])
-    found = nearest_ancestor(nodes.withColumn("box", F.when(positive, box)), keys, "box")
-    side = lambda a, b, d: F.coalesce(box[b] - box[a], F.lit(d))
-    return found.select(*keys, "id", side(0, 2, default[0]).alias("width"), side(1, 3, default[1]).alias("height"))
+    side = lambda a, b: F.abs(F.coalesce(F.get(box, b), F.lit(0.0)) - F.coalesce(F.get(box, a), F.lit(0.0)))
+    fine = (F.size(box) >= 4) & (side(0, 2) > 0) & (side(1, 3) > 0)
+    found = nearest_ancestor(nodes.withColumn("box", F.when(fine, box)), keys, "box")
+    return found.select(*keys, "id", *[F.when(box.isNull(), F.lit(d)).otherwise(side(i, i + 2)).alias(n) for i, (n, d) in enumerate(zip(("width", "height"), default, strict=True))])
 
 
 def fit_image(width: Column, height: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.operators.graph import nearest_ancestor, walk_tree
+from pageloom.operators.trees import nearest_ancestor, paths
 
 READ_ONLY = 1
 
@@ -16,9 +16,8 @@ def field_rows(nodes: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:  #
     nodes: (keys, id, parent, ord, part, field_type, value). Names join with dots; a type or value that a field lacks is
     its nearest ancestor's.
     """
-    walked = walk_tree(nodes, keys)
-    names = walked.select(*keys, "id", F.posexplode(F.transform("path", lambda p: p["id"])).alias("at", "on")).join(nodes.select(*keys, F.col("id").alias("on"), "part"), [*keys, "on"])
-    full = names.groupBy(*keys, "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]), ".").alias("name"))
+    full = paths(nodes.select(*keys, "id", "parent", "part"), keys, "part")
+    full = full.select(*keys, "id", F.array_join("path", ".").alias("name"))
     leaves = nodes.join(nodes.filter("parent is not null").select(*keys, F.col("parent").alias("id")).distinct(), [*keys, "id"], "left_anti").select(*keys, "id")
     kinds = nearest_ancestor(nodes, keys, "field_type").select(*keys, "id", "field_type")
     values = nearest_ancestor(nodes, keys, "value").select(*keys, "id", "value")

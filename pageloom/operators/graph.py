@@ -1,4 +1,4 @@
-"""Object graphs: tree walks, inherited attributes, reachability, exact deduplication, revisions."""
+"""Object graphs: reachability, exact deduplication, revisions, batches."""
 
 from __future__ import annotations
 
@@ -9,42 +9,6 @@ from pageloom.operators.sums import sum_before
 from pageloom.storage import checkpointed
 
 
-def walk_tree(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, root, id, depth, path) of (keys, id, parent, ord) rows, from the nodes without a parent down.
-
-    path holds the ords and ids on the way, so sorting by it gives the order of reading. A node met twice on its own
-    path is not followed, so cycles end; nodes that no root reaches are left out. A round is one join a level.
-    """
-    roots = nodes.filter("parent is null").select(*keys, F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array(F.struct("ord", "id")).alias("path"))
-    level, levels = checkpointed(roots), []
-    below = nodes.filter("parent is not null").select(*keys, F.col("parent").alias("id"), F.col("id").alias("child"), "ord")
-    while not level.isEmpty():
-        levels.append(level)
-        seen = F.exists("path", lambda p: p["id"] == F.col("child"))
-        step = level.join(below, [*keys, "id"]).filter(~seen)
-        level = checkpointed(step.select(*keys, "root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.struct("ord", F.col("child").alias("id")))).alias("path")))
-    out = roots.limit(0) if not levels else levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def nearest_ancestor(nodes: DataFrame, keys: list[str], value: str, most_hops: int = 32) -> DataFrame:
-    """(keys, id, value, hops): each node's own value or that of the nearest ancestor that has one; null after most_hops."""
-    up = nodes.select(*keys, F.col("id").alias("at"), F.col("parent").alias("up"), F.col(value).alias("found"))
-    open_nodes = nodes.select(*keys, "id", F.col("id").alias("at"))
-    done, hops = None, 0
-    while hops <= most_hops:
-        looked = checkpointed(open_nodes.join(up, [*keys, "at"], "left"))
-        ended = looked.filter(F.col("found").isNotNull() | F.col("up").isNull()).select(*keys, "id", F.col("found").alias(value), F.when(F.col("found").isNotNull(), F.lit(hops)).alias("hops"))
-        done = ended if done is None else done.unionByName(ended)
-        open_nodes = looked.filter("found is null and up is not null").select(*keys, "id", F.col("up").alias("at"))
-        hops += 1
-        if not open_nodes.limit(1).count():
-            return done
-    return done.unionByName(open_nodes.select(*keys, "id", F.lit(None).cast(nodes.schema[value].dataType).alias(value), F.lit(None).cast("int").alias("hops")))
-
-
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id) that (keys, id) roots reach over (keys, src, dst) edges; a key without any root keeps nothing here.
 

@@ -59,9 +59,9 @@ def stamped_pages(stamps: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("stamped"))
 
 
-def today(zone: str | None = None) -> Column:
-    """The date as YYYY-MM-DD, for templates: in the session's time zone, or a given one."""
-    now = F.current_timestamp() if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone)
+def today(zone: str = "UTC") -> Column:
+    """The date as YYYY-MM-DD, for templates: in UTC or a given zone, whatever the session's."""
+    now = F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone)
     return F.date_format(now, "yyyy-MM-dd")
 
 

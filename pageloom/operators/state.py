@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.operators.sums import sum_before
+
 
 def upsert_latest(log: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
     """The last written values of each key."""
@@ -181,11 +183,15 @@ def moved(items: Column, source: Column, target: Column) -> Column:
 def free_suffix(names: DataFrame, taken: DataFrame) -> DataFrame:
     """(name, free): the first of name, name-1, name-2, … that is not taken.
 
-    taken: (name) rows. A name's taken suffixes are few; the smallest gap lies at most one past their number.
+    taken: (name) rows; null names count for nothing. The taken numbers of a name are counted in order, by ranges, so a name
+    may have any number of them: the first that is not its own place tells the gap. Numbers of over nine digits are no gaps.
     """
-    used = taken.select(F.regexp_extract("name", r"^(.*?)(?:-([1-9][0-9]{0,8}))?$", 1).alias("stem"), F.col("name"))
-    listed = used.groupBy("stem").agg(F.collect_set("name").alias("used"))
-    both = names.select("name").distinct().join(listed, names["name"] == listed["stem"], "left")
-    used = F.coalesce("used", F.array().cast("array<string>"))
-    options = F.transform(F.sequence(F.lit(0), F.size(used) + 1), lambda i: F.when(i == 0, F.col("name")).otherwise(F.concat_ws("-", "name", i.cast("string"))))
-    return both.select("name", F.get(F.filter(options, lambda x: ~F.array_contains(used, x)), F.lit(0)).alias("free"))
+    number = F.regexp_extract("name", r"-([1-9][0-9]{0,8})$", 1)
+    stem = F.substring("name", F.lit(1), F.length("name") - F.length(number) - 1)
+    ways = F.array(F.struct(F.col("name").alias("stem"), F.lit(0).alias("k")), F.struct(stem.alias("stem"), F.when(number != "", number).cast("int").alias("k")))
+    asked = names.select("name").filter("name is not null").distinct()
+    used = taken.filter("name is not null").select(F.inline(ways)).filter("k is not null").join(asked.select(F.col("name").alias("stem")), "stem", "left_semi").distinct()
+    placed = sum_before(used, ["stem"], ["k"], F.lit(1).cast("long"), "place")
+    gaps = placed.groupBy(F.col("stem").alias("name")).agg(F.coalesce(F.min(F.when(F.col("k") != F.col("place"), F.col("place"))), F.count("*")).alias("gap"))
+    both = asked.join(gaps, "name", "left")
+    return both.select("name", F.when(F.coalesce("gap", F.lit(0)) == 0, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("gap").cast("string"))).alias("free"))

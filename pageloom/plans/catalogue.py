@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pageloom.plans import annots, content, documents, exchange, feeds, geometry, graph, state, text
+from pageloom.plans import annots, content, documents, exchange, feeds, geometry, graph, objects, state, text
 
-FAMILIES = (text, state, graph, annots, geometry, documents, exchange, feeds, content)
+FAMILIES = (text, state, graph, annots, geometry, documents, exchange, feeds, content, objects)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

@@ -54,13 +54,13 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of nations, customers and orders, each under the one before; some have no area."""
+    """Boxes of nations, customers and orders, each under the one before; some have no area, those of orders begin at the far corner."""
     n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     box = lambda w, h: F.array(F.lit(0.0), F.lit(0.0), w.cast("double"), h.cast("double"))
     key = lambda letter, k: F.concat(F.lit(letter), F.col(k).cast("string"))
     nodes = n.select(key("n", "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.when(F.col("n_nationkey") % 2 == 0, box(F.col("n_nationkey") * 10, F.lit(100))).alias("box"))
     nodes = nodes.unionByName(c.select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"), F.when(F.col("c_custkey") % 3 == 0, box(F.col("c_custkey") % 5, F.lit(50))).alias("box")))
-    nodes = nodes.unionByName(o.select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("parent"), F.when(F.col("o_orderkey") % 5 == 0, box(F.lit(7), F.col("o_orderkey") % 2)).alias("box")))
+    nodes = nodes.unionByName(o.select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("parent"), F.when(F.col("o_orderkey") % 5 == 0, F.reverse(box(F.col("o_orderkey") % 2, F.lit(7)))).alias("box")))
     return documents.page_sizes(nodes, [])
 
 

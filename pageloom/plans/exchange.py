@@ -69,6 +69,13 @@ def stamped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.stamped_pages(labels.header_footer(pages, names, "{filename} {date} {page}/{total}", labels.today(), 2, 4), names)
 
 
+def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second to fourth pages of each order with the text of their stamp, today's date in it."""
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).distinct()
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("filename"))
+    return labels.header_footer(pages, names, "{filename} {date} {page}/{total}", labels.today(), 2, 4)
+
+
 def template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as blank pages of four kinds: every mark."""
     kind = F.get(F.array(*[F.lit(k) for k in ("ruled", "grid", "dotted", "blank")]), (F.col("p_partkey") % 4).cast("int"))
@@ -102,7 +109,7 @@ def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", scalar.fnv1a_64(F.col("c_name")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (text_files, marker_files, readable_files, known_files, comments_in_order, field_flags, stamped_pages, template_lines, preset_targets, line_boxes, data_urls, path_keys)}
+QUERIES = {f.__name__: f for f in (text_files, marker_files, readable_files, known_files, comments_in_order, field_flags, stamped_pages, dated_pages, template_lines, preset_targets, line_boxes, data_urls, path_keys)}
 
 ORACLES = {
     "text_files": TEXT_ORACLES["export_text"],
@@ -113,6 +120,9 @@ ORACLES = {
     "field_flags": "SELECT user_id AS doc_id, event_id AS ord, CAST(CASE WHEN event_id % 3 <> 0 THEN event_id % 8 ELSE 0 END | 1 AS INTEGER) AS flags FROM events",
     "stamped_pages": """SELECT o_orderkey AS doc_id, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber BETWEEN 2 AND 4) AS stamped
       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "dated_pages": """WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page FROM lineitem), t AS (SELECT doc_id, count(*) AS total FROM p GROUP BY doc_id)
+      SELECT doc_id, page, o_orderpriority || ' ' || strftime(timezone('UTC', now()), '%Y-%m-%d') || ' ' || page || '/' || total AS text
+      FROM p JOIN t USING (doc_id) JOIN orders ON o_orderkey = doc_id WHERE page BETWEEN 2 AND 4""",
     "template_lines": """WITH p AS (SELECT p_partkey, ['ruled', 'grid', 'dotted', 'blank'][p_partkey % 4 + 1] AS kind, p_size * 4.0::DOUBLE AS w, p_size * 6.0::DOUBLE AS h FROM part),
       m AS (SELECT p_partkey, 25.0 AS x0, y AS y0, w - 25 AS x1, y AS y1, -y AS o1, 0.0 AS o2 FROM (SELECT *, h - 30 - 20.0 * unnest(range(0, 100)) AS y FROM p WHERE kind = 'ruled') WHERE y > 20
         UNION ALL SELECT p_partkey, 0, y, w, y, -y, 0 FROM (SELECT *, h - 20 - 20.0 * unnest(range(0, 100)) AS y FROM p WHERE kind = 'grid') WHERE y > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators import graph, outline
+from pageloom.operators import graph, outline, trees
 from pageloom.sources.tables import table
 
 
@@ -20,12 +20,27 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = graph.walk_tree(tree(spark, sf_dir), [])
-    return walked.select("root", "id", "depth", F.array_join(F.transform("path", lambda p: p["id"]), "/").alias("path"))
+    walked = graph.checkpointed(trees.walk(tree(spark, sf_dir), []))
+    path = trees.paths(walked.select("id", "parent", F.col("id").alias("name")), [], "name")
+    return walked.join(path, "id").select("root", "id", F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"))
+
+
+def shared_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree with more ways in: some customers also under the next nation, some nations under Africa and under a nation before them."""
+    rows = tree(spark, sf_dir).select("id", "parent", "ord")
+    key = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    c, n = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0"), table(spark, sf_dir, "nation").filter("n_nationkey % 4 = 1")
+    more = c.select(key("c", F.col("c_custkey")).alias("id"), key("n", (F.col("c_nationkey") + 1) % 25).alias("parent"), F.col("c_custkey").cast("long").alias("ord"))
+    more = more.unionByName(n.select(key("n", F.col("n_nationkey")).alias("id"), F.lit("r0").alias("parent"), (F.col("n_nationkey") * 7 % 25).cast("long").alias("ord")))
+    return rows.unionByName(more).unionByName(n.select(key("n", F.col("n_nationkey")).alias("id"), key("n", F.col("n_nationkey") - 1).alias("parent"), F.lit(5).cast("long").alias("ord")))
+
+
+def tree_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.walk(shared_tree(spark, sf_dir), [])
 
 
 def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nearest_ancestor(tree(spark, sf_dir), [], "value")
+    return trees.nearest_ancestor(tree(spark, sf_dir), [], "value")
 
 
 def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +113,7 @@ def compress_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("objects"), F.sum("bytes").alias("bytes"), F.sum("id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (tree_walk, nearest_ancestor, reachable_gc, dedup_exact, dedup_remap, revision_merge, object_batches, point_lookup, outline_wire, compress_pipeline)}
+QUERIES = {f.__name__: f for f in (tree_walk, tree_numbers, nearest_ancestor, reachable_gc, dedup_exact, dedup_remap, revision_merge, object_batches, point_lookup, outline_wire, compress_pipeline)}
 
 TREE = """tree AS (
   SELECT 'r' || r_regionkey AS id, NULL AS parent, CAST(r_regionkey AS BIGINT) AS ord, NULL AS value FROM region
@@ -113,6 +128,17 @@ EDGES = """edges AS (
 CANON = "SELECT lang, doc_id AS id, CASE WHEN doc_id % 50 = 7 OR strlen(text) > 65536 THEN doc_id ELSE min(doc_id) FILTER (WHERE doc_id % 50 <> 7) OVER (PARTITION BY lang, text) END AS canonical FROM documents"
 ORACLES = {
     "tree_walk": f"WITH RECURSIVE {TREE}, w AS (SELECT id AS root, id, 0 AS depth, id AS path FROM tree WHERE parent IS NULL UNION ALL SELECT w.root, t.id, w.depth + 1, w.path || '/' || t.id FROM w JOIN tree t ON t.parent = w.id) SELECT * FROM w",
+    "tree_numbers": f"""WITH RECURSIVE {TREE}, t2 AS (
+      SELECT id, parent, ord FROM tree UNION ALL SELECT 'c' || c_custkey, 'n' || (c_nationkey + 1) % 25, c_custkey FROM customer WHERE c_custkey % 10 = 0
+      UNION ALL SELECT 'n' || n_nationkey, 'r0', n_nationkey * 7 % 25 FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey - 1), 5 FROM nation WHERE n_nationkey % 4 = 1
+    ), e AS (SELECT id, parent, min(ord) AS ord FROM t2 GROUP BY ALL
+    ), w AS (
+      SELECT id AS root, id, parent, 0::BIGINT AS depth, [{{'o': ord, 'i': id}}] AS way FROM e WHERE parent IS NULL
+      UNION ALL SELECT w.root, e.id, e.parent, w.depth + 1, list_append(w.way, {{'o': e.ord, 'i': e.id}}) FROM w JOIN e ON e.parent = w.id
+    ), f AS MATERIALIZED (SELECT id, min_by({{'root': root, 'parent': parent, 'depth': depth}}, way) AS x, min(way) AS way FROM w GROUP BY id
+    ), u AS (SELECT id, x.parent AS up FROM f UNION ALL SELECT u.id, f.x.parent FROM u JOIN f ON f.id = u.up)
+    SELECT id, x.parent AS parent, x.root AS root, x.depth AS depth, row_number() OVER (ORDER BY way) - 1 AS n, 1 + coalesce(below, 0) AS size
+    FROM f LEFT JOIN (SELECT up AS id, count(*) AS below FROM u WHERE up IS NOT NULL GROUP BY up) USING (id)""",
     "nearest_ancestor": f"WITH RECURSIVE {TREE}, w AS (SELECT id, id AS here, parent, value, 0 AS hops FROM tree UNION ALL SELECT w.id, t.id, t.parent, t.value, w.hops + 1 FROM w JOIN tree t ON t.id = w.parent WHERE w.value IS NULL) SELECT id, value, CASE WHEN value IS NOT NULL THEN hops END AS hops FROM w WHERE value IS NOT NULL OR parent IS NULL",
     "reachable_gc": f"WITH RECURSIVE {EDGES}, w AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_totalprice > 400000 UNION SELECT e.dst FROM w JOIN edges e ON e.src = w.id) SELECT id FROM w",
     "dedup_exact": CANON,

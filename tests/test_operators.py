@@ -141,6 +141,24 @@ def test_moves_and_free_names(spark):
     taken = rows(spark, "name string", ("a",), ("a-1",), ("a-3",), ("b-1",))
     got = {r.name: r.free for r in state.free_suffix(rows(spark, "name string", ("a",), ("b",)), taken).collect()}
     assert got == {"a": "a-2", "b": "b"}
+    odd = rows(spark, "name string", ("a",), ("a",), ("a-1",), ("a-1-1",), ("a-01",), ("a-2",), (None,), ("",), ("-1",), ("b-c",), ("b",))
+    asked = rows(spark, "name string", ("a",), ("a-1",), ("",), ("b",), ("b-c",), ("new",), (None,))
+    assert {r.name: r.free for r in state.free_suffix(asked, odd).collect()} == {"a": "a-3", "a-1": "a-1-2", "": "-2", "b": "b-1", "b-c": "b-c-1", "new": "new"}
+    assert {r.name: r.free for r in state.free_suffix(asked, odd.limit(0)).collect()} == {n: n for n in ("a", "a-1", "", "b", "b-c", "new")}
+
+
+def test_a_name_with_many_numbers(spark):
+    n = 100_000
+    taken = spark.range(n).filter("id <> 77777").select(F.when(F.col("id") == 0, F.lit("x")).otherwise(F.concat(F.lit("x-"), F.col("id").cast("string"))).alias("name"))
+    assert state.free_suffix(rows(spark, "name string", ("x",)), taken).first().free == "x-77777"
+
+
+def test_today_is_utc(spark):
+    before = dt.datetime.now(dt.UTC).date()
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")
+    got = value(spark, labels.today())
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got in {str(before), str(dt.datetime.now(dt.UTC).date())}
 
 
 def test_dedup(spark):
@@ -160,12 +178,7 @@ def test_reachability(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
 
 
-def test_trees(spark):
-    nodes = rows(spark, "doc int, id int, parent int, ord int, v string", (1, 1, None, 0, "top"), (1, 2, 1, 1, None), (1, 3, 1, 0, "own"), (1, 4, 3, 0, None), (1, 5, 6, 0, None), (1, 6, 5, 0, None))
-    walked = graph.walk_tree(nodes, ["doc"]).orderBy("path").collect()
-    assert [(r.id, r.depth) for r in walked] == [(1, 0), (3, 1), (4, 2), (2, 1)]
-    near = {r.id: (r.v, r.hops) for r in graph.nearest_ancestor(nodes, ["doc"], "v", 4).collect()}
-    assert near == {1: ("top", 0), 2: ("top", 1), 3: ("own", 0), 4: ("own", 1), 5: (None, None), 6: (None, None)}
+def test_newest_revision(spark):
     xref = rows(spark, "num int, revision int, entry string", (1, 1, "old"), (1, 2, "new"), (2, 1, "x"))
     assert {r.num: r.entry for r in graph.newest_revision(xref, ["num"], "revision", ["entry"]).collect()} == {1: "new", 2: "x"}
 
