@@ -89,7 +89,12 @@ def walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
     steps = below.select(*keys, "item", "up", (F.col("ahead") + 1).alias("step")).unionByName(sized.filter("up is null").select(*keys, "item", "up", F.lit(0).cast("long").alias("step")))
     placed = checkpointed(sized.join(summed_down(steps, keys, "step").withColumnRenamed("sum", "pos"), [*keys, "item"]))
 
-    roots = sum_before(rows.filter("parent is null").select(*keys, "id", "ord"), keys or ["one"], ["ord", "id"], F.lit(1).cast("long"), "pos") if keys else sum_before(rows.filter("parent is null").select("id", "ord", F.lit(0).alias("one")), ["one"], ["ord", "id"], F.lit(1).cast("long"), "pos").drop("one")
+    begins = rows.filter("parent is null").select(*keys, "id", "ord").withColumn("all", F.lit(0))
+    if rows.filter("not single and (parent is not null or ways > 1)").isEmpty():
+        sizes = begins.join(placed.filter("up is null").select(*keys, "id", "size", "top"), [*keys, "id"])
+        ahead = sum_before(sizes, keys or ["all"], ["ord", "id"], F.col("size"), "ahead").select(*keys, "top", F.col("id").alias("root"), "ahead")
+        return placed.join(ahead, [*keys, "top"]).select(*keys, "id", "parent", "root", F.col("hops").alias("depth"), (F.col("ahead") + F.col("pos")).alias("n"), "size")
+    roots = sum_before(begins, keys or ["all"], ["ord", "id"], F.lit(1).cast("long"), "pos")
     into = placed.filter("item like 's%'").select(*keys, F.col("id").alias("to"), F.col("top").alias("from"), "pos", (F.col("hops") - 1).alias("hops"), "parent")
     first = roots.select(*keys, F.concat(F.lit("n"), F.col("id").cast("string")).alias("top"), F.array("pos").alias("way"), F.lit(0).cast("long").alias("above"), F.lit(None).cast(rows.schema["parent"].dataType).alias("parent"), F.col("id").alias("root"))
     settled = settle(first, into, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators import state
+from pageloom.operators import moves, state
 from pageloom.sources.tables import table
 
 ORDER = ["ts", "event_id"]
@@ -172,6 +172,15 @@ def tab_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.select("session", F.array_join(state.moved(paths, F.lit(0), F.lit(2)), ",").alias("paths"))
 
 
+def move_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events move twelve tabs about, some of them out of range; the fourth tab is active."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    users = events.select("user_id").distinct()
+    tabs = users.select("user_id", F.posexplode(F.array(*[F.lit(f"tab {i}") for i in range(12)])).alias("place", "tab"))
+    steps = events.select("user_id", "event_id", (F.col("event_id") * 7 % 13).cast("int").alias("source"), (F.col("event_id") * 5 % 12).cast("int").alias("target"))
+    return moves.final_order(tabs, steps, users.select("user_id", F.lit(3).alias("place")), ["user_id"], ["event_id"], "tab")
+
+
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A free name for a copy of each brand's file, where the brand's first parts took some."""
     parts = table(spark, sf_dir, "part")
@@ -180,7 +189,7 @@ def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.free_suffix(parts.select(stem.alias("name")), taken)
 
 
-QUERIES = {f.__name__: f for f in (upsert_settings, get_setting, library_state, starred_list, archived_list, get_entry, recent_visible, tab_session, tab_ui_state, cleared_sessions, recent_topk, recent_signatures, lru_state, lru_set_only, fifo_state, closed_stack, cache_entries, evict_prefix, cache_stats, newest_thumbs, stale_ttl, batch_add, batch_report, tab_moves, free_names)}
+QUERIES = {f.__name__: f for f in (upsert_settings, get_setting, library_state, starred_list, archived_list, get_entry, recent_visible, tab_session, tab_ui_state, cleared_sessions, recent_topk, recent_signatures, lru_state, lru_set_only, fifo_state, closed_stack, cache_entries, evict_prefix, cache_stats, newest_thumbs, stale_ttl, batch_add, batch_report, tab_moves, free_names, move_log)}
 
 SETTINGS = "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL"
 LIBRARY = """
@@ -234,6 +243,11 @@ ORACLES = {
     "batch_add": "SELECT '/f/' || s_suppkey AS path, 'old' AS status FROM supplier UNION ALL SELECT '/f/' || c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "batch_report": "SELECT count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) AS done, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS total FROM events",
     "tab_moves": f"SELECT session, array_to_string(CASE WHEN len(p) > 2 THEN list_concat(p[2:3], [p[1]], p[4:]) ELSE p END, ',') AS paths FROM (SELECT session, list(path ORDER BY position) AS p FROM ({TABS}) GROUP BY session)",
+    "move_log": """WITH RECURSIVE m AS (SELECT user_id, event_id * 7 % 13 AS s, event_id * 5 % 12 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+      w AS (SELECT user_id, 0::BIGINT AS n, range(0, 12) AS items FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT user_id, n, CASE WHEN s > 11 THEN items ELSE list_concat(rest[1:t], [items[s + 1]], rest[t + 1:]) END FROM (SELECT w.user_id, m.n, m.s, m.t, w.items, list_concat(w.items[1:m.s], w.items[m.s + 2:]) AS rest FROM w JOIN m ON m.user_id = w.user_id AND m.n = w.n + 1)),
+      l AS (SELECT user_id, arg_max(items, n) AS items FROM w GROUP BY user_id)
+      SELECT user_id, CAST(place AS INTEGER) AS place, 'tab ' || items[place + 1] AS tab, items[place + 1] = 3 AS active FROM (SELECT user_id, items, unnest(range(0, 12)) AS place FROM l)""",
     "free_names": """WITH t AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || CASE WHEN p_size % 5 = 0 THEN '' ELSE '-' || p_size % 5 END AS name FROM part WHERE p_size < 30),
       n AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS name FROM part),
       c AS (SELECT name, i, CASE WHEN i = 0 THEN name ELSE name || '-' || i END AS option FROM n, range(0, 50) r(i))
