@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.operators import merging, revisions
+from pageloom.operators import canonical, merging, revisions
 from pageloom.sources.tables import table
 
 
@@ -68,7 +68,39 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(spark, sf_dir).edges
 
 
-QUERIES = {f.__name__: f for f in (revision_chain, revision_errors, chain_entries, merged_objects, merged_edges)}
+def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a dictionary with names in one of two orders, an array of numbers and a dictionary inside."""
+    k, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    price, year = F.round(F.col("o_totalprice") / 100_000) / 4, F.year("o_orderdate")
+
+    def value(n: int, parent: int | None, name: str | None, pos: F.Column | int | None, kind: str, of: F.Column | None = None) -> F.Column:
+        text = lambda x, t: (F.lit(x) if not isinstance(x, F.Column) else x).cast(t)
+        return F.struct((k * 10 + n).alias("id"), text(None if parent is None else k * 10 + parent, "long").alias("parent"), text(name, "string").alias("name"), text(pos, "int").alias("pos"), F.lit(kind).alias("kind"), text(of, "string").alias("value"))
+
+    values = [
+        value(0, None, None, None, "dict"),
+        value(1, 0, "Status", F.when(even, 0).otherwise(3), "name", F.col("o_orderstatus")),
+        value(2, 0, "Priority 1", F.when(even, 1).otherwise(2), "string", F.col("o_orderpriority")),
+        value(3, 0, "Rates", F.when(even, 2).otherwise(1), "array"),
+        value(4, 3, None, 0, "real", F.when(even, price.cast("string")).otherwise(F.format_string("%.9f", price))),
+        value(5, 3, None, 1, "int", year),
+        value(6, 0, "Meta", F.when(even, 3).otherwise(0), "dict"),
+        value(7, 6, "S", F.when(even, 0).otherwise(1), "name", F.col("o_orderstatus")),
+        value(8, 6, "T", F.when(even, 1).otherwise(0), "bool", F.lit("true")),
+    ]
+    return table(spark, sf_dir, "orders").select(F.inline(F.array(*values)))
+
+
+def canonical_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.equal_objects(order_objects(spark, sf_dir), [])
+
+
+def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_objects(spark, sf_dir).filter(~F.col("kind").isin(*canonical.NESTED))
+    return rows.select("id", canonical.plain_text(F.col("kind"), F.col("value")).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (revision_chain, revision_errors, chain_entries, merged_objects, merged_edges, canonical_objects, canonical_values)}
 
 _CHAIN = """r AS (
   SELECT l_suppkey AS doc, l_orderkey AS k, l_partkey AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem WHERE l_linenumber <= 6
@@ -94,7 +126,11 @@ _MERGED = """l AS (
   SELECT merged_id, row_number() OVER (PARTITION BY merged_id ORDER BY -doc_id, id) AS num, kind, doc_id, id
   FROM o JOIN d USING (doc_id) JOIN ends USING (merged_id) WHERE kind IN ('Page', 'Stream') OR doc_id = first_doc
 ), one AS (SELECT merged_id, max(num) FILTER (WHERE kind = 'Catalog') AS cat, max(num) FILTER (WHERE kind = 'Pages') AS tree FROM k GROUP BY merged_id)"""
+_PRICE = "round(o_totalprice / 100000) / 4.0::DOUBLE"
 ORACLES = {
+    "canonical_objects": f"SELECT o_orderkey * 10 AS id, min(o_orderkey * 10) OVER (PARTITION BY o_orderstatus, o_orderpriority, {_PRICE}, year(o_orderdate)) AS canonical FROM orders",
+    "canonical_values": f"""SELECT o_orderkey * 10 + n AS id, CASE n WHEN 1 THEN '/' || o_orderstatus WHEN 7 THEN '/' || o_orderstatus WHEN 2 THEN '(' || o_orderpriority || ')' WHEN 5 THEN CAST(year(o_orderdate) AS VARCHAR)
+      WHEN 8 THEN 'true' ELSE regexp_replace(printf('%.6f', {_PRICE}), '\\.?0+$', '') END AS text FROM orders, (VALUES (1), (2), (4), (5), (7), (8)) v(n)""",
     "revision_chain": f'WITH RECURSIVE {_CHAIN} SELECT doc, "offset", rank, stm FROM good',
     "revision_errors": f"WITH RECURSIVE {_CHAIN} SELECT doc, error FROM bad WHERE error IS NOT NULL",
     "chain_entries": f"""WITH RECURSIVE {_CHAIN}, t AS (
