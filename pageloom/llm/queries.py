@@ -68,10 +68,10 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe_count.read_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    encoded = bpe_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    text = bpe_codec.decoded(encoded, vocabulary)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+    both = bpe_codec.decode(encoded, vocabulary)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
