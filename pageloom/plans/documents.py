@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators import documents
+from pageloom.operators import batch, documents
 from pageloom.operators.sequence import parse_pages
 from pageloom.plans.geometry import _r, rounded
 from pageloom.sources.tables import table
@@ -176,7 +176,23 @@ def regions_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).groupBy("doc_id", (F.col("page") % 2).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("num")), lambda n: n.cast("string")), ",").alias("regions"))
 
 
-QUERIES = {f.__name__: f for f in (metadata, metadata_update, pages_rotated, missing_pages, page_dims, image_fit, image_names, image_plan, live_objects, size_guard, repair_report, annotation_added, widget_pages, form_overlay, cache_levels, cache_seeded, sidecar_roundtrip, roomiest_disk, canvas_sizes, titles_decoded, bookmark_pages, regions_by_page)}
+def batch_run(spark: SparkSession, sf_dir: str) -> batch.Batch:
+    """A request for each order, one in seven of an operation that is not there, one in 31 for a document that is not."""
+    k = F.col("o_orderkey")
+    listed = F.when(k % 3 == 0, F.array(F.lit(1), F.lit(3))).when(k % 3 == 1, F.array(F.lit(1), F.lit(1))).when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(2), F.lit(1)))
+    requests = table(spark, sf_dir, "orders").select(k.alias("request_id"), F.when(k % 31 == 0, k + 1_000_000_000).otherwise(k).alias("doc_id"), _pick((*batch.OPERATIONS, "shred"), k).alias("op"), listed.alias("pages"), (k % 8 * 45).cast("int").alias("degrees"), (k % 4).cast("int").alias("size"))
+    return batch.run(requests, pages(spark, sf_dir))
+
+
+def batch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_run(spark, sf_dir).pages
+
+
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_run(spark, sf_dir).errors
+
+
+QUERIES = {f.__name__: f for f in (batch_pages, batch_errors, metadata, metadata_update, pages_rotated, missing_pages, page_dims, image_fit, image_names, image_plan, live_objects, size_guard, repair_report, annotation_added, widget_pages, form_overlay, cache_levels, cache_seeded, sidecar_roundtrip, roomiest_disk, canvas_sizes, titles_decoded, bookmark_pages, regions_by_page)}
 
 ENTRIES = "e AS (SELECT user_id AS doc_id, ['Title', 'Author', 'Subject', 'Keywords', 'Creator', 'Producer', 'CreationDate', 'ModDate', 'Other'][event_id % 9 + 1] AS key, event_type || event_id AS value, event_id AS ord FROM events)"
 PAGES = "p AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS INTEGER) AS page, l_partkey AS num, CAST(l_suppkey % 4 * 90 AS INTEGER) AS rotate, l_quantity * 10 AS width, l_quantity * 14 AS height FROM lineitem)"
@@ -191,7 +207,23 @@ def _cut(x: str) -> str:
     return f"CASE WHEN greatest(w, h) > 3000 THEN greatest(round({x} * (3000 / greatest(w, h))), 1.0) ELSE {x} END"
 
 
+REQUESTS = f"""{PAGES}, t AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS total FROM p GROUP BY doc_id),
+  q AS (SELECT k AS request_id, CASE WHEN k % 31 = 0 THEN k + 1000000000 ELSE k END AS doc_id, ['rotate', 'remove', 'reorder', 'extract', 'split', 'reverse', 'shred'][k % 7 + 1] AS op,
+    CASE WHEN k % 3 = 0 THEN [1, 3] WHEN k % 3 = 1 THEN [1, 1] WHEN k % 5 = 0 THEN [] ELSE [2, 1] END AS pages, k % 8 * 45 AS degrees, k % 4 AS size FROM (SELECT o_orderkey AS k FROM orders)),
+  j AS (SELECT q.*, total FROM q LEFT JOIN t USING (doc_id)),
+  b AS (SELECT *, CASE WHEN total IS NULL THEN 'not found|no such document' WHEN op = 'shred' THEN 'invalid input|unknown operation shred'
+    WHEN op = 'rotate' AND degrees NOT IN (90, 180, 270) THEN 'invalid input|Degrees must be 90, 180, or 270' WHEN op IN ('remove', 'extract') AND len(pages) = 0 THEN 'invalid input|No pages specified'
+    WHEN op = 'reorder' AND len(pages) <> total THEN 'invalid input|Order length ' || len(pages) || ' doesn''t match page count ' || total
+    WHEN op IN ('remove', 'extract', 'reorder') AND list_max(pages) > total THEN 'invalid input|Page ' || pages[CASE WHEN pages[1] > total THEN 1 ELSE 2 END] || ' out of range (1-' || total || ')'
+    WHEN op = 'remove' AND len(list_distinct(pages)) >= total THEN 'invalid input|Cannot remove all pages from a PDF'
+    WHEN op = 'reorder' AND len(list_distinct(pages)) < len(pages) THEN 'invalid input|Page ' || pages[1] || ' appears more than once in order'
+    WHEN op = 'split' AND size < 1 THEN 'invalid input|Pages per file must be at least 1' END AS bad FROM j)"""
 ORACLES = {
+    "batch_errors": f"WITH {REQUESTS} SELECT request_id, doc_id, op, split_part(bad, '|', 1) AS code, split_part(bad, '|', 2) AS message FROM b WHERE bad IS NOT NULL",
+    "batch_pages": f"""WITH {REQUESTS}, m AS (SELECT *, CASE WHEN op IN ('reorder', 'extract') THEN pages WHEN op = 'remove' THEN list_filter(range(1, total + 1), lambda x: NOT list_contains(pages, x)) WHEN op = 'reverse' THEN list_reverse(range(1, total + 1)) ELSE range(1, total + 1) END AS made FROM b WHERE bad IS NULL),
+      u AS (SELECT *, unnest(made) AS page, generate_subscripts(made, 1) - 1 AS i FROM m)
+      SELECT request_id, doc_id, CAST(CASE WHEN op = 'split' THEN i // size ELSE 0 END + 1 AS INTEGER) AS part, CAST(CASE WHEN op = 'split' THEN i % size ELSE i END + 1 AS INTEGER) AS position, CAST(page AS INTEGER) AS page,
+        CAST(CASE WHEN op = 'rotate' AND (len(pages) = 0 OR list_contains(pages, page)) THEN degrees ELSE 0 END AS INTEGER) AS turn FROM u""",
     "metadata": f"WITH {ENTRIES} SELECT doc_id, " + ", ".join(f"arg_max(value, ord) FILTER (WHERE key = '{k}') AS {k.lower()}" for k in KEYS[:8]) + " FROM e GROUP BY doc_id",
     "metadata_update": f"WITH {ENTRIES}, l AS (SELECT doc_id, key, arg_max(value, ord) AS value FROM e GROUP BY 1, 2), u AS (SELECT DISTINCT doc_id, 'Title' AS key FROM e) SELECT doc_id, key, CASE WHEN key = 'Title' THEN 'T' ELSE value END AS value FROM l FULL JOIN u USING (doc_id, key)",
     "pages_rotated": f"WITH {PAGES} SELECT doc_id, page, CASE WHEN doc_id % 2 = 1 OR page IN (2, 3) THEN (rotate + 270) % 360 ELSE rotate END AS rotate FROM p",
