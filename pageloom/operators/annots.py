@@ -62,6 +62,13 @@ def comment_actions(notes: DataFrame, comments: DataFrame, pages: DataFrame) ->
     return both.select("doc_id", "id", action.alias("action"))
 
 
+def comment_changes(notes: DataFrame, comments: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, id, text, color, action): the notes that saving puts or deletes; a put note has the comment's text and colour."""
+    told = comment_actions(notes, comments, pages).filter(F.col("action").isin("update", "insert", "delete"))
+    new = comments.select("doc_id", "id", F.coalesce("text", F.lit("")).alias("text"), "color")
+    return told.join(new, ["doc_id", "id"], "left").select("doc_id", "id", "text", "color", F.when(F.col("action") == "delete", "delete").otherwise("put").alias("action"))
+
+
 def popups(annots: DataFrame) -> DataFrame:
     """(doc_id, id, popup_id): each note with its popup, if it has one."""
     notes = annots.filter("subtype = 'Text'").select("doc_id", "id")

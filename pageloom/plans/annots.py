@@ -5,12 +5,16 @@ User turns of a conversation stand for notes on a page, assistant turns for stor
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import scalar
 from pageloom.operators import annots, forms, outline, redaction
+from pageloom.sources import keyed
 from pageloom.sources.tables import table
+from pageloom.storage import shared_folder
 
 COLORS = ("#f59e0b", "#10B981", "#3b82f6")
 KINDS = ("Text", "Highlight", "Square", "Popup", "Widget", "Link")
@@ -48,6 +52,16 @@ def comment_sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annots.comment_actions(notes(spark, sf_dir), stored(spark, sf_dir), pages)
 
 
+def comments_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes kept in a table of buckets, after stored comments are saved into it."""
+    path = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    rows = notes(spark, sf_dir)
+    saved = keyed.KeyedTable.create(rows.select("doc_id", "id", "text", "color"), path, ["doc_id", "id"], 8)
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("page"))
+    saved.merge(annots.comment_changes(rows, stored(spark, sf_dir), pages))
+    return saved.read()
+
+
 def comments_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = notes(spark, sf_dir).select("doc_id", "id", "text")
     return annots.merge_in_flight(loaded, stored(spark, sf_dir).select("doc_id", "id", "text"), ["doc_id", "id"])
@@ -232,7 +246,7 @@ def fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "p_brand", score.alias("score")).filter("score > 0").withColumn("rank", rank)
 
 
-QUERIES = {f.__name__: f for f in (comment_load_merge, comment_sync_actions, comments_in_flight, comments_open, annotation_filter, annotation_csv, popup_link, links_extract, link_scheme, page_links, links_edited, redact_overlap, region_hits, redacted_glyphs, redacted_annotations, redacted_info, anonymize_report, upper_median, heading_detect, outline_nest, form_fields, form_fill, xfdf_export, xfdf_roundtrip, permissions_bits, error_classify, fuzzy_rank)}
+QUERIES = {f.__name__: f for f in (comments_saved, comment_load_merge, comment_sync_actions, comments_in_flight, comments_open, annotation_filter, annotation_csv, popup_link, links_extract, link_scheme, page_links, links_edited, redact_overlap, region_hits, redacted_glyphs, redacted_annotations, redacted_info, anonymize_report, upper_median, heading_detect, outline_nest, form_fields, form_fill, xfdf_export, xfdf_roundtrip, permissions_bits, error_classify, fuzzy_rank)}
 
 TURNS = """turns AS (SELECT conv_id AS doc_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, text FROM conversations)"""
 PALETTE = "['#f59e0b', '#10B981', '#3b82f6']"
@@ -255,6 +269,9 @@ _RAW = "['wrong Password', 'access is denied', 'corrupt stream', 'No such file',
 ORACLES = {
     "comment_load_merge": f"WITH {NOTES} SELECT doc_id, id, CASE WHEN n.doc_id IS NOT NULL THEN coalesce(n.text, '') ELSE s.text END AS text, coalesce(n.color, s.color, '#f59e0b') AS color, coalesce(resolved, false) AS resolved, coalesce(created_at, created, modified, 0) AS created_at, quote, n.doc_id IS NOT NULL AS synced FROM notes n FULL JOIN stored s USING (doc_id, id) WHERE n.doc_id IS NOT NULL OR NOT synced",
     "comment_sync_actions": f"WITH {NOTES} SELECT doc_id, id, CASE WHEN s.doc_id IS NULL THEN 'delete' WHEN n.doc_id IS NOT NULL AND (n.text <> s.text OR lower(coalesce(n.color, '')) <> lower(s.color)) THEN 'update' WHEN n.doc_id IS NOT NULL THEN 'keep' WHEN page <= 5 THEN 'insert' ELSE 'skip' END AS action FROM notes n FULL JOIN stored s USING (doc_id, id)",
+    "comments_saved": f"""WITH {NOTES} SELECT doc_id, id, CASE WHEN n.doc_id IS NOT NULL AND n.text = s.text AND lower(coalesce(n.color, '')) = lower(s.color) THEN n.text ELSE s.text END AS text,
+      CASE WHEN n.doc_id IS NOT NULL AND n.text = s.text AND lower(coalesce(n.color, '')) = lower(s.color) THEN n.color ELSE s.color END AS color
+      FROM notes n RIGHT JOIN stored s USING (doc_id, id) WHERE n.doc_id IS NOT NULL OR page <= 5""",
     "comments_in_flight": f"WITH {NOTES} SELECT doc_id, id, text FROM notes UNION ALL SELECT doc_id, id, text FROM stored WHERE (doc_id, id) NOT IN (SELECT (doc_id, id) FROM notes)",
     "comments_open": f"WITH {NOTES} SELECT doc_id, count(*) FILTER (WHERE NOT resolved) AS open, count(*) FILTER (WHERE resolved) AS resolved FROM stored GROUP BY doc_id",
     "annotation_filter": f"WITH {ANNOTS} SELECT doc_id, page, ord, subtype, color FROM a WHERE {KNOWN}",
