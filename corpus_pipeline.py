@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import decontaminate, mix, near_copies, shard, toxicity
-from pageloom.llm.common import free_name, read, without, written
+from pageloom.llm.common import free_name, read, remove, without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near duplicates have a Jaccard similarity of 0.8 or more over the shingles of five words, or are joined by such links.
     Rows are told apart by id and text, so repeated ids and null ids are judged by their texts; equal rows become one.
     """
-    number = F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(F.format_string("%020d", "doc_id"))
+    shifted = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")  # so that negative ids sort as numbers
+    number = F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(F.lpad(shifted.cast("string"), 20, "0"))
     mark = free_name(docs.columns, "mark")
     marked = docs.withColumn(mark, F.concat(number, F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     groups = written(near_copies.near_copies(marked.select(F.col(mark).alias("mark"), F.col("text").cast("string").alias("text"))))
@@ -79,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        remove(before)
     return docs
