@@ -659,3 +659,11 @@ def test_folds(spark):
 
     rows = spark.range(200).select("id", in_fold(F.col("id"), 5, 0).alias("x")).collect()
     assert all(r.x == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_pipeline_keeps_the_least_id(spark, tmp_path):
+    """Of equal texts the row of the least number stays, negative ones too; a null number is last."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text, None, None, None) for i in (-5, -7, 3, None)] + [(i, "another text of some words here", None, None, None) for i in (None, (1 << 63) - 1, -(1 << 63))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [-(1 << 63), -7]
