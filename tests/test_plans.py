@@ -11,7 +11,7 @@ from pageloom.plans import catalogue
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Folds whose every step depends on the one before.
-FOLDS = {"lru_state", "lru_set_only", "fifo_state", "closed_stack"}
+FOLDS = {"lru_state", "fifo_state", "closed_stack"}
 
 
 def plan(df):
