@@ -115,27 +115,36 @@ def settle(first: DataFrame, into: DataFrame, keys: list[str]) -> DataFrame:
     if edges.isEmpty():
         return first
     reached = new = checkpointed(first.select(*keys, "top").distinct())
+    rounds = 0
     while not new.isEmpty():
         onward = edges.join(new.withColumnRenamed("top", "from"), [*keys, "from"]).select(*keys, "top").distinct()
         new = checkpointed(onward.join(reached, [*keys, "top"], "left_anti"))
-        reached = checkpointed(reached.unionByName(new))
+        rounds += 1
+        reached = joined(reached, new, rounds)
     edges = checkpointed(edges.join(reached.withColumnRenamed("top", "from"), [*keys, "from"]))
     known = checkpointed(first)  # ways whose tops are not settled yet
     waiting = checkpointed(edges.groupBy(*keys, "top").agg(F.count("*").alias("ways")))
-    done = None
+    done, rounds = None, 0
     while not known.isEmpty():
         best = F.min(F.struct("way", "above", "parent", "root")).alias("best")
         tops = known.groupBy(*keys, "top").agg(best, F.count_if(F.col("parent").isNotNull()).alias("have")).join(waiting, [*keys, "top"], "left")
         least = known.groupBy(*keys).agg(F.min("way").alias("least"))
         met = tops.join(least, keys) if keys else tops.join(F.broadcast(least))  # one row
         new = checkpointed(met.filter(F.expr("have >= coalesce(ways, 0) or best.way = least")).select(*keys, "top", "best.*"))
-        done = new if done is None else checkpointed(done.unionByName(new))
+        rounds += 1
+        done = new if done is None else joined(done, new, rounds)
         ahead = edges.join(new.select(*keys, F.col("top").alias("from"), "way", "above", "root"), [*keys, "from"])
         ahead = ahead.select(*keys, "top", way(F.col("way"), F.col("pos")).alias("way"), (F.col("above") + F.col("hops") + 1).alias("above"), "parent", "root")
         known = checkpointed(known.unionByName(ahead).join(done.select(*keys, "top"), [*keys, "top"], "left_anti"))
     return done
 
 
+def joined(rows: DataFrame, new: DataFrame, rounds: int) -> DataFrame:
+    """Both; written once every eight rounds, else the plan grows with the rounds."""
+    both = rows.unionByName(new)
+    return both if rounds % 8 else checkpointed(both)
+
+
 def numbered(found: DataFrame, keys: list[str]) -> DataFrame:
     """n and size, from the places at which the walk enters and leaves each node's subtree."""
     events = found.select(*keys, "id", F.col("enters").alias("at"), F.lit(1).cast("long").alias("one")).unionByName(found.select(*keys, "id", F.col("leaves").alias("at"), F.lit(0).cast("long").alias("one")))
