@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.operators.sums import sum_before
-from pageloom.storage import checkpointed
+from pageloom.storage import checkpointed, written
 
 
 def most_rounds(rows: DataFrame) -> int:
@@ -25,6 +25,12 @@ def most_rounds(rows: DataFrame) -> int:
     return rows.count().bit_length() + 1
 
 
+def together(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Both, in no more partitions than a shuffle has: else a loop of unions and broadcast joins doubles them each round."""
+    both = rows.unionByName(more)
+    return both.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def renamed(rows: DataFrame, keys: list[str], **names: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(new) for c, new in names.items()])
 
@@ -43,23 +49,21 @@ def measured(items: DataFrame, keys: list[str]) -> DataFrame:
         above = renamed(rows, keys, item="anc", anc="next", top="its_top", hops="its_hops")
         moved = below.join(above, [*keys, "anc"]).select(*keys, "item", F.col("next").alias("anc"), F.col("its_top").alias("top"), (F.col("hops") + F.col("its_hops")).alias("hops"), "size")
         still = rows.filter("anc is null").select(*moved.columns)
-        rows = checkpointed(moved.unionByName(still).join(sums, [*keys, "item"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
+        rows = checkpointed(together(moved, still).join(sums, [*keys, "item"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
     return items.join(rows.filter("anc is null").drop("anc"), [*keys, "item"])
 
 
 def summed_down(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, item, sum): ``value`` added up from the top to each of (keys, item, up, value) rows of trees."""
     found = checkpointed(rows.select(*keys, "item", F.col("up").alias("at"), F.col(value).alias("sum")))
-    done = None
     for _ in range(most_rounds(found)):
         ended = found.filter("at is null")
-        done = ended if done is None else done
         open_ = found.filter("at is not null")
         if open_.isEmpty():
             break
         above = renamed(found, keys, item="at", at="next", sum="more")
         moved = open_.join(above, [*keys, "at"]).select(*keys, "item", F.col("next").alias("at"), (F.col("sum") + F.col("more")).alias("sum"))
-        found = checkpointed(moved.unionByName(ended))
+        found = written(together(moved, ended))  # a checkpoint would carry the optimiser's constraints, which grow with the rounds
     return found.filter("at is null").select(*keys, "item", "sum")
 
 
@@ -135,13 +139,13 @@ def settle(first: DataFrame, into: DataFrame, keys: list[str]) -> DataFrame:
         done = new if done is None else joined(done, new, rounds)
         ahead = edges.join(new.select(*keys, F.col("top").alias("from"), "way", "above", "root"), [*keys, "from"])
         ahead = ahead.select(*keys, "top", way(F.col("way"), F.col("pos")).alias("way"), (F.col("above") + F.col("hops") + 1).alias("above"), "parent", "root")
-        known = checkpointed(known.unionByName(ahead).join(done.select(*keys, "top"), [*keys, "top"], "left_anti"))
+        known = checkpointed(together(known, ahead).join(done.select(*keys, "top"), [*keys, "top"], "left_anti"))
     return done
 
 
 def joined(rows: DataFrame, new: DataFrame, rounds: int) -> DataFrame:
     """Both; written once every eight rounds, else the plan grows with the rounds."""
-    both = rows.unionByName(new)
+    both = together(rows, new)
     return both if rounds % 8 else checkpointed(both)
 
 
@@ -170,7 +174,7 @@ def paths(walked: DataFrame, keys: list[str], value: str) -> DataFrame:
             break
         above = renamed(found, keys, item="at", at="next", path="more")
         moved = open_.join(above, [*keys, "at"]).select(*keys, "item", F.col("next").alias("at"), F.concat("more", "path").alias("path"))
-        found = checkpointed(moved.unionByName(found.filter("at is null")))
+        found = written(together(moved, found.filter("at is null")))
     return found.filter("at is null").select(*keys, F.col("item").alias("id"), "path")
 
 
@@ -189,6 +193,6 @@ def nearest_ancestor(nodes: DataFrame, keys: list[str], value: str, most_hops: i
             break
         above = rows.select(*keys, F.col("id").alias("at"), F.col("at").alias("next"), F.col("found").alias("its"), F.col("hops").alias("more"))
         moved = open_.join(above, [*keys, "at"], "left").select(*keys, "id", F.col("next").alias("at"), F.col("its").alias("found"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-        rows = checkpointed(moved.unionByName(rows.filter("at is null")))
+        rows = written(together(moved, rows.filter("at is null")))
     near = F.col("found").isNotNull() if most_hops is None else F.col("found").isNotNull() & (F.col("hops") <= most_hops)
     return rows.select(*keys, "id", F.when(near, F.col("found")).alias(value), F.when(near, F.col("hops")).cast("int").alias("hops"))

@@ -67,15 +67,15 @@ def test_ladder_of_diamonds(spark):
 
 
 def test_long_chain(spark, monkeypatch):
-    """A hundred thousand nodes in a row: as many rounds as the length has bits."""
+    """Twenty thousand nodes in a row: as many rounds as the length has bits."""
     counts = []
     kept = trees.checkpointed
     monkeypatch.setattr(trees, "checkpointed", lambda df: counts.append(1) or kept(df))
-    n = 100_000
+    n = 20_000
     nodes = spark.range(n).select(F.lit(1).alias("doc"), F.col("id").cast("int").alias("id"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent"), F.lit(0).alias("ord"))
     out = trees.walk(nodes, ["doc"])
-    assert out.filter("depth <> id or n <> id or size <> 100000 - id or not (root <=> 0) or not (parent <=> if(id = 0, null, id - 1))").count() == 0 and out.count() == n
-    assert len(counts) <= 2 * 20 + 10
+    assert out.filter("depth <> id or n <> id or size <> 20000 - id or not (root <=> 0) or not (parent <=> if(id = 0, null, id - 1))").count() == 0 and out.count() == n
+    assert len(counts) <= 2 * 16 + 10
     far = trees.nearest_ancestor(nodes.withColumn("v", F.when(F.col("id") == 0, "top")), ["doc"], "v")
     assert far.filter("v <> 'top' or hops <> id or v is null").count() == 0
 
