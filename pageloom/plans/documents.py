@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators import batch, documents
@@ -168,7 +168,8 @@ def titles_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bookmark_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmarks to the parts of an order and to some that it lacks."""
     every = pages(spark, sf_dir).groupBy("doc_id", "num").agg(F.min("page").alias("page"))
-    marks = every.select("doc_id", F.col("page").alias("ord"), (F.col("num") + F.col("num") % 2 * 1_000_000).alias("dest"))
+    lacking = F.max("num").over(Window.partitionBy("doc_id")) + 1
+    marks = every.select("doc_id", F.col("page").alias("ord"), F.when(F.col("num") % 2 == 0, F.col("num")).otherwise(lacking).alias("dest"))
     return documents.bookmark_pages(marks, every)
 
 
