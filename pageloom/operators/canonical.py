@@ -79,7 +79,7 @@ def digests(nodes: DataFrame, keys: list[str]) -> DataFrame:
     for depth in range(deepest, -1, -1):
         level = placed.filter(F.col("hops") == depth)
         if sums is not None:
-            level = level.join(sums, [*keys, "id"], "left")
+            level = level.join(sums.hint("merge"), [*keys, "id"], "left")
         else:
             level = level.withColumns({c: F.lit(None).cast("decimal(38,0)") for c in ("one", "two")} | {"inside": F.lit(None).cast("long")})
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("string")
@@ -97,4 +97,4 @@ def equal_objects(nodes: DataFrame, keys: list[str], within: list[str] | None =
     by = keys if within is None else within
     found = checkpointed(digests(nodes, keys))
     least = found.groupBy(*by, "digest").agg(F.min("id").alias("canonical"))
-    return found.join(least, [*by, "digest"]).select(*keys, "id", "canonical")
+    return found.join(least.hint("merge"), [*by, "digest"]).select(*keys, "id", "canonical")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.storage import checkpointed, ship, written
+from pageloom.storage import checkpointed, in_place, ship, written
 
 #: (a, b, c, d) of a matrix; where it moves things to does not matter for sizes.
 Matrix = tuple[float, float, float, float]
@@ -80,7 +80,7 @@ def drawings(operators: DataFrame, keys: list[str]) -> DataFrame:
     fine = F.col("op").isin("q", "Q") | ((F.col("op") == "Do") & F.col("name").isNotNull()) | ((F.col("op") == "cm") & (n >= 6) & ~F.exists(last, lambda x: x.isNull()))
     m = F.when((F.col("op") == "cm") & (n >= 6), F.transform(last, lambda x: x.cast("double"))).alias("m")
     rows = operators.filter(fine).select(*keys, "ord", "op", m, "name")
-    placed = checkpointed(rows.repartitionByRange(*keys, "ord").withColumn("part", F.spark_partition_id()))
+    placed = in_place(rows.repartitionByRange(*keys, "ord").withColumn("part", F.spark_partition_id()))
     by = [*keys, "part"]
     stretch = ", ended array<double>, saved array<double>, current array<double>"
     sums = placed.sortWithinPartitions(*by, "ord").mapInPandas(summed(by), typed(placed, by) + stretch)

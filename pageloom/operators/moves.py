@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.storage import checkpointed, ship
+from pageloom.storage import checkpointed, in_place, ship
 
 
 def play(order: list[int], source: int, target: int) -> None:
@@ -31,7 +31,7 @@ def played(moves: DataFrame, sizes: DataFrame, keys: list[str], order: list[str]
     """
     ship(moves.sparkSession)
     whole = moves.filter("source is not null and target is not null").join(sizes.select(*keys, "n"), keys)
-    placed = checkpointed(whole.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    placed = in_place(whole.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
     by = [*keys, "part"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in placed.select(*by).dtypes)
 

@@ -38,7 +38,8 @@ def renamed(rows: DataFrame, keys: list[str], **names: str) -> DataFrame:
 def measured(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, item, up, ord, id, top, hops, size) of (keys, item, up, ord, id) rows of trees: up is null at a top.
 
-    Items that no top reaches (cycles and what hangs from them) are left out.
+    Items that no top reaches (cycles and what hangs from them) are left out. Tables of all items are merged, not broadcast:
+    a small file can hold many.
     """
     rows = checkpointed(items.select(*keys, "item", F.col("up").alias("anc"), F.coalesce("up", "item").alias("top"), F.col("up").isNotNull().cast("long").alias("hops"), F.lit(1).cast("long").alias("size")))
     for _ in range(most_rounds(rows)):
@@ -47,10 +48,10 @@ def measured(items: DataFrame, keys: list[str]) -> DataFrame:
             break
         sums = below.groupBy(*keys, F.col("anc").alias("item")).agg(F.sum("size").alias("more"))
         above = renamed(rows, keys, item="anc", anc="next", top="its_top", hops="its_hops")
-        moved = below.join(above, [*keys, "anc"]).select(*keys, "item", F.col("next").alias("anc"), F.col("its_top").alias("top"), (F.col("hops") + F.col("its_hops")).alias("hops"), "size")
+        moved = below.join(above.hint("merge"), [*keys, "anc"]).select(*keys, "item", F.col("next").alias("anc"), F.col("its_top").alias("top"), (F.col("hops") + F.col("its_hops")).alias("hops"), "size")
         still = rows.filter("anc is null").select(*moved.columns)
         rows = checkpointed(together(moved, still).join(sums, [*keys, "item"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
-    return items.join(rows.filter("anc is null").drop("anc"), [*keys, "item"])
+    return items.join(rows.filter("anc is null").drop("anc").hint("merge"), [*keys, "item"])
 
 
 def summed_down(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

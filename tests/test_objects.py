@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from pageloom.operators import merging, revisions
+from pageloom import storage
+from pageloom.operators import canonical, merging, revisions
 
 SECTIONS = "doc int, offset long, prev long, stm long"
 
@@ -52,3 +54,20 @@ def test_merged_documents(spark):
     assert {m: {(r.src, r.dst) for r in rows if r.merged_id == m} for m in (1, 2)} == links and len(rows) == sum(map(len, links.values()))
     nothing = merging.merge_objects(spark.createDataFrame([], "doc_id string, id int, kind string"), spark.createDataFrame([], "doc_id string, src int, dst int"), spark.createDataFrame(order, "merged_id int, ord int, doc_id string"))
     assert nothing.objects.count() == 0 and nothing.edges.count() == 0
+
+
+def test_tables_of_generated_rows_have_their_true_size(spark):
+    """A few keys that make many values each: what joins take for the size must not be that of the keys."""
+    k = F.col("id")
+    value = lambda n, parent, kind: F.struct((k * 10 + n).alias("id"), (k * 10 + parent if parent is not None else F.lit(None)).cast("long").alias("parent"), F.lit(f"N{n}").alias("name"), F.lit(n).alias("pos"), F.lit(kind).alias("kind"), (k % 7).cast("string").alias("value"))
+    nodes = spark.range(4000).select(F.inline(F.array(value(0, None, "dict"), *[value(n, 0, "int") for n in range(1, 9)])))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        kept = storage.checkpointed(nodes)
+        assert "BroadcastHashJoin" not in kept.join(kept.withColumnRenamed("value", "v"), "id")._jdf.queryExecution().executedPlan().toString()
+        found = canonical.equal_objects(nodes, [])
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.filter("canonical <> id % 70").count() == 0 and found.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
