@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,46 @@ def test_newest_entries(spark, found):
     assert {(r.doc, r.num): r.entry for r in got.collect()} == {(1, 1): "stream", (1, 2): "table", (1, 3): "new", (2, 1): "near"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_over_units_of_any_cut(spark, seed):
+    """Units of five sections: ways that cross them back and forth, circles, gaps and long chains, against a plain walk."""
+    draw = random.Random(seed)
+    rows, starts, want = [], [], {}
+    for doc in range(40):
+        n = draw.choice([1, 4, 23, 60])
+        offsets = draw.sample(range(2**53, 2**53 + 200), n)
+        links = {o: (None if draw.random() < 0.05 else draw.choice(offsets) if draw.random() < 0.1 else offsets[i - 1] if i else draw.choice([None, 5])) for i, o in enumerate(offsets)}
+        streams = {o: draw.choice([None] * 40 + [7, offsets[0]]) for o in offsets}
+        rows += [(doc, o, p, streams[o]) for o, p in links.items()]
+        starts.append((doc, offsets[-1]))
+        way, at = [], offsets[-1]
+        while at is not None and at not in way:
+            way.append(at)
+            at = links.get(at)
+        bad = any(o not in links or streams[o] is not None and streams[o] not in links for o in way)
+        want[doc] = "the chain has more than 30 sections" if len(way) > 30 else "a section is missing" if bad else way
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = revisions.chain(spark.createDataFrame(rows, SECTIONS).repartition(3), spark.createDataFrame(starts, "doc int, offset long"), 30)
+        got = {r.doc: r.error for r in out.errors.collect()}
+        for r in sorted(out.sections.collect(), key=lambda r: r.rank):
+            got.setdefault(r.doc, []).append(r.offset)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_chains_inside_units_take_few_rounds(spark, monkeypatch):
+    """Chains of five hundred sections in a unit each: no round of doubling over all sections."""
+    counts = []
+    kept = revisions.checkpointed
+    monkeypatch.setattr(revisions, "checkpointed", lambda df: counts.append(1) or kept(df))
+    rows = spark.range(1500).select((F.col("id") % 3).cast("int").alias("doc"), F.floor(F.col("id") / 3).alias("offset"))
+    rows = rows.select("doc", "offset", F.when(F.col("offset") > 0, F.col("offset") - 1).alias("prev"), F.lit(None).cast("long").alias("stm"))
+    out = revisions.chain(rows, spark.createDataFrame([(d, 499) for d in range(3)], "doc int, offset long"))
+    assert out.sections.filter("rank = 499 - offset").count() == 1500 and out.errors.isEmpty() and len(counts) <= 8
+
+
 def test_no_sections(spark, found):
     none = revisions.chain(spark.createDataFrame([], SECTIONS), spark.createDataFrame([], "doc int, offset long"))
     assert none.sections.count() == 0 and none.errors.count() == 0
