@@ -31,7 +31,7 @@ def merge_objects(objects: DataFrame, edges: DataFrame, order: DataFrame) -> Mer
     more than once; it is numbered anew each time. Numbers are counted by ranges, so a merged document is no one task's.
     """
     placed = order.select("merged_id", "ord", "doc_id").join(objects.select("doc_id", "id", F.coalesce("kind", F.lit("")).alias("kind")), "doc_id")
-    placed = placed.filter(~F.col("kind").isin(*DROPPED))
+    placed = checkpointed(placed.filter(~F.col("kind").isin(*DROPPED)))
     at = F.struct("ord", "doc_id", "id")
     single = F.col("kind").isin(*ONE_EACH)
     ends = placed.filter(single).groupBy("merged_id", "kind").agg(F.min(at).alias("first"), F.max(at).alias("last"))
@@ -51,9 +51,8 @@ def merge_objects(objects: DataFrame, edges: DataFrame, order: DataFrame) -> Mer
     targets = others.unionByName(nodes).unionByName(catalogues.select("merged_id", "ord", "doc_id", "id", "num"))
     last = told.filter("kind = 'Catalog'").select("merged_id", F.col("b_ord").alias("ord"), F.col("b_doc").alias("doc_id"), F.col("b_id").alias("id"), "num")
     sources = others.unionByName(last).withColumn("tree", F.lit(False)).unionByName(nodes.withColumn("tree", F.lit(True)))
-    links = order.select("merged_id", "ord", "doc_id").join(edges.select("doc_id", "src", "dst"), "doc_id")
     by = ["merged_id", "ord", "doc_id"]
-    links = links.join(sources.withColumnsRenamed({"id": "src", "num": "from"}), [*by, "src"]).join(targets.withColumnsRenamed({"id": "dst", "num": "to"}), [*by, "dst"])
+    links = edges.select("doc_id", "src", "dst").join(sources.withColumnsRenamed({"id": "src", "num": "from"}), ["doc_id", "src"]).join(targets.withColumnsRenamed({"id": "dst", "num": "to"}), [*by, "dst"])
     kids = numbered.filter("kind = 'Page'").join(pages, "merged_id")
     found = links.filter("not tree or from <> to").select("merged_id", F.col("from").alias("src"), F.col("to").alias("dst"))
     found = found.unionByName(kids.select("merged_id", F.col("num").alias("src"), F.col("tree").alias("dst"))).unionByName(kids.select("merged_id", F.col("tree").alias("src"), F.col("num").alias("dst")))
