@@ -47,14 +47,18 @@ def merge_objects(objects: DataFrame, edges: DataFrame, order: DataFrame) -> Mer
     pages = one.filter("kind = 'Pages'").select("merged_id", F.col("num").alias("tree"))
     nodes = placed.filter("kind = 'Pages'").join(pages, "merged_id").select("merged_id", "ord", "doc_id", "id", F.col("tree").alias("num"))
     catalogues = placed.filter("kind = 'Catalog'").join(one.filter("kind = 'Catalog'").drop("kind"), "merged_id")
-    others = numbered.filter(~single).select("merged_id", "ord", "doc_id", "id", "num")
-    targets = others.unionByName(nodes).unionByName(catalogues.select("merged_id", "ord", "doc_id", "id", "num"))
-    last = told.filter("kind = 'Catalog'").select("merged_id", F.col("b_ord").alias("ord"), F.col("b_doc").alias("doc_id"), F.col("b_id").alias("id"), "num")
+    others = numbered.filter(~single).select("merged_id", "ord", "doc_id", "id", "num", (F.col("kind") == "Page").alias("page"))
+    no = F.lit(False)
+    nodes, catalogues = nodes.withColumn("page", no), catalogues.select("merged_id", "ord", "doc_id", "id", "num", no.alias("page"))
+    targets = others.withColumn("above", no).unionByName(nodes.withColumn("above", F.lit(True))).unionByName(catalogues.withColumn("above", no))
+    last = told.filter("kind = 'Catalog'").select("merged_id", F.col("b_ord").alias("ord"), F.col("b_doc").alias("doc_id"), F.col("b_id").alias("id"), "num", no.alias("page"))
     sources = others.unionByName(last).withColumn("tree", F.lit(False)).unionByName(nodes.withColumn("tree", F.lit(True)))
     by = ["merged_id", "ord", "doc_id"]
-    links = edges.select("doc_id", "src", "dst").join(sources.withColumnsRenamed({"id": "src", "num": "from"}), ["doc_id", "src"]).join(targets.withColumnsRenamed({"id": "dst", "num": "to"}), [*by, "dst"])
+    links = edges.select("doc_id", "src", "dst").join(sources.withColumnsRenamed({"id": "src", "num": "from", "page": "of_page"}), ["doc_id", "src"]).join(targets.withColumnsRenamed({"id": "dst", "num": "to"}), [*by, "dst"])
     kids = numbered.filter("kind = 'Page'").join(pages, "merged_id")
-    found = links.filter("not tree or from <> to").select("merged_id", F.col("from").alias("src"), F.col("to").alias("dst"))
-    found = found.unionByName(kids.select("merged_id", F.col("num").alias("src"), F.col("tree").alias("dst"))).unionByName(kids.select("merged_id", F.col("tree").alias("src"), F.col("num").alias("dst")))
+    # those between the page tree and a page are those of kids, a row each
+    links = links.filter("(not tree or from <> to) and not (tree and page) and not (of_page and above)")
+    found = links.select("merged_id", F.col("from").alias("src"), F.col("to").alias("dst"))
+    both = F.array(F.struct(F.col("num").alias("src"), F.col("tree").alias("dst")), F.struct(F.col("tree").alias("src"), F.col("num").alias("dst")))
     root = one.filter("kind = 'Catalog'").select("merged_id", F.col("num").alias("src")).join(pages.withColumnRenamed("tree", "dst"), "merged_id")
-    return Merged(out, found.unionByName(root).distinct())
+    return Merged(out, found.unionByName(root).distinct().unionByName(kids.select("merged_id", F.inline(both))))
