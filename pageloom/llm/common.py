@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.storage import checkpointed as checkpoint
+from pageloom.storage import in_place as checkpoint
 from pageloom.storage import remove, shared_folder, written
 
 __all__ = ["checkpoint", "remove", "shared_folder", "written"]
