@@ -93,3 +93,45 @@ def test_nested_forms(spark):
     assert content.placements(tables[0].limit(0), *tables[1:], pages).count() == 0
     assert content.placements(*tables, pages.limit(0)).count() == 0
     assert math.isclose(got[1, "b"][0], math.hypot(0.0, 8 * 3 / 2))
+
+
+@pytest.mark.parametrize("rows", (1, 7, 10_000))
+def test_contents_in_batches(spark, rows):
+    """Short contents, done at once, beside one of many batches and one that nests deeper than the rounds go."""
+    draw = random.Random(rows)
+    ops = []
+    for doc in range(60):
+        for i in range(draw.choice([1, 2, 9, 25])):
+            op = draw.choice(["q", "Q", "Q", "cm", "cm", "Do", "Do"])
+            ops.append((doc, f"c{doc % 7}", i, op, [draw.choice([0.5, 2.0, -1.0, 0.0]) for _ in range(6)] if op == "cm" else None, f"n{i}"))
+    ops += [(60, "long", i, "Do" if i % 3 else draw.choice(["q", "Q"]), None, f"n{i}") for i in range(300)]
+    ops += [(doc, "deep", i, "cm" if i % 2 else "Do", [-1.0, 0.0, 0.0, 1.0, 0.0, 0.0], f"n{i}") for doc in range(61, 66) for i in range(2 * content.MOST_ROUNDS + 40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    got = {(r.doc, r.content, r.ord): (r.name, (r.a, r.b, r.c, r.d)) for r in content.drawings(spark.createDataFrame(ops, OPS), ["doc", "content"]).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key in {r[:2] for r in ops}:
+        want |= {(*key, at): (name, m) for at, name, m in machine([r for r in ops if r[:2] == key])}
+    assert got == want
+
+
+def test_rounds_read_forms_alone(spark, monkeypatch):
+    """Images are met once, after the rounds: what is written for the rounds is a row for each form."""
+    counts, kept = [], content.checkpointed
+
+    def counted(df):
+        df = kept(df)
+        counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(content, "checkpointed", counted)
+    ops, names, objects, deep, wide = [], [], [], 5, 40
+    for i in range(deep):
+        for j in range(wide):
+            ops.append((1, f"f{i}", j, "Do", None, f"n{j}"))
+            names.append((1, f"f{i}", f"n{j}", f"p{i}-{j}" if j else f"f{i + 1}"))
+            objects.append((1, f"p{i}-{j}", "Image", None, None))
+        objects.append((1, f"f{i}", "Form", None, None))
+    tables = spark.createDataFrame(ops, OPS), spark.createDataFrame(names, "doc int, content string, name string, target string"), spark.createDataFrame(objects, OBJECTS)
+    assert content.placements(*tables, spark.createDataFrame([(1, "f0")], "doc int, content string")).count() == deep * (wide - 1)
+    assert sum(counts) <= deep * wide + 3 * deep
