@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.operators import content, documents
 from pageloom.plans.documents import _cut, _plan
 from pageloom.sources.tables import table
+from pageloom.storage import checkpointed
 
 DOCS = 25
 
@@ -16,7 +17,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines numbered within their order; an order is a content of one of DOCS documents."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return rows.select((F.col("l_orderkey") % DOCS).alias("doc"), F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), n.alias("n"))
+    return checkpointed(rows.select((F.col("l_orderkey") % DOCS).alias("doc"), F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), n.alias("n")))
 
 
 def operators(rows: DataFrame) -> DataFrame:
@@ -40,13 +41,12 @@ def order_name(key: str | Column) -> Column:
     return F.concat(F.lit("o"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drawn(rows: DataFrame) -> DataFrame:
     """Footprints of the parts that the pages draw: every fifth order is a page, the third lines draw other orders as forms."""
-    rows = lines(spark, sf_dir)
     part, form = F.concat(F.lit("p"), F.col("p").cast("string")), order_name(F.when(F.col("k") % 4 == 0, F.col("k") - 2 * DOCS).otherwise(F.col("k") + DOCS))
     of_part, of_form = rows.filter("n % 3 <> 0"), rows.filter("n % 3 = 0")
     names = of_part.select("doc", order_name("k").alias("content"), F.concat(F.lit("P"), F.col("p").cast("string")).alias("name"), part.alias("target"))
-    resources = names.unionByName(of_form.select("doc", order_name("k").alias("content"), F.lit("F").alias("name"), form.alias("target"))).distinct()
+    resources = names.unionByName(of_form.select("doc", order_name("k").alias("content"), F.lit("F").alias("name"), form.alias("target")))  # a name may come twice
     mask = F.when(F.col("p") % 4 == 0, F.concat(F.lit("m"), F.col("p").cast("string")))
     images = rows.select("doc", "p").distinct().select("doc", part.alias("id"), F.lit("Image").alias("kind"), F.lit(None).cast("array<double>").alias("matrix"), mask.alias("mask"))
     matrix = F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, (2.0, 0.0, 0.0, 0.5, 0.0, 0.0)))).when(F.col("k") % 3 == 1, F.array(F.lit(7.0), F.lit(0.0)))
@@ -57,13 +57,14 @@ def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn(spark, sf_dir)
+    return drawn(lines(spark, sf_dir))
 
 
 def placed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes to code the parts of each document in, by the largest footprint on its pages."""
-    sizes = drawn(spark, sf_dir).select(F.concat_ws("/", F.col("doc").cast("string"), "image").alias("image_id"), (F.col("w") * 100).alias("w"), (F.col("h") * 100).alias("h"))
-    parts = lines(spark, sf_dir).select("doc", "p").distinct()
+    rows = lines(spark, sf_dir)
+    sizes = drawn(rows).select(F.concat_ws("/", F.col("doc").cast("string"), "image").alias("image_id"), (F.col("w") * 100).alias("w"), (F.col("h") * 100).alias("h"))
+    parts = rows.select("doc", "p").distinct()
     key = F.concat_ws("/", F.col("doc").cast("string"), F.concat(F.lit("p"), F.col("p").cast("string")))
     p = F.col("p")
     images = parts.select(key.alias("image_id"), (p % 9 * 400).cast("int").alias("width"), (p % 20 * 300).cast("int").alias("height"), F.when(p % 7 == 0, 1).otherwise(8).alias("bits"), (p % 11 == 0).alias("mask"), (p % 2 == 0).alias("dct"), (p % 3 > 0).alias("supported"))
