@@ -2,7 +2,8 @@
 
 What hangs from a node with one parent is found in two passes of pointer doubling, each of about log2(depth) rounds: the
 first finds tops, depths and subtree sizes (what lies within 2**k levels, plus what lies within as many below that), the
-second adds up, along the way from the top, how many places are ahead of each node among its siblings' subtrees.
+second adds up, along the way from the top, how many places are ahead of each node among its siblings' subtrees. Only nodes with others
+below them take part in the rounds; the rest, most of a wide tree, are met once before and once after.
 
 A node with several parents, or one that is also a root, is the top of a tree of its own, and each way into it is a place
 in its parent's tree. Such tops are settled in rounds. A place is known by the places of the tops above it, one number a
@@ -13,6 +14,10 @@ every node once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +40,13 @@ def renamed(rows: DataFrame, keys: list[str], **names: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(new) for c, new in names.items()])
 
 
-def measured(items: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, item, up, ord, id, top, hops, size) of (keys, item, up, ord, id) rows of trees: up is null at a top.
+def measured(inner: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item, top, hops, size) of (keys, item, up, kids) rows, all items of trees that have others below: up is null at a top.
 
-    Items that no top reaches (cycles and what hangs from them) are left out. Tables of all items are merged, not broadcast:
-    a small file can hold many.
+    Sizes are those of whole subtrees, from the numbers of kids. Items that no top reaches (cycles and what hangs from them)
+    are left out. Tables of all items are merged, not broadcast: a small file can hold many.
     """
-    rows = checkpointed(items.select(*keys, "item", F.col("up").alias("anc"), F.coalesce("up", "item").alias("top"), F.col("up").isNotNull().cast("long").alias("hops"), F.lit(1).cast("long").alias("size")))
+    rows = checkpointed(inner.select(*keys, "item", F.col("up").alias("anc"), F.coalesce("up", "item").alias("top"), F.col("up").isNotNull().cast("long").alias("hops"), F.col("kids").alias("size")))
     for _ in range(most_rounds(rows)):
         below = rows.filter("anc is not null")
         if below.isEmpty():
@@ -51,7 +56,25 @@ def measured(items: DataFrame, keys: list[str]) -> DataFrame:
         moved = below.join(above.hint("merge"), [*keys, "anc"]).select(*keys, "item", F.col("next").alias("anc"), F.col("its_top").alias("top"), (F.col("hops") + F.col("its_hops")).alias("hops"), "size")
         still = rows.filter("anc is null").select(*moved.columns)
         rows = checkpointed(together(moved, still).join(sums, [*keys, "item"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
-    return items.join(rows.filter("anc is null").drop("anc").hint("merge"), [*keys, "item"])
+    return rows.filter("anc is null").select(*keys, "item", "top", "hops", (F.col("size") + 1).alias("size"))
+
+
+def placed_in_trees(items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the tops, all others) of (keys, item, up, ord, id, parent) rows of trees, with top, hops, size, and pos, the place in the tree.
+
+    Items that no top reaches are left out.
+    """
+    kids = checkpointed(items.filter("up is not null").groupBy(*keys, F.col("up").alias("item")).agg(F.count("*").alias("kids")))
+    items = checkpointed(items.join(kids, [*keys, "item"], "left"))
+    inner = items.filter("kids is not null")
+    sizes = checkpointed(measured(inner, keys))
+    sized = inner.join(sizes.select(*keys, "item", "size"), [*keys, "item"]).unionByName(items.filter("kids is null").withColumn("size", F.lit(1).cast("long")))
+    tops = sized.filter("up is null").drop("kids").withColumns({"top": F.col("item"), "hops": F.lit(0).cast("long"), "pos": F.lit(0).cast("long")})
+    below = checkpointed(sum_before(sized.filter("up is not null"), [*keys, "up"], ["ord", "id"], F.col("size"), "ahead"))
+    steps = below.filter("kids is not null").select(*keys, "item", "up", (F.col("ahead") + 1).alias("step")).unionByName(inner.filter("up is null").select(*keys, "item", "up", F.lit(0).cast("long").alias("step")))
+    above = checkpointed(sizes.drop("size").join(summed_down(steps, keys, "step"), [*keys, "item"]))
+    others = below.drop("kids").join(renamed(above, keys, item="up", top="top", hops="hops", sum="sum"), [*keys, "up"])
+    return tops, others.withColumns({"hops": F.col("hops") + 1, "pos": F.col("sum") + F.col("ahead") + 1}).select(*tops.columns)
 
 
 def summed_down(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -79,34 +102,33 @@ def walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
     each key: roots and children by ord, then id; parent is the one that the walk comes from, size the number of nodes of
     the subtree, itself included. Nodes that no root reaches are left out, and so are rows of a null id or key.
     """
-    rows = nodes.filter("id is not null").select(*keys, "id", "parent", "ord").groupBy(*keys, "id", "parent").agg(F.min("ord").alias("ord"))
+    there = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "id"]])
+    rows = checkpointed(nodes.filter(there).groupBy(*keys, "id", "parent").agg(F.min("ord").alias("ord")))
     ways = rows.groupBy(*keys, "id").agg(F.count("*").alias("ways"), F.count_if(F.col("parent").isNull()).alias("roots"))
-    rows = checkpointed(rows.join(ways, [*keys, "id"]).withColumn("single", F.expr("ways = 1 and roots = 0")))
+    several = checkpointed(ways.filter("ways > 1 or roots > 0").drop("roots"))
     text = F.col("id").cast("string")
     node, stub = F.concat(F.lit("n"), text), F.concat(F.lit("s"), F.length(text).cast("string"), F.lit(":"), text, F.col("parent").cast("string"))
     up = F.concat(F.lit("n"), F.col("parent").cast("string"))
-    singles = rows.filter("single").select(*keys, node.alias("item"), up.alias("up"), "ord", "id", "parent")
-    stubs = rows.filter("not single and parent is not null").select(*keys, stub.alias("item"), up.alias("up"), "ord", "id", "parent")
-    tops = rows.filter("not single").select(*keys, "id").distinct()
-    tops = tops.select(*keys, node.alias("item"), F.lit(None).cast("string").alias("up"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), "id", F.lit(None).cast(rows.schema["parent"].dataType).alias("parent"))
-    sized = checkpointed(measured(singles.unionByName(stubs).unionByName(tops), keys))
-    below = sum_before(sized.filter("up is not null").select(*keys, "item", "up", "ord", "id", "size"), [*keys, "up"], ["ord", "id"], F.col("size"), "ahead")
-    steps = below.select(*keys, "item", "up", (F.col("ahead") + 1).alias("step")).unionByName(sized.filter("up is null").select(*keys, "item", "up", F.lit(0).cast("long").alias("step")))
-    placed = checkpointed(sized.join(summed_down(steps, keys, "step").withColumnRenamed("sum", "pos"), [*keys, "item"]))
+    singles = rows.join(several, [*keys, "id"], "left_anti").select(*keys, node.alias("item"), up.alias("up"), "ord", "id", "parent")
+    stubs = rows.filter("parent is not null").join(several, [*keys, "id"], "left_semi").select(*keys, stub.alias("item"), up.alias("up"), "ord", "id", "parent")
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("ord", "parent")]
+    tops = several.select(*keys, node.alias("item"), F.lit(None).cast("string").alias("up"), none[0], "id", none[1])
+    tops, others = placed_in_trees(singles.unionByName(stubs).unionByName(tops), keys)
 
     begins = rows.filter("parent is null").select(*keys, "id", "ord").withColumn("all", F.lit(0))
-    if rows.filter("not single and (parent is not null or ways > 1)").isEmpty():
-        sizes = begins.join(placed.filter("up is null").select(*keys, "id", "size", "top"), [*keys, "id"])
-        ahead = sum_before(sizes, keys or ["all"], ["ord", "id"], F.col("size"), "ahead").select(*keys, "top", F.col("id").alias("root"), "ahead")
-        return placed.join(ahead, [*keys, "top"]).select(*keys, "id", "parent", "root", F.col("hops").alias("depth"), (F.col("ahead") + F.col("pos")).alias("n"), "size")
+    if several.filter("ways > 1").isEmpty():
+        sizes = begins.join(tops.select(*keys, "id", "size", "top"), [*keys, "id"])
+        ahead = checkpointed(sum_before(sizes, keys or ["all"], ["ord", "id"], F.col("size"), "ahead").select(*keys, "top", F.col("id").alias("root"), "ahead"))
+        return tops.unionByName(others).join(ahead, [*keys, "top"]).select(*keys, "id", "parent", "root", F.col("hops").alias("depth"), (F.col("ahead") + F.col("pos")).alias("n"), "size")
+    placed = checkpointed(tops.unionByName(others))
     roots = sum_before(begins, keys or ["all"], ["ord", "id"], F.lit(1).cast("long"), "pos")
     into = placed.filter("item like 's%'").select(*keys, F.col("id").alias("to"), F.col("top").alias("from"), "pos", (F.col("hops") - 1).alias("hops"), "parent")
     first = roots.select(*keys, F.concat(F.lit("n"), F.col("id").cast("string")).alias("top"), F.array("pos").alias("way"), F.lit(0).cast("long").alias("above"), F.lit(None).cast(rows.schema["parent"].dataType).alias("parent"), F.col("id").alias("root"))
     settled = settle(first, into, keys)
-    found = placed.filter("item like 'n%'").drop("parent").join(settled.withColumnRenamed("parent", "top_parent"), [*keys, "top"])
-    own = rows.filter("single").select(*keys, "id", "parent")
-    found = found.join(own, [*keys, "id"], "left").select(
-        *keys, "id", F.when(F.col("up").isNull(), F.col("top_parent")).otherwise(F.col("parent")).alias("parent"), "root", (F.col("above") + F.col("hops")).alias("depth"), way(F.col("way"), F.col("pos")).alias("enters"), way(F.col("way"), F.col("pos") + F.col("size")).alias("leaves"))
+    found = placed.filter("item like 'n%'").join(settled.withColumnRenamed("parent", "top_parent"), [*keys, "top"])
+    parent = F.when(F.col("up").isNull(), F.col("top_parent")).otherwise(F.col("parent")).alias("parent")
+    pos = F.col("pos")
+    found = found.select(*keys, "id", parent, "root", (F.col("above") + F.col("hops")).alias("depth"), way(F.col("way"), pos).alias("enters"), F.when(F.col("size") > 1, way(F.col("way"), pos + F.col("size"))).alias("leaves"))
     return numbered(checkpointed(found), keys)
 
 
@@ -151,23 +173,29 @@ def joined(rows: DataFrame, new: DataFrame, rounds: int) -> DataFrame:
 
 
 def numbered(found: DataFrame, keys: list[str]) -> DataFrame:
-    """n and size, from the places at which the walk enters and leaves each node's subtree."""
-    events = found.select(*keys, "id", F.col("enters").alias("at"), F.lit(1).cast("long").alias("one")).unionByName(found.select(*keys, "id", F.col("leaves").alias("at"), F.lit(0).cast("long").alias("one")))
+    """n and size, from the places at which the walk enters and leaves each node's subtree; those without others below only enter."""
+    told = ["id", "parent", "root", "depth"]
+    alone = F.col("leaves").isNull().alias("alone")
+    events = found.select(*keys, *told, alone, F.col("enters").alias("at"), F.lit(1).cast("long").alias("one"))
+    left = found.filter("leaves is not null").select(*keys, "id", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in told[1:]], alone, F.col("leaves").alias("at"), F.lit(0).cast("long").alias("one"))
+    events = events.unionByName(left)
     group = keys or ["all"]
     events = events if keys else events.withColumn("all", F.lit(0))
-    counted = checkpointed(sum_before(events, group, ["at", "one", "id"], F.col("one"), "n"))
-    entered = counted.filter("one = 1").select(*keys, "id", "n")
-    left = counted.filter("one = 0").select(*keys, "id", F.col("n").alias("upto"))
-    both = found.drop("enters", "leaves").join(entered, [*keys, "id"]).join(left, [*keys, "id"])
-    return both.select(*keys, "id", "parent", "root", "depth", "n", (F.col("upto") - F.col("n")).alias("size"))
+    counted = checkpointed(sum_before(events, group, ["at", "one", "id"], F.col("one"), "n").drop("at"))
+    entered = counted.filter("one = 1").select(*keys, *told, "n", "alone")
+    upto = counted.filter("one = 0").select(*keys, "id", F.col("n").alias("upto"))
+    size = (F.col("upto") - F.col("n")).alias("size")
+    both = entered.filter("not alone").join(upto, [*keys, "id"]).select(*keys, *told, "n", size)
+    return both.unionByName(entered.filter("alone").select(*keys, *told, "n", F.lit(1).cast("long").alias("size")))
 
 
-def paths(walked: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, id, path): ``value`` of each node on the way from the root, as an array as long as the way; by pointer doubling.
+def paths(walked: DataFrame, keys: list[str], value: str, carried: Sequence[str] = ()) -> DataFrame:
+    """(keys, id, path, carried): ``value`` of each node on the way from the root, as an array as long as the way; by pointer doubling.
 
-    walked: (keys, id, parent, value) with one row a node.
+    walked: (keys, id, parent, value, carried) with one row a node. Only nodes with others below take part in the rounds.
     """
-    rows = walked.select(*keys, F.col("id").alias("item"), F.col("parent").alias("up"), F.array(value).alias("value"))
+    inner = checkpointed(walked.filter("parent is not null").select(*keys, F.col("parent").alias("id")).distinct())
+    rows = walked.join(inner, [*keys, "id"], "left_semi").select(*keys, F.col("id").alias("item"), F.col("parent").alias("up"), F.array(value).alias("value"))
     found = checkpointed(rows.select(*keys, "item", F.col("up").alias("at"), F.col("value").alias("path")))
     for _ in range(most_rounds(found)):
         open_ = found.filter("at is not null")
@@ -176,7 +204,9 @@ def paths(walked: DataFrame, keys: list[str], value: str) -> DataFrame:
         above = renamed(found, keys, item="at", at="next", path="more")
         moved = open_.join(above, [*keys, "at"]).select(*keys, "item", F.col("next").alias("at"), F.concat("more", "path").alias("path"))
         found = written(together(moved, found.filter("at is null")))
-    return found.filter("at is null").select(*keys, F.col("item").alias("id"), "path")
+    ways = renamed(found.filter("at is null"), keys, item="parent", path="_above")
+    others = walked.join(ways, [*keys, "parent"]).select(*keys, "id", F.concat("_above", F.array(value)).alias("path"), *carried)
+    return walked.filter("parent is null").select(*keys, "id", F.array(value).alias("path"), *carried).unionByName(others)
 
 
 def nearest_ancestor(nodes: DataFrame, keys: list[str], value: str, most_hops: int | None = None) -> DataFrame:

@@ -104,3 +104,29 @@ def test_boxes_far_up(spark):
     got = {(r.doc, r.id): (r.width, r.height) for r in documents.page_sizes(nodes, ["doc"]).collect()}
     assert all(got[1, i] == (612.0, 792.0) for i in range(41))
     assert got[2, 1] == documents.A4 and got[2, 2] == got[2, 3] == (4.0, 7.0) and got[3, 1] == documents.A4
+
+
+@pytest.mark.parametrize("shared", (False, True))
+def test_leaves_stay_out_of_the_rounds(spark, monkeypatch, shared):
+    """Of a wide tree few tables hold all nodes, whatever the rounds: the leaves are met before and after them."""
+    counts = []
+
+    def counting(kept):
+        def of(df):
+            df = kept(df)
+            counts.append(df.count())
+            return df
+
+        return of
+
+    monkeypatch.setattr(trees, "checkpointed", counting(trees.checkpointed))
+    monkeypatch.setattr(trees, "written", counting(trees.written))
+    rows = [(1, 0, None, 0)] + [(1, i, i - 1, 0) for i in range(1, 30)] + [(1, i, i % 30, i % 5) for i in range(30, 1000)]
+    rows += [(1, 31, 3, 0)] if shared else []
+    assert walked(spark, rows) == plain(rows)
+    assert sum(n >= 900 for n in counts) <= (6 if shared else 3)
+    counts.clear()
+    nodes = spark.createDataFrame(rows, NODES).filter("id <> 31").withColumn("more", F.col("ord"))
+    got = {r.id: (r.path, r.more) for r in trees.paths(nodes, ["doc"], "id", ["more"]).collect()}
+    assert got == {i: ([*range(0, (i if i < 30 else i % 30) + 1)] + [i] * (i >= 30), at) for _, i, _, at in rows if i != 31}
+    assert max(counts) <= 30
