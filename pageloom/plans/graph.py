@@ -21,8 +21,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = graph.checkpointed(trees.walk(tree(spark, sf_dir), []))
-    path = trees.paths(walked.select("id", "parent", F.col("id").alias("name")), [], "name")
-    return walked.join(path, "id").select("root", "id", F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"))
+    path = trees.paths(walked.withColumn("name", F.col("id")), [], "name", ["root", "depth"])
+    return path.select("root", "id", F.col("depth").cast("int").alias("depth"), F.array_join("path", "/").alias("path"))
 
 
 def shared_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
