@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.operators.sums import sum_before
 from pageloom.storage import checkpointed
 
 #: Objects that a merged document has one of, and those that it has none of. Fixed values.
@@ -21,6 +22,36 @@ class Merged(NamedTuple):
     edges: DataFrame
 
 
+def in_ranges(placed: DataFrame) -> DataFrame:
+    """The rows written once, in ranges of the order, with their range and their place in it; what a document has one of comes last."""
+    by = ["merged_id", "ord", "doc_id", "id"]
+    ranges = placed.repartitionByRange(*by).sortWithinPartitions(F.col("kind").isin(*ONE_EACH), *by)
+    return checkpointed(ranges.select(*placed.columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")))
+
+
+def counted(many: DataFrame, ends: DataFrame) -> DataFrame:
+    """(merged_id, kind, ord, doc_id, id, num): rows of ``in_ranges`` and the first of each of ``ends``, numbered from 1.
+
+    Rows ahead are those of the ranges before, of which a merged document has one row each, and by places those in the
+    range; nothing is sorted or dealt again.
+    """
+    row = ["merged_id", "kind", "ord", "doc_id", "id"]
+    upto = Window.partitionBy("merged_id").orderBy("_range")
+    ranges = many.groupBy("merged_id", "_range").agg(F.min("_place").alias("_least"), F.count("*").alias("_rows"))
+    ranges = ranges.select(F.col("merged_id").alias("_of"), F.col("_range").alias("_in"), (F.sum("_rows").over(upto) - F.col("_rows") - F.col("_least")).alias("_ahead"))
+    ones = ends.groupBy(F.col("merged_id").alias("_by")).agg(*[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(f"_{k}") for k in ONE_EACH])
+    at, firsts = F.struct("ord", "doc_id", "id"), [F.col(f"_{k}") for k in ONE_EACH]
+    met = many.join(ones, F.col("merged_id").eqNullSafe(F.col("_by")), "left")
+    before = [F.coalesce(first < at, F.lit(False)).cast("long") for first in firsts]
+    placed = met.join(checkpointed(ranges), F.col("merged_id").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    placed = placed.select(*row, (F.col("_place") + F.col("_ahead") + 1 + reduce(add, before)).alias("num"))
+    rows = met.groupBy("merged_id").agg(*[F.count_if(at < first).alias(f"_rows_{k}") for k, first in zip(ONE_EACH, firsts, strict=True)])
+    alone = ones.join(checkpointed(rows), F.col("merged_id").eqNullSafe(F.col("_by")), "left")
+    first = [F.struct(F.lit(k).alias("kind"), x.alias("at"), (F.coalesce(f"_rows_{k}", F.lit(0)) + 1 + reduce(add, [F.coalesce(y < x, F.lit(False)).cast("long") for y in firsts])).alias("num")) for k, x in zip(ONE_EACH, firsts, strict=True)]
+    alone = alone.select(F.col("_by").alias("merged_id"), F.inline(F.array(*first))).filter("at is not null")
+    return placed.unionByName(alone.select("merged_id", "kind", "at.*", "num"))
+
+
 def merge_objects(objects: DataFrame, edges: DataFrame, order: DataFrame) -> Merged:
     """Documents joined by (merged_id, ord, doc_id) rows: objects (doc_id, id, kind), references edges (doc_id, src, dst).
 
@@ -28,17 +59,16 @@ def merge_objects(objects: DataFrame, edges: DataFrame, order: DataFrame) -> Mer
     catalogue has the place of the first and the body of the last document's; page tree nodes become one, in the place of
     the first, above all pages; outlines go. References follow their objects; those to page tree nodes lead to the one that
     is left, those to outlines or to nothing go, and so do those from catalogues but the last. A document may be merged
-    more than once; it is numbered anew each time. Numbers are counted by ranges, so a merged document is no one task's.
+    more than once; it is numbered anew each time. Numbers are counted by ranges, so a merged document is no one task's;
+    objects are written once.
     """
     placed = order.select("merged_id", "ord", "doc_id").join(objects.select("doc_id", "id", F.coalesce("kind", F.lit("")).alias("kind")), "doc_id")
-    placed = checkpointed(placed.filter(~F.col("kind").isin(*DROPPED)))
+    placed = in_ranges(placed.filter(~F.col("kind").isin(*DROPPED)))
     at = F.struct("ord", "doc_id", "id")
     single = F.col("kind").isin(*ONE_EACH)
     ends = placed.filter(single).groupBy("merged_id", "kind").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     ends = checkpointed(ends)  # two rows a merged document
-    many, ones = placed.filter(~single), ends.select("merged_id", "kind", "first.*")
-    kept = many.select("merged_id", "kind", "ord", "doc_id", "id").unionByName(ones.select("merged_id", "kind", "ord", "doc_id", "id"))
-    numbered = checkpointed(sum_before(kept, ["merged_id"], ["ord", "doc_id", "id"], F.lit(1).cast("long"), "num").withColumn("num", F.col("num") + 1))
+    numbered = counted(placed.filter(~single), ends)
     body = ends.filter("kind = 'Catalog'").select("merged_id", "kind", F.col("last.ord").alias("b_ord"), F.col("last.doc_id").alias("b_doc"), F.col("last.id").alias("b_id"))
     told = numbered.join(body, ["merged_id", "kind"], "left")
     out = told.select("merged_id", "num", "kind", F.coalesce("b_doc", "doc_id").alias("doc_id"), F.coalesce("b_id", "id").alias("id"))

@@ -98,6 +98,35 @@ def test_merged_documents(spark):
     assert nothing.objects.count() == 0 and nothing.edges.count() == 0
 
 
+def test_merged_objects_are_written_once(spark, monkeypatch):
+    """Long documents over several ranges: a row is written once, and numbers have no gaps."""
+    counts, kept = [], merging.checkpointed
+
+    def counting(df):
+        df = kept(df)
+        counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(merging, "checkpointed", counting)
+    n, docs = 400, 6
+    kind = F.when(F.col("id") % n == 37, "Catalog").when(F.col("id") % n == 90, "Pages").otherwise("Page")
+    objects = spark.range(n * docs).select(F.floor(F.col("id") / n).cast("int").alias("doc_id"), F.col("id").alias("id"), kind.alias("kind"))
+    order = spark.createDataFrame([(d % 2, -d, d) for d in range(docs)], "merged_id int, ord int, doc_id int")
+    out = merging.merge_objects(objects, spark.createDataFrame([], "doc_id int, src long, dst long"), order)
+    got = [(r.merged_id, r.num, r.kind, r.doc_id, r.id) for r in out.objects.collect()]
+    want = []
+    for first in (4, 5):
+        row, docs_of = [], range(first, -1, -2)
+        for d in docs_of:
+            for i in range(d * n, d * n + n):
+                if i % n not in (37, 90) or d == first:
+                    body = (docs_of[-1], docs_of[-1] * n + 37) if i % n == 37 else (d, i)
+                    row.append(({37: "Catalog", 90: "Pages"}.get(i % n, "Page"), *body))
+        want += [(first % 2, at, *x) for at, x in enumerate(row, 1)]
+    assert sorted(got) == sorted(want)
+    assert sum(counts) <= n * docs + 100
+
+
 def test_tables_of_generated_rows_have_their_true_size(spark):
     """A few keys that make many values each: what joins take for the size must not be that of the keys."""
     k = F.col("id")
