@@ -44,14 +44,14 @@ def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References from orders to parts, parts to suppliers, suppliers to nations, nations to regions."""
+    """References from orders to parts, parts to suppliers, suppliers to nations, nations to regions; some come more than once."""
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     lines = table(spark, sf_dir, "lineitem")
     parts = lines.select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst"))
     suppliers = lines.select(key("p", "l_partkey").alias("src"), key("s", "l_suppkey").alias("dst"))
     nations = table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"))
     regions = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst"))
-    return parts.unionByName(suppliers).unionByName(nations).unionByName(regions).distinct()
+    return parts.unionByName(suppliers).unionByName(nations).unionByName(regions)
 
 
 def reachable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
