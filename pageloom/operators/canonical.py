@@ -7,17 +7,24 @@ is summed in parts before anything is shuffled and is never gathered.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.scalar import canonical_real
-from pageloom.operators.trees import measured
+from pageloom.operators.trees import joined
 from pageloom.storage import checkpointed
 
 #: Kinds that hold others.
 NESTED = ("dict", "array")
 #: Characters that a name spells as #XX, besides those that are not printable ASCII. Fixed values.
 SPELLED = "()<>[]{}/%#"
+#: A name of characters that are not spelled.
+UNSPELLED = r"""^["$&'*-.0-;=?-Z\\^-z|~]*\z"""
+#: What is known of a dictionary or array: two sums of digests, values right inside, values in these and all below, and how many are still to come.
+SUMS = {"one": "decimal(38,0)", "two": "decimal(38,0)", "inside": "long", "nodes": "long", "waits": "long"}
 
 
 def bytes_of(text: Column) -> Column:
@@ -33,7 +40,8 @@ def name_text(name: Column) -> Column:
         plain = (pair >= "22") & (pair <= "7E") & ~F.array_contains(odd, pair)
         return F.when(plain, F.decode(F.unhex(pair), "UTF-8")).otherwise(F.concat(F.lit("#"), pair))
 
-    return F.concat(F.lit("/"), F.array_join(F.transform(bytes_of(name), spelled), ""))
+    text = F.when(name.rlike(UNSPELLED), name).otherwise(F.array_join(F.transform(bytes_of(name), spelled), ""))
+    return F.concat(F.lit("/"), text)
 
 
 def string_text(text: Column) -> Column:
@@ -56,9 +64,17 @@ def plain_text(kind: Column, value: Column) -> Column:
     )
 
 
-def half(text: Column, at: int) -> Column:
-    """15 hex digits of a text's SHA-256 as a number that can be added up."""
-    return F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(38,0)")
+def half(digits: str, at: int) -> Column:
+    """15 of a column's hex digits as a number that can be added up."""
+    return F.conv(F.substring(digits, at, 15), 16, 10).cast("decimal(38,0)")
+
+
+def added(rows: DataFrame, keys: list[str], waits: Column) -> DataFrame:
+    """(keys, id, SUMS) of what (keys, parent, label, digest, nodes) rows are in; those without a digest are counted alone."""
+    under = F.sha2(F.concat_ws("=", "label", "digest"), 256)
+    hashed = rows.withColumn("hash", F.when(F.col("digest").isNotNull(), under))
+    sums = hashed.withColumns({"one": half("hash", 1), "two": half("hash", 16)}).groupBy(*keys, F.col("parent").alias("id"))
+    return sums.agg(F.sum("one").alias("one"), F.sum("two").alias("two"), F.count("*").alias("inside"), F.sum("nodes").alias("nodes"), waits.alias("waits"))
 
 
 def digests(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,29 +83,38 @@ def digests(nodes: DataFrame, keys: list[str]) -> DataFrame:
     An object's rows have ids of their own within keys; parent is the id of the dictionary or array that a value is in,
     under ``name`` or at ``pos``. Two objects have one digest if their canonical texts are equal but for the order of names:
     numbers that are equal to six decimals are, an integer and a real of one text too. nodes counts an object's values, itself included. A
-    name that comes twice in a dictionary counts twice. Rows that no object reaches, such as circles, give nothing.
+    name that comes twice in a dictionary counts twice. Rows that no object reaches, such as circles and what is in a value
+    that is no dictionary or array, give nothing, and so do rows of a null id or key.
+
+    Plain values are added to what holds them at once; only dictionaries and arrays go through the rounds, each until all
+    that is inside it is known.
     """
-    items = nodes.select(*keys, "id", F.col("id").alias("item"), F.col("parent").alias("up"), F.lit(0).alias("ord"), "name", "pos", "kind", "value")
-    placed = measured(items, keys).select(*keys, "id", F.col("up").alias("parent"), "hops", "name", "pos", "kind", F.col("size").alias("nodes"), plain_text(F.col("kind"), F.col("value")).alias("text"))
-    placed = checkpointed(placed)
-    deepest = placed.agg(F.max("hops")).first()[0]
-    if deepest is None:
-        return placed.select(*keys, "id", F.lit(None).cast("string").alias("digest"), "nodes")
-    sums = None
-    for depth in range(deepest, -1, -1):
-        level = placed.filter(F.col("hops") == depth)
-        if sums is not None:
-            level = level.join(sums.hint("merge"), [*keys, "id"], "left")
-        else:
-            level = level.withColumns({c: F.lit(None).cast("decimal(38,0)") for c in ("one", "two")} | {"inside": F.lit(None).cast("long")})
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-        inner = F.concat_ws(":", "kind", zero("inside"), zero("one"), zero("two"))
-        level = level.withColumn("digest", F.sha2(F.when(F.col("kind").isin(*NESTED), inner).otherwise(F.coalesce("text", F.lit("null"))), 256))
-        if depth == 0:
-            return level.select(*keys, "id", "digest", "nodes")
-        under = F.concat_ws("=", F.coalesce(name_text(F.col("name")), F.col("pos").cast("string"), F.lit("")), "digest")
-        sums = level.select(*keys, F.col("parent").alias("id"), half(under, 1).alias("one"), half(under, 16).alias("two")).groupBy(*keys, "id")
-        sums = checkpointed(sums.agg(F.sum("one").alias("one"), F.sum("two").alias("two"), F.count("*").alias("inside")))
+    there = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "id"]])
+    label = F.coalesce(name_text(F.col("name")), F.col("pos").cast("string"), F.lit(""))
+    nested = F.coalesce(F.col("kind").isin(*NESTED), F.lit(False))
+    own = F.when(~F.col("nested"), F.sha2(F.coalesce(plain_text(F.col("kind"), F.col("value")), F.lit("null")), 256))
+    rows = nodes.filter(there).select(*keys, "id", "parent", label.alias("label"), "kind", "value", nested.alias("nested"))
+    rows = rows.select(*keys, "id", "parent", "label", "kind", "nested", own.alias("own"))
+    zero = F.lit(0).cast("long")
+    inside = added(rows.filter("parent is not null").withColumns({"digest": F.col("own"), "nodes": F.when(F.col("nested"), zero).otherwise(1)}), keys, F.count_if("nested"))
+    tops = rows.filter("nested or parent is null").join(inside.hint("merge"), [*keys, "id"], "left")
+    told = [F.when(F.col("nested"), F.coalesce(c, F.lit(0))).otherwise(0).cast(t).alias(c) for c, t in SUMS.items()]
+    waiting = checkpointed(tops.select(*keys, "id", "parent", "label", "kind", "own", *told))
+    found, rounds = None, 0
+    while True:
+        ready = waiting.filter("waits = 0")
+        inner = F.concat_ws(":", "kind", *[F.col(c).cast("string") for c in ("inside", "one", "two")])
+        ready = ready.withColumns({"digest": F.coalesce("own", F.sha2(inner, 256)), "nodes": F.col("nodes") + 1})
+        whole, rounds = ready.filter("parent is null").select(*keys, "id", "digest", "nodes"), rounds + 1
+        found = whole if found is None else joined(found, whole, rounds)
+        ready = ready.filter("parent is not null")
+        if ready.isEmpty():
+            return found
+        more = added(ready, keys, F.count("*")).withColumnsRenamed({c: f"_{c}" for c in SUMS})
+        rest = waiting.filter("waits > 0").join(more.hint("merge"), [*keys, "id"], "left")
+        # what is inside was counted at first
+        after = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("one", "two", "nodes")} | {"waits": F.col("waits") - F.coalesce("_waits", F.lit(0))}
+        waiting = checkpointed(rest.select(*keys, "id", "parent", "label", "kind", "own", *[after.get(c, F.col(c)).cast(t).alias(c) for c, t in SUMS.items()]))
 
 
 def equal_objects(nodes: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:

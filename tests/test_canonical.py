@@ -36,6 +36,16 @@ def test_plain_texts(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_names_of_every_character(spark):
+    chars = [chr(c) for c in [*range(1, 0x180), 0x2028, 0x1F600]]
+    names = [*chars, *[f"a{c}b" for c in chars], "plain.Name-1", ""]
+    plain = set(map(chr, range(0x22, 0x7F))) - set(canonical.SPELLED)
+    want = ["/" + "".join(c if c in plain else "".join(f"#{b:02X}" for b in c.encode()) for c in n) for n in names]
+    table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = {r.i: r.t for r in table.select("i", canonical.name_text(F.col("name")).alias("t")).collect()}
+    assert [got[i] for i in range(len(names))] == want
+
+
 def test_equal_structures(spark):
     draw = random.Random(3)
 
@@ -84,3 +94,30 @@ def test_a_wide_array(spark):
     tops = spark.range(3).select("id", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("pos"), F.lit("array").alias("kind"), F.lit(None).cast("string").alias("value"))
     found = {r.id: r.canonical for r in canonical.equal_objects(tops.unionByName(rows), []).collect()}
     assert found == {0: 0, 1: 0, 2: 2}
+
+
+def test_plain_values_stay_out_of_the_rounds(spark, monkeypatch):
+    """Tables of the rounds hold dictionaries and arrays alone; values in plain ones, in circles or without an id give nothing."""
+    counts, kept = [], canonical.checkpointed
+
+    def counting(df):
+        df = kept(df)
+        counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(canonical, "checkpointed", counting)
+    ids, rows, deep = iter(range(10**6)), [], 7
+    for _ in range(3):
+        deep = [deep, {"a": deep, "b": list(range(20))}] if deep == 7 else [deep]
+    values = [deep, deep, [deep, 1], 7, {"a": list(range(50))}, "7"]
+    for v in values:
+        rows += rows_of(v, 1, ids)
+    nested, tops = sum(r[5] in ("dict", "array") for r in rows), {r[1]: v for r, v in zip([r for r in rows if r[2] is None], values, strict=True)}
+    plain = next(r[1] for r in rows if r[5] == "int" and r[2] is not None)
+    odd = [(1, 900001, plain, "x", 0, "dict", None), (1, 900002, 900002, "x", 0, "dict", None), (1, 900003, 900002, "x", 0, "array", None), (1, None, None, "x", 0, "int", "7"), (None, 5, None, "x", 0, "int", "7"), (1, 900004, None, "x", 0, None, "7")]
+    found = canonical.digests(spark.createDataFrame(rows + odd, NODES).repartition(3), ["doc"]).collect()
+    assert {r.id: r.nodes for r in found} == {i: len(list(rows_of(v, 1, iter(range(1000))))) for i, v in tops.items()} | {900004: 1}
+    digest = {r.id: r.digest for r in found}
+    first = list(tops)
+    assert digest[first[0]] == digest[first[1]] and len(set(digest.values())) == 6
+    assert len(counts) <= 6 and counts[0] <= nested + 7 and sum(counts) <= 4 * nested
