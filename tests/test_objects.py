@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,66 @@ def test_merged_objects_are_written_once(spark, monkeypatch):
     assert sum(counts) <= n * docs + 100
 
 
+def plain_merge(objects, edges, order):
+    """Rows of objects and edges by one walk through the merged documents."""
+    out, links = [], []
+    for m in {r[0] for r in order}:
+        rows = sorted((o, d, -99 if i is None else i, k or "") for mm, o, d in order if mm == m for dd, i, k in objects if dd == d and k not in merging.DROPPED)
+        first, last = {}, {}
+        for r in rows:
+            first.setdefault(r[3], r)
+            last[r[3]] = r
+        numbered = [r for r in rows if r[3] not in merging.ONE_EACH or r == first[r[3]]]
+        num = {r: n for n, r in enumerate(numbered, 1)}
+        out += [(m, n, r[3], *(last if r[3] == "Catalog" else {r[3]: r})[r[3]][1:3]) for r, n in num.items()]
+        at, found = {r[:3]: r for r in rows}, set()
+        new = lambda r: num[first[r[3]] if r[3] in merging.ONE_EACH else r]  # noqa: E731, B023
+        for o, d in {r[:2] for r in rows}:
+            for a, b in ((at.get((o, d, x)), at.get((o, d, y))) for dd, x, y in edges if dd == d):
+                if a and b and (a[3], b[3]) not in (("Page", "Pages"), ("Pages", "Page"), ("Pages", "Pages")) and (a[3] != "Catalog" or a == last["Catalog"]):
+                    found.add((m, new(a), new(b)))
+        if "Pages" in first:
+            tree = num[first["Pages"]]
+            found |= {(m, num[first["Catalog"]], tree)} if "Catalog" in first else set()
+            found |= {x for r, n in num.items() if r[3] == "Page" for x in ((m, n, tree), (m, tree, n))}
+        links += found
+    return sorted(out), sorted(links)
+
+
+@pytest.mark.parametrize("large", (merging.LARGE, 12))
+def test_merged_documents_of_any_size(spark, large):
+    """Several catalogues and page tree nodes a document, references that come twice or lead nowhere, documents above ``large``."""
+    draw = random.Random(large)
+    objects, edges = [(None, 1, "Page"), (8, 1, "Font")], [(None, 1, 1), (1, None, 1), (1, 1, None)]
+    for doc in range(7):
+        n = draw.choice([3, 9, 30])
+        objects += [(doc, i, draw.choice(["Page", "Page", "Pages", "Catalog", "Font", None, "Outlines"])) for i in draw.sample(range(-9, 50), n)]
+        edges += [(doc, *draw.choices(range(-9, 50), k=2)) for _ in range(n * n)]
+    edges += edges[3::2]
+    objects += [(7, None, "Catalog"), (7, 3, "Catalog"), (7, 4, "Page"), (7, None, "Font")]
+    order = [(m, draw.randrange(3), d) for m in range(4) for d in draw.sample(range(9), 5)] + [(5, 1, 2), (5, 2, 2), (6, 0, 8)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    out = merging.merge_objects(frame(objects, "doc_id int, id int, kind string"), frame(edges, "doc_id int, src long, dst long"), frame(order, "merged_id int, ord int, doc_id int"), large)
+    rows = [sorted(map(tuple, t.select(*c).collect()), key=str) for t, c in ((out.objects, ("merged_id", "num", "kind", "doc_id", "id")), (out.edges, ("merged_id", "src", "dst")))]
+    rows[1].sort()
+    rows[0] = sorted((*r[:4], -99 if r[4] is None else r[4]) for r in rows[0])
+    assert tuple(rows) == plain_merge([o for o in objects if o[0] is not None], edges, order)
+
+
+def test_references_are_dealt_once(spark):
+    """Shuffled bytes a reference: with a shuffle for each of its ends and one against copies there were 26, now 17."""
+    docs, n = 4_000, 20
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    objects = spark.range(docs * n).select(F.floor(F.col("id") / n).alias("doc_id"), (F.col("id") % n).alias("id"), F.when(F.col("id") % n == 0, "Catalog").when(F.col("id") % n == 1, "Pages").otherwise("Page").alias("kind"))
+    edges = spark.range(docs * n * 2).select(F.floor(F.col("id") / (2 * n)).alias("doc_id"), (F.col("id") % n).alias("src"), ((F.col("id") % (2 * n)) * 7 % n).alias("dst"))
+    order = spark.range(docs).select((F.col("id") % 5).alias("merged_id"), (-F.col("id")).alias("ord"), F.col("id").alias("doc_id"))
+    tables = [storage.written(t) for t in (objects, edges, order)]
+    before = shuffled()
+    merging.merge_objects(*tables).edges.write.format("noop").mode("overwrite").save()
+    time.sleep(1)
+    assert shuffled() - before < 21 * docs * n * 2
+
+
 def test_tables_of_generated_rows_have_their_true_size(spark):
     """A few keys that make many values each: what joins take for the size must not be that of the keys."""
     k = F.col("id")
